@@ -30,6 +30,27 @@ def op3_token_files(spark, sf_dir):
     return read_tokens(manifest)
 
 
+def op4_toxicity(spark, sf_dir):
+    from .toxicity import toxicity
+
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op5_edit_fingerprints(spark, sf_dir):
+    from .editfp import near_classes, fingerprint_report
+    from .shared import cut
+
+    rows = cut(fingerprint_report(_table(spark, sf_dir, "documents")), "edit-fps")
+    classes = near_classes(rows.select("doc_id", "fingerprint"))
+    return rows.join(classes.hint("merge"), "fingerprint", "left")
+
+
+def op6_pii(spark, sf_dir):
+    from .pii import personal_data
+
+    return personal_data(_table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark, sf_dir):
     from .warc import read_archives, write_archives
 
@@ -37,13 +58,33 @@ def op7_warc(spark, sf_dir):
     return read_archives(files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_sentencepiece(spark, sf_dir):
+    import public_tokenizers
+
+    from .pieces import encode
+
+    return encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
+
+
+def op9_secrets(spark, sf_dir):
+    from .secrets import secrets
+
+    return secrets(_table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_near_dedup(spark, sf_dir):
     from .simhash import near_components
 
     return near_components(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_line_dedup, op3_token_files, op7_warc, op10_simhash_near_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_decontamination, op2_line_dedup, op3_token_files, op4_toxicity, op5_edit_fingerprints,
+        op6_pii, op7_warc, op8_sentencepiece, op9_secrets, op10_simhash_near_dedup,
+    )
+}
 
 ORACLE_SQL = {
     "op7_warc": """
