@@ -24,6 +24,7 @@ MAX_TRAIN = 20_000
 MAX_TERMS = 2_000
 THRESHOLD = 0.7
 MIN_STEM, MAX_STEM = 4, 12
+MIN_SUPPORT, CLEAR = 0.02, 20
 FUZZY_LEN = 5  # shorter stems match exactly only
 _TOKEN = re.compile(r"[\w@$*]+")
 # Words that report speech or address the reader.
@@ -36,8 +37,9 @@ _WINDOW = 80
 class Matcher:
     """Finds the stem that a word begins with, exactly (weight 2) or within one edit (weight 1)."""
 
-    def __init__(self, stems: list[str], fuzzy: set[str] | None = None):
+    def __init__(self, stems: list[str], fuzzy: set[str] | None = None, weak: set[str] = frozenset()):
         self.stems = sorted(set(stems))
+        self.weak = {i for i, s in enumerate(self.stems) if s in weak}
         fuzzy = {s for s in self.stems if len(s) >= FUZZY_LEN} if fuzzy is None else fuzzy
         self.children: list[dict[str, int]] = [{}]
         self.end: list[int] = [-1]
@@ -120,7 +122,7 @@ class Matcher:
             return found
 
     def __getstate__(self):
-        return self.stems, self.fuzzy
+        return self.stems, self.fuzzy, {self.stems[i] for i in self.weak}
 
     def __setstate__(self, state):
         self.__init__(*state)
@@ -135,25 +137,34 @@ def is_quoted(text: str, start: int, end: int) -> bool:
     return opened or not _REPORT.isdisjoint(_TOKEN.findall(before)[-4:])
 
 
-def features(text: str | None, m: Matcher) -> tuple[float, float, float, float]:
-    """Of the whole text: exact, misspelled, quoted hits (ln(1 + distinct stems)) and directed ones."""
+N_FEATURES = 6
+
+
+def features(text: str | None, m: Matcher) -> tuple[float, ...]:
+    """Over the whole text: 1 + ln of the hits of clear stems (none: 0), then ln(1 + x) of the hits of less clear ones, of misspelled, quoted and
+    directed ones, and of the share in a hundred words of those less clear or misspelled."""
     low = (text or "").lower()
     words = _TOKEN.findall(low)
     hits = {w for w in words if m[w]}
     if not hits:
-        return 0.0, 0.0, 0.0, 0.0
-    exact, near, quoted, direct = Counter(), Counter(), Counter(), 0
+        return (0.0,) * N_FEATURES
+    exact = weak = near = quoted = direct = 0
     for t in _TOKEN.finditer(low):
         if t[0] in hits:
             stem, is_exact = m[t[0]]
             if is_quoted(low, t.start(), t.end()):
-                quoted[stem] += 1
+                quoted += 1
                 continue
-            (exact if is_exact else near)[stem] += 1
+            if not is_exact:
+                near += 1
+            elif stem in m.weak:
+                weak += 1
+            else:
+                exact += 1
             around = low[max(0, t.start() - _WINDOW) : t.end() + _WINDOW]
             direct += not _DIRECT.isdisjoint(_TOKEN.findall(around))
-    ln = lambda c: math.log1p(sum(c.values()))
-    return ln(exact), ln(near), ln(quoted), math.log1p(direct)
+    more = math.log(exact) if exact else -1.0
+    return (1 + more, *(math.log1p(x) for x in (weak, near, quoted, direct, 100 * (weak + near) / len(words))))
 
 
 class Model:
@@ -165,7 +176,7 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> list[float]:
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> list[float]:
     """Newton steps for a ridge-penalised logistic model; coefficient 0 is the intercept."""
     x = np.hstack([np.ones((len(x), 1)), x])
     w = np.zeros(x.shape[1])
@@ -180,14 +191,16 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> list[float]:
     return w.tolist()
 
 
-def _stems(rows: list[tuple[str, int, int, int]], n_toxic: int, n_clean: int) -> list[str]:
-    """From (prefix, contexts in toxic rows, toxic rows, clean rows): the longest prefix that keeps a good stem's support."""
-    least = max(3, 0.01 * n_toxic)
+def _stems(rows: list[tuple[str, int, int, int]], n_toxic: int, n_clean: int) -> tuple[list[str], set[str]]:
+    """From (prefix, contexts in toxic rows, toxic rows, clean rows): stems, each the longest prefix that keeps a good one's support,
+    and those of them that clean rows hold more often than one in CLEAR times."""
+    least = max(3, MIN_SUPPORT * n_toxic)
     good = {}
     for p, contexts, pos, neg in rows:
         odds = math.log(((pos + 0.5) / (n_toxic + 1)) / ((neg + 0.5) / (n_clean + 1)))
-        if contexts >= least and odds >= 2.5 and pos >= 4 * neg:
+        if contexts >= least and odds >= 2.5 and pos >= 1.5 * neg:
             good[p] = contexts
+    weak = {p for p, _, pos, neg in rows if pos < CLEAR * neg}
     by_parent: dict[str, list[str]] = {}
     for p in good:
         by_parent.setdefault(p[:-1], []).append(p)
@@ -198,7 +211,8 @@ def _stems(rows: list[tuple[str, int, int, int]], n_toxic: int, n_clean: int) ->
         while kids := [k for k in by_parent.get(p, ()) if good[k] >= 0.9 * good[p]]:
             p = kids[0]
         out.add(p)
-    return sorted(out, key=lambda p: (-good[p], p))[:MAX_TERMS]
+    stems = sorted(out, key=lambda p: (-good[p], p))[:MAX_TERMS]
+    return stems, weak.intersection(stems)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -218,7 +232,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_clean:
         share = min(0.999, max(0.001, n_toxic / (n_toxic + n_clean))) if n_toxic + n_clean else 0.05
-        return Model(Matcher([]), [math.log(share / (1 - share)), 0.0, 0.0, 0.0, 0.0])
+        return Model(Matcher([]), [math.log(share / (1 - share)), *[0.0] * N_FEATURES])
 
     def count(batches):
         contexts, pos, neg = {}, Counter(), Counter()
@@ -244,8 +258,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     counts = train.mapInArrow(count, "p string, ctx array<string>, pos long, neg long")
     counts = counts.groupBy("p").agg(F.array_distinct(F.flatten(F.collect_list("ctx"))).alias("ctx"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    counts = counts.where(F.size("ctx") >= 3).where("pos >= 4 * neg").select("p", F.size("ctx"), "pos", "neg")
-    stems = _stems([tuple(r) for r in counts.collect()], n_toxic, n_clean)
+    counts = counts.where(F.size("ctx") >= 3).where("pos >= 1.5 * neg").select("p", F.size("ctx"), "pos", "neg")
+    stems, weak = _stems([tuple(r) for r in counts.collect()], n_toxic, n_clean)
 
     # Stems whose misspellings are common in clean rows lose the right to an edit.
     loose = train.sparkSession.sparkContext.broadcast(Matcher(stems))
@@ -261,30 +275,29 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     clean_hits = {r["stem"]: r["n"] for r in train.mapInArrow(near, "stem long, n long").groupBy("stem").agg(F.sum("n").alias("n")).collect()}
     ordered = loose.value.stems
-    fuzzy = {s for i, s in enumerate(ordered) if len(s) >= FUZZY_LEN and clean_hits.get(i, 0) <= 0.001 * n_clean}
-    final = train.sparkSession.sparkContext.broadcast(Matcher(ordered, fuzzy))
+    fuzzy = {s for i, s in enumerate(ordered) if len(s) >= FUZZY_LEN and s not in weak and clean_hits.get(i, 0) <= 0.001 * n_clean}
+    final = Matcher(ordered, fuzzy, weak)
+    shared = train.sparkSession.sparkContext.broadcast(final)
+    names = [f"x{i}" for i in range(N_FEATURES)]
 
     def table(batches):
         for b in batches:
-            rows = [(*features(t, final.value), y) for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array([float(r[i]) for r in rows], pa.float64()) for i in range(5)], names=[f"x{i}" for i in range(5)])
+            xs = [features(t, shared.value) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(pa.array([x[i] for x in xs], pa.float64()) for i in range(N_FEATURES)), b.column(1)], names=[*names, "y"])
 
-    xs = train.mapInArrow(table, ", ".join(f"x{i} double" for i in range(5))).groupBy(*(f"x{i}" for i in range(5))).count().collect()  # MAX_TRAIN rows at most
-    flat = np.array([[*r[:5]] for r in xs for _ in range(r["count"])])
-    return Model(Matcher(ordered, fuzzy), _signed(flat[:, :4], flat[:, 4]))
+    xs = train.mapInArrow(table, ", ".join(f"{n} double" for n in names) + ", y int").groupBy(*names, "y").count().collect()  # MAX_TRAIN rows at most
+    flat = np.array([[*r[: N_FEATURES + 1]] for r in xs for _ in range(r["count"])], float)
+    return Model(final, _weights(flat[:, :-1], flat[:, -1]))
 
 
-def _signed(x: np.ndarray, y: np.ndarray) -> list[float]:
-    """The logistic fit; kinds of hits that the sample has too few of borrow their weight from exact hits."""
+def _weights(x: np.ndarray, y: np.ndarray) -> list[float]:
+    """The logistic fit; kinds of hits that the sample has too few of borrow their weight from clear hits."""
     w = _logistic(x, y)
-    exact = max(w[1], 0.0)
+    clear = max(w[1], 0.0)
     seen = (x > 0).sum(0)
-    if seen[1] < 30:
-        w[2] = 0.7 * exact  # a misspelled hit
-    if seen[2] < 30:
-        w[3] = 0.15 * exact  # a quoted hit
-    if seen[3] < 30:
-        w[4] = 0.1 * exact
+    for at, share in ((2, 0.5), (3, 0.7), (4, 0.15), (5, 0.1)):  # less clear, misspelled, quoted, directed
+        if seen[at - 1] < 30:
+            w[at] = share * clear
     return w
 
 
