@@ -76,9 +76,9 @@ def idf(n, df, power: float = 0.6):
 
 
 def weighted_postings(sections: DataFrame, post: DataFrame, s: Scoring = Scoring(), fields: tuple[str, ...] = ("heading", "body")) -> DataFrame:
-    """(term, id, w): the saturated, length-normalised weight of a term in a section, times its idf."""
+    """(term, id, w): the saturated, length-normalised weight of a term in a section, times its idf. A field's mean length is over the sections that have it."""
     size = lengths(post, fields)
-    mean = size.agg(F.count("*").alias("n"), *[F.greatest(F.avg(f"len_{f}"), F.lit(1e-9)).alias(f"avg_{f}") for f in fields])
+    mean = size.agg(F.count("*").alias("n"), *[F.greatest(F.avg(F.when(F.col(f"len_{f}") > 0, F.col(f"len_{f}"))), F.lit(1e-9)).alias(f"avg_{f}") for f in fields])
     full = post.join(size, "id").join(document_frequency(post), "term").crossJoin(F.broadcast(mean))  # mean is one row
     tf = sum((F.lit(s.weights[f]) * F.col(f"tf_{f}") / (1 - s.b + s.b * F.col(f"len_{f}") / F.col(f"avg_{f}")) for f in fields), F.lit(0.0))
     stop = F.when(F.col("term").isin(*STOP_WORDS), s.stop_weight).otherwise(1.0)

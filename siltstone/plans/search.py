@@ -15,7 +15,7 @@ SECTIONS = """sec AS (SELECT doc_id AS id, '/doc/' || doc_id || '/' AS url, spli
 POSTINGS = f"""{SECTIONS}, tk AS (SELECT id, 'h' AS f, {_TOK.format('heading')} AS term FROM sec UNION ALL SELECT id, 'b' AS f, {_TOK.format('body')} AS term FROM sec),
 post AS (SELECT term, id, count(*) FILTER (f = 'h') AS tf_heading, count(*) FILTER (f = 'b') AS tf_body FROM tk WHERE term <> '' GROUP BY ALL)"""
 WEIGHTED = f"""{POSTINGS}, len AS (SELECT id, sum(tf_heading) AS lh, sum(tf_body) AS lb FROM post GROUP BY id),
-mean AS (SELECT count(*) AS n, greatest(avg(lh), 1e-9) AS ah, greatest(avg(lb), 1e-9) AS ab FROM len), dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+mean AS (SELECT count(*) AS n, greatest(avg(lh) FILTER (lh > 0), 1e-9) AS ah, greatest(avg(lb) FILTER (lb > 0), 1e-9) AS ab FROM len), dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term),
 wt AS (SELECT term, id, 3.0 * tf_heading / (1 - 0.75 + 0.75 * lh / ah) + 1.0 * tf_body / (1 - 0.75 + 0.75 * lb / ab) AS tf, df, n FROM post JOIN len USING (id) JOIN dfs USING (term), mean),
 weighted AS (SELECT term, id, (CASE WHEN term IN {_STOP} THEN 0.2 ELSE 1.0 END) * pow(ln(1 + (n - df + 0.5) / (df + 0.5)), 0.6) * tf * 2.2 / (tf + 1.2) AS w FROM wt)"""
 QUERIES = f"""qp AS (SELECT item_id, unnest(string_split_regex(text, '[.!?\\n]+\\s*')) AS p, generate_subscripts(string_split_regex(text, '[.!?\\n]+\\s*'), 1) AS i FROM benchmark),

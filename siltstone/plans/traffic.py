@@ -38,7 +38,7 @@ _SLUG = lambda c: f"regexp_replace(regexp_replace(lower({c}), '[^a-z0-9]+', '-',
 VISITS_SQL = f"""WITH {AGENT_SQL}, {REFERRER_SQL},
 v0 AS (SELECT *, CASE WHEN browser THEN substr(sha256(ip || chr(10) || user_agent || chr(10) || '{SALT}'), 1, 32) END AS visitor FROM refs WHERE kind IS NOT NULL),
 visits AS (SELECT event_id, ts, coalesce(CASE WHEN browser THEN nullif(regexp_extract(cookie, '(?:^|;\\s*)_ga=GA\\d+\\.\\d+\\.(\\d+\\.\\d+)', 1), '') END, visitor, {_SLUG('operator')} || '.' || {_SLUG('crawler')}) AS client_id,
-  coalesce(substr(visitor, 1, 16), {_SLUG('crawler')}) || '-' || (epoch_ms(ts) // 1800000) AS visit_id, crawler, operator, kind, surface, CAST(status AS VARCHAR) AS status,
+  coalesce(substr(visitor, 1, 16), {_SLUG('crawler')}) || '-' || ((epoch_us(ts) // 1000) // 1800000) AS visit_id, crawler, operator, kind, surface, CAST(status AS VARCHAR) AS status,
   CASE WHEN ends_with(host, '.com') THEN 'com' ELSE 'org' END AS edition, path, nullif(referrer, '') AS page_referrer, referrer_host, ai_source FROM v0)
 """
 
@@ -80,7 +80,7 @@ def _(spark, d):
     return requests(spark, d).groupBy(visitor_digest("ip", "user_agent", SALT).alias("visitor")).agg(F.count("*").alias("n"))
 
 
-@query("tr7_half_hours", "SELECT epoch_ms(ts) // 1800000 AS bucket, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
+@query("tr7_half_hours", "SELECT (epoch_us(ts) // 1000) // 1800000 AS bucket, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
 def _(spark, d):
     from .base import table
 
@@ -92,12 +92,12 @@ def _(spark, d):
     return requests(spark, d).groupBy(F.when(F.col("host").endswith(".com"), "com").otherwise("org").alias("edition"), "status").agg(F.count("*").alias("n"))
 
 
-@query("tr9_visits", VISITS_SQL + "SELECT * EXCLUDE (ts), epoch_ms(ts) AS ts_ms FROM visits")
+@query("tr9_visits", VISITS_SQL + "SELECT * EXCLUDE (ts), (epoch_us(ts) // 1000) AS ts_ms FROM visits")
 def _(spark, d):
     return _visits(spark, d).withColumn("ts_ms", F.unix_millis("ts")).drop("ts")
 
 
-@query("tr10_half_hour_rollup", VISITS_SQL + "SELECT epoch_ms(time_bucket(INTERVAL 30 MINUTE, ts)) AS window_ms, kind, surface, count(*) AS n_events FROM visits GROUP BY ALL")
+@query("tr10_half_hour_rollup", VISITS_SQL + "SELECT (epoch_us(time_bucket(INTERVAL 30 MINUTE, ts)) // 1000) AS window_ms, kind, surface, count(*) AS n_events FROM visits GROUP BY ALL")
 def _(spark, d):
     return t.tumbling(_visits(spark, d), "kind", "surface").select(F.unix_millis("window_start").alias("window_ms"), "kind", "surface", "n_events")
 
@@ -115,7 +115,7 @@ def _(spark, d):
 @query("tr11_inactivity_sessions", VISITS_SQL + """,
 g AS (SELECT client_id, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM visits WINDOW w AS (PARTITION BY client_id ORDER BY ts)),
 s AS (SELECT client_id, ts, sum(fresh) OVER (PARTITION BY client_id ORDER BY ts) AS k FROM g)
-SELECT client_id, epoch_ms(min(ts)) AS start_ms, epoch_ms(max(ts)) + 1800000 AS end_ms, count(*) AS n_events FROM s GROUP BY client_id, k""")
+SELECT client_id, (epoch_us(min(ts)) // 1000) AS start_ms, (epoch_us(max(ts)) // 1000) + 1800000 AS end_ms, count(*) AS n_events FROM s GROUP BY client_id, k""")
 def _(spark, d):
     s = t.inactivity_sessions(_visits(spark, d))
     return s.select("client_id", F.unix_millis("session_start").alias("start_ms"), F.unix_millis("session_end").alias("end_ms"), "n_events")

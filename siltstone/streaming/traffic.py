@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
 
 from ..operators import traffic
 
-REQUEST_SCHEMA = StructType.fromDDL("event_id LONG, ts TIMESTAMP, host STRING, path STRING, user_agent STRING, referrer STRING, ip STRING, cookie STRING, accept STRING, sec_fetch_dest STRING, status INT")
+REQUEST_SCHEMA = "event_id LONG, ts TIMESTAMP, host STRING, path STRING, user_agent STRING, referrer STRING, ip STRING, cookie STRING, accept STRING, sec_fetch_dest STRING, status INT"
 
 
 def request_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
