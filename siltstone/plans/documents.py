@@ -311,3 +311,49 @@ def _(spark, d):
 
     v = table(spark, d, "pages").select(F.col("page_id").alias("url"), tx.visible_text("html").alias("text"))
     return answers_in_page(v.select("url", F.substring("text", 20, 40).alias("answer")), v).select(F.col("url").alias("page_id"), "found")
+
+
+def _markdown(spark, d):
+    """Documents as markdown pages: title, source, a FAQ section, every fourth line a heading. Synthetic, by fixed arithmetic."""
+    lines = F.transform(
+        F.split("text", "\n"),
+        lambda x, i: F.when(i % 4 == 0, F.concat(F.when(i % 8 == 4, "### ").otherwise("## "), F.substring(x, 1, 20), F.when(i % 8 == 4, "?").otherwise(""))).when(i % 4 == 1, F.concat(F.lit("**"), F.substring(x, 1, 9), F.lit("** "), x)).otherwise(x),
+    )
+    head = F.concat(F.lit("# Page "), "doc_id", F.lit("\nSource: https://docs.example.org/d/"), "doc_id", F.lit("/\nTopics: x\n\n"))
+    return table(spark, d, "documents").select(F.concat(F.lit("d/"), "doc_id", F.lit("/index.md")).alias("path"), F.concat(head, F.array_join(lines, "\n")).alias("value"))
+
+
+@query("pf1_headers")
+def _(spark, d):
+    return md.parse_headers(_markdown(spark, d))
+
+
+@query("w16_section_ranges")
+def _(spark, d):
+    return md.split_sections(md.parse_headers(_markdown(spark, d)), "url").where("anchor <> ''").select("url", "anchor", "start", "end")
+
+
+@query("pf11_answers")
+def _(spark, d):
+    p = md.parse_headers(_markdown(spark, d))
+    return md.answers(md.split_sections(p, "url").join(p.select("url", "title"), "url"))
+
+
+@query("pf12_faq_pairs")
+def _(spark, d):
+    return md.faq_pairs(md.parse_headers(_markdown(spark, d)), "url", "body", whole=True)
+
+
+@query("pf13_terms")
+def _(spark, d):
+    return md.defined_terms(md.split_sections(md.parse_headers(_markdown(spark, d)), "url"))
+
+
+@query("sr1_records")
+def _(spark, d):
+    from .base import symbols
+
+    p = md.eligible(md.parse_headers(_markdown(spark, d)))
+    curated = table(spark, d, "documents").where("doc_id % 5 = 0").select(F.concat(F.lit("/d/"), "doc_id", F.lit("/")).alias("url"), F.lit(None).cast("string").alias("summary"), F.concat(F.lit("about "), "lang").alias("description"), "source").withColumnRenamed("source", "keywords")
+    sym = symbols(spark, d).select(F.col("symbol").alias("title"), "url", "summary", F.lit("symbol").alias("kind"))
+    return md.records(p, md.split_sections(p, "url"), curated, sym)

@@ -314,3 +314,101 @@ def _(spark, d):
     m = ev.summarise(results(spark, d))
     values = m.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in ("p1", "absent")])).alias("x")).select("x.*")
     return ev.gate(values, spark.createDataFrame([("p1", 101.0, 200.0), ("absent", 0.0, 100.0)], "metric string, floor double, ceiling double"))
+
+
+@query("ag9_reachability", f"WITH {RESULTS} SELECT {_SH('position BETWEEN 1 AND 6')} AS in_top6, {_SH('returned > 0')} AS returned FROM results WHERE topic <> 'src0'")
+def _(spark, d):
+    r = results(spark, d).where("topic <> 'src0'")
+    return r.agg(ev._share((F.col("position") >= 1) & (F.col("position") <= 6)).alias("in_top6"), ev._share(F.col("returned") > 0).alias("returned"))
+
+
+@query("ag7_macro_over_buckets", f"WITH {RESULTS}, b AS (SELECT query_id % 4 AS bucket, avg(accuracy) AS accuracy, avg(CASE WHEN position = 1 THEN 100.0 ELSE 0.0 END) AS top1, avg(CASE WHEN position = 0 THEN 100.0 ELSE 0.0 END) AS absent FROM results GROUP BY 1) SELECT count(*) AS n_buckets, round(avg(accuracy), 6) AS accuracy, round(avg(top1), 6) AS top1, round(avg(absent), 6) AS absent FROM b")
+def _(spark, d):
+    share = lambda c: F.avg(F.when(c, 100.0).otherwise(0.0))
+    b = results(spark, d).groupBy((F.col("query_id") % 4).alias("bucket")).agg(F.avg("accuracy").alias("accuracy"), share(F.col("position") == 1).alias("top1"), share(F.col("position") == 0).alias("absent"))
+    return b.agg(F.count("*").alias("n_buckets"), *[F.round(F.avg(c), 6).alias(c) for c in ("accuracy", "top1", "absent")])
+
+
+@query("ev3_headline", f"WITH {RESULTS} SELECT {METRICS} FROM results WHERE topic NOT IN ('src1', 'src4')")
+def _(spark, d):
+    return ev.summarise(results(spark, d).where("topic NOT IN ('src1', 'src4')"))
+
+
+_FRAG = f"{RANKED}, {LABELS}, rs AS (SELECT query_id, url || CASE WHEN id % 2 = 1 THEN '#h' ELSE '' END AS url, position FROM ranked), ok AS (SELECT query_id, target AS url FROM labels UNION ALL SELECT query_id, unnest(also) FROM labels), f AS (SELECT query_id, min(position) AS p FROM rs JOIN ok USING (query_id, url) GROUP BY query_id)"
+
+
+@query("ev2_strict_positions", f"WITH {_FRAG} SELECT query_id, coalesce(CASE WHEN p <= 50 THEN p ELSE 0 END, 0) AS position FROM labels LEFT JOIN f USING (query_id)")
+def _(spark, d):
+    """Hits of odd documents name a fragment, which strict mode does not forgive."""
+    r = ranked(spark, d).withColumn("url", F.concat("url", F.when(F.col("id") % 2 == 1, "#h").otherwise("")))
+    return ev.evaluate(labels(spark, d), r, strict=True).select("query_id", "position")
+
+
+@query("ev6_cluster_bootstrap")
+def _(spark, d):
+    g = ev.summarise(ev.pooled_topics(results(spark, d), "topic", 2), "grp")
+    return ev.bootstrap(g.select(F.col("p1").alias("value")), 500, 0x901D)
+
+
+@query("ev10_comparison", f"WITH {_PAIRS}, {QUERIES}, {LABELS} SELECT topic, count(*) AS n, round(avg(CASE WHEN now = 1 THEN 100.0 ELSE 0 END) - avg(CASE WHEN was = 1 THEN 100.0 ELSE 0 END), 6) AS p1_delta, round(avg(delta), 6) AS mrr_delta FROM pairs JOIN labels USING (query_id) GROUP BY topic")
+def _(spark, d):
+    hit = lambda c: F.avg(F.when(F.col(c) == 1, 100.0).otherwise(0.0))
+    p = pairs(spark, d).join(labels(spark, d).select("query_id", "topic"), "query_id")
+    return p.groupBy("topic").agg(F.count("*").alias("n"), F.round(hit("now") - hit("was"), 6).alias("p1_delta"), F.round(F.avg("delta"), 6).alias("mrr_delta"))
+
+
+_EDITIONS = "sx AS (SELECT p_partkey AS id, p_partkey % 2 = 1 AS external, p_brand AS query_id, round(p_retailprice, 2) AS score FROM part)"
+
+
+@query("w1_rank_within_edition", f"WITH {_EDITIONS} SELECT query_id, id, external, row_number() OVER (PARTITION BY query_id, external ORDER BY score DESC, id) AS position FROM sx")
+def _(spark, d):
+    p = table(spark, d, "part").withColumn("external", F.col("p_partkey") % 2 == 1)
+    scored = p.select(F.col("p_brand").alias("query_id"), F.col("p_partkey").alias("id"), F.round("p_retailprice", 2).alias("score"))
+    sec = p.select(F.col("p_partkey").alias("id"), F.concat(F.lit("/"), "p_partkey").alias("url"), "external")
+    return se.rank(scored, sec).select("query_id", "id", "external", "position")
+
+
+@query("w4_merged_order", f"WITH {_EDITIONS} SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY external, score DESC, id) AS merged_position FROM sx")
+def _(spark, d):
+    p = table(spark, d, "part").withColumn("external", F.col("p_partkey") % 2 == 1)
+    hits = p.select(F.col("p_brand").alias("query_id"), F.col("p_partkey").alias("id"), "external", F.round("p_retailprice", 2).alias("score"))
+    return se.merged_order(hits).select("query_id", "id", "merged_position")
+
+
+@query("j14_term_postings", f"WITH {POSTINGS}, {QUERIES} SELECT query_id, term, count(*) AS n_sections FROM qt JOIN post USING (term) GROUP BY ALL")
+def _(spark, d):
+    t = se.query_terms(bench_queries(spark, d)).select("query_id", "term")
+    return t.join(se.postings(sections(spark, d)), "term").groupBy("query_id", "term").agg(F.count("*").alias("n_sections"))
+
+
+@query("sr18_scopes", "SELECT item_id AS query_id, CASE WHEN item_id % 2 = 0 THEN 'src' || item_id END AS scope, trim(substr(text, 1, 20)) AS query FROM benchmark")
+def _(spark, d):
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.substring("text", 1, 20), F.when(F.col("item_id") % 2 == 0, F.concat(F.lit(" pkg:src"), "item_id")).otherwise("")).alias("query"))
+    return se.scoped(q).select("query_id", "scope", "query").withColumn("query", F.when(F.col("query") != "", F.col("query")))
+
+
+def _vocab(spark, d):
+    return se.postings(sections(spark, d)).select(F.col("term").alias("word")).distinct()
+
+
+@query("sr2_lemmas")
+def _(spark, d):
+    """The vocabulary is its own dictionary: forms whose stem is also a word."""
+    v = _vocab(spark, d)
+    return se.lemmas(v, v.select(F.col("word").alias("lemma")).where(F.length("lemma") <= 6))
+
+
+@query("sr3_missing_stems")
+def _(spark, d):
+    v = _vocab(spark, d)
+    return se.missing_stems(v, v.select(F.col("word").alias("lemma")).where(F.length("lemma") <= 3), v.where("word LIKE 'a%'"))
+
+
+@query("sr11_lemma_hits")
+def _(spark, d):
+    sec = sections(spark, d)
+    post = se.postings(sec)
+    v = post.select(F.col("term").alias("word")).distinct()
+    lem = se.lemmas(v, v.select(F.col("word").alias("lemma")))
+    terms = se.with_lemmas(se.query_terms(bench_queries(spark, d)), v, lem)
+    return se.rank(se.coverage_floor(se.score(terms, se.weighted_postings(sec, post))), sec).where("position <= 10")
