@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +27,14 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
 
-def split_words(line: str) -> list[str]:
-    return line.lower().split()
+_LEN = np.uint64(0xD6E8FEB86659FD93)
+#: Bytes of text that are hashed in one go; a single longer text is a chunk of its own.
+CHUNK = 1 << 20
+
+
+def split_words(line: str) -> list[bytes]:
+    """Lower-case words between ASCII white space."""
+    return line.lower().encode().split()
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -37,22 +42,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-class _Hasher(dict):
-    """Word -> hash; emptied when it has grown large."""
-
-    def __missing__(self, w: str) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        self[w] = h = xxhash.xxh64_intdigest(w, 7)
-        return h
-
-
-_words = _Hasher()
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _pow = np.ones(1, np.uint64)
 _inv = np.ones(1, np.uint64)
 
 
 def _powers(n: int):
+    """Powers of the base and of its inverse, at least n."""
     global _pow, _inv
     if len(_pow) < n:
         size = max(n, 2 * len(_pow), 1024)
@@ -61,96 +58,124 @@ def _powers(n: int):
     return _pow, _inv
 
 
-def _prefixes(words: list[str]) -> np.ndarray:
-    """Polynomial hashes of the first 0..n words."""
-    p, _ = _powers(len(words) + 1)
-    h = np.array(list(map(_words.__getitem__, words)), np.uint64)
-    out = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(h * p[: len(h)], out=out[1:])
-    return out
-
-
-def _signed(x: np.ndarray) -> list[int]:
-    return x.view(np.int64).tolist()
-
-
-def line_hash(pre: np.ndarray) -> np.ndarray:
-    return _mix(pre[-1:] + np.uint64(len(pre) - 1) * np.uint64(0xD6E8FEB86659FD93))
-
-
-def half_keys(pre: np.ndarray) -> np.ndarray:
-    """Hashes of the first and last h words, for h = n // 2 and (n - 1) // 2, so that lines of n and n - 1 words meet."""
-    n = len(pre) - 1
-    _, inv = _powers(n + 1)
-    out = []
-    for h in {n // 2, (n - 1) // 2}:
-        tag = np.uint64(4 * h)
-        out += [pre[h] + tag * np.uint64(0xD6E8FEB86659FD93), (pre[n] - pre[n - h]) * inv[n - h] + (tag + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)]
-    return _mix(np.array(out, np.uint64))
-
-
-def variants(pre: np.ndarray) -> np.ndarray:
-    """The hash of the line without word i, for each i; equal to line_hash of that shorter line."""
-    n = len(pre) - 1
-    _, inv = _powers(2)
-    whole = pre[:-1] + (pre[n] - pre[1:]) * inv[1]
-    return _mix(whole + np.uint64(n - 1) * np.uint64(0xD6E8FEB86659FD93))
+class _Lines:
+    """Polynomial hashes of all words and lines of some texts, without a loop over words.
 
+    size: words of each line; first: index of its first word; pre: running sums over all words; doc, no: where each line stands.
+    """
 
-def _lines(text: str | None):
-    for no, line in enumerate((text or "").split("\n")):
-        words = split_words(line)
-        if len(words) >= MIN_WORDS:
-            yield no, words
+    def __init__(self, texts: list[str]):
+        self.raw = raw = "\n".join(texts).lower().encode()
+        b = np.frombuffer(raw, np.uint8)
+        counts = np.array([t.count("\n") + 1 for t in texts])
+        self.doc = np.repeat(np.arange(len(texts)), counts)
+        self.no = np.arange(len(self.doc)) - np.repeat(np.cumsum(counts) - counts, counts)
+        self.ends = np.append(np.flatnonzero(b == 10), len(b))
+        space = _SPACE[b]
+        word = np.concatenate([[False], ~space, [False]])
+        edges = np.flatnonzero(word[1:] != word[:-1])
+        starts, stops = edges[0::2], edges[1::2]
+        p, inv = _powers(len(b) + 2)
+        sums = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum((b.astype(np.uint64) + np.uint64(1)) * p[: len(b)], out=sums[1:])
+        hashes = _mix((sums[stops] - sums[starts]) * inv[starts] + (stops - starts).astype(np.uint64) * _LEN)
+        line = np.searchsorted(self.ends, starts)
+        self.size = np.bincount(line, minlength=len(self.ends))
+        self.first = np.cumsum(self.size) - self.size
+        within = np.arange(len(starts)) - np.repeat(self.first, self.size)
+        self.pre = np.zeros(len(starts) + 1, np.uint64)
+        np.cumsum(hashes * p[within], out=self.pre[1:])
+        self.total = self.pre[self.first + self.size] - self.pre[self.first]
+        self.h = _mix(self.total + self.size.astype(np.uint64) * _LEN)
+
+    def halves(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(keys of lines at, flat; how many each): hashes of the first and last h words, for h = n // 2 and (n - 1) // 2, so
+        that lines of n and n - 1 words meet; none for short lines."""
+        _, inv = _powers(int(self.size.max(initial=0)) + 2)
+        n, s = self.size[at], self.first[at]
+        out = []
+        for h in (n // 2, (n - 1) // 2):
+            tag = (4 * h).astype(np.uint64) * _LEN
+            out.append(self.pre[s + h] - self.pre[s] + tag)
+            out.append((self.pre[s + n] - self.pre[s + n - h]) * inv[n - h] + tag + _LEN)
+        many = np.where(n < MIN_NEAR - 1, 0, np.where(n % 2 == 1, 2, 4))
+        keys = _mix(np.stack(out, 1))
+        return keys[np.arange(4) < many[:, None]], many
+
+    def variants(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(keys of lines at, flat; how many each): the line's own hash; for lines of MIN_NEAR words or more then the hash without word
+        i for each i (equal to the own hash of that shorter line), and the same mixed with i."""
+        _, inv = _powers(2)
+        n = np.where(self.size[at] >= MIN_NEAR, self.size[at], 0)
+        many = 1 + 2 * n
+        base = np.cumsum(many) - many
+        keys = np.zeros(int(many.sum()), np.uint64)
+        keys[base] = self.h[at]
+        i = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        rep = lambda x: np.repeat(x, n)
+        w = rep(self.first[at]) + i
+        head, tail = self.pre[w] - self.pre[rep(self.first[at])], self.pre[rep(self.first[at] + self.size[at])] - self.pre[w + 1]
+        v = _mix(head + tail * inv[1] + (rep(self.size[at]) - 1).astype(np.uint64) * _LEN)
+        keys[rep(base) + 1 + i] = v
+        keys[rep(base) + 1 + rep(n) + i] = _mix(v ^ ((i + 1).astype(np.uint64) * _BASE))
+        return keys, many
+
+    def text(self, i: int) -> str:
+        start = self.ends[i - 1] + 1 if i else 0
+        return b" ".join(self.raw[start : self.ends[i]].split()).decode()
+
+
+def _chunks(batch):
+    """Row ranges of a batch whose texts make about CHUNK bytes."""
+    texts, start, size = batch.column(2).to_pylist(), 0, 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > CHUNK:
+            yield start, texts[start:i]
+            start, size = i, 0
+        size += len(t) + 1
+    if texts:
+        yield start, texts[start:]
+
+
+def _lists(flat: np.ndarray, many: np.ndarray) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(many)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
 
 
 def _occurrences(src: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
-            ks, ths, nos, hs, keys = [], [], [], [], []
-            for k, th, t in zip(*(b.column(i).to_pylist() for i in range(3))):
+            k, th = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for start, texts in _chunks(b):
                 with np.errstate(over="ignore"):
-                    for no, words in _lines(t):
-                        pre = _prefixes(words)
-                        ks.append(k), ths.append(th), nos.append(no)
-                        hs += _signed(line_hash(pre))
-                        keys.append(_signed(half_keys(pre)) if len(words) >= MIN_NEAR - 1 else [])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ks, pa.int64()), pa.array(ths, pa.int64()), pa.array(nos, pa.int32()), pa.array(hs, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["k", "th", "no", "h", "keys"],
-            )
+                    x = _Lines(texts)
+                    at = np.flatnonzero(x.size >= MIN_WORDS)
+                    keys = _lists(*x.halves(at))
+                row = start + x.doc[at]
+                cols = [pa.array(k[row]), pa.array(th[row]), pa.array(x.no[at].astype(np.int32)), pa.array(x.h[at].view(np.int64)), keys]
+                yield pa.RecordBatch.from_arrays(cols, names=["k", "th", "no", "h", "keys"])
 
     return src.mapInArrow(run, "k long, th long, no int, h long, keys array<long>")
 
 
 def _neighbourhood(src: DataFrame, bitmap) -> DataFrame:
-    """Lines in the bitmap with their keys: role 0 the line itself, 1 a variant, 2 a variant with its position."""
+    """Lines in the bitmap with their keys: first the line itself, then its variants, then its variants with their position."""
 
     def run(batches):
         bits = bitmap.value
         for b in batches:
-            ks, nos, hs, lines, keys = [], [], [], [], []
-            for k, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+            k = b.column(0).to_numpy()
+            for start, texts in _chunks(b):
                 with np.errstate(over="ignore"):
-                    for no, words in _lines(t):
-                        if len(words) < MIN_NEAR - 1:
-                            continue
-                        pre = _prefixes(words)
-                        h = line_hash(pre)
-                        slot = int(h[0]) & ((1 << MAP_BITS) - 1)
-                        if not (int(bits[slot >> 5]) >> (slot & 31)) & 1:
-                            continue
-                        own = _signed(h)[0]
-                        got = [own]
-                        if len(words) >= MIN_NEAR:
-                            v = variants(pre)
-                            at = _mix(v ^ (np.arange(1, len(v) + 1, dtype=np.uint64) * _BASE))
-                            got += _signed(v) + _signed(at)
-                        ks.append(k), nos.append(no), hs.append(own), lines.append(" ".join(words)), keys.append(got)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ks, pa.int64()), pa.array(nos, pa.int32()), pa.array(hs, pa.int64()), pa.array(lines, pa.string()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["k", "no", "h", "line", "keys"],
-            )
+                    x = _Lines(texts)
+                    slot = (x.h & np.uint64((1 << MAP_BITS) - 1)).astype(np.int64)
+                    at = np.flatnonzero((x.size >= MIN_NEAR - 1) & ((bits[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1).astype(bool))
+                    # Of a line that repeats within the chunk the earliest is sent.
+                    at = at[np.lexsort((x.no[at], k[start + x.doc[at]]))]
+                    at = at[np.unique(x.h[at], return_index=True)[1]]
+                    keys = _lists(*x.variants(at))
+                cols = [pa.array(k[start + x.doc[at]]), pa.array(x.no[at].astype(np.int32)), pa.array(x.h[at].view(np.int64)), pa.array([x.text(i) for i in at.tolist()], pa.string()), keys]
+                yield pa.RecordBatch.from_arrays(cols, names=["k", "no", "h", "line", "keys"])
 
     return src.mapInArrow(run, "k long, no int, h long, line string, keys array<long>")
 
