@@ -107,7 +107,7 @@ def restraint_of(s: DataFrame) -> DataFrame:
     w = W.orderBy("top_score", "query_id")  # at most a sample's rows
     at = scored.withColumn("i", F.row_number().over(w) - 1).crossJoin(F.broadcast(scored.agg(F.count("*").alias("m"))))
     p90 = at.where(F.col("i") == F.floor(F.col("m") * 0.9)).agg(F.max("top_score").alias("p90_top_score"))
-    mid = s.agg(F.count("*").alias("n"), F.round(100 * F.avg((F.col("top_score") == 0).cast("double")), 6).alias("empty"), F.round(F.median(F.when(F.col("top_score") > 0, F.col("top_score"))), 6).alias("median_top_score"))
+    mid = s.agg(F.count("*").alias("n"), F.round(100 * F.avg((F.col("top_score") == 0).cast("double")), 6).alias("empty"), F.median(F.when(F.col("top_score") > 0, F.col("top_score"))).alias("median_top_score"))
     return mid.crossJoin(F.broadcast(p90))
 
 

@@ -104,9 +104,9 @@ def _(spark, d):
     return se.weighted_postings(sec, se.postings(sec)).select("term", "id", F.round("w", 6).alias("w"))
 
 
-@query("sr13_ranked_hits", f"WITH {RANKED} SELECT query_id, id, round(score, 4) AS score, position FROM ranked WHERE position <= 10")
+@query("sr13_ranked_hits", f"WITH {RANKED} SELECT query_id, id, score, position FROM ranked WHERE position <= 10")
 def _(spark, d):
-    return ranked(spark, d).where("position <= 10").select("query_id", "id", F.round("score", 4).alias("score"), "position")
+    return ranked(spark, d).where("position <= 10").select("query_id", "id", "score", "position")
 
 
 @query("sr20_topic_terms", f"WITH {POSTINGS}, {QUERIES}, dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term) SELECT query_id, arg_min(term, (coalesce(df, 0), term)) AS topic_term FROM qt LEFT JOIN dfs USING (term) WHERE content GROUP BY query_id")
@@ -143,9 +143,9 @@ def _(spark, d):
     return labels(spark, d).withColumn("also", F.array_join("also", ","))
 
 
-@query("ev1_results", f"WITH {RESULTS} SELECT query_id, target, position, target_position, target_rank, accuracy, round(ndcg, 6) AS ndcg, returned, round(top_score, 4) AS top_score FROM results")
+@query("ev1_results", f"WITH {RESULTS} SELECT query_id, target, position, target_position, target_rank, accuracy, round(ndcg, 6) AS ndcg, returned, top_score FROM results")
 def _(spark, d):
-    return results(spark, d).select("query_id", "target", "position", "target_position", "target_rank", "accuracy", F.round("ndcg", 6).alias("ndcg"), "returned", F.round("top_score", 4).alias("top_score"))
+    return results(spark, d).select("query_id", "target", "position", "target_position", "target_rank", "accuracy", F.round("ndcg", 6).alias("ndcg"), "returned", "top_score")
 
 
 @query("ev_quality_report", f"WITH {RESULTS} SELECT {METRICS} FROM results")
@@ -189,12 +189,12 @@ def _(spark, d):
 
 @query("ag11_restraint", f"""WITH {RANKED}, {LABELS}, neg AS (SELECT query_id, coalesce(max(score), 0.0) AS s FROM q LEFT JOIN ranked USING (query_id) WHERE query_id NOT IN (SELECT query_id FROM labels) GROUP BY query_id),
 pos AS (SELECT s, row_number() OVER (ORDER BY s, query_id) - 1 AS i, count(*) OVER () AS m FROM neg WHERE s > 0)
-SELECT (SELECT count(*) FROM neg) AS n, (SELECT round(100 * avg((s = 0)::INT), 6) FROM neg) AS empty, (SELECT round(median(s), 4) FROM neg WHERE s > 0) AS median_top_score, (SELECT round(max(s), 4) FROM pos WHERE i = floor(m * 0.9)) AS p90_top_score""")
+SELECT (SELECT count(*) FROM neg) AS n, (SELECT round(100 * avg((s = 0)::INT), 6) FROM neg) AS empty, (SELECT round(median(s), 5) FROM neg WHERE s > 0) AS median_top_score, (SELECT max(s) FROM pos WHERE i = floor(m * 0.9)) AS p90_top_score""")
 def _(spark, d):
     top = ranked(spark, d).groupBy("query_id").agg(F.max("score").alias("top_score"))
     neg = bench_queries(spark, d).join(labels(spark, d), "query_id", "left_anti").join(top, "query_id", "left").select("query_id", F.coalesce("top_score", F.lit(0.0)).alias("top_score"))
     r = ev.restraint_of(neg)
-    return r.select("n", "empty", F.round("median_top_score", 4).alias("median_top_score"), F.round("p90_top_score", 4).alias("p90_top_score"))
+    return r.select("n", "empty", F.round("median_top_score", 5).alias("median_top_score"), "p90_top_score")
 
 
 @query("ag12_label_fingerprint", f"WITH {QUERIES}, {LABELS} SELECT substr(sha256(string_agg(line, chr(10) ORDER BY line)), 1, 12) AS fingerprint, count(*) AS n FROM (SELECT query || chr(9) || target || chr(9) || array_to_string(list_sort(also), ',') || chr(9) || topic || chr(9) || 'natural' AS line FROM labels JOIN q USING (query_id))")
