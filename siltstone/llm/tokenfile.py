@@ -25,7 +25,7 @@ END_ID = 2
 #: a worker. In them lower-casing, white space and letters mean the same to this pattern and to the tokenizer file's.
 _PLAIN = re.compile("[\t\n\v\f\r -~À-ÖØ-öø-ÿ]*")
 _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-zß-öø-ÿ0-9]+")
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 250_000  # in each of two generations: words met again outlive those met once
 
 
 class Encoder:
@@ -39,13 +39,16 @@ class Encoder:
         self.width = 2 if self.tok.get_vocab_size() <= 65536 else 4
         self.kind = np.dtype("<u2" if self.width == 2 else "<u4")
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pieces = _splits_like_plain(self.tok)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut_up = [_PIECES.findall(t.lower()) if self.pieces and "<|" not in t and _PLAIN.fullmatch(t) else None for t in texts]
         if len(self.cache) > _CACHE_WORDS:
-            self.cache.clear()
-        new = list({w for ws in cut_up if ws for w in ws if w not in self.cache})
+            self.older, self.cache = self.cache, {}
+        new = set().union(*(ws for ws in cut_up if ws)).difference(self.cache)
+        self.cache.update({w: self.older[w] for w in new.intersection(self.older)})
+        new = list(new.difference(self.older))
         for w, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False)):
             self.cache[w] = np.array(e.ids, self.kind).tobytes()
         get = self.cache.__getitem__
