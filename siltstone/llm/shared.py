@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,7 +33,13 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     no recomputation, and joins see the true size."""
     spark = df.sparkSession
     path = fresh(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    # Nothing reads this job's shuffle files once the table is there; the session's own setting comes back afterwards.
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
