@@ -100,6 +100,16 @@ def _walks(parts: list[np.ndarray], begin: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def _values(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """One byte of the four letters from each place on."""
+    padded = np.concatenate([codes, np.zeros(3, np.uint32)]).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        v = padded[at]
+        for j in (1, 2, 3):
+            v = v * np.uint64(0x100000001B3) + padded[at + j]
+    return (_mix(v) & np.uint64(0xFF)).astype(np.uint8)
+
+
 def _sketch(codes: np.ndarray, clock: np.ndarray) -> str:
     """Ticks of the whole walk (8 hex digits), then one byte for each sampled tick."""
     total = int(clock[-1])
@@ -107,12 +117,25 @@ def _sketch(codes: np.ndarray, clock: np.ndarray) -> str:
         return "00000000"
     ticks = sample_ticks(total)
     at = np.searchsorted(clock, ticks, side="right") - 1
-    padded = np.concatenate([codes, np.zeros(3, np.uint32)]).astype(np.uint64)
-    with np.errstate(over="ignore"):
-        v = padded[at]
-        for j in (1, 2, 3):
-            v = v * np.uint64(0x100000001B3) + padded[at + j]
-    return f"{total:08x}" + (_mix(v) & np.uint64(0xFF)).astype(np.uint8).tobytes().hex()
+    return f"{total:08x}" + _values(codes, at).tobytes().hex()
+
+
+def grids(codes: np.ndarray, clock: np.ndarray) -> list[tuple[int, int, bytes]]:
+    """(level, ticks inside, SAMPLES values) on the fixed ticks of the walk's level and of the level it would have a quarter longer.
+
+    Two walks whose lengths differ by a quarter or less share a level, and there their values stand at the same places. Values inside are
+    never 0, ticks beyond the walk are.
+    """
+    total = int(clock[-1])
+    if not len(codes):
+        return []
+    out = []
+    for level in sorted({max(7, int(x - 1).bit_length()) for x in (total, total + total // 4)}):
+        ticks = sample_ticks(1 << level)
+        inside = ticks < total
+        at = np.where(inside, np.searchsorted(clock, ticks, side="right") - 1, 0)
+        out.append((level, int(inside.sum()), (np.maximum(_values(codes, at), 1) * inside).astype(np.uint8).tobytes()))
+    return out
 
 
 def likeness(a: str, b: str) -> float:
@@ -138,8 +161,8 @@ def fingerprint_batch(texts: list[str]) -> list[str]:
     return [_sketch(c, k) for c, k in zip(codes, clocks)]
 
 
-def _with_edits(texts: list[str]) -> tuple[list[str], list[str], list[str]]:
-    """For all but the last text: fingerprints, edited texts, their fingerprints; the last only lends its letters.
+def _with_edits(texts: list[str]):
+    """For all but the last text: fingerprints, edited texts, their fingerprints, grids; the last only lends its letters.
 
     An edited text begins like its own, so its walk goes on from the clock at the cut.
     """
@@ -156,7 +179,8 @@ def _with_edits(texts: list[str]) -> tuple[list[str], list[str], list[str]]:
     more = _walks(tails, np.array(begin, np.int64))
     fps = [_sketch(c, k) for c, k in zip(codes, clocks)]
     efps = [_sketch(e, np.concatenate([clocks[i][: len(e) - len(tails[i])], more[i]])) for i, e in enumerate(edited)]
-    return fps, [e.tobytes().decode("utf-32-le", "surrogatepass") for e in edited], efps
+    grid = [[{"level": a, "n": m, "v": v} for a, m, v in grids(codes[i], clocks[i])] for i in range(n)]
+    return fps, [e.tobytes().decode("utf-32-le", "surrogatepass") for e in edited], efps, grid
 
 
 def _ranges(docs: DataFrame, parts: int):
@@ -167,7 +191,7 @@ def _ranges(docs: DataFrame, parts: int):
 
 
 def fingerprint_report(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for each row.
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, grids) for each row.
 
     The next document is the one with the next smaller doc_id (null last); after the last comes the first. Null text counts as empty. Rows
     that share an id follow each other in the order of their text. A single row is its own next.
@@ -199,7 +223,7 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
 
         def flush(last: str):
             keys, texts = [k for k, _ in held], [t for _, t in held]
-            fps, edited, efps = _with_edits([*texts, last])
+            fps, edited, efps, grid = _with_edits([*texts, last])
             null = -(2**63)
             return pa.RecordBatch.from_arrays(
                 [
@@ -210,8 +234,9 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
                     pa.array(efps),
                     pa.array([likeness(a, b) for a, b in zip(fps, efps)], pa.float64()),
                     pa.array([likeness(a, b) for a, b in zip(fps, fps[1:])], pa.float64()),
+                    pa.array(grid, pa.list_(pa.struct([("level", pa.int32()), ("n", pa.int32()), ("v", pa.binary())]))),
                 ],
-                names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+                names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "grids"],
             )
 
         for b in batches:
@@ -229,47 +254,64 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
         if held:
             raise RuntimeError("a part ended without the row lent to it")
 
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, grids array<struct<level:int,n:int,v:binary>>"
     return both.mapInArrow(run, schema)
 
 
+_LONGS = SAMPLES // 8
+
+
+def _near():
+    """Whether the grids of a (na, a0...) and b (nb, b0...) agree in NEAR of the ticks that the longer walk takes; ticks beyond both are equal and do not count."""
+    # The bits of each byte are or-ed into its lowest, which then tells whether the bytes differ.
+    masks = (("4", "1085102592571150095L"), ("2", "217020518514230019L"), ("1", "72340172838076673L"))
+
+    def differing(i: int) -> str:
+        x = f"(a{i} ^ b{i})"
+        for shift, mask in masks:
+            x = f"(({x} | shiftrightunsigned({x}, {shift})) & {mask})"
+        return f"bit_count({x})"
+
+    differ = " + ".join(map(differing, range(_LONGS)))
+    return F.expr(f"greatest(na, nb) - ({differ}) >= {NEAR} * greatest(na, nb)")
+
+
 def near_classes(fps: DataFrame) -> DataFrame:
-    """fps (doc_id, fingerprint) -> (fingerprint, class_id): linked by a likeness of NEAR or more, found through equal bands.
+    """fps (doc_id, fingerprint, grids) -> (fingerprint, class_id): linked by grids that agree in NEAR or more, found through equal bands.
 
-    Equal fingerprints are one class, named by the smallest id. Each band hashes BAND_ROWS sampled values; one leader of each band is linked first,
-    then every other pair that shares a band and is not connected yet is verified.
+    Equal fingerprints are one class, named by the smallest id. Each band hashes BAND_ROWS values of one level's grid. One leader of each band is linked first,
+    then every other pair that shares a band and is not connected yet; the join condition verifies, so only true links leave a join.
     """
-    classes = cut(fps.groupBy("fingerprint").agg(F.min(row_key()).alias("id")).where(F.length("fingerprint") > 8), "edit-classes")
+    classes = cut(fps.where(F.size("grids") > 0).groupBy("fingerprint").agg(F.min(row_key()).alias("id"), F.first("grids").alias("grids")), "edit-classes")
+    flat = classes.select("id", F.explode("grids").alias("g")).select("id", "g.level", "g.n", "g.v")
 
     def bands(batches):
         for b in batches:
-            ids, keys = [], []
-            for i, fp in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                v = bytes.fromhex(fp[8:])
+            ids, levels, keys = [], [], []
+            for i, level, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 for j in range(BANDS):
                     part = v[j * BAND_ROWS : (j + 1) * BAND_ROWS]
-                    if part:
+                    if any(part):
                         ids.append(i)
-                        keys.append(int.from_bytes(hashlib.blake2b(bytes([j, len(part)]) + part, digest_size=8).digest(), "little", signed=True))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64())], names=["id", "key"])
-
-    buckets = classes.select("id", "fingerprint").mapInArrow(bands, "id long, key long")
-    full = buckets.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("lead")).where("c > 1")
-    buckets = cut(buckets.join(full.hint("merge"), "key").select("key", "id", "lead"), "edit-bands")
-
-    def verify(batches):
-        for b in batches:
-            ok = [likeness(x, y) >= NEAR for x, y in zip(b.column("fa").to_pylist(), b.column("fb").to_pylist())]
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    def verified(pairs):
-        one, two = classes.toDF("fa", "a"), classes.toDF("fb", "b")
-        return pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "fa", "fb").mapInArrow(verify, "a long, b long")
-
-    stars = cut(verified(buckets.where("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()), "edit-stars")
+                        levels.append(level)
+                        keys.append(int.from_bytes(hashlib.blake2b(bytes([level, j]) + part, digest_size=8).digest(), "little", signed=True))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(levels, pa.int32()), pa.array(keys, pa.int64())], names=["id", "level", "key"])
+
+    keys = cut(flat.select("id", "level", "v").mapInArrow(bands, "id long, level int, key long"), "edit-bands")
+    full = keys.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("lead")).where("c > 1").select("key", "lead")
+    longs = [F.conv(F.hex(F.substring("v", 8 * i + 1, 8)), 16, -10).cast("long").alias(f"v{i}") for i in range(_LONGS)]
+    rows = flat.select("id", "level", "n", *longs)
+    shared = cut(keys.join(full.hint("merge"), "key").join(rows.hint("merge"), ["id", "level"]), "edit-shared")
+
+    def side(df, c, *more):
+        return df.select("key", F.col("id").alias(c), F.col("n").alias(f"n{c}"), *[F.col(f"v{i}").alias(f"{c}{i}") for i in range(_LONGS)], *more)
+
+    one = side(shared.where("id <> lead"), "a")
+    lead = side(shared.where("id = lead"), "b").dropDuplicates(["key"])
+    stars = cut(one.join(lead.hint("merge"), (one["key"] == lead["key"]) & _near()).select("a", "b").distinct(), "edit-stars")
     comps = connected_components(stars)
-    known = cut(buckets.select("key", "id").join(comps.hint("merge"), "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("comp")), "edit-known")
-    x, y = known.toDF("key", "a", "ca"), known.toDF("key", "b", "cb")
-    rest = x.hint("merge").join(y, (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))).select("a", "b").distinct()
-    comps = connected_components(stars.unionByName(verified(rest)))
+    known = cut(shared.join(comps.hint("merge"), "id", "left").withColumn("comp", F.coalesce("component_id", "id")).drop("component_id", "lead"), "edit-known")
+    x, y = side(known, "a", F.col("comp").alias("ca")), side(known, "b", F.col("comp").alias("cb"))
+    rest = x.hint("merge").join(y, (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _near()).select("a", "b").distinct()
+    comps = connected_components(stars.unionByName(rest))
     return classes.join(comps.hint("merge"), "id", "left").select("fingerprint", F.coalesce("component_id", "id").alias("class_id"))

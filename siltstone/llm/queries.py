@@ -41,8 +41,8 @@ def op5_edit_fingerprints(spark, sf_dir):
     from .shared import cut
 
     rows = cut(fingerprint_report(_table(spark, sf_dir, "documents")), "edit-fps")
-    classes = near_classes(rows.select("doc_id", "fingerprint"))
-    return rows.join(classes.hint("merge"), "fingerprint", "left")
+    classes = near_classes(rows.select("doc_id", "fingerprint", "grids"))
+    return rows.drop("grids").join(classes.hint("merge"), "fingerprint", "left")
 
 
 def op6_pii(spark, sf_dir):

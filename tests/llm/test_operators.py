@@ -322,17 +322,24 @@ def test_edit_walk_follows_edits():
 
 
 def test_edit_classes(spark, docs):
-    fps = editfp.fingerprint_report(docs).select("doc_id", "fingerprint")
+    fps = editfp.fingerprint_report(docs).select("doc_id", "fingerprint", "grids")
     got = {r["fingerprint"]: r["class_id"] for r in editfp.near_classes(fps).collect()}
-    first = {}
+    first, grid = {}, {}
     for r in fps.collect():
-        if len(r["fingerprint"]) > 8:
+        if r["grids"]:
             first.setdefault(r["fingerprint"], []).append(r["doc_id"])
+            grid[r["fingerprint"]] = {g["level"]: (g["n"], bytes(g["v"])) for g in r["grids"]}
     names = {f: min(v, key=order) for f, v in first.items()}
-    band = lambda f: {(j, len(p), p) for j in range(editfp.BANDS) if (p := bytes.fromhex(f[8:])[j * editfp.BAND_ROWS : (j + 1) * editfp.BAND_ROWS])}
-    bands = {f: band(f) for f in first}
-    link = [(a, b) for a, b in combinations(first, 2) if bands[a] & bands[b] and editfp.likeness(a, b) >= editfp.NEAR]
-    comp = components(first, link)
+
+    def linked(a, b):
+        for level in grid[a].keys() & grid[b].keys():
+            (n, v), (m, w) = grid[a][level], grid[b][level]
+            band = any(any(v[s : s + editfp.BAND_ROWS]) and v[s : s + editfp.BAND_ROWS] == w[s : s + editfp.BAND_ROWS] for s in range(0, editfp.BANDS * editfp.BAND_ROWS, editfp.BAND_ROWS))
+            if band and sum(x == y for x, y in zip(v, w) if x or y) >= editfp.NEAR * max(n, m):
+                return True
+        return False
+
+    comp = components(first, [(a, b) for a, b in combinations(first, 2) if linked(a, b)])
     low = defaultdict(list)
     for f, c in comp.items():
         low[c].append(names[f])
