@@ -67,10 +67,10 @@ class ItemIndex:
                 anchors[n][h].add((len(w), o))
         self.anchors = {n: (np.array(sorted(a), np.uint64), {h: sorted(v) for h, v in a.items()}) for n, a in anchors.items()}
 
-    def near(self, words: list[str]) -> set[int]:
-        """Positions of the items of this size whose fingerprints are within RADIUS bits."""
+    def near(self, words: list[str], size: int) -> set[int]:
+        """Positions of the items of size words whose fingerprints are within RADIUS bits; a window of a short text has fewer words than that."""
         fp = word_fingerprint(" ".join(words))
-        found = {i for j in range(BLOCKS) for i in self.blocks.get((len(words), j, (fp >> (8 * j)) & 0xFF), ())}
+        found = {i for j in range(BLOCKS) for i in self.blocks.get((size, j, (fp >> (8 * j)) & 0xFF), ())}
         return {i for i in found if ((fp ^ self.items[i][2]) & (2**64 - 1)).bit_count() <= RADIUS}
 
     def matches(self, text: str | None):
@@ -95,7 +95,7 @@ class ItemIndex:
         best: dict[int, tuple[float, int, int]] = {}
         for s, size in sorted(starts):
             window = words[s : s + size]
-            for i in self.near(window):
+            for i in self.near(window, size):
                 sim = similarity(window, self.items[i][1])
                 if sim >= SIMILARITY - 1e-9 and sim > best.get(self.items[i][0], (0,))[0]:
                     best[self.items[i][0]] = (sim, s, len(window))
