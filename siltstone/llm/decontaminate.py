@@ -1,15 +1,17 @@
-"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact verification.
-
-A window has as many words as the item it may copy. Windows are taken where a document shares a shingle with
-an item of that size, at the item's own offset: a window that shares none has similarity 0, so none is missed.
-The fingerprint of each window (words, weighted 1 + ln count) is looked up in BLOCKS byte-wide tables of the
-fingerprints of all items of its size. BLOCKS = RADIUS + 1 blocks leave at least one equal block between any
-two fingerprints within RADIUS bits. Candidates within the radius are verified by the weighted Jaccard
-similarity of their multisets of 5-word shingles.
+"""Benchmark decontamination: item-sized windows, a prefix filter over shingles, exact verification.
+
+A window has as many words as the item it may copy; a text with fewer words is one window. Similarity is the weighted
+Jaccard similarity of the multisets of 5-word shingles. At SIMILARITY a window holds so many of an item's shingles that
+it holds one of any set of a fifth of them, so an item is looked up by its rarest fifth alone (the prefix) and no copy
+is lost. Around such a hit every window is counted as it slides, and the best one is verified on its words.
+
+SimHash does not decide: windows that lose an item's beginning or end lie up to 13 bits and more from it at a
+similarity of 0.8, so a radius either loses them or proposes nearly everything.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -22,6 +24,7 @@ from .shared import row_key
 from .simhash import word_fingerprint
 
 SHINGLE, SIMILARITY = 5, 0.8
+#: Bits and byte blocks of a lookup by the items' fingerprints; matches() does not rely on it.
 RADIUS, BLOCKS = 7, 8
 #: Words of benchmark text that one pass over the documents broadcasts at most; a larger benchmark takes more passes.
 PASS_WORDS = 2_000_000
@@ -48,7 +51,7 @@ def similarity(a: list[str], b: list[str]) -> float:
 
 
 class ItemIndex:
-    """Items by id, the shingles that anchor windows, and block tables of fingerprints by window size."""
+    """Items (id, words, fingerprint), the shingles of each, and the items to look at for each shingle of a prefix."""
 
     def __init__(self, items: list[tuple[int, list[str]]]):
         self.items = [(i, w, word_fingerprint(" ".join(w))) for i, w in items if w]
@@ -56,52 +59,84 @@ class ItemIndex:
         for _, w, _ in self.items:
             for x in w:
                 self.vocab.setdefault(x, len(self.vocab) + 1)
-        self.blocks: dict[tuple, list[int]] = defaultdict(list)
-        anchors: dict[int, dict[int, set]] = defaultdict(lambda: defaultdict(set))
-        for at, (_, w, fp) in enumerate(self.items):
-            for j in range(BLOCKS):
-                self.blocks[len(w), j, (fp >> (8 * j)) & 0xFF].append(at)
+        self.shingles: list[tuple[int, np.ndarray, np.ndarray]] = []
+        for _, w, _ in self.items:
             n = min(SHINGLE, len(w))
-            ids = np.array([self.vocab[x] for x in w], np.uint64)
-            for o, h in enumerate(rolled(ids, n).tolist()):
-                anchors[n][h].add((len(w), o))
-        self.anchors = {n: (np.array(sorted(a), np.uint64), {h: sorted(v) for h, v in a.items()}) for n, a in anchors.items()}
-
-    def near(self, words: list[str], size: int) -> set[int]:
-        """Positions of the items of size words whose fingerprints are within RADIUS bits; a window of a short text has fewer words than that."""
-        fp = word_fingerprint(" ".join(words))
-        found = {i for j in range(BLOCKS) for i in self.blocks.get((size, j, (fp >> (8 * j)) & 0xFF), ())}
-        return {i for i in found if ((fp ^ self.items[i][2]) & (2**64 - 1)).bit_count() <= RADIUS}
+            self.shingles.append((n, *np.unique(rolled(np.array([self.vocab[x] for x in w], np.uint64), n), return_counts=True)))
+        held: dict[int, Counter] = defaultdict(Counter)
+        for n, h, _ in self.shingles:
+            held[n].update(h.tolist())
+        anchors: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
+        for at, (n, h, c) in enumerate(self.shingles):
+            rare = np.lexsort((h, [held[n][x] for x in h.tolist()]))
+            # A window may lack the shingles of total - needed places, so one of any more is in it.
+            total = int(c.sum())
+            needed = math.ceil((SIMILARITY - 1e-9) * total)
+            size = int(np.searchsorted(np.cumsum(c[rare]), total - needed + 1)) + 1
+            for x in h[rare[:size]].tolist():
+                anchors[n][x].append(at)
+        self.anchors = {n: (np.array(sorted(a), np.uint64), dict(a)) for n, a in anchors.items()}
+
+    def _windows(self, at: int, h: np.ndarray, n_words: int, hits: list[int]):
+        """(shared shingles, first word) of each window of item at that may hold a hit and reaches SIMILARITY, in order; h: the text's shingles."""
+        n, known, c = self.shingles[at]
+        total, size = int(c.sum()), len(self.items[at][1])
+        width, last = min(size, n_words) - n + 1, max(n_words - size, 0)
+        room, done = c.tolist(), -1
+        for p in hits:
+            lo, hi = max(p - width + 1, done + 1, 0), min(p, last)
+            if lo > hi:
+                continue
+            done = hi
+            part = h[lo : hi + width]
+            slot = np.minimum(np.searchsorted(known, part), len(known) - 1)
+            slot = np.where(known[slot] == part, slot, -1)
+            most = np.cumsum(np.append(0, slot >= 0))
+            if not _enough((most[width:] - most[:-width]).max(), total, width):
+                continue
+            slot, have, both = slot.tolist(), [0] * len(known), 0
+            for i, x in enumerate(slot):
+                if x >= 0:
+                    both += have[x] < room[x]
+                    have[x] += 1
+                if i >= width and (y := slot[i - width]) >= 0:
+                    have[y] -= 1
+                    both -= have[y] < room[y]
+                if i >= width - 1 and _enough(both, total, width):
+                    yield both, lo + i - width + 1
 
     def matches(self, text: str | None):
         """The best window of each item at SIMILARITY or more: (item id, similarity, first word, words)."""
         words = words_of(text)
         get = self.vocab.get
         ids = np.array([get(w, 0) for w in words], np.uint64)
-        starts: set[tuple[int, int]] = set()
+        best: dict[int, tuple[float, int, int]] = {}
         for n, (known, where) in self.anchors.items():
             if len(words) < n:
                 continue
             h = rolled(ids, n)
-            inside = np.convolve(ids == 0, np.ones(n, np.int32), "valid") == 0
-            p = np.flatnonzero(inside)
-            hp = h[p]
-            hit = known[np.minimum(np.searchsorted(known, hp), len(known) - 1)] == hp
-            for at, x in zip(p[hit].tolist(), hp[hit].tolist()):
-                for size, o in where[x]:
-                    # a window may lie over the text's edge by what an edit has moved
-                    s = min(max(at - o, 0), max(len(words) - size, 0))
-                    starts.add((s, size))
-        best: dict[int, tuple[float, int, int]] = {}
-        for s, size in sorted(starts):
-            window = words[s : s + size]
-            for i in self.near(window, size):
-                sim = similarity(window, self.items[i][1])
-                if sim >= SIMILARITY - 1e-9 and sim > best.get(self.items[i][0], (0,))[0]:
-                    best[self.items[i][0]] = (sim, s, len(window))
+            hit = np.flatnonzero(known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h)
+            hits: dict[int, list[int]] = defaultdict(list)
+            for p, x in zip(hit.tolist(), h[hit].tolist()):
+                for at in where[x]:
+                    hits[at].append(p)
+            for at in sorted(hits):
+                item, w, _ = self.items[at]
+                top = max(self._windows(at, h, len(words), hits[at]), key=lambda x: (x[0], -x[1]), default=None)
+                if top is None:
+                    continue
+                window = words[top[1] : top[1] + len(w)]
+                sim = similarity(window, w)
+                was = best.get(item, (0, 0))
+                if sim >= SIMILARITY - 1e-9 and (sim, -top[1]) > (was[0], -was[1]):
+                    best[item] = (sim, top[1], len(window))
         return [(i, *v) for i, v in sorted(best.items())]
 
 
+def _enough(both, total: int, width: int) -> bool:
+    return both >= (SIMILARITY - 1e-9) * (total + width - both)
+
+
 def rolled(ids: np.ndarray, n: int) -> np.ndarray:
     """A hash of each n consecutive ids (wrapping 64-bit arithmetic)."""
     out = np.zeros(max(0, len(ids) - n + 1), np.uint64)

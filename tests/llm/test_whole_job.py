@@ -17,3 +17,24 @@ def test_items_without_their_ends_are_found_as_whole_documents(bench_items):
     ix = decontaminate.ItemIndex(bench_items)
     got = [any(m[0] == i for m in ix.matches(" ".join(w[:-1]))) for i, w in bench_items if decontaminate.similarity(w[:-1], w) >= 0.8]
     assert got and np.mean(got) > 0.9
+
+
+def test_every_window_at_the_similarity_is_found(bench_items):
+    """Items that lose words at an end or within, amid other words, against all windows of all items."""
+    ix = decontaminate.ItemIndex(bench_items)
+    rng = np.random.default_rng(2)
+    other = [f"o{i}" for i in range(40)]
+    found = 0
+    for n, (_, w) in enumerate(bench_items[:40]):
+        cut = int(rng.integers(1, 5))
+        at = int(rng.integers(5, len(w) - 5))
+        for body in (w[:-cut], w[cut:], w[:at] + other[:cut] + w[at:], w[2:at] + other[:cut] + w[at:-1], w + w):
+            for words in (body, other[:20] + body + other[20:]):
+                want = {}
+                for i, x in bench_items:
+                    sims = [decontaminate.similarity(words[s : s + len(x)], x) for s in range(max(1, len(words) - len(x) + 1))]
+                    if max(sims) >= 0.8:
+                        want[i] = (round(max(sims), 6), sims.index(max(sims)))
+                found += len(want)
+                assert {m[0]: (round(m[1], 6), m[2]) for m in ix.matches(" ".join(words))} == want
+    assert found > 100
