@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,20 +30,23 @@ def anchor_table(pages: DataFrame) -> DataFrame:
     return pages.select("url", F.explode(anchors("html")).alias("id")).distinct()
 
 
-def reachable(edge: DataFrame, seeds: DataFrame, stop=None, max_depth: int = 50, checkpoint=None) -> DataFrame:
+def reachable(edge: DataFrame, seeds: DataFrame, stop=None, max_depth: int | None = None, checkpoint=None) -> DataFrame:
     """(node, depth): pages reached from seeds (node) over edge (src, dst), breadth first. Pages for which stop holds are reached but not followed.
 
-    Each level joins the frontier with the edges and leaves out what is known. checkpoint (a function of a DataFrame) ends the lineage of each level.
+    Each level joins the frontier with the edges and leaves out what is known, until no page is new. A crawl that would go past max_depth,
+    where it is given, raises an error. checkpoint (a function of a DataFrame) ends the lineage of each level.
     """
     save = checkpoint or (lambda d: d.checkpoint())
     seen = save(seeds.select("node", F.lit(0).alias("depth")).distinct())
     front = seen
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1):
         go = front if stop is None else front.where(~stop)
         new = go.join(edge, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
         front = save(new.join(seen.select("node"), "node", "left_anti").select("node", F.lit(depth).alias("depth")))
         if front.isEmpty():
             break
+        if max_depth is not None and depth > max_depth:
+            raise RuntimeError(f"pages lie deeper than max_depth = {max_depth}")
         seen = save(seen.unionByName(front))
     return seen
 

@@ -118,7 +118,7 @@ def _(spark, d):
         import tempfile
 
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="siltstone-cp-"))
-    return g.reachable(page_edges(spark, d), spark.createDataFrame([(0,)], "node long"), max_depth=12)
+    return g.reachable(page_edges(spark, d), spark.createDataFrame([(0,)], "node long"))
 
 
 @query("gr3_redirect_chains", """WITH h AS (SELECT page_id AS s, page_id - 1 AS t FROM pages WHERE page_id % 10 <> 0), x AS (SELECT page_id AS url, least(page_id % 10, 6) AS n FROM pages) SELECT url, url - n AS final, CAST(n AS INT) AS n_hops, CASE WHEN url % 10 > 6 THEN 'too many redirects' END AS problem FROM x""")
