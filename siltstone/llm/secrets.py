@@ -23,7 +23,12 @@ _VALUE = r"^" + _NAME + r"[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)$"
 ACCESS = r"AKIA[A-Z0-9]{12,}+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}+"
 # Weak parts and endpoints.
-WEAK = r"(?<![A-Za-z0-9+/=_.-])(?=[A-Za-z0-9+/_-]{0,63}[0-9])(?=[A-Za-z0-9+/_-]{0,63}[A-Z])(?=[A-Za-z0-9+/_-]{0,63}[a-z])[A-Za-z0-9+/_-]{20,64}+={0,2}(?![A-Za-z0-9+/=_-])"
+# A weak token has 20 characters or more, of any length, or is a dotted one (a signed token) with such a part; digit, capital and small letter may
+# stand anywhere in it. Dotted tokens have no slash, so hosts and paths of URLs are none. Possessive repeats keep the scan linear.
+_PLAIN = r"(?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[A-Z])(?=[A-Z0-9+/_-]*+[a-z])[A-Za-z0-9+/_-]{20,}+"
+_HOLDS = "".join(rf"(?=[{rest}]*+(?:\.[{rest}]++)*+\.?+[{one}])" for rest, one in (("A-Za-z_-", "0-9"), ("a-z0-9_-", "A-Z"), ("A-Z0-9_-", "a-z")))
+_DOTTED = _HOLDS + r"(?=(?:[A-Za-z0-9_-]{1,19}+\.)*+[A-Za-z0-9_-]{20})[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]++)++"
+WEAK = rf"(?<![A-Za-z0-9+/=_.-])(?:{_DOTTED}|{_PLAIN})={{0,2}}(?![A-Za-z0-9+/=_-])"
 ENDPOINT = r"(?:https?|amqps?|postgres(?:ql)?|mysql|redis|mongodb|ftp)://[^\s\"'<>]{1,200}+"
 
 

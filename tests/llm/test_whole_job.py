@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from siltstone.llm import decontaminate
+from siltstone.llm import decontaminate, secrets
 
 
 @pytest.fixture(scope="module")
@@ -38,3 +38,16 @@ def test_every_window_at_the_similarity_is_found(bench_items):
                 found += len(want)
                 assert {m[0]: (round(m[1], 6), m[2]) for m in ix.matches(" ".join(words))} == want
     assert found > 100
+
+
+def test_long_and_dotted_tokens_are_linked(spark):
+    part = "Zk3vQ9xYtR2mPq7LwB4n"
+    tokens = {
+        1: (part * 4)[:64], 2: (part * 4)[:65], 3: (part * 5)[:86] + "==", 4: "q" * 90 + "Q7", 5: f"ey{part}.ey{part}.{part * 3}", 6: f"SG.{part}.x",
+        7: "a1.B2.c3.d4.e5.f6.g7.h8", 8: "//Api9.example.com/" + part, 9: part * 5000, 10: ".".join([part] * 5000), 11: "q" * 90,
+    }
+    d = spark.createDataFrame([(i, f"see https://a.example with {t} here") for i, t in tokens.items()], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_linked"], r["spans"]) for r in secrets.secrets(d).collect()}
+    start = len("see https://a.example with ")
+    want = {i: (1, f"linked:{start}:{start + len(t)}") for i, t in tokens.items()} | dict.fromkeys((7, 8, 11), (0, ""))
+    assert got == want
