@@ -7,8 +7,9 @@ insertion. Both are groups in which the smallest position is all that is needed,
 millions of ways costs one row a line and never all pairs.
 
 Variants of every word would be as many keys as words, so a line first has to share half of itself: one edit
-leaves either the first or the last half of a line as it is. Only lines that share a half with another distinct
-line emit variants; a bitmap of fixed size tells the second scan which, and its false hits only add keys.
+leaves either the first or the last half of a line as it is. Of the lines of MIN_HALVES words or more only those that share
+a half with another distinct line emit variants; a bitmap of fixed size tells the second scan which, and its false hits only
+add keys. Shorter lines have few variants and always emit them.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ from pyspark.sql import functions as F
 
 from .shared import cut, row_key
 
-MIN_WORDS = 4  # shorter lines are never dropped
-MIN_NEAR = 8  # shorter lines are dropped only as exact repeats
+MIN_WORDS = 1  # blank lines are never dropped
+MIN_NEAR = 4  # shorter lines are dropped only as exact repeats
+MIN_HALVES = 8  # pairs of shorter lines are found without the halves filter
 MAP_BITS = 24  # words of 32 bits in the bitmap: 2 ** (MAP_BITS - 5)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
@@ -98,7 +100,7 @@ class _Lines:
             tag = (4 * h).astype(np.uint64) * _LEN
             out.append(self.pre[s + h] - self.pre[s] + tag)
             out.append((self.pre[s + n] - self.pre[s + n - h]) * inv[n - h] + tag + _LEN)
-        many = np.where(n < MIN_NEAR - 1, 0, np.where(n % 2 == 1, 2, 4))
+        many = np.where(n < MIN_HALVES - 1, 0, np.where(n % 2 == 1, 2, 4))
         keys = _mix(np.stack(out, 1))
         return keys[np.arange(4) < many[:, None]], many
 
@@ -159,7 +161,7 @@ def _occurrences(src: DataFrame) -> DataFrame:
 
 
 def _neighbourhood(src: DataFrame, bitmap) -> DataFrame:
-    """Lines in the bitmap with their keys: first the line itself, then its variants, then its variants with their position."""
+    """Short lines and lines in the bitmap with their keys: first the line itself, then its variants, then its variants with their position."""
 
     def run(batches):
         bits = bitmap.value
@@ -169,7 +171,8 @@ def _neighbourhood(src: DataFrame, bitmap) -> DataFrame:
                 with np.errstate(over="ignore"):
                     x = _Lines(texts)
                     slot = (x.h & np.uint64((1 << MAP_BITS) - 1)).astype(np.int64)
-                    at = np.flatnonzero((x.size >= MIN_NEAR - 1) & ((bits[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1).astype(bool))
+                    marked = ((bits[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1).astype(bool)
+                    at = np.flatnonzero((x.size >= MIN_NEAR - 1) & (marked | (x.size < MIN_HALVES)))
                     # Of a line that repeats within the chunk the earliest is sent.
                     at = at[np.lexsort((x.no[at], k[start + x.doc[at]]))]
                     at = at[np.unique(x.h[at], return_index=True)[1]]
@@ -245,7 +248,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     Lines are split at newlines and compared as lower-cased words. Of lines with MIN_WORDS words or more, one stays if
     it is the first of its equals (by doc_id, then line number) and no line within one edited word comes before
-    it; near lines need MIN_NEAR words in the longer one. Shorter and blank lines stay. A null text stays null with no
+    it; near lines need MIN_NEAR words in the longer one. Blank lines stay. A null text stays null with no
     lines; a null doc_id sorts first. Rows that share a doc_id hold the same positions: an equal line at an equal position
     stays in each of them. A document may be left empty but is kept.
     """

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from siltstone.llm import decontaminate, secrets
+from siltstone.llm import decontaminate, linededup, secrets
 
 
 @pytest.fixture(scope="module")
@@ -51,3 +51,23 @@ def test_long_and_dotted_tokens_are_linked(spark):
     start = len("see https://a.example with ")
     want = {i: (1, f"linked:{start}:{start + len(t)}") for i, t in tokens.items()} | dict.fromkeys((7, 8, 11), (0, ""))
     assert got == want
+
+
+def test_short_lines_are_deduplicated(spark):
+    """Exact repeats go at every length but blank ones; lines one word apart go from four words on."""
+    texts = ["Menu", "menu\n\n \nread more\na b c", "READ  more\n\na b d\na b c", "one two three four", "one two three five", "one two three", "one two zwei three four", "two three"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in linededup.line_report(d).collect()}
+    assert got == {0: "Menu", 1: "\n \nread more\na b c", 2: "\na b d", 3: "one two three four", 4: "", 5: "", 6: "", 7: "two three"}
+
+
+def test_lines_around_the_halves_limit(spark):
+    rows = []
+    for n in range(4, 11):
+        for kind in range(4):
+            w = [f"w{n}_{kind}_{i}" for i in range(n)]
+            other = [w[:-1], [*w[: n // 2], "x", *w[n // 2 :]], ["x", *w[1:]], [*w[:-1], "x"]][kind]
+            rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(other))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in linededup.line_report(d).collect()}
+    assert got == {i: "" if i % 2 else t for i, t in rows}
