@@ -1,9 +1,9 @@
 """Secret scans with multipart credential linking, from DataFrame functions only.
 
-Base matches stand for themselves. Weak candidates (bare random-looking tokens) are reported only if complementary parts, an
-access identifier or an endpoint, stand in the same scope: the same document within SCOPE code points. The interval join is an equi-join on
-document and bins of SCOPE code points; parts are first reduced to the least and greatest position of a bin, which
-answers the distance test exactly with at most three rows a candidate and kind.
+A credential has up to three parts: an access identifier, a secret and an endpoint. Base matches stand for themselves. Weak candidates (bare
+random-looking tokens) are reported only if complementary parts, an access identifier or an endpoint, stand in the same scope: the same document within
+SCOPE code points. Secrets of every kind (assignments, hex keys, weak candidates) are linked to their nearest access identifier and their nearest endpoint. The
+interval join is an equi-join on document and bins of SCOPE code points; spans do not overlap, so a bin holds at most SCOPE / 7 parts, whatever the document.
 """
 
 from __future__ import annotations
@@ -48,35 +48,49 @@ def _found(docs: DataFrame) -> DataFrame:
 
 
 def linked(found: DataFrame) -> DataFrame:
-    """(k, th, start, end) of weak candidates with an access identifier or an endpoint in scope, outside all base spans."""
-    spans = found.where((F.size("weak") > 0) & (F.size("access") + F.size("endpoint") > 0))
+    """(k, th, kind, start, end, access, endpoint): each secret with an access identifier or an endpoint in scope, and the nearest of each (of equally
+    near ones the first; null if there is none). Weak candidates (kind weak) that touch a base span are left out."""
+    spans = found.where((F.size("assign") + F.size("hex") + F.size("weak") > 0) & (F.size("access") + F.size("endpoint") > 0))
     base = F.concat(*KINDS)
     free = F.filter("weak", lambda w: ~F.exists(base, lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    weak = spans.select("k", "th", F.explode(free).alias("w")).select("k", "th", "w.start", "w.end").distinct()
-    weak = weak.withColumn("near", F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))).withColumn("bin", F.floor(F.col("start") / SCOPE) + F.col("near"))
+    every = F.concat(of_kind(F.col("assign"), "assign"), of_kind(F.col("hex"), "hex"), of_kind(free, "weak"))
+    own = spans.select("k", "th", F.explode(every).alias("s")).select("k", "th", "s.kind", "s.start", "s.end").distinct()
+    own = own.withColumn("bin", F.explode(F.array(*[F.floor(F.col("start") / SCOPE) + i for i in (-1, 0, 1)])))
     part = F.concat(of_kind(F.col("access"), "access"), of_kind(F.col("endpoint"), "endpoint"))
-    parts = spans.select("k", "th", F.explode(part).alias("p")).select("k", "th", F.floor(F.col("p.start") / SCOPE).alias("bin"), "p.start")
-    parts = parts.groupBy("k", "th", "bin").agg(F.min("start").alias("lo"), F.max("start").alias("hi"))
-    close = lambda c: F.abs(F.col(c) - F.col("start")) <= SCOPE
-    return weak.join(parts.hint("merge"), ["k", "th", "bin"]).where(close("lo") | close("hi")).select("k", "th", "start", "end").distinct()
+    parts = spans.select("k", "th", F.explode(part).alias("p")).select("k", "th", F.floor(F.col("p.start") / SCOPE).alias("bin"), "p").distinct()
+    far = F.abs(F.col("p.start") - F.col("start"))
+    both = own.join(parts.hint("merge"), ["k", "th", "bin"]).where(far <= SCOPE)
+    near = lambda kind: F.min(F.when(F.col("p.kind") == kind, F.struct(far.alias("far"), F.col("p.start"), F.col("p.end"))))
+    got = both.groupBy("k", "th", "kind", "start", "end").agg(near("access").alias("access"), near("endpoint").alias("endpoint"))
+    place = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(f"{c}.start"), F.col(f"{c}.end"))).alias(c)
+    return got.select("k", "th", "kind", "start", "end", place("access"), place("endpoint"))
+
+
+def _link(s):
+    """kind:start:end of a secret, its access identifier and its endpoint, joined by +."""
+    span = lambda kind, x: F.concat_ws(":", kind, x["start"].cast("string"), x["end"].cast("string"))
+    part = lambda c: F.when(s[c].isNotNull(), span(F.lit(c), s[c]))
+    return F.concat_ws("+", span(s["kind"], s), part("access"), part("endpoint"))
 
 
 def secrets(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_linked) for each row; null text counts as empty.
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_linked, n_links, links) for each row; null text counts as empty.
 
-    spans joins base spans and linked ones (kind linked) by start, then kind as listed. Rows that share an id and a text share their links.
+    spans joins base spans and linked weak candidates (kind linked, n_linked of them) by start, then kind as listed. links names the parts of each
+    credential: a secret with its nearest access identifier and endpoint in scope (kind:start:end joined by +), by start, comma-joined. Rows that share an id and a text share their links.
     """
     found = cut(_found(docs), "secrets-found")
-    extra = linked(found).groupBy("k", "th").agg(F.collect_list(F.struct("start", "end")).alias("linked"))  # at most a text's tokens
-    extra = cut(extra.toDF("lk", "lth", "linked"), "secrets-linked")
+    extra = linked(found).groupBy("k", "th").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind", "access", "endpoint"))).alias("links"))  # at most a text's tokens
+    extra = cut(extra.toDF("lk", "lth", "links"), "secrets-linked")
     df = found.join(extra.hint("merge"), (F.col("k") == F.col("lk")) & (F.col("th") == F.col("lth")), "left")
     # Sorting structs of start, rank and end gives the order asked for.
     rank = lambda c, r, kind: F.transform(c, lambda s: F.struct(s["start"].alias("start"), F.lit(r).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind")))
     ranked = [rank(c, r, c) for r, c in enumerate(KINDS)]
-    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    df = df.withColumn("base", F.array_sort(F.concat(*ranked))).withColumn("linked", F.coalesce("linked", none))
+    df = df.withColumn("base", F.array_sort(F.concat(*ranked))).withColumn("linked", F.filter("links", lambda s: s["kind"] == "weak"))
     every = F.when(F.size("linked") > 0, F.array_sort(F.concat("base", rank("linked", len(KINDS), "linked")))).otherwise(F.col("base"))
+    count = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
     return df.select(
         "doc_id", *[F.size(c).cast("long").alias(f"n_{c}") for c in KINDS], F.sha2(joined(F.col("base")), 256).alias("base_sha256"),
-        joined(every).alias("spans"), F.size("linked").cast("long").alias("n_linked"),
+        joined(every).alias("spans"), F.greatest(count("linked"), F.lit(0)).alias("n_linked"), F.greatest(count("links"), F.lit(0)).alias("n_links"),
+        F.coalesce(F.array_join(F.transform("links", _link), ","), F.lit("")).alias("links"),
     )
