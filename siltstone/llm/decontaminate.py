@@ -21,15 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import row_key
-from .simhash import word_fingerprint
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Bits and byte blocks of a lookup by the items' fingerprints; matches() does not rely on it.
-RADIUS, BLOCKS = 7, 8
-#: Words of benchmark text that one pass over the documents broadcasts at most; a larger benchmark takes more passes.
-PASS_WORDS = 2_000_000
-#: Longer items are cut into pieces of this many words.
-ITEM_WORDS = 2_000
+#: Characters of benchmark text that one pass over the documents broadcasts, besides its last item; a larger benchmark takes more passes.
+PASS_CHARS = 4_000_000
 _WORD = re.compile(r"\w+")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -51,16 +46,16 @@ def similarity(a: list[str], b: list[str]) -> float:
 
 
 class ItemIndex:
-    """Items (id, words, fingerprint), the shingles of each, and the items to look at for each shingle of a prefix."""
+    """Items (id, words), the shingles of each, and the items to look at for each shingle of a prefix."""
 
     def __init__(self, items: list[tuple[int, list[str]]]):
-        self.items = [(i, w, word_fingerprint(" ".join(w))) for i, w in items if w]
+        self.items = [(i, w) for i, w in items if w]
         self.vocab: dict[str, int] = {}
-        for _, w, _ in self.items:
+        for _, w in self.items:
             for x in w:
                 self.vocab.setdefault(x, len(self.vocab) + 1)
         self.shingles: list[tuple[int, np.ndarray, np.ndarray]] = []
-        for _, w, _ in self.items:
+        for _, w in self.items:
             n = min(SHINGLE, len(w))
             self.shingles.append((n, *np.unique(rolled(np.array([self.vocab[x] for x in w], np.uint64), n), return_counts=True)))
         held: dict[int, Counter] = defaultdict(Counter)
@@ -121,7 +116,7 @@ class ItemIndex:
                 for at in where[x]:
                     hits[at].append(p)
             for at in sorted(hits):
-                item, w, _ = self.items[at]
+                item, w = self.items[at]
                 top = max(self._windows(at, h, len(words), hits[at]), key=lambda x: (x[0], -x[1]), default=None)
                 if top is None:
                     continue
@@ -152,14 +147,11 @@ def _passes(bench: DataFrame):
     block, size = [], 0
     rows = bench.select(row_key("item_id").alias("item_id"), "text").where("text is not null").orderBy("item_id", "text")
     for i, text in rows.toLocalIterator(prefetchPartitions=False):
-        words = words_of(text)
-        for at in range(0, max(1, len(words)), ITEM_WORDS):
-            part = words[at : at + ITEM_WORDS]
-            if block and size + len(part) > PASS_WORDS:
-                yield block
-                block, size = [], 0
-            block.append((i, part))
-            size += len(part)
+        if block and size + len(text) > PASS_CHARS:
+            yield block
+            block, size = [], 0
+        block.append((i, words_of(text)))
+        size += len(text)
     if block:
         yield block
 
@@ -169,8 +161,7 @@ def contaminated(docs: DataFrame, bench: DataFrame) -> DataFrame:
 
     Words are runs of letters, digits and underscores in lower case; an item of fewer than five words is one
     shingle. Null or empty texts and items without words match nothing; a null id stays null. Repeated rows
-    give one result; of equal windows the first counts. Pieces of an item over ITEM_WORDS words count as
-    that item. Either table may be empty.
+    give one result; of equal windows the first counts. Items of any length are matched whole. Either table may be empty.
     """
     spark = docs.sparkSession
     null, schema = -(2**63), "doc_id long, item_id long, similarity double, first_word long, n_words long"

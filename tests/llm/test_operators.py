@@ -1,6 +1,7 @@
 """Each operator against a brute-force version on a small fixture with odd rows."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -54,7 +55,7 @@ def test_sentencepiece(docs, rows, empty):
 def test_rare_words_travel(docs, rows, monkeypatch):
     import sentencepiece
 
-    monkeypatch.setattr(pieces, "TOP_WORDS", 50)
+    monkeypatch.setattr(pieces, "TOP_PARTS", 50)
     path = public_tokenizers.path("piece_bpe_32k.model")
     lib = sentencepiece.SentencePieceProcessor(model_file=path)
     got = Counter((r["doc_id"], r["n_pieces"]) for r in pieces.encode(docs, path, with_ids=False).collect())
@@ -151,6 +152,33 @@ def test_links_need_a_part_in_scope(spark):
     assert {r["doc_id"]: r["n_linked"] for r in secrets.secrets(d).collect()} == {1: 0, 2: 0, 3: 1, 4: 1}
 
 
+def test_credentials_link_their_nearest_parts(spark):
+    rng = random.Random(3)
+    name = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    upper, every = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    make = (
+        lambda: "AKIA" + name(upper, 16), lambda: "aB3" + name(every, 25), lambda: "password = " + name(every, 9), lambda: "https://h.example/" + name(every, 4),
+        lambda: name("0123456789abcdef", 40), lambda: "words and words " * rng.randrange(1, 40), lambda: "é" * rng.randrange(1, 90),
+    )
+    texts = [" ".join(rng.choice(make)() for _ in range(rng.randrange(1, 40))) for _ in range(40)]
+    found = lambda pattern, t, ok=lambda m: True: [m.span() for m in re.finditer(pattern, t) if ok(m)]
+    want = {}
+    for i, t in enumerate(texts):
+        base = {"assign": found(secrets.ASSIGN, t, lambda m: len(re.search(secrets._VALUE, m[0])[1]) >= 8), "access": found(secrets.ACCESS, t), "hex": found(secrets.HEX, t)}
+        taken = [s for spans in base.values() for s in spans]
+        free = [w for w in found(secrets.WEAK, t) if not any(a < w[1] and w[0] < b for a, b in taken)]
+        rows = []
+        for kind, spans in (("assign", base["assign"]), ("hex", base["hex"]), ("weak", free)):
+            for s, e in spans:
+                near = [min(((abs(x[0] - s), x) for x in parts if abs(x[0] - s) <= secrets.SCOPE), default=None) for parts in (base["access"], found(secrets.ENDPOINT, t))]
+                if any(near):
+                    rows.append((s, e, "+".join([f"{kind}:{s}:{e}", *(f"{k}:{x[1][0]}:{x[1][1]}" for k, x in zip(("access", "endpoint"), near) if x)])))
+        want[i] = (",".join(r for _, _, r in sorted(rows)), sum(r.startswith("weak") for *_, r in rows))
+    d = spark.createDataFrame([*enumerate(texts), *enumerate(texts[:3])], "doc_id long, text string")
+    got = [(r["doc_id"], (r["links"], r["n_linked"])) for r in secrets.secrets(d).collect()]
+    assert len(got) == 43 and dict(got) == want and sum(n for _, n in want.values()) > 20
+
+
 def components(nodes, linked):
     top = {n: n for n in nodes}
 
@@ -283,14 +311,49 @@ def test_decontamination(spark, docs, small_dir, empty):
     assert {r["doc_id"] for r in decontaminate.decontaminate(d, bench).collect()} == {3, 4, 6, 7}
 
 
-def test_blocks_meet_within_radius():
-    ix = decontaminate.ItemIndex([(1, [f"w{i}" for i in range(30)])])
-    fp = ix.items[0][2]
-    for flips in ([0, 9, 18, 27, 36, 45, 54], [1, 2, 3, 4, 5, 6, 7]):
-        near = fp
-        for b in flips:
-            near ^= 1 << b
-        assert any((near >> (8 * j)) & 0xFF == (fp >> (8 * j)) & 0xFF for j in range(decontaminate.BLOCKS))
+def altered(words, rng, vocabulary):
+    """A copy of words with its ends cut, words replaced, or its halves swapped."""
+    n = len(words)
+    kind = rng.randrange(4)
+    if kind == 0:
+        return words[rng.randrange(n // 8 + 1) : n - rng.randrange(n // 8 + 1)]
+    if kind == 1:
+        return [rng.choice(vocabulary) if rng.random() < 0.03 else w for w in words]
+    if kind == 2:
+        return words[n // 2 :] + words[: n // 2]
+    return words[: n // 3] + [rng.choice(vocabulary)] + words[n // 3 :]
+
+
+def test_decontamination_finds_every_window():
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(400)]
+    items = [(i, [rng.choice(vocabulary) for _ in range(n)]) for i, n in enumerate([3, 5, 9, 10, 12, 15, 20, 30, 45, 60, 120, 300, 2001])]
+    items.append((len(items), items[6][1] + items[4][1]))
+    ix = decontaminate.ItemIndex(items)
+    found = 0
+    for size in range(len(items)):
+        for _ in range(2 if len(items[size][1]) > 1000 else 12):
+            around = [[rng.choice(vocabulary) for _ in range(rng.randrange(20))] for _ in range(2)]
+            ws = around[0] + altered(items[size][1], rng, vocabulary) + around[1]
+            got = {i: (round(sim, 9), first) for i, sim, first, _ in ix.matches(" ".join(ws))}
+            want = {}
+            for i, iw in items:
+                if len(iw) > 1000 and i != size:
+                    continue
+                best = max(((decontaminate.similarity(ws[s : s + len(iw)], iw), -s) for s in range(max(1, len(ws) - len(iw) + 1))), default=(0, 0))
+                if best[0] >= 0.8:
+                    want[i] = (round(best[0], 9), -best[1])
+            assert got == want
+            found += len(want)
+    assert found > 80
+
+
+def test_decontamination_takes_long_items_whole(spark):
+    rng = random.Random(5)
+    item = [rng.choice("abcdefgh") + str(rng.randrange(500)) for _ in range(2000)] + ["the"]
+    bench = spark.createDataFrame([(1, " ".join(item)), (1, " ".join(item)), (2, None)], "item_id long, text string")
+    d = spark.createDataFrame([(1, "the cat sat on a mat"), (2, " ".join(item[100:])), (2, " ".join(item[100:])), (3, "the")], "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(d, bench).collect()} == {(2, 1)}
 
 
 def test_edit_fingerprints(docs, rows, empty):
