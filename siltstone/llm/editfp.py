@@ -11,19 +11,30 @@ samples agree in their common part. Bands of sampled values then propose pairs,
 from __future__ import annotations
 
 import hashlib
+from itertools import accumulate
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, cut, row_key
+from .shared import connected_components, cross_pairs, cut, row_key, tree
 
 SAMPLES = 96
 BANDS, BAND_ROWS = 16, 5
 NEAR = 0.8
 _PERIOD = 4096  # of the shared bits
 _CLASSES = 256  # of letters
+_ABREAST = 48  # texts that array steps pay for
+LEADERS = 3
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(32))
 
 
 def _hold() -> np.ndarray:
@@ -37,14 +48,8 @@ def _hold() -> np.ndarray:
     return np.ascontiguousarray(out).ravel()
 
 
-_HOLD = _hold()
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(32))
+_HOLD = _hold().astype(np.int32)
+_HOLD_LIST = _HOLD.tolist()
 
 
 _samples: dict[int, np.ndarray] = {}
@@ -65,12 +70,25 @@ def sample_ticks(total: int) -> np.ndarray:
     return order[order < total][:SAMPLES]
 
 
+_CLASS_OF = (_mix(np.arange(0x110000, dtype=np.uint64)) & np.uint64(_CLASSES - 1)).astype(np.int32)
+
+
 def _letters(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 def _classes(codes: np.ndarray) -> np.ndarray:
-    return (_mix(codes.astype(np.uint64)) & np.uint64(_CLASSES - 1)).astype(np.int64)
+    return _CLASS_OF[codes]
+
+
+def _alone(classes: np.ndarray, clock: np.ndarray, first: int) -> None:
+    """Fill clock from place first on for one text: cheaper than array steps where few texts walk side by side."""
+    now, hold = int(clock[first]), _HOLD_LIST
+    for s in range(first, len(classes), 1 << 20):
+        steps = (classes[s : s + (1 << 20)] * _PERIOD).tolist()
+        way = list(accumulate(steps, lambda t, c: t + hold[c + (t & _PERIOD - 1)], initial=now))
+        clock[s + 1 : s + 1 + len(steps)] = way[1:]
+        now = way[-1]
 
 
 def _walks(parts: list[np.ndarray], begin: np.ndarray) -> list[np.ndarray]:
@@ -80,23 +98,29 @@ def _walks(parts: list[np.ndarray], begin: np.ndarray) -> list[np.ndarray]:
     s = 0
     while s < len(order):
         longest = len(parts[order[s]])
-        group = order[s : s + max(8, min(1024, 3_000_000 // (longest + 1)))]
+        group = order[s : s + max(1, min(1024, 3_000_000 // (longest + 1)))]
         s += len(group)
         sizes = np.array([len(parts[i]) for i in group])
-        grid = np.zeros((longest, len(group)), np.int32)
-        for col, i in enumerate(group):
-            grid[: sizes[col], col] = parts[i] * _PERIOD
-        clock = np.zeros((longest + 1, len(group)), np.int32)
-        clock[0] = now = begin[group].astype(np.int32)
         alive = np.searchsorted(-sizes, -np.arange(longest), side="left")  # parts longer than each position
-        hold, mask = _HOLD.astype(np.int32), _PERIOD - 1
-        for i in range(longest):
-            a = alive[i]
-            now = now[:a]
-            now = now + hold[grid[i, :a] + (now & mask)]
-            clock[i + 1, :a] = now
+        together = int(np.searchsorted(-alive, -(_ABREAST - 1), side="left"))  # places that many parts have
+        clock = np.zeros((together + 1, len(group)), np.int32)
+        clock[0] = now = begin[group].astype(np.int32)
+        if together:
+            grid = np.zeros((together, len(group)), np.int32)
+            for col, i in enumerate(group):
+                n = min(sizes[col], together)
+                grid[:n, col] = parts[i][:n] * _PERIOD
+            for i in range(together):
+                a = alive[i]
+                now = now[:a]
+                now = now + _HOLD[grid[i, :a] + (now & _PERIOD - 1)]
+                clock[i + 1, :a] = now
         for col, i in enumerate(group):
-            out[i] = clock[: sizes[col] + 1, col].copy()
+            n = min(int(sizes[col]), together)
+            out[i] = own = np.empty(sizes[col] + 1, np.int32)
+            own[: n + 1] = clock[: n + 1, col]
+            if n < sizes[col]:
+                _alone(parts[i], own, n)
     return out
 
 
@@ -184,10 +208,10 @@ def _with_edits(texts: list[str]):
 
 
 def _ranges(docs: DataFrame, parts: int):
-    """Bounds of ranges of k in descending order, and the largest k of each range (counts of ids only)."""
+    """Bounds of ranges of k in ascending order (counts of ids only)."""
     ids = docs.select(row_key().alias("k"))
     cuts = ids.agg(F.percentile_approx("k", [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0] or []
-    return sorted(set(cuts), reverse=True)
+    return np.array(sorted(set(cuts)), np.int64)
 
 
 def fingerprint_report(docs: DataFrame) -> DataFrame:
@@ -199,21 +223,18 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     bounds = _ranges(docs, parts)
+
+    @F.pandas_udf("int")
+    def part_of(k: pd.Series) -> pd.Series:
+        return pd.Series(len(bounds) - np.searchsorted(bounds, k.to_numpy(), side="right"))
+
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(row_key().alias("k"), text.alias("text"))
-    cut_at = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array().cast("array<long>")
-    # Part p holds bounds[p] <= k < bounds[p - 1].
-    part = F.size(F.filter(cut_at, lambda b: F.col("k") < b)).cast("int")
-    rows = rows.withColumn("part", part)
-    tops = rows.groupBy("part").agg(F.max("k").alias("top")).collect()  # one row a part
-    order = sorted((r["part"], r["top"]) for r in tops)
-    before = {p: order[i - 1][0] for i, (p, _) in enumerate(order)}
-    # The first row of each part is lent to the part before it, the very first to the last.
-    lend = F.when(F.lit(False), F.lit(0))
-    for p, top in order:
-        lend = lend.when((F.col("part") == p) & (F.col("k") == top), F.lit(before[p]))
-    tops_only = rows.where(lend.isNotNull())
-    lent = tops_only.groupBy("part", "k").agg(F.min("text").alias("text")).withColumn("to", lend)
+    rows = docs.select(row_key().alias("k"), text.alias("text")).withColumn("part", part_of("k"))
+    # The largest k of each part: one row a part. That row is lent to the part before it, the very first to the last.
+    tops = sorted(tuple(r) for r in docs.select(row_key().alias("k")).withColumn("part", part_of("k")).groupBy("part").agg(F.max("k")).collect())
+    lend = [(p, top, tops[i - 1][0]) for i, (p, top) in enumerate(tops)]
+    heads = F.broadcast(spark.createDataFrame(lend, "part int, k long, to int"))
+    lent = rows.join(heads, ["part", "k"]).groupBy("to", "k").agg(F.min("text").alias("text"))
     both = rows.select(F.col("part").alias("to"), "k", "text", F.lit(False).alias("lent")).unionByName(lent.select("to", "k", "text", F.lit(True).alias("lent")))
     both = both.repartitionByRange(parts, "to").sortWithinPartitions("to", "lent", F.desc("k"), "text")
 
@@ -261,26 +282,27 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
 _LONGS = SAMPLES // 8
 
 
-def _near():
-    """Whether the grids of a (na, a0...) and b (nb, b0...) agree in NEAR of the ticks that the longer walk takes; ticks beyond both are equal and do not count."""
-    # The bits of each byte are or-ed into its lowest, which then tells whether the bytes differ.
-    masks = (("4", "1085102592571150095L"), ("2", "217020518514230019L"), ("1", "72340172838076673L"))
+def _near(a: dict, b: dict):
+    """Whether the grids of two rows, given by the names of their columns n, v0, v1..., agree in NEAR of the ticks that the longer walk takes; ticks beyond both are
+    equal and do not count."""
+    # Each byte is folded to four bits, zero only if the bytes are equal; adding fifteen then carries into the fifth bit if they are not.
+    low, fifth = "1085102592571150095L", "1157442765409226768L"
 
     def differing(i: int) -> str:
-        x = f"(a{i} ^ b{i})"
-        for shift, mask in masks:
-            x = f"(({x} | shiftrightunsigned({x}, {shift})) & {mask})"
-        return f"bit_count({x})"
+        x = f"({a[f'v{i}']} ^ {b[f'v{i}']})"
+        return f"bit_count(((({x} | shiftrightunsigned({x}, 4)) & {low}) + {low}) & {fifth})"
 
     differ = " + ".join(map(differing, range(_LONGS)))
-    return F.expr(f"greatest(na, nb) - ({differ}) >= {NEAR} * greatest(na, nb)")
+    longer = f"greatest({a['n']}, {b['n']})"
+    return F.expr(f"{longer} - ({differ}) >= {NEAR} * {longer}")
 
 
 def near_classes(fps: DataFrame) -> DataFrame:
     """fps (doc_id, fingerprint, grids) -> (fingerprint, class_id): linked by grids that agree in NEAR or more, found through equal bands.
 
-    Equal fingerprints are one class, named by the smallest id. Each band hashes BAND_ROWS values of one level's grid. One leader of each band is linked first,
-    then every other pair that shares a band and is not connected yet; the join condition verifies, so only true links leave a join.
+    Equal fingerprints are one class, named by the smallest id; empty texts have no grids and no class. Each band hashes BAND_ROWS values of one
+    level's grid. LEADERS rows of each band are compared with all of it first. What is connected then needs no comparison: bands with
+    one component fall away, and the other bands' rows meet in blocks; the join condition verifies, so only true links leave a join.
     """
     classes = cut(fps.where(F.size("grids") > 0).groupBy("fingerprint").agg(F.min(row_key()).alias("id"), F.first("grids").alias("grids")), "edit-classes")
     flat = classes.select("id", F.explode("grids").alias("g")).select("id", "g.level", "g.n", "g.v")
@@ -298,20 +320,22 @@ def near_classes(fps: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(levels, pa.int32()), pa.array(keys, pa.int64())], names=["id", "level", "key"])
 
     keys = cut(flat.select("id", "level", "v").mapInArrow(bands, "id long, level int, key long"), "edit-bands")
-    full = keys.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("lead")).where("c > 1").select("key", "lead")
+    leads = [F.min_by("id", F.xxhash64("id", F.lit(seed))).alias(f"lead{seed}") for seed in range(LEADERS)]
+    full = keys.groupBy("key").agg(F.count("*").alias("c"), *leads).where("c > 1")
+    full = cut(full.select("key", F.array_distinct(F.array(*[f"lead{seed}" for seed in range(LEADERS)])).alias("leads")), "edit-full")
     longs = [F.conv(F.hex(F.substring("v", 8 * i + 1, 8)), 16, -10).cast("long").alias(f"v{i}") for i in range(_LONGS)]
     rows = flat.select("id", "level", "n", *longs)
-    shared = cut(keys.join(full.hint("merge"), "key").join(rows.hint("merge"), ["id", "level"]), "edit-shared")
-
-    def side(df, c, *more):
-        return df.select("key", F.col("id").alias(c), F.col("n").alias(f"n{c}"), *[F.col(f"v{i}").alias(f"{c}{i}") for i in range(_LONGS)], *more)
-
-    one = side(shared.where("id <> lead"), "a")
-    lead = side(shared.where("id = lead"), "b").dropDuplicates(["key"])
-    stars = cut(one.join(lead.hint("merge"), (one["key"] == lead["key"]) & _near()).select("a", "b").distinct(), "edit-stars")
-    comps = connected_components(stars)
-    known = cut(shared.join(comps.hint("merge"), "id", "left").withColumn("comp", F.coalesce("component_id", "id")).drop("component_id", "lead"), "edit-known")
-    x, y = side(known, "a", F.col("comp").alias("ca")), side(known, "b", F.col("comp").alias("cb"))
-    rest = x.hint("merge").join(y, (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _near()).select("a", "b").distinct()
-    comps = connected_components(stars.unionByName(rest))
+    shared = cut(keys.join(full.select("key").hint("merge"), "key").join(rows.hint("merge"), ["id", "level"]), "edit-shared")
+
+    names = ["n", *[f"v{i}" for i in range(_LONGS)]]
+    side = lambda df, c: df.select("key", F.col("id").alias(c), *[F.col(v).alias(f"{v}_{c}") for v in names])
+    lead = side(shared.join(full.select("key", F.explode("leads").alias("id")).hint("merge"), ["key", "id"]).dropDuplicates(["key", "id"]), "b")
+    near = _near(*({v: f"{v}_{c}" for v in names} for c in "ab"))
+    stars = side(shared, "a").join(lead.hint("merge"), "key").where((F.col("a") != F.col("b")) & near)
+    stars = cut(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edit-stars")
+    comps = cut(connected_components(stars), "edit-comps")
+    known = cut(shared.join(comps.hint("merge"), "id", "left").withColumn("comp", F.coalesce("component_id", "id")).drop("component_id"), "edit-known")
+    rest = cut(cross_pairs(known, _near, *names), "edit-rest")
+    links = tree(comps).unionByName(rest)
+    comps = connected_components(links)
     return classes.join(comps.hint("merge"), "id", "left").select("fingerprint", F.coalesce("component_id", "id").alias("class_id"))

@@ -52,12 +52,28 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
+#: A node with more than this share of all rows is met by a broadcast, so at most 1 / HUB_SHARE nodes are.
+HUB_SHARE = 0.002
+
+
+def _with_least(rows: DataFrame, n: int) -> DataFrame:
+    """rows (a, b), n of them at most -> (a, b, m): m is the least of the b that share an a.
+
+    Hubs, of which there can be at most 1 / HUB_SHARE, get theirs by a broadcast; their rows stay where they are.
+    """
+    least = rows.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("c"))
+    bound = max(32, HUB_SHARE * n)
+    hubs = F.broadcast(least.where(F.col("c") > bound).select("a", "m"))
+    rest = least.where(F.col("c") <= bound).select("a", "m")
+    one = rows.join(hubs, "a").select("a", "b", "m")
+    return one.unionByName(rows.join(hubs.select("a"), "a", "left_anti").join(rest.hint("merge"), "a").select("a", "b", "m"))
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """edges (a long, b long), a <> b -> (id, component_id): the smallest id reachable, for ids that have an edge.
 
-    Large-star / small-star contraction: every round is two aggregations and joins on node ids; a node of very
-    high degree is pre-aggregated to its minimum and its join side can be split by AQE. Each round is cut.
-    Empty edges give an empty result; repeated edges count once.
+    Large-star / small-star contraction: every round is two aggregations and joins on node ids, in which nodes of very high degree are
+    broadcast with their minimum. Each round is cut. Empty edges give an empty result; repeated edges count once. Raises if max_rounds are not enough.
     """
     e = cut(
         edges.where(F.col("a") != F.col("b"))
@@ -70,15 +86,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if not before[0]:
             break
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
         large = (
-            both.join(low.hint("merge"), "a")
+            _with_least(both, 2 * before[0])
             .where(F.col("b") > F.col("a"))
-            .select(F.col("b").alias("a"), F.col("m").alias("b"))
+            .select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
             .distinct()
         )
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least.hint("merge"), "a")
+        joined = _with_least(cut(large, "cc-large"), before[0])
         small = (
             joined.select("a", F.col("m").alias("b"))
             .unionByName(joined.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")))
@@ -93,3 +107,31 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError("connected components did not settle")
     own = e.select(F.col("b").alias("id"), F.col("b").alias("component_id")).distinct()
     return e.select(F.col("a").alias("id"), F.col("b").alias("component_id")).unionByName(own)
+
+
+def tree(comps: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect what comps (id, component_id) connects."""
+    return comps.where("id <> component_id").select(F.col("id").alias("a"), F.col("component_id").alias("b"))
+
+
+#: Rows of one key that a task compares with as many others.
+BLOCK = 2_000
+
+
+def cross_pairs(rows: DataFrame, near, *values: str) -> DataFrame:
+    """rows (key, id, comp, values...) -> (a, b), a < b: distinct ids of different components that share a key and for which near holds.
+
+    near takes two dicts of the values' column names, one for each side; it is part of the join's condition, so no other pair leaves the join. Keys
+    with one component have nothing to link and fall away. The rows of a key are dealt to blocks of about BLOCK; block i meets the blocks from i on,
+    each two in a cell of their own, and in cell (i, i) each pair counts once: a key with very many rows is spread over many tasks.
+    """
+    mixed = rows.groupBy("key").agg(F.count("*").alias("_c"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi")
+    live = cut(rows.join(mixed.select("key", "_c").hint("merge"), "key"), "mixed").withColumn("_s", F.ceil(F.col("_c") / BLOCK).cast("int"))
+    live = live.withColumn("_i", F.pmod(F.xxhash64("id", F.lit(3)), F.col("_s")).cast("int"))
+    x = live.withColumn("_j", F.explode(F.sequence("_i", F.col("_s") - 1))).withColumn("cell", F.col("_i") * F.col("_s") + F.col("_j")).withColumn("own", F.col("_i") == F.col("_j"))
+    y = live.withColumn("_h", F.explode(F.sequence(F.lit(0), "_i"))).withColumn("cell", F.col("_h") * F.col("_s") + F.col("_i"))
+    side = lambda df, t, *more: df.select(*[F.col(c).alias(f"{c}_{t}") for c in ("key", "cell", "id", "comp", *values)], *more)
+    x, y = side(x, "x", "own"), side(y, "y")
+    once = ~F.col("own") | (F.col("id_x") < F.col("id_y"))
+    on = (F.col("key_x") == F.col("key_y")) & (F.col("cell_x") == F.col("cell_y")) & (F.col("comp_x") != F.col("comp_y")) & once & near(*({v: f"{v}_{t}" for v in values} for t in "xy"))
+    return x.hint("merge").join(y, on).select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
