@@ -19,13 +19,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, cut, row_key
+from .shared import connected_components, cross_pairs, cut, row_key, tree
 
 FP_RADIUS = 3  # of the 3-word fingerprints that op10 links
 WORD_RADIUS = 7  # of the word fingerprints that propose near copies; they are verified exactly
 SHINGLE, SIMILARITY = 5, 0.8
+BANDS, BAND_MINIMA = 8, 3  # keys of least shingle hashes
+FAR_RADIUS = 20  # bits beyond which a shared key's pair is not looked at; of pairs at the similarity 99 in 100 lie within 14
+LEADERS = 3
 HIST_BITS = 16
 T_MAX = 3
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_SALTS = np.random.default_rng(77).integers(0, 2**64, BANDS * BAND_MINIMA, np.uint64)
 
 
 def _majority(hashes: np.ndarray, weights: np.ndarray | None = None) -> int:
@@ -294,15 +299,47 @@ def near_components(docs: DataFrame, radius: int = FP_RADIUS) -> DataFrame:
     )
 
 
-def _shingle_set(text: str | None) -> bytes:
+def _shingles(text: str | None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the 5-word shingles (fewer words: the whole sequence; none: empty)."""
     words = (text or "").lower().encode().split()
     if not words:
-        return b""
-    h = xxhash.xxh64_intdigest
-    n = SHINGLE
-    got = [h(b" ".join(words), 0)] if len(words) < n else [h(b" ".join(words[i : i + n]), 0) for i in range(len(words) - n + 1)]
-    return np.unique(np.array(got, np.uint64)).tobytes()
+        return np.zeros(0, np.uint64)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    n = min(SHINGLE, len(words))
+    out = np.full(len(words) - n + 1, n, np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(n):
+            out = (out ^ h[j : j + len(out)]) * _ODD
+            out ^= out >> np.uint64(29)
+    return np.unique(out)
+
+
+def _shingle_set(text: str | None) -> bytes:
+    return _shingles(text).tobytes()
+
+
+def _shared_keys(shingles: np.ndarray) -> list[int]:
+    """BANDS keys, each of BAND_MINIMA least hashes of the shingles: sets with a similarity of 0.8 share one of them in 997 of 1,000 cases, whatever the edit."""
+    if not len(shingles):
+        return []
+    with np.errstate(over="ignore"):
+        least = [int(((shingles ^ s) * _ODD).min()) for s in _SALTS]
+    pack = lambda j: b"".join(x.to_bytes(8, "little") for x in least[j : j + BAND_MINIMA])
+    return [xxhash.xxh64_intdigest(pack(j), j) - (1 << 63) for j in range(0, len(least), BAND_MINIMA)]
+
+
+def copy_marks(docs: DataFrame) -> DataFrame:
+    """(k, th, fp, keys): row key, hash of the text, word fingerprint, and the keys that likely copies share."""
+
+    def run(batches):
+        for b in batches:
+            texts = b.column(2).to_pylist()
+            fp = pa.array(map(word_fingerprint, texts), pa.int64())
+            keys = pa.array([_shared_keys(_shingles(t)) for t in texts], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fp, keys], names=["k", "th", "fp", "keys"])
+
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(row_key().alias("k"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, "k long, th long, fp long, keys array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -326,35 +363,49 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def near_copy_groups(docs: DataFrame) -> DataFrame:
     """(k, component_id): documents linked by equal texts or a 5-word shingle similarity of 0.8 or more.
 
-    Word fingerprints within WORD_RADIUS bits propose pairs, exact shingle sets verify them. Only documents that
-    have a neighbour within the radius send their shingles; documents alone are left out of the result.
+    Word fingerprints within WORD_RADIUS bits propose pairs, exact shingle sets verify them. Texts with much put in front, behind or cut away lie further
+    apart, so what is not connected yet is proposed once more by shared keys of least shingle hashes, and verified alike. Only documents with a
+    neighbour or a shared key send their shingles.
     """
-    rows = cut(fingerprints(docs, "word"), "word-fps")
-    classes = cut(rows.groupBy("th", "fp").agg(F.min("k").alias("id")), "word-classes")
-    gph = Pigeonhole(classes, WORD_RADIUS)
+    rows = cut(copy_marks(docs), "copy-marks")
+    classes = cut(rows.groupBy("th", "fp").agg(F.min("k").alias("id"), F.first("keys").alias("keys")), "word-classes")
+    gph = Pigeonhole(classes.select("id", "fp"), WORD_RADIUS)
     act = cut(gph.active(classes.select("id", "fp")), "active")
+    flat = classes.select("id", "fp", F.explode("keys").alias("key"))
+    many = flat.groupBy("key").agg(F.count("*").alias("c"), *[F.min_by(F.struct("id", "fp"), F.xxhash64("id", F.lit(s))).alias(f"l{s}") for s in range(LEADERS)]).where("c > 1")
+    many = cut(many.select("key", F.array_distinct(F.array(*[f"l{s}" for s in range(LEADERS)])).alias("leads")), "key-leads")
+    flat = cut(flat.join(many.select("key").hint("merge"), "key", "left_semi"), "keys")
 
     def run(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_shingle_set(t) for t in b.column(1).to_pylist()], pa.binary())], names=["id", "set"])
 
-    named = classes.join(act.select("id").hint("merge"), "id", "left_semi").select("id", "th")
+    wanted = act.select("id").unionByName(flat.select("id")).distinct()
+    named = classes.join(wanted.hint("merge"), "id", "left_semi").select("id", "th")
     texts = docs.select(row_key().alias("id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     found = texts.join(named.hint("merge"), ["id", "th"]).select("id", "text").dropDuplicates(["id"])
     sets = cut(found.mapInArrow(run, "id long, set binary"), "sets")
 
-    edges = act.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-    comps = None
-    for seed in (0, 1, 2):
-        done = _verified(gph.stars(act, seed), sets)
-        edges = cut(edges.unionByName(done), "edges")
-        comps = cut(connected_components(edges), "comps")
+    edges = cut(_verified(gph.stars(act, 0).unionByName(gph.stars(act, 1)).unionByName(gph.stars(act, 2)).distinct(), sets), "edges")
+    comps = cut(connected_components(edges), "comps")
     known = cut(act.join(comps.hint("merge"), "id", "left").select("id", "fp", F.coalesce("component_id", "id").alias("comp")), "known")
-    pairs = cut(gph.links(known), "pairs")
-    comps = connected_components(edges.unionByName(_verified(pairs, sets)))
+    edges = cut(tree(comps).unionByName(_verified(cut(gph.links(known), "pairs"), sets)), "edges")
+
+    comps = cut(connected_components(edges), "comps")
+    with_comp = lambda df: df.join(comps.hint("merge"), "id", "left").withColumn("comp", F.coalesce("component_id", "id")).drop("component_id")
+    close = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= FAR_RADIUS
+    leads = many.select("key", F.explode("leads").alias("l")).select("key", F.col("l.id").alias("b"), F.col("l.fp").alias("fb"))
+    near = flat.join(leads.hint("merge"), "key").where((F.col("id") != F.col("b")) & close("fp", "fb")).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
+    apart = near.join(comps.select(F.col("id").alias("a"), F.col("component_id").alias("ca")).hint("merge"), "a", "left").join(comps.select(F.col("id").alias("b"), F.col("component_id").alias("cb")).hint("merge"), "b", "left")
+    apart = cut(apart.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "pairs")
+    edges = cut(tree(comps).unionByName(_verified(apart, sets)), "edges")
+
+    comps = cut(connected_components(edges), "comps")
+    pairs = cross_pairs(cut(with_comp(flat), "keys"), lambda a, b: close(a["fp"], b["fp"]), "fp")
+    comps = connected_components(tree(comps).unionByName(_verified(cut(pairs, "pairs"), sets)))
     return (
         rows.select("k", "th", "fp")
-        .join(classes.hint("merge"), ["th", "fp"])
+        .join(classes.select("id", "th", "fp").hint("merge"), ["th", "fp"])
         .join(comps.hint("merge"), "id", "left")
         .select("k", F.coalesce("component_id", "id").alias("component_id"))
     )
