@@ -158,37 +158,67 @@ def vocabulary(sections: DataFrame, *columns: str) -> DataFrame:
     return sections.select(F.explode(every).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
 
 
+_ELEMENT = re.compile(r"(?is)<!--.*?-->|<(script|style|svg|figure|table)\b([^>]*)>")
+
+
+def _inside(html: str, tag: str) -> list[str]:
+    """The contents of each tag element, white space as single spaces."""
+    return [" ".join(x.split()) for x in re.findall(rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>", html)]
+
+
+def _nothing(html: str) -> str:
+    return ""
+
+
+def _drawing(html: str) -> str:
+    said = " — ".join(x for tag in ("title", "desc") for x in _inside(html, tag)[:1])
+    return f"\n*Diagram: {said}*\n" if said else ""
+
+
+def _figure(html: str) -> str:
+    said = " ".join(re.sub("<[^>]+>", "", "".join(_inside(html, "figcaption")[:1])).split())
+    film = re.search(r'(?i)<video\b[^>]*\bsrc="([^"]+)"', html)
+    if film:
+        return f"\n*Video: {said or 'recording'}* — [watch]({film[1]})\n"
+    return said and f"\n*{said}*\n"
+
+
+def _table(html: str) -> str | None:
+    """Rows as lines between bars; a table without heading cells stays as it is (None)."""
+    line = lambda cells: "| " + " | ".join(re.sub(r"(?<!\\)\|", r"\\|", c) for c in cells) + " |"
+    rows = _inside(html, "tr")
+    head = [c for row in rows for c in _inside(row, "th")]
+    body = [cells for row in rows if (cells := _inside(row, "td"))]
+    return "\n" + "\n".join([line(head), line(["---"] * len(head)), *map(line, body)]) + "\n" if head else None
+
+
+_HANDLERS = {"script": _nothing, "style": _nothing, "svg": _drawing, "figure": _figure, "table": _table}
+
+
+def _elements(text: str):
+    """The page from element to element: markdown in between as it is, comments left out, each element as its handler puts it."""
+    at = 0
+    while m := _ELEMENT.search(text, at):
+        yield text[at : m.start()]
+        at, name = m.end(), (m[1] or "").lower()
+        # A table with attributes is layout and stays, and so does an element that is never closed.
+        end = re.compile(rf"(?i)</{name}>").search(text, at) if name and not (name == "table" and m[2]) else None
+        if end:
+            put = _HANDLERS[name](text[at : end.start()])
+            yield text[m.start() : end.end()] if put is None else put
+            at = end.end()
+        elif name:
+            yield m[0]
+    yield text[at:]
+
+
 def _rendered(text: str, origin: str) -> str:
-    """One page as markdown for agents; callbacks inside regular expressions are what columns cannot express."""
-
-    def caption(m):
-        parts = [re.search(rf"(?is)<{t}[^>]*>(.*?)</{t}>", m[0]) for t in ("title", "desc")]
-        said = " — ".join(" ".join(p[1].split()) for p in parts if p)
-        return f"\n*Diagram: {said}*\n" if said else ""
-
-    def figure(m):
-        src, cap = re.search(r'(?i)<video\b[^>]*\bsrc="([^"]+)"', m[0]), re.search(r"(?is)<figcaption[^>]*>(.*?)</figcaption>", m[0])
-        said = " ".join(re.sub(r"<[^>]+>", "", cap[1]).split()) if cap else ""
-        if src:
-            return f"\n*Video: {said or 'recording'}* — [watch]({src[1]})\n"
-        return f"\n*{said}*\n" if said else ""
-
-    def table(m):
-        cells = lambda row, tag: [re.sub(r"(?<!\\)\|", r"\\|", " ".join(c.split())) for c in re.findall(rf"(?s)<{tag}>(.*?)</{tag}>", row)]
-        rows = re.findall(r"(?s)<tr>(.*?)</tr>", m[0])
-        head = [c for r in rows for c in cells(r, "th")]
-        if not head:
-            return m[0]
-        body = [cells(r, "td") for r in rows]
-        show = [head, ["---"] * len(head), *[b for b in body if b]]
-        return "\n" + "\n".join("| " + " | ".join(r) + " |" for r in show) + "\n"
-
-    for pattern, by in (
-        (r"(?is)<(script|style)\b[^>]*>.*?</\1>", ""), (r"(?is)<svg\b.*?</svg>", caption), (r"(?is)<figure\b[^>]*>.*?</figure>", figure), (r"(?s)<table>.*?</table>", table),
-        (r"(?m)[ \t]*\{#[A-Za-z0-9_-]+\}[ \t]*(?=\r?$)", ""), (r"(?s)<!--.*?-->", ""), (r"\]\((/[^)\s]*)\)", lambda m: f"]({origin}{m[1]})"), (r"\A\s*#[ \t]+[^\r\n]+(\r?\n)+", ""), (r"\n{3,}", "\n\n"),
-    ):
-        text = re.sub(pattern, by, text)
-    return text.strip()
+    """One page as markdown for agents: elements by their handlers, then lines without trailing anchors and without the first title, links with the site in front."""
+    lines = [re.sub(r"[ \t]*\{#[\w-]+\}\s*$", "", x) for x in "".join(_elements(text)).strip().splitlines()]
+    if lines and re.match(r"#[ \t]+\S", lines[0]):
+        del lines[0]
+    kept = [x for i, x in enumerate(lines) if x or i == 0 or lines[i - 1]]
+    return "\n".join(kept).strip().replace("](/", f"]({origin}/")
 
 
 def agent_markdown(pages: DataFrame, column: str, origin: str) -> DataFrame:
