@@ -49,15 +49,16 @@ def _subset(terms, size: int, seed: int):
 TEMPLATES = ("how to %s", "what is %s", "%s example", "%s tutorial", "how do i %s", "%s not working", "best way to %s", "%s vs")
 
 
-def too_common(df: DataFrame, n_sections: int, share: float = 0.05) -> DataFrame:
-    """df (term, df): terms that say nothing as a query of their own."""
-    return df.where(F.col("df") > max(8, int(n_sections * share + 0.5)))
+def too_common(df: DataFrame, sections: DataFrame, share: float = 0.05) -> DataFrame:
+    """df (term, df): terms of so many sections that they say nothing as a query of their own."""
+    n = F.broadcast(sections.agg(F.count("*").alias("_n")))  # one row
+    return df.crossJoin(n).where(F.col("df") > F.greatest(F.lit(8), F.floor(F.col("_n") * share + 0.5))).drop("_n")
 
 
 def salient(sections: DataFrame, df: DataFrame, low: int = 2, high: int = 12) -> DataFrame:
     """(url, terms): words over three letters that low to high sections have, rarest first."""
     t = sections.select("url", F.explode(F.array_distinct(content_words("body"))).alias("term")).where(F.length("term") > 3)
-    t = t.join(df.where(F.col("df").between(low, high)), "term")
+    t = t.hint("merge").join(df.where(F.col("df").between(low, high)), "term")
     return t.groupBy("url").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "term"))), lambda x: x["term"]).alias("terms"))
 
 
@@ -68,51 +69,43 @@ def section_df(sections: DataFrame) -> DataFrame:
 
 
 def generate(pages: DataFrame, sections: DataFrame, answers: DataFrame, symbols: DataFrame, df: DataFrame, seed: int = 1) -> DataFrame:
-    """(query, url, bucket) before merging.
+    """(query, url, bucket) before merging, without queries of a single common term.
 
-    pages (url, title, summary, keywords), sections (url, heading, body), answers (url, title), symbols (url, title, keywords).
+    pages (url, title, summary, keywords), sections (url, heading, body), answers (url, title), symbols (url, title, keywords). Each table is read
+    once: its queries are an array that is exploded.
     """
-    buckets = []
-
-    def add(rows: DataFrame, bucket: str, query, url="url"):
-        buckets.append(rows.select(clean_query(query).alias("query"), F.col(url).alias("url"), F.lit(bucket).alias("bucket")))
-
-    both = pages.select("url", "keywords").unionByName(symbols.select("url", "keywords"))
-    add(both.select("url", F.explode(F.split("keywords", ",")).alias("phrase")), "keywords", F.col("phrase"))
-    add(pages, "title", F.col("title"))
-    title, blurb = content_words("title"), F.filter(content_words("summary"), lambda t: F.length(t) > 4)
-    for i in range(8):
-        add(pages.where(F.size(title) > 2), "title-subset", _subset(title, 2 + i % 3, seed + i))
-    for i in range(4):
-        add(pages.where(F.size(blurb) > 2), "summary", _subset(blurb, 2 + i % 2, seed + 20 + i))
-    head = content_words("heading")
-    named = sections.where("heading <> ''")
-    add(named, "heading", F.col("heading"))
-    for i in range(3):
-        add(named.where(F.size(head) > 2), "heading-subset", _subset(head, 2 + i % 2, seed + 30 + i))
-    add(answers, "question", F.col("title"))
-    add(answers.where(F.size(title) > 2), "question-keywords", F.array_join(F.slice(title, 1, 4), " "))
-    add(symbols, "symbol", F.col("title"))
-    last = F.element_at(F.split(F.regexp_replace("url", "/$", ""), "/"), -1)
-    dotted = symbols.withColumn("last", last).where(F.col("last").contains("."))
-    add(dotted, "member", F.element_at(F.split("last", r"\."), -1))
-    add(dotted, "path", F.regexp_replace("last", r"\.", " "))
+    title, head = content_words("title"), content_words("heading")
+    blurb = F.filter(content_words("summary"), lambda t: F.length(t) > 4)
+    one = lambda bucket, q, on=None: F.struct(F.lit(bucket).alias("bucket"), (q if on is None else F.when(on, q)).alias("query"))
+    phrases = F.transform(F.split("keywords", ","), lambda k: F.struct(F.lit("keywords").alias("bucket"), k.alias("query")))
+
+    def said(rows: DataFrame, *single, more=None):
+        every = F.array(*single) if more is None else F.concat(F.array(*single), F.coalesce(more, F.array().cast("array<struct<bucket:string,query:string>>")))
+        return rows.select("url", F.explode(every).alias("x")).select("url", "x.bucket", clean_query("x.query").alias("query"))
+
+    subsets = lambda bucket, terms, at, size, n: [one(bucket, _subset(terms, size(i), seed + at + i), F.size(terms) > 2) for i in range(n)]
+    filled = []
     for i, t in enumerate(TEMPLATES):
         before, _, after = t.partition("%s")
-        add(pages.where(F.size(title) >= 2), "template", F.concat(F.lit(before), _subset(title, 2 + i % 2, seed + 40 + i), F.lit(after)))
+        filled.append(one("template", F.concat(F.lit(before), _subset(title, 2 + i % 2, seed + 40 + i), F.lit(after)), F.size(title) >= 2))
+    last = F.element_at(F.split(F.regexp_replace("url", "/$", ""), "/"), -1)
     rare = salient(sections, df)
-    for start, size in ((0, 2), (0, 3), (1, 2), (2, 2), (0, 4), (1, 3)):
-        add(rare.where(F.size("terms") >= start + size), "body-salient", F.array_join(F.slice("terms", start + 1, size), " "))
-    out = buckets[0]
-    for b in buckets[1:]:
-        out = out.unionByName(b)
-    return out.where((F.length("query") > 2) & (F.size(content_words("query")) > 0))
+    out = said(pages, one("title", F.col("title")), *subsets("title-subset", title, 0, lambda i: 2 + i % 3, 8), *subsets("summary", blurb, 20, lambda i: 2 + i % 2, 4), *filled, more=phrases)
+    for part in (
+        said(sections.where("heading <> ''"), one("heading", F.col("heading")), *subsets("heading-subset", head, 30, lambda i: 2 + i % 2, 3)),
+        said(answers, one("question", F.col("title")), one("question-keywords", F.array_join(F.slice(title, 1, 4), " "), F.size(title) > 2)),
+        said(symbols, one("symbol", F.col("title")), one("member", F.element_at(F.split(last, r"\."), -1), last.contains(".")), one("path", F.regexp_replace(last, r"\.", " "), last.contains(".")), more=phrases),
+        said(rare, *[one("body-salient", F.array_join(F.slice("terms", start + 1, size), " "), F.size("terms") >= start + size) for start, size in ((0, 2), (0, 3), (1, 2), (2, 2), (0, 4), (1, 3))]),
+    ):
+        out = out.unionByName(part)
+    asked = out.where((F.length("query") > 2) & (F.size(content_words("query")) > 0))
+    return without_common(asked, too_common(df, sections))
 
 
 def without_common(queries: DataFrame, common: DataFrame) -> DataFrame:
     """Queries whose only content word is not among the common ones."""
     single = F.when(F.size(content_words("query")) == 1, content_words("query")[0])
-    return queries.withColumn("_one", single).join(common.select(F.col("term").alias("_one")), "_one", "left_anti").drop("_one")
+    return queries.withColumn("_one", single).join(common.select(F.col("term").alias("_one")).hint("shuffle_hash"), "_one", "left_anti").drop("_one")
 
 
 def merge(queries: DataFrame, max_claims: int = 4) -> DataFrame:

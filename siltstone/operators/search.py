@@ -9,12 +9,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import STOP_WORDS, tokens
+from ..functions.text import STOP_WORDS, closed_up, tokens
 
 FIELDS = ("keywords", "heading", "emphasis", "title", "path", "body")
 
@@ -56,8 +55,9 @@ def longest_sentence(text):
 
 
 def postings(sections: DataFrame, fields: tuple[str, ...] = ("heading", "body")) -> DataFrame:
-    """(term, id, tf_<field>...): one row for each term and section. Hyphenated words are there squashed, too."""
-    both = F.array(*[F.struct(F.lit(f).alias("f"), tokens(F.coalesce(F.col(f), F.lit(""))).alias("ts")) for f in fields])
+    """(term, id, tf_<field>...): one row for each term and section. A hyphenated word counts as its parts and once more closed up."""
+    own = lambda f: F.coalesce(F.col(f), F.lit(""))
+    both = F.array(*[F.struct(F.lit(f).alias("f"), F.concat(tokens(own(f)), closed_up(own(f))).alias("ts")) for f in fields])
     flat = sections.select("id", F.explode(both).alias("x")).select("id", F.col("x.f").alias("f"), F.explode("x.ts").alias("term"))
     return flat.groupBy("term", "id").agg(*[F.sum((F.col("f") == f).cast("long")).alias(f"tf_{f}") for f in fields])
 
@@ -75,11 +75,15 @@ def idf(n, df, power: float = 0.6):
     return F.pow(F.ln(1 + (n - df + 0.5) / (df + 0.5)), power)
 
 
-def weighted_postings(sections: DataFrame, post: DataFrame, s: Scoring = Scoring(), fields: tuple[str, ...] = ("heading", "body")) -> DataFrame:
-    """(term, id, w): the saturated, length-normalised weight of a term in a section, times its idf. A field's mean length is over the sections that have it."""
+def weighted_postings(sections: DataFrame, post: DataFrame, s: Scoring = Scoring(), fields: tuple[str, ...] = ("heading", "body"), only: DataFrame | None = None) -> DataFrame:
+    """(term, id, w): the saturated, length-normalised weight of a term in a section, times its idf. A field's mean length is over the sections that have it.
+
+    only (term): the terms that are asked for; postings of others are left out before they meet the lengths.
+    """
     size = lengths(post, fields)
     mean = size.agg(F.count("*").alias("n"), *[F.greatest(F.avg(F.when(F.col(f"len_{f}") > 0, F.col(f"len_{f}"))), F.lit(1e-9)).alias(f"avg_{f}") for f in fields])
-    full = post.join(size, "id").join(document_frequency(post), "term").crossJoin(F.broadcast(mean))  # mean is one row
+    asked = post if only is None else post.join(only.select("term").distinct().hint("shuffle_hash"), "term", "left_semi")
+    full = asked.join(document_frequency(asked).hint("shuffle_hash"), "term").join(size.hint("merge"), "id").crossJoin(F.broadcast(mean))  # mean is one row
     tf = sum((F.lit(s.weights[f]) * F.col(f"tf_{f}") / (1 - s.b + s.b * F.col(f"len_{f}") / F.col(f"avg_{f}")) for f in fields), F.lit(0.0))
     stop = F.when(F.col("term").isin(*STOP_WORDS), s.stop_weight).otherwise(1.0)
     return full.withColumn("tf", tf).select("term", "id", (stop * idf(F.col("n"), F.col("df"), s.idf_power) * F.col("tf") * (s.k1 + 1) / (F.col("tf") + s.k1)).alias("w"))
@@ -94,9 +98,9 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def with_lemmas(terms: DataFrame, vocabulary: DataFrame, lemmas: DataFrame, s: Scoring = Scoring()) -> DataFrame:
     """terms (query_id, term, content) with other words of the same lemma at a lower match weight: (query_id, term, match, match_weight, content)."""
     lemma = lemmas.select("form", "lemma")
-    of = terms.join(lemma, F.col("term") == F.col("form"), "left").withColumn("base", F.coalesce("lemma", "term")).drop("form", "lemma")
-    forms = vocabulary.join(lemma, F.col("word") == F.col("form"), "left").select(F.col("word").alias("match"), F.coalesce("lemma", "word").alias("base"))
-    near = of.join(forms, "base").select("query_id", "term", "match", F.when(F.col("match") == F.col("term"), 1.0).otherwise(s.lemma_weight).alias("match_weight"), "content")
+    of = terms.join(lemma.hint("merge"), F.col("term") == F.col("form"), "left").withColumn("base", F.coalesce("lemma", "term")).drop("form", "lemma")
+    forms = vocabulary.join(lemma.hint("merge"), F.col("word") == F.col("form"), "left").select(F.col("word").alias("match"), F.coalesce("lemma", "word").alias("base"))
+    near = of.join(forms.hint("merge"), "base").select("query_id", "term", "match", F.when(F.col("match") == F.col("term"), 1.0).otherwise(s.lemma_weight).alias("match_weight"), "content")
     own = terms.select("query_id", "term", F.col("term").alias("match"), F.lit(1.0).alias("match_weight"), "content")
     return own.unionByName(near).groupBy("query_id", "term", "match", "content").agg(F.max("match_weight").alias("match_weight"))
 
@@ -111,7 +115,7 @@ def with_infixes(terms: DataFrame, vocabulary: DataFrame, s: Scoring = Scoring()
     cut = vocabulary.where(F.length("word") >= min_len).join(F.broadcast(sizes), F.length("word") >= F.col("n"))  # as many rows as term lengths
     parts = cut.select("word", "n", F.explode(F.sequence(F.lit(1), F.length("word") - F.col("n") + 1)).alias("at"))
     parts = parts.select("word", F.substring("word", F.col("at"), F.col("n")).alias("term"), "at")
-    hit = long.join(parts, "term").where(F.col("word") != F.col("term")).groupBy("query_id", "term", F.col("word").alias("match"), "content").agg(F.min("at").alias("at"))
+    hit = long.hint("merge").join(parts, "term").where(F.col("word") != F.col("term")).groupBy("query_id", "term", F.col("word").alias("match"), "content").agg(F.min("at").alias("at"))
     near = hit.select("query_id", "term", "match", F.when(F.col("at") == 1, 1.0).otherwise(s.infix_weight).alias("match_weight"), "content")
     return terms.select("query_id", "term", F.col("term").alias("match"), F.lit(1.0).alias("match_weight"), "content").unionByName(near)
 
@@ -119,11 +123,11 @@ def with_infixes(terms: DataFrame, vocabulary: DataFrame, s: Scoring = Scoring()
 def score(terms: DataFrame, weighted: DataFrame) -> DataFrame:
     """(query_id, id, score, matched, n_content): sums over terms of the best match of each; matched counts content terms."""
     t = terms if "match" in terms.columns else terms.select("query_id", "term", F.col("term").alias("match"), F.lit(1.0).alias("match_weight"), "content")
-    hits = t.join(weighted.withColumnRenamed("term", "match"), "match")
+    hits = t.hint("merge").join(weighted.withColumnRenamed("term", "match"), "match")
     best = hits.groupBy("query_id", "id", "term", "content").agg(F.max(F.col("w") * F.col("match_weight")).alias("w"))
     sums = best.groupBy("query_id", "id").agg(F.round(F.sum("w"), 6).alias("score"), F.sum(F.col("content").cast("long")).alias("matched"))
     size = t.select("query_id", "term", "content").distinct().groupBy("query_id").agg(F.sum(F.col("content").cast("long")).alias("n_content"))
-    return sums.join(size, "query_id")
+    return sums.join(size.hint("merge"), "query_id")
 
 
 def coverage_floor(scored: DataFrame, s: Scoring = Scoring()) -> DataFrame:
@@ -133,7 +137,7 @@ def coverage_floor(scored: DataFrame, s: Scoring = Scoring()) -> DataFrame:
 
 def rarest_term(terms: DataFrame, df: DataFrame) -> DataFrame:
     """(query_id, topic_term): the content term with the least document frequency; an unseen term counts as 0."""
-    t = terms.where("content").select("query_id", "term").distinct().join(df, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    t = terms.where("content").select("query_id", "term").distinct().hint("merge").join(df, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     return t.groupBy("query_id").agg(F.min_by("term", F.struct("df", "term")).alias("topic_term"))
 
 
@@ -141,10 +145,10 @@ def adjust(scored: DataFrame, queries: DataFrame, sections: DataFrame, post: Dat
     """Bonuses and penalties on scored hits: all terms in the heading, words in the query's order, an exact title, questions
     that meet answers, and hits without the query's rarest term."""
     q = queries.select("query_id", F.lower("query").alias("q"), F.array_distinct(tokens("query")).alias("q_terms"))
-    x = scored.join(q, "query_id").join(sections.select("id", F.lower("heading").alias("h"), F.array_distinct(tokens("heading")).alias("h_terms"), "grp"), "id")
+    x = scored.join(q.hint("merge"), "query_id").hint("merge").join(sections.select("id", F.lower("heading").alias("h"), F.array_distinct(tokens("heading")).alias("h_terms"), "grp"), "id")
     topic = rarest_term(query_terms(queries), document_frequency(post))
     has = post.select("id", F.col("term").alias("topic_term"), F.lit(True).alias("has_topic"))
-    x = x.join(topic, "query_id", "left").join(has, ["id", "topic_term"], "left")
+    x = x.join(topic.hint("merge"), "query_id", "left").hint("merge").join(has, ["id", "topic_term"], "left")
     span = F.when(F.size(F.array_intersect("q_terms", "h_terms")) == F.size("q_terms"), 1 + s.span_bonus).otherwise(1.0)
     order = F.when(F.col("h").contains(F.col("q")), 1 + s.order_bonus).otherwise(1.0)
     last = F.element_at(F.split("h", "[./]"), -1)
@@ -162,7 +166,7 @@ def scoped(queries: DataFrame) -> DataFrame:
 
 def rank(scored: DataFrame, sections: DataFrame, per_page: int | None = None) -> DataFrame:
     """(query_id, id, url, external, score, position): places within each query and edition, ties by id; at most per_page hits of one page."""
-    s = scored.join(sections.select("id", "url", "external"), "id")
+    s = scored.hint("merge").join(sections.select("id", "url", "external"), "id")
     if per_page:
         page = W.partitionBy("query_id", F.split("url", "#")[0]).orderBy(F.desc("score"), "id")
         s = s.withColumn("_n", F.row_number().over(page)).where(F.col("_n") <= per_page).drop("_n")
@@ -181,48 +185,64 @@ def deletions(x):
     return F.array_union(F.array(x), F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.overlay(x, F.lit(""), i, F.lit(1))))
 
 
-def _restricted_distance(a: str, b: str) -> int:
-    """Edit distance in which swapping two neighbours counts one."""
-    rows = [list(range(len(b) + 1))]
-    for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            d = min(row[-1] + 1, rows[-1][j] + 1, rows[-1][j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, rows[-2][j - 2] + 1)
-            row.append(d)
-        rows.append(row)
-    return rows[-1][-1]
+def swaps(x):
+    """All ways to swap two neighbouring letters of a word."""
+    at = F.sequence(F.lit(1), F.greatest(F.length(x) - 1, F.lit(1)))
+    return F.transform(at, lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.lit(1)), F.substring(x, i, F.lit(1)), F.substring(x, i + 2, F.length(x))))
+
+
+def one_edit(a, b):
+    """Whether one letter put in, taken out, replaced or swapped with its neighbour makes the words equal."""
+    return (F.levenshtein(a, b) == 1) | ((a != b) & (F.length(a) == F.length(b)) & F.array_contains(swaps(a), b))
 
 
 def spelling(terms: DataFrame, vocabulary: DataFrame, min_len: int = 4) -> DataFrame:
     """(term, word, df): words of the vocabulary (word, df) one edit away from terms that it lacks.
 
-    Both sides list their deletions, the equi-join meets them, and an Arrow function verifies the few pairs left.
+    Both sides list their deletions, the equi-join meets them, and built-in functions verify the few pairs left.
     """
-    @F.pandas_udf("int")
-    def distance(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([_restricted_distance(x, y) for x, y in zip(a, b)], dtype="int32")
-
-    lost = terms.select("term").distinct().join(vocabulary, F.col("term") == F.col("word"), "left_anti").where(F.length("term") >= min_len)
+    lost = terms.select("term").distinct().hint("merge").join(vocabulary, F.col("term") == F.col("word"), "left_anti").where(F.length("term") >= min_len)
     left = lost.select("term", F.explode(deletions(F.col("term"))).alias("key"))
     right = vocabulary.where(F.length("word") >= min_len).select("word", "df", F.explode(deletions(F.col("word"))).alias("key"))
-    pairs = left.join(right, "key").select("term", "word", "df").distinct()
-    return pairs.where(distance("term", "word") == 1)
+    pairs = left.hint("merge").join(right, "key").select("term", "word", "df").distinct()
+    return pairs.where(one_edit(F.col("term"), F.col("word")))
 
 
 def relaxed_queries(empty: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """empty (query_id, query) -> (query_id, query, confident): rewrites of queries without results. A dotted compound is split (confident);
-    else each unknown term takes its most frequent neighbour."""
+    else each unknown term takes its most frequent neighbour, the first by letters among equals."""
     split = empty.where(F.col("query").rlike(r"\w\.\w")).select("query_id", F.regexp_replace("query", r"\.", " ").alias("query"), F.lit(True).alias("confident"))
-    rest = empty.join(split, "query_id", "left_anti")
+    rest = empty.join(split.hint("merge"), "query_id", "left_anti")
     terms = rest.select("query_id", F.posexplode(tokens("query")).alias("at", "term"))
     best = spelling(terms, vocabulary).groupBy("term").agg(F.min_by("word", F.struct((-F.col("df")).alias("d"), "word")).alias("word"))
-    fixed = terms.join(best, "term", "left").withColumn("word", F.coalesce("word", "term"))
+    fixed = terms.join(best.hint("merge"), "term", "left").withColumn("word", F.coalesce("word", "term"))
     new = fixed.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ").alias("query"), F.max(F.col("word") != F.col("term")).alias("changed"))
     return split.unionByName(new.where("changed").select("query_id", "query", F.lit(False).alias("confident")))
 
 
+def search(queries: DataFrame, sections: DataFrame, post: DataFrame, s: Scoring = Scoring(), fields: tuple[str, ...] = ("heading", "body")) -> DataFrame:
+    """Scored hits (query_id, id, score, matched, n_content) of queries (query_id, query) that cover enough of their terms."""
+    terms = query_terms(queries)
+    return coverage_floor(score(terms, weighted_postings(sections, post, s, fields, only=terms)), s)
+
+
+def search_relaxed(queries: DataFrame, sections: DataFrame, post: DataFrame, s: Scoring = Scoring(), fields: tuple[str, ...] = ("heading", "body")) -> DataFrame:
+    """search(), and for queries without a hit, and only those, the hits of their rewrite: confident ones first, guesses where those find nothing.
+
+    corrected holds the rewrite, null where the query stands as it is.
+    """
+    vocabulary = document_frequency(post).withColumnRenamed("term", "word")
+    without = lambda some, found: some.join(found.select("query_id").distinct().hint("merge"), "query_id", "left_anti")
+    answered = lambda some: search(some, sections, post, s, fields).join(some.select("query_id", F.col("query").alias("corrected")).hint("merge"), "query_id")
+    hits = search(queries, sections, post, s, fields)
+    new = relaxed_queries(without(queries.select("query_id", "query"), hits), vocabulary)
+    sure = new.where("confident").select("query_id", "query")
+    found = answered(sure)
+    # A split that finds nothing is spelt afresh.
+    guesses = new.where("NOT confident").unionByName(relaxed_queries(without(sure, found), vocabulary)).select("query_id", "query")
+    return hits.withColumn("corrected", F.lit(None).cast("string")).unionByName(found).unionByName(answered(guesses))
+
+
 # Suffix rules of English inflection, in order.
 DETACH = (
     ("ches", "ch"), ("shes", "sh"), ("sses", "ss"), ("xes", "x"), ("zes", "z"), ("ies", "y"), ("ves", "f"), ("ves", "fe"), ("ing", ""), ("ing", "e"),
@@ -245,8 +265,8 @@ def lemmas(words: DataFrame, dictionary: DataFrame, exceptions: DataFrame | None
     """(form, lemma) of the words whose lemma differs: project words stay, exceptions come next, then the first rule whose stem is in
     the dictionary (lemma). Only the distinct vocabulary takes part."""
     w = words.select("word").where(F.length("word") >= 2).distinct()
-    found = stem_candidates(w).join(dictionary.select(F.col("lemma").alias("stem")).distinct(), "stem").groupBy("word").agg(F.min_by("stem", "rule").alias("stem"))
-    out = w.join(found, "word", "left")
+    found = stem_candidates(w).hint("merge").join(dictionary.select(F.col("lemma").alias("stem")).distinct(), "stem").groupBy("word").agg(F.min_by("stem", "rule").alias("stem"))
+    out = w.join(found.hint("merge"), "word", "left")
     if exceptions is not None:
         out = out.join(exceptions.select(F.col("form").alias("word"), F.col("lemma").alias("irregular")), "word", "left").withColumn("stem", F.coalesce("irregular", "stem"))
     if project is not None:
@@ -257,5 +277,5 @@ def lemmas(words: DataFrame, dictionary: DataFrame, exceptions: DataFrame | None
 def missing_stems(words: DataFrame, dictionary: DataFrame, ignored: DataFrame) -> DataFrame:
     """(stem, saw_as): stems that the dictionary lacks but the corpus uses as words."""
     c = stem_candidates(words.select("word").distinct()).where(F.length("stem") >= 3)
-    c = c.join(dictionary.select(F.col("lemma").alias("stem")), "stem", "left_anti").join(words.select(F.col("word").alias("stem")).distinct(), "stem", "left_semi")
+    c = c.hint("merge").join(dictionary.select(F.col("lemma").alias("stem")), "stem", "left_anti").hint("merge").join(words.select(F.col("word").alias("stem")).distinct(), "stem", "left_semi")
     return c.join(ignored.select(F.col("word").alias("stem")), "stem", "left_anti").groupBy("stem").agg(F.min("word").alias("saw_as"))

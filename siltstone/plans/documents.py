@@ -8,17 +8,21 @@ from ..functions import text as tx
 from ..operators import evaluate as ev
 from ..operators import labels as lb
 from ..operators import markdown as md
-from .base import query, table
+from .base import SYMBOLS_SQL, query, table
 
 _R = lambda x, *steps: x if not steps else _R(f"regexp_replace({x}, '{steps[0][0]}', '{steps[0][1]}', 'g')", *steps[1:])
-_CLEAN = lambda c: "trim(" + _R(f"lower({c})", ("[^a-z0-9.\\-]+", " ")) + ")"
+_CLEAN = lambda c: "trim(" + _R(f"lower({c})", (tx.QUOTES, ""), (tx.UNCLEAN, " ")) + ")"
 _STOP = "(" + ", ".join(f"'{w}'" for w in tx.STOP_WORDS) + ")"
 _CONTENT = lambda c: f"list_filter(string_split({_CLEAN(c)}, ' '), lambda w: w <> '' AND w NOT IN {_STOP} AND length(w) > 1)"
-_PLAIN = lambda c: "trim(" + _R(
-    f"coalesce({c}, '')", (r"(?s)\{%.*?%\}", " "), (r"(?s)<!--.*?-->", " "), (r"(?i)</?(?:" + tx._TAGS + r")\b[^>]*>", " "), (r"!\[[^\]]*\]\([^)]*\)", " "), (r"\[([^\]]*)\]\([^)]*\)", r"\1"),
-    (r"(?m)^\s*```.*$", " "), (r"(?m)^\s*~~~.*$", " "), ("`", " "), (r"(?m)^\s{0,3}#{1,6}\s+", " "), (r"(?m)^\s*>\s?", " "), (r"(?m)^\s*[-*+]\s+", " "), (r"(?m)^\s*\d+\.\s+", " "),
-    (r"(?m)^\s*\|?[\s:|-]{6,}\|?\s*$", " "), (r"\|", " "), (r"\*\*|\*|__|~~", " "), (r"\s+", " "),
-) + ")"
+_STRIP = lambda c: _R(f"coalesce({c}, '')", (tx.UNSEEN, " "), (tx.LINK, r"\1"))
+_READ = lambda c: f"array_to_string(list_transform(list_filter(string_split({_STRIP(c)}, chr(10)), lambda x: NOT regexp_matches(x, '{tx.WORDLESS}')), lambda x: regexp_replace(x, '{tx.BLOCK}', '')), ' ')"
+_LINE = lambda c, *steps: "trim(" + _R(c, *steps, (r"\s+", " ")) + ")"
+_PLAIN = lambda c: _LINE(_READ(c), (tx.MARKS, " "))
+_HEADING = lambda c: _LINE(f"coalesce({c}, '')", (tx.LINK, r"\1"), (tx.HEADING_UNSEEN, " "), (tx.HEADING_MARKS, ""))
+_PARAGRAPHS = lambda c: f"regexp_split_to_array({c}, '\\n\\s*\\n')"
+_CLIP = lambda c: f"CASE WHEN length({c}) <= 200 THEN {c} ELSE trim(CASE WHEN contains(substr({c}, 1, 200), ' ') THEN regexp_replace(substr({c}, 1, 200), ' [^ ]*$', '') ELSE substr({c}, 1, 199) END) || '…' END"
+_SUMMARY = lambda c: f"coalesce(list_filter(list_transform({_PARAGRAPHS(c)}, lambda p: {_PLAIN('p')}), lambda p: p <> '')[1], '')"
+_EMPHASIS = lambda c: f"list_concat({', '.join(f'regexp_extract_all({c}, {chr(39)}{p}{chr(39)}, 1)' for p in tx.STRESSED)}, list_transform(list_filter(string_split({c}, chr(10)), lambda x: regexp_matches(x, '{tx.QUOTED}')), lambda x: regexp_extract(x, '{tx.QUOTED}', 1)))"
 _DEC = lambda c: f"replace(replace(replace(replace(replace(replace({c}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&')"
 _VISIBLE = "trim(" + _R(_DEC(_R("html", (r"(?is)<script\b.*?</script>", " "), (r"(?is)<style\b.*?</style>", " "), (r"<[^>]+>", " "))), (r"\s+", " ")) + ")"
 _HASH = "count(*) AS n, sum(length({0})) AS chars"
@@ -29,33 +33,58 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", tx.plain_text("text").alias("plain"))
 
 
-@query("pf5_heading_text", "SELECT doc_id, trim(" + _R("split_part(text, chr(10), 1)", (r"!\[[^\]]*\]\([^)]*\)", " "), (r"\[([^\]]*)\]\([^)]*\)", r"\1"), (r"\{[#.][^}]*\}", " "), (r"(?i)</?(?:" + tx._INLINE + r")\b[^>]*>", " "), ("`", ""), (r"\*\*|__|~~", ""), (r"\s+", " ")) + ") AS heading FROM documents")
+@query("pf5_heading_text", f"SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x: {_HEADING('x')}), chr(10)) AS headings FROM documents")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", tx.heading_text(F.substring_index("text", "\n", 1)).alias("heading"))
+    """Every line as if it were a heading."""
+    lines = F.transform(F.split("text", "\n", -1), tx.heading_text)
+    return table(spark, d, "documents").select("doc_id", F.array_join(lines, "\n").alias("headings"))
 
 
-@query("pf7_summary", f"""WITH p AS (SELECT doc_id, {_PLAIN("split_part(text, chr(10), 1)")} AS first FROM documents), s AS (SELECT doc_id, first, substr(first, 1, 200) AS head FROM p)
-SELECT doc_id, CASE WHEN length(first) <= 200 THEN first ELSE trim(CASE WHEN contains(head, ' ') THEN regexp_replace(head, ' [^ ]*$', '') ELSE substr(head, 1, 199) END) || '…' END AS summary FROM s""")
+@query("pf7_summary", f"SELECT doc_id, {_CLIP('first')} AS summary FROM (SELECT doc_id, {_SUMMARY('text')} AS first FROM documents)")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", tx.summary(F.substring_index("text", "\n", 1)).alias("summary"))
+    return table(spark, d, "documents").select("doc_id", tx.summary("text").alias("summary"))
 
 
-@query("pf8_clamped")
+_ENDS = "regexp_replace(plain, '([.!?])\\s+([A-Z\"''(])', '\\1' || chr(1) || '\\2', 'g')"
+
+
+@query("pf8_clamped", f"""WITH p AS (SELECT doc_id, {_PLAIN('text')} AS plain FROM documents), s AS (SELECT doc_id, plain, string_split({_ENDS}, chr(1)) AS parts FROM p),
+k AS (SELECT *, list_max(list_filter(range(1, len(parts) + 1), lambda k: length(array_to_string(parts[1:k], ' ')) <= 160)) AS k FROM s)
+SELECT doc_id, CASE WHEN length(plain) <= 160 THEN plain WHEN k IS NOT NULL THEN array_to_string(parts[1:k], ' ') ELSE regexp_replace(regexp_replace(substr(plain, 1, 159), '\\s\\S*$', ''), '[,;:.]$', '') || '…' END AS description FROM k""")
 def _(spark, d):
     return table(spark, d, "documents").select("doc_id", tx.clamp_sentences(tx.plain_text("text")).alias("description"))
 
 
-@query("pf9_prose_paragraph")
+@query("pf9_prose_paragraph", f"""WITH p AS (SELECT doc_id, list_transform({_PARAGRAPHS("regexp_replace(text, '(?s)^---' || chr(10) || '.*?' || chr(10) || '---' || chr(10), '')")}, lambda p: regexp_replace(p, '^\\s+|\\s+$', '', 'g')) AS every FROM documents)
+SELECT doc_id, coalesce(list_filter(list_transform(list_filter(every, lambda p: regexp_matches(p, '{tx.PROSE}') AND NOT regexp_matches(p, '{tx.NAVIGATION}')), lambda p: {_PLAIN('p')}), lambda p: length(p) > 3)[1], '') AS prose FROM p""")
 def _(spark, d):
     return table(spark, d, "documents").select("doc_id", tx.prose_paragraph("text").alias("prose"))
 
 
-@query("pf6_emphasis")
+@query("pf6_emphasis", f"SELECT doc_id, {_PLAIN('spans')} AS emphasis FROM (SELECT doc_id, array_to_string({_EMPHASIS('text')}, ' ') AS spans FROM documents)")
 def _(spark, d):
     return table(spark, d, "documents").select("doc_id", tx.emphasis("text").alias("emphasis"))
 
 
-@query("pf2_sections")
+_RULE = r"^ {0,3}(?:-{3,}|\*{3,}|_{3,})\s*$"
+_SLUG = lambda c: f"coalesce(nullif(regexp_replace(regexp_replace(lower({c}), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), ''), 'section')"
+#: Sections of pages pg (url, body).
+SECTIONS_SQL = rf"""ln AS (SELECT url, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) - 1 AS no FROM pg),
+mk AS (SELECT *, nullif(substr(regexp_extract(line, '^\s{{0,3}}(```+|~~~+)', 1), 1, 1), '') AS mark FROM ln),
+st AS (SELECT *, list_reduce(list_prepend('', coalesce(list_filter(list(mark) OVER (PARTITION BY url ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), lambda x: x IS NOT NULL), []::VARCHAR[])), lambda s, m: CASE WHEN s = '' THEN m WHEN s = m THEN '' ELSE s END) <> '' AS inside,
+  lag(line) OVER (PARTITION BY url ORDER BY no) AS before FROM mk),
+fl AS (SELECT *, NOT inside AND mark IS NULL AND regexp_matches(line, '^#{{2,3}}\s+\S') AS is_head, NOT inside AND mark IS NULL AND regexp_matches(line, '{_RULE}') AND (before IS NULL OR trim(before) = '' OR regexp_matches(before, '{_RULE}')) AS is_break FROM st),
+se AS (SELECT *, sum((is_head OR is_break)::INT) OVER (PARTITION BY url ORDER BY no ROWS UNBOUNDED PRECEDING) AS section FROM fl),
+sg AS (SELECT url, section, max(line) FILTER (is_head) AS head, min(no) AS first, max(no) AS last, bool_or(is_break) AS broken, coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (NOT is_head AND NOT is_break), '') AS raw FROM se GROUP BY ALL),
+sh AS (SELECT *, CASE WHEN head IS NULL THEN '' ELSE {_HEADING("regexp_extract(head, '^#{2,3}" + chr(92) + "s+(.+?)" + chr(92) + "s*$', 1)")} END AS heading FROM sg),
+sb AS (SELECT *, CASE WHEN head IS NOT NULL THEN {_SLUG('heading')} END AS base FROM sh),
+sections AS (SELECT url, section, heading, CASE WHEN head IS NULL THEN 0 ELSE length(regexp_extract(head, '^(#+)', 1)) END AS level,
+  CASE WHEN base IS NULL THEN '' WHEN row_number() OVER b = 1 THEN base ELSE base || '-' || (row_number() OVER b - 1) END AS anchor,
+  CASE WHEN broken THEN first + 1 ELSE first END AS start, coalesce(lead(first) OVER (PARTITION BY url ORDER BY section), last + 1) AS "end", raw, {_PLAIN('raw')} AS text, {_PLAIN("array_to_string(" + _EMPHASIS('raw') + ", ' ')")} AS emphasis
+  FROM sb WINDOW b AS (PARTITION BY url, base ORDER BY section))"""
+
+
+@query("pf2_sections", f"WITH pg AS (SELECT doc_id AS url, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN i % 4 = 1 THEN '## ' || substr(x, 1, 20) ELSE x END), chr(10)) AS body FROM documents WHERE text IS NOT NULL), {SECTIONS_SQL} SELECT url AS doc_id, section, heading, level, anchor, start, \"end\", text, emphasis FROM sections")
 def _(spark, d):
     """Documents as markdown: every fourth line becomes a heading, so that sections, slugs and repeats occur."""
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 4 == 0, F.concat(F.lit("## "), F.substring(x, 1, 20))).otherwise(x))
@@ -63,13 +92,17 @@ def _(spark, d):
     return md.split_sections(pages, "doc_id").drop("raw")
 
 
-@query("pf3_anchor_slugs", "WITH h AS (SELECT doc_id, nullif(regexp_replace(regexp_replace(lower(split_part(text, ' ', 1)), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), '') AS s, source FROM documents), n AS (SELECT doc_id, coalesce(s, 'section') AS base, source FROM h) SELECT doc_id, base || CASE WHEN row_number() OVER w = 1 THEN '' ELSE '-' || (row_number() OVER w - 1) END AS anchor FROM n WINDOW w AS (PARTITION BY source, base ORDER BY doc_id)")
+@query("pf3_anchor_slugs", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents),
+h AS (SELECT doc_id, no, coalesce(nullif(regexp_replace(regexp_replace(lower(line), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), ''), 'section') AS base FROM l), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, base ORDER BY no) AS i FROM h)
+SELECT doc_id, (no - 1)::INT AS line, base || CASE WHEN i = 1 THEN '' ELSE '-' || (i - 1) END AS anchor FROM n""")
 def _(spark, d):
+    """Every line's slug, numbered where a document repeats it."""
     from pyspark.sql import Window as W
 
-    x = table(spark, d, "documents").select("doc_id", "source", tx.anchor_slug(F.substring_index("text", " ", 1)).alias("base"))
-    n = F.row_number().over(W.partitionBy("source", "base").orderBy("doc_id")) - 1
-    return x.select("doc_id", F.concat("base", F.when(n == 0, "").otherwise(F.concat(F.lit("-"), n))).alias("anchor"))
+    x = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "words"))
+    n = F.row_number().over(W.partitionBy("doc_id", "base").orderBy("line")) - 1
+    x = x.select("doc_id", "line", tx.anchor_slug("words").alias("base"))
+    return x.select("doc_id", "line", F.concat("base", F.when(n == 0, "").otherwise(F.concat(F.lit("-"), n))).alias("anchor"))
 
 
 @query("pf10_group_labels", "SELECT url, CASE " + " ".join(f"WHEN regexp_matches(p, '{r}') THEN '{v}'" for r, v in tx.GROUPS) + " ELSE 'Docs' END AS label FROM (SELECT url, ['/blog/', '/tutorial/', '/cli/', '/docs/', '/support/', '/blog/topics/'][page_id % 6 + 1] || page_id AS p FROM pages)")
@@ -113,7 +146,7 @@ def _(spark, d):
     return table(spark, d, "pages").select("page_id", tx.absolute_links(m, "https://docs.example.org").alias("md"))
 
 
-@query("pf20_link_rewrite")
+@query("pf20_link_rewrite", "WITH p AS (SELECT page_id, lead(page_id) OVER (ORDER BY page_id) AS nxt FROM pages), ids AS (SELECT page_id AS i FROM pages WHERE page_id % 2 = 0) SELECT 'page-' || page_id AS name, 'see [next](' || CASE WHEN page_id + 1 IN (SELECT i FROM ids) THEN '/p/' || (page_id + 1) || '/' ELSE 'page-' || (page_id + 1) END || '#top) and [x](' || CASE WHEN page_id * 2 IN (SELECT i FROM ids) THEN '/p/' || (page_id * 2) || '/' ELSE 'page-' || (page_id * 2) END || ')' AS body FROM p")
 def _(spark, d):
     """Each page links to the next by name; even ones are known targets."""
     p = table(spark, d, "pages").select(F.concat(F.lit("page-"), "page_id").alias("name"), F.concat(F.lit("see [next](page-"), F.col("page_id") + 1, F.lit("#top) and [x](page-"), F.col("page_id") * 2, F.lit(")")).alias("body"), "page_id")
@@ -235,8 +268,7 @@ def _sections(spark, d):
 @query("gq2_common_terms", f"WITH {_SDF}, n AS (SELECT count(*) AS n FROM documents) SELECT term, df FROM sdf, n WHERE df > greatest(8, floor(n * 0.05 + 0.5))")
 def _(spark, d):
     s = _sections(spark, d)
-    n = F.broadcast(s.agg(F.count("*").alias("_n")))
-    return lb.section_df(s).crossJoin(n).where(F.col("df") > F.greatest(F.lit(8), F.floor(F.col("_n") * 0.05 + 0.5))).drop("_n")
+    return lb.too_common(lb.section_df(s), s)
 
 
 @query("gq3_salient_terms", f"WITH {_SDF}, c AS (SELECT DISTINCT doc_id, unnest({_CONTENT('body')}) AS term FROM sd) SELECT '/doc/' || doc_id || '/' AS url, string_agg(term, ' ' ORDER BY df, term) AS terms FROM c JOIN sdf USING (term) WHERE length(term) > 3 AND df BETWEEN 2 AND 12 GROUP BY doc_id")
@@ -247,8 +279,8 @@ def _(spark, d):
 
 def _generated(spark, d):
     s = _sections(spark, d)
-    pages = table(spark, d, "documents").select(F.concat(F.lit("/doc/"), "doc_id", F.lit("/")).alias("url"), F.substring("text", 1, 60).alias("title"), F.substring("text", 1, 200).alias("summary"), F.concat_ws(",", "lang", "source").alias("keywords"))
-    answers = table(spark, d, "conversations").where("role = 'user'").select(F.concat(F.lit("/conv/"), "conv_id", F.lit("#"), "turn").alias("url"), F.substring("text", 1, 80).alias("title"))
+    pages = table(spark, d, "documents").select(F.concat(F.lit("/doc/"), "doc_id", F.lit("/")).alias("url"), F.substring_index("text", "\n", 1).alias("title"), tx.summary("text").alias("summary"), F.concat_ws(",", "lang", "source").alias("keywords"))
+    answers = table(spark, d, "conversations").where("role = 'user'").select(F.concat(F.lit("/conv/"), "conv_id", F.lit("#"), "turn").alias("url"), F.col("text").alias("title"))
     from .base import symbols
 
     return lb.generate(pages, s, answers, symbols(spark, d).select("url", F.col("symbol").alias("title"), F.lit("").alias("keywords")), lb.section_df(s))
@@ -305,55 +337,75 @@ def _(spark, d):
     return md.leak_scan(table(spark, d, "pages"), "html", (("script", "<script"), ("comment", "<!--"), ("template", r"\{%"))).select("page_id", "leak")
 
 
-@query("j19_answers_in_page", f"SELECT page_id, contains(regexp_replace(lower({_VISIBLE}), '\\s+', '', 'g'), regexp_replace(lower(substr({_VISIBLE}, 20, 40)), '\\s+', '', 'g')) AS found FROM pages")
+@query("j19_answers_in_page", rf"SELECT page_id, contains(regexp_replace(lower({_VISIBLE}), '\s+', '', 'g'), regexp_replace(lower(CASE WHEN page_id % 3 = 0 THEN reverse({_VISIBLE}) ELSE replace({_VISIBLE}, ' ', chr(10) || ' ') END), '\s+', '', 'g')) AS found FROM pages")
 def _(spark, d):
+    """The answers are whole visible texts in lines of a word, or back to front, which the page then lacks."""
     from ..operators.graph import answers_in_page
 
     v = table(spark, d, "pages").select(F.col("page_id").alias("url"), tx.visible_text("html").alias("text"))
-    return answers_in_page(v.select("url", F.substring("text", 20, 40).alias("answer")), v).select(F.col("url").alias("page_id"), "found")
+    said = F.when(F.col("url") % 3 == 0, F.reverse("text")).otherwise(F.replace("text", F.lit(" "), F.lit("\n ")))
+    return answers_in_page(v.select("url", said.alias("answer")), v).select(F.col("url").alias("page_id"), "found")
 
 
 def _markdown(spark, d):
-    """Documents as markdown pages: title, source, a FAQ section, every fourth line a heading. Synthetic, by fixed arithmetic."""
+    """Documents as markdown pages: title, source, every fourth line a heading, some of them FAQ sections with questions. Synthetic, by fixed arithmetic."""
+    head = lambda x: F.substring(x, 1, 20)
     lines = F.transform(
-        F.split("text", "\n"),
-        lambda x, i: F.when(i % 4 == 0, F.concat(F.when(i % 8 == 4, "### ").otherwise("## "), F.substring(x, 1, 20), F.when(i % 8 == 4, "?").otherwise(""))).when(i % 4 == 1, F.concat(F.lit("**"), F.substring(x, 1, 9), F.lit("** "), x)).otherwise(x),
+        F.split("text", "\n", -1),
+        lambda x, i: F.when(i % 16 == 0, "## FAQ").when(i % 8 == 0, F.concat(F.lit("## "), head(x))).when(i % 4 == 0, F.concat(F.lit("### "), head(x), F.lit("?"))).when(i % 4 == 1, F.concat(F.lit("**"), F.substring(x, 1, 9), F.lit("** "), x)).otherwise(x),
     )
-    head = F.concat(F.lit("# Page "), "doc_id", F.lit("\nSource: https://docs.example.org/d/"), "doc_id", F.lit("/\nTopics: x\n\n"))
-    return table(spark, d, "documents").select(F.concat(F.lit("d/"), "doc_id", F.lit("/index.md")).alias("path"), F.concat(head, F.array_join(lines, "\n")).alias("value"))
+    top = F.concat(F.lit("# Page "), "doc_id", F.lit("\nSource: https://docs.example.org/d/"), "doc_id", F.lit("/\nTopics: x\n\n"))
+    return table(spark, d, "documents").select(F.concat(F.lit("d/"), "doc_id", F.lit("/index.md")).alias("path"), F.concat(top, F.array_join(lines, "\n")).alias("value"))
 
 
-@query("pf1_headers")
+_PAGES = """pg AS (SELECT doc_id, 'd/' || doc_id || '/index.md' AS path, 'Page ' || doc_id AS title, '/d/' || doc_id || '/' AS url, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN i % 16 = 1 THEN '## FAQ' WHEN i % 8 = 1 THEN '## ' || substr(x, 1, 20)
+  WHEN i % 4 = 1 THEN '### ' || substr(x, 1, 20) || '?' WHEN i % 4 = 2 THEN '**' || substr(x, 1, 9) || '** ' || x ELSE x END), chr(10)) AS body FROM documents WHERE text IS NOT NULL)"""
+
+
+@query("pf1_headers", f"WITH {_PAGES} SELECT path, title, url, body, 4 AS body_line FROM pg")
 def _(spark, d):
     return md.parse_headers(_markdown(spark, d))
 
 
-@query("w16_section_ranges")
+@query("w16_section_ranges", f"WITH {_PAGES}, {SECTIONS_SQL} SELECT url, anchor, start, \"end\" FROM sections WHERE anchor <> ''")
 def _(spark, d):
     return md.split_sections(md.parse_headers(_markdown(spark, d)), "url").where("anchor <> ''").select("url", "anchor", "start", "end")
 
 
-@query("pf11_answers")
+_ANSWERS = f"an AS (SELECT heading AS title, CASE WHEN anchor <> '' THEN url || '#' || anchor ELSE url END AS url, {_SUMMARY('text')} AS first, pg.title AS kind FROM sections JOIN pg USING (url) WHERE level BETWEEN 2 AND 3 AND ends_with(heading, '?') AND text <> '')"
+
+
+@query("pf11_answers", f"WITH {_PAGES}, {SECTIONS_SQL}, {_ANSWERS} SELECT title, url, {_CLIP('first')} AS summary, kind FROM an")
 def _(spark, d):
     p = md.parse_headers(_markdown(spark, d))
-    return md.answers(md.split_sections(p, "url").join(p.select("url", "title"), "url"))
+    return md.answers(md.split_sections(p, "url").join(p.select("url", "title").hint("merge"), "url"))
 
 
-@query("pf12_faq_pairs")
+@query("pf12_faq_pairs", rf"""WITH {_PAGES}, ln AS (SELECT url, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS no FROM pg),
+fl AS (SELECT *, regexp_matches(line, '^##\s') AS h2, regexp_matches(line, '^###\s+\S') AS is_q FROM ln),
+fb AS (SELECT *, coalesce(last_value(CASE WHEN h2 THEN regexp_matches(line, '(?i)^##\s+(?:FAQ|Frequently asked)') END IGNORE NULLS) OVER w, false) AS in_faq, sum((h2 OR is_q)::INT) OVER w AS block FROM fl WINDOW w AS (PARTITION BY url ORDER BY no ROWS UNBOUNDED PRECEDING)),
+fx AS (SELECT *, NOT is_q AND trim(line) <> '' AS is_text, trim(line) = '' AS blank FROM fb WHERE in_faq AND NOT h2),
+fc AS (SELECT *, max(is_text::INT) OVER (PARTITION BY url, block ORDER BY no ROWS UNBOUNDED PRECEDING) AS begun FROM fx),
+fd AS (SELECT *, max((begun = 1 AND blank)::INT) OVER (PARTITION BY url, block ORDER BY no ROWS UNBOUNDED PRECEDING) AS closed FROM fc),
+fg AS (SELECT url, block, max(line) FILTER (is_q) AS q, string_agg(trim(line), ' ' ORDER BY no) FILTER (is_text AND closed = 0) AS a FROM fd GROUP BY ALL),
+fz AS (SELECT url, {_HEADING("regexp_extract(q, '^###" + chr(92) + "s+(.+?)" + chr(92) + "s*$', 1)")} AS question, {_PLAIN('a')} AS answer FROM fg WHERE q IS NOT NULL AND a IS NOT NULL)
+SELECT * FROM fz WHERE ends_with(question, '?')""")
 def _(spark, d):
-    return md.faq_pairs(md.parse_headers(_markdown(spark, d)), "url", "body", whole=True)
+    return md.faq_pairs(md.parse_headers(_markdown(spark, d)), "url", "body")
 
 
-@query("pf13_terms")
+@query("pf13_terms", f"WITH {_PAGES}, {SECTIONS_SQL}, un AS (SELECT *, coalesce(last_value(CASE WHEN level = 2 THEN heading END IGNORE NULLS) OVER (PARTITION BY url ORDER BY section ROWS UNBOUNDED PRECEDING), '') AS section_title FROM sections) SELECT url, section_title, heading AS term, {_SUMMARY('raw')} AS definition FROM un WHERE level = 3 AND text <> ''")
 def _(spark, d):
     return md.defined_terms(md.split_sections(md.parse_headers(_markdown(spark, d)), "url"))
 
 
-@query("sr1_records")
+@query("sr1_records", f"""WITH {_PAGES}, {SECTIONS_SQL}, {_ANSWERS}, cu AS (SELECT '/d/' || doc_id || '/' AS url, CASE WHEN doc_id % 5 = 0 THEN 'about ' || lang END AS curated, source AS keywords FROM documents), pf AS (SELECT title, url, curated, {_SUMMARY('body')} AS first, keywords FROM pg LEFT JOIN cu USING (url)), sy AS ({SYMBOLS_SQL})
+SELECT 0 AS grp, title, url, coalesce(curated, {_CLIP('first')}) AS summary, 'Docs' AS kind, keywords FROM pf UNION ALL SELECT 2, title, url, {_CLIP('first')}, kind, NULL FROM an UNION ALL SELECT 1, symbol, url, summary, 'symbol', NULL FROM sy""")
 def _(spark, d):
     from .base import symbols
 
     p = md.eligible(md.parse_headers(_markdown(spark, d)))
-    curated = table(spark, d, "documents").where("doc_id % 5 = 0").select(F.concat(F.lit("/d/"), "doc_id", F.lit("/")).alias("url"), F.lit(None).cast("string").alias("summary"), F.concat(F.lit("about "), "lang").alias("description"), "source").withColumnRenamed("source", "keywords")
+    about = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("about "), "lang")).alias("description")
+    curated = table(spark, d, "documents").select(F.concat(F.lit("/d/"), "doc_id", F.lit("/")).alias("url"), F.lit(None).cast("string").alias("summary"), about, F.col("source").alias("keywords"))
     sym = symbols(spark, d).select(F.col("symbol").alias("title"), "url", "summary", F.lit("symbol").alias("kind"))
     return md.records(p, md.split_sections(p, "url"), curated, sym)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import HYPHENATED, closed_up
 from ..operators import evaluate as ev
 from ..operators import search as se
 from .base import query, table
@@ -12,7 +13,8 @@ _TOK = "unnest(string_split_regex(lower({}), '[^a-z0-9]+'))"
 _STOP = "(" + ", ".join(f"'{w}'" for w in se.STOP_WORDS) + ")"
 SECTIONS = """sec AS (SELECT doc_id AS id, '/doc/' || doc_id || '/' AS url, split_part(text, chr(10), 1) AS heading,
   CASE WHEN contains(text, chr(10)) THEN substr(text, strpos(text, chr(10)) + 1) ELSE '' END AS body FROM documents)"""
-POSTINGS = f"""{SECTIONS}, tk AS (SELECT id, 'h' AS f, {_TOK.format('heading')} AS term FROM sec UNION ALL SELECT id, 'b' AS f, {_TOK.format('body')} AS term FROM sec),
+_EVERY = "unnest(list_concat(string_split_regex(lower({0}), '[^a-z0-9]+'), list_transform(regexp_extract_all(lower({0}), '" + HYPHENATED + "'), lambda h: replace(h, '-', ''))))"
+POSTINGS = f"""{SECTIONS}, tk AS (SELECT id, 'h' AS f, {_EVERY.format('heading')} AS term FROM sec UNION ALL SELECT id, 'b' AS f, {_EVERY.format('body')} AS term FROM sec),
 post AS (SELECT term, id, count(*) FILTER (f = 'h') AS tf_heading, count(*) FILTER (f = 'b') AS tf_body FROM tk WHERE term <> '' GROUP BY ALL)"""
 WEIGHTED = f"""{POSTINGS}, len AS (SELECT id, sum(tf_heading) AS lh, sum(tf_body) AS lb FROM post GROUP BY id),
 mean AS (SELECT count(*) AS n, greatest(avg(lh) FILTER (lh > 0), 1e-9) AS ah, greatest(avg(lb) FILTER (lb > 0), 1e-9) AS ab FROM len), dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term),
@@ -58,7 +60,7 @@ def labels(spark, d):
     """Documents that hold a query's sentence: the first is the target, the others are acceptable too."""
     docs = table(spark, d, "documents")
     parts = docs.select("doc_id", F.explode(F.transform(F.split("text", r"[.!?\n]+\s*"), F.trim)).alias("query")).distinct()
-    hit = bench_queries(spark, d).join(parts, "query").select("query_id", "doc_id").distinct()
+    hit = bench_queries(spark, d).hint("merge").join(parts, "query").select("query_id", "doc_id").distinct()
     lab = hit.groupBy("query_id").agg(F.min("doc_id").alias("t"), F.array_sort(F.collect_list("doc_id")).alias("ids"))
     url = lambda x: F.concat(F.lit("/doc/"), x, F.lit("/"))
     lab = lab.select("query_id", "t", url(F.col("t")).alias("target"), F.transform(F.filter("ids", lambda x: x != F.col("t")), url).alias("also"))
@@ -67,9 +69,7 @@ def labels(spark, d):
 
 def ranked(spark, d, s: se.Scoring = se.Scoring()):
     sec = sections(spark, d)
-    w = se.weighted_postings(sec, se.postings(sec), s)
-    hits = se.coverage_floor(se.score(se.query_terms(bench_queries(spark, d)), w), s)
-    return se.rank(hits, sec)
+    return se.rank(se.search(bench_queries(spark, d), sec, se.postings(sec), s), sec)
 
 
 def results(spark, d, s: se.Scoring = se.Scoring()):
@@ -114,28 +114,88 @@ def _(spark, d):
     return se.rarest_term(se.query_terms(bench_queries(spark, d)), se.document_frequency(se.postings(sections(spark, d))))
 
 
-@query("sr8_adjusted_hits")
+@query("sr17_closed_up", f"WITH {SECTIONS}, c AS (SELECT id, unnest(list_transform(regexp_extract_all(lower(heading || ' ' || body), '{HYPHENATED}'), lambda h: replace(h, '-', ''))) AS term FROM sec) SELECT term, count(DISTINCT id) AS n_sections, count(*) AS n FROM c GROUP BY term")
+def _(spark, d):
+    """Terms that a query without the hyphen finds."""
+    s = sections(spark, d).select("id", F.explode(closed_up(F.concat_ws(" ", "heading", "body"))).alias("term"))
+    return s.groupBy("term").agg(F.countDistinct("id").alias("n_sections"), F.count("*").alias("n"))
+
+
+_ADJUSTED = f"""{RANKED}, dfs2 AS (SELECT term, count(*) AS df FROM post GROUP BY term), topics AS (SELECT query_id, arg_min(term, (coalesce(df, 0), term)) AS topic_term FROM qt LEFT JOIN dfs2 USING (term) WHERE content GROUP BY query_id),
+tl AS (SELECT query_id, list(term) AS q_terms FROM qt GROUP BY query_id),
+adj AS (SELECT k.query_id, k.id, round(k.score
+  * CASE WHEN len(list_intersect(coalesce(q_terms, []), list_filter(string_split_regex(lower(heading), '[^a-z0-9]+'), lambda x: x <> ''))) = len(coalesce(q_terms, [])) THEN 1.5 ELSE 1.0 END
+  * CASE WHEN contains(lower(heading), lower(query)) THEN 1.2 ELSE 1.0 END
+  * CASE WHEN lower(heading) = lower(query) OR string_split_regex(lower(heading), '[./]')[-1] = lower(query) THEN 2.0 ELSE 1.0 END
+  * CASE WHEN topic_term IS NOT NULL AND p.id IS NULL THEN 0.5 ELSE 1.0 END, 6) AS score
+  FROM kept k JOIN q USING (query_id) JOIN sec s ON s.id = k.id LEFT JOIN tl USING (query_id) LEFT JOIN topics USING (query_id) LEFT JOIN post p ON p.id = k.id AND p.term = topic_term),
+placed AS (SELECT query_id, id, '/doc/' || id || '/' AS url, false AS external, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS position FROM adj)"""
+
+
+@query("sr8_adjusted_hits", f"WITH {_ADJUSTED} SELECT * FROM placed WHERE position <= 10")
 def _(spark, d):
     """All bonuses and penalties on the base hits; the ten best of each query."""
     sec = sections(spark, d)
     post, q = se.postings(sec), bench_queries(spark, d)
-    hits = se.coverage_floor(se.score(se.query_terms(q), se.weighted_postings(sec, post)))
-    return se.rank(se.adjust(hits, q, sec, post), sec).where("position <= 10")
+    return se.rank(se.adjust(se.search(q, sec, post), q, sec, post), sec).where("position <= 10")
+
+
+_VOC = f"{POSTINGS}, voc AS (SELECT term AS word, count(*) AS df FROM post GROUP BY term)"
+_FIX = """near AS (SELECT term, word, df FROM lost JOIN voc ON length(word) >= 4 AND abs(length(word) - length(term)) <= 1 AND damerau_levenshtein(term, word) = 1)"""
+_GARBLED = "gq AS (SELECT item_id AS query_id, arg_max(w, (length(w), w)) AS word FROM (SELECT item_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS w FROM benchmark) GROUP BY item_id), gb AS (SELECT query_id, substr(word, 1, 1) || substr(word, 3, 1) || substr(word, 2, 1) || substr(word, 4) AS query FROM gq WHERE length(word) >= 5)"
+
+
+def garbled(spark, d):
+    """One-word queries: the longest word of each benchmark item with its second and third letter swapped."""
+    w = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(se.tokens("text")).alias("w"))
+    w = w.groupBy("query_id").agg(F.max_by("w", F.struct(F.length("w"), "w")).alias("w")).where(F.length("w") >= 5)
+    part = lambda at, n: F.substring("w", at, n)
+    return w.select("query_id", F.concat(part(1, 1), part(3, 1), part(2, 1), F.expr("substr(w, 4)")).alias("query"))
+
+
+@query("sr21_relaxed", f"""WITH {_VOC}, {_GARBLED}, lost AS (SELECT DISTINCT query AS term FROM gb WHERE query NOT IN (SELECT word FROM voc) AND length(query) >= 4), {_FIX}
+SELECT query_id, arg_min(word, (-df, word)) AS query, false AS confident FROM gb JOIN near ON term = query GROUP BY query_id""")
+def _(spark, d):
+    """Rewrites of garbled queries, for those that find nothing."""
+    post = se.postings(sections(spark, d))
+    q, vocab = garbled(spark, d), se.document_frequency(post).withColumnRenamed("term", "word")
+    empty = q.join(vocab.select(F.col("word").alias("query")).hint("shuffle_hash"), "query", "left_anti").select("query_id", "query")
+    return se.relaxed_queries(empty, vocab)
+
+
+@query("sr21_search")
+def _(spark, d):
+    """Hits of garbled queries: as they are where they find something, else of their rewrite; the ten best of each."""
+    sec = sections(spark, d)
+    hits = se.search_relaxed(garbled(spark, d), sec, se.postings(sec))
+    best = se.rank(hits, sec).where("position <= 10")
+    return best.join(hits.select("query_id", "corrected").distinct().hint("merge"), "query_id").select("query_id", "corrected", "id", "score", "position")
+
+
+_WIDE = ("keywords", "heading", "path", "body")
+
+
+@query("sr14_sr15_fields", f"""WITH {SECTIONS}, f AS (SELECT id, lang || ',' || source AS keywords, '/' || lang || '/' || source || '/' || doc_id || '/' AS path, heading, body FROM sec JOIN documents ON id = doc_id),
+tk AS (SELECT id, 0 AS f, {_EVERY.format('keywords')} AS term FROM f UNION ALL SELECT id, 1, {_EVERY.format('heading')} FROM f UNION ALL SELECT id, 2, {_EVERY.format('path')} FROM f UNION ALL SELECT id, 3, {_EVERY.format('body')} FROM f)
+SELECT term, id, count(*) FILTER (f = 0) AS tf_keywords, count(*) FILTER (f = 1) AS tf_heading, count(*) FILTER (f = 2) AS tf_path, count(*) FILTER (f = 3) AS tf_body FROM tk WHERE term <> '' GROUP BY ALL""")
+def _(spark, d):
+    """The index with declared keywords and the words of the path as fields of their own."""
+    docs = table(spark, d, "documents")
+    own = docs.select(F.col("doc_id").alias("id"), F.concat_ws(",", "lang", "source").alias("keywords"), F.concat(F.lit("/"), "lang", F.lit("/"), "source", F.lit("/"), "doc_id", F.lit("/")).alias("path"))
+    return se.postings(sections(spark, d).join(own.hint("merge"), "id"), _WIDE)
 
 
-@query("sr12_infix_terms")
+@query("sr12_infix_terms", f"WITH {POSTINGS}, {QUERIES}, voc AS (SELECT DISTINCT term AS word FROM post) SELECT query_id, term, term AS match, 1.0::DOUBLE AS match_weight, content FROM qt UNION ALL SELECT query_id, term, word, CASE WHEN starts_with(word, term) THEN 1.0 ELSE 0.75 END::DOUBLE, content FROM qt JOIN voc ON length(word) > length(term) AND contains(word, term) WHERE length(term) >= 5")
 def _(spark, d):
     vocab = se.postings(sections(spark, d)).select(F.col("term").alias("word")).distinct()
     return se.with_infixes(se.query_terms(bench_queries(spark, d)), vocab)
 
 
-@query("sr21_spelling")
+@query("sr21_spelling", f"WITH {_VOC}, lost AS (SELECT DISTINCT term FROM (SELECT {_TOK.format('text')} AS term FROM benchmark) WHERE length(term) >= 4 AND term NOT IN (SELECT word FROM voc)), {_FIX} SELECT term, word, df FROM near")
 def _(spark, d):
     """Query terms that only benchmark text has, against the documents' vocabulary."""
-    post = se.postings(sections(spark, d))
-    vocab = se.document_frequency(post).select(F.col("term").alias("word"), "df")
-    terms = table(spark, d, "benchmark").select(F.explode(se.tokens("text")).alias("term"))
-    return se.spelling(terms, vocab)
+    vocab = se.document_frequency(se.postings(sections(spark, d))).withColumnRenamed("term", "word")
+    return se.spelling(table(spark, d, "benchmark").select(F.explode(se.tokens("text")).alias("term")), vocab)
 
 
 @query("j3_labels", f"WITH {QUERIES}, {LABELS} SELECT query_id, target, array_to_string(also, ',') AS also, topic FROM labels")
@@ -197,10 +257,10 @@ def _(spark, d):
     return r.select("n", "empty", F.round("median_top_score", 5).alias("median_top_score"), "p90_top_score")
 
 
-@query("ag12_label_fingerprint", f"WITH {QUERIES}, {LABELS} SELECT substr(sha256(string_agg(line, chr(10) ORDER BY line)), 1, 12) AS fingerprint, count(*) AS n FROM (SELECT query || chr(9) || target || chr(9) || array_to_string(list_sort(also), ',') || chr(9) || topic || chr(9) || 'natural' AS line FROM labels JOIN q USING (query_id))")
+@query("ag12_label_fingerprint", f"""WITH {QUERIES}, {LABELS}, l AS (SELECT sha256(query || chr(9) || target || chr(9) || array_to_string(list_sort(also), ',') || chr(9) || topic || chr(9) || 'natural') AS line FROM labels JOIN q USING (query_id)),
+b AS (SELECT substr(line, 1, 3) AS bucket, sha256(string_agg(line, chr(10) ORDER BY line)) AS digest, count(*) AS n FROM l GROUP BY 1) SELECT substr(sha256(coalesce(string_agg(digest, chr(10) ORDER BY bucket), '')), 1, 12) AS fingerprint, coalesce(sum(n), 0)::BIGINT AS n FROM b""")
 def _(spark, d):
-    lab = labels(spark, d).join(bench_queries(spark, d), "query_id").withColumn("src", F.lit("natural"))
-    return ev.fingerprint(lab)
+    return ev.fingerprint(labels(spark, d).join(bench_queries(spark, d).hint("merge"), "query_id").withColumn("src", F.lit("natural")))
 
 
 @query("ag13_label_counts", f"WITH {QUERIES}, {LABELS} SELECT topic, count(*) AS n FROM labels GROUP BY topic")
@@ -316,10 +376,23 @@ def _(spark, d):
     return ev.gate(values, spark.createDataFrame([("p1", 101.0, 200.0), ("absent", 0.0, 100.0)], "metric string, floor double, ceiling double"))
 
 
-@query("ag9_reachability", f"WITH {RESULTS} SELECT {_SH('position BETWEEN 1 AND 6')} AS in_top6, {_SH('returned > 0')} AS returned FROM results WHERE topic <> 'src0'")
+_REACH = f"{RESULTS}, mr AS (SELECT query_id AS mid, also[-1] AS must_reach FROM labels WHERE len(also) > 0), mrr AS (SELECT mid AS query_id, min(position) AS must_reach_rank FROM mr LEFT JOIN ranked ON query_id = mid AND url = must_reach GROUP BY mid)"
+
+
+def reached(spark, d):
+    """Results for labels that also name a page that must be found: the last of the acceptable ones."""
+    lab = labels(spark, d).withColumn("must_reach", F.when(F.size("also") > 0, F.element_at("also", -1)))
+    return ev.evaluate(lab, ranked(spark, d))
+
+
+@query("w2_ranks", f"WITH {_REACH} SELECT query_id, position, target_rank, must_reach_rank FROM results LEFT JOIN mrr USING (query_id)")
+def _(spark, d):
+    return reached(spark, d).select("query_id", "position", "target_rank", "must_reach_rank")
+
+
+@query("ag9_reachability", f"WITH {_REACH} SELECT count(*) AS n, {_SH('must_reach_rank BETWEEN 1 AND 6')} AS in_top6, {_SH('must_reach_rank IS NOT NULL')} AS returned FROM mrr")
 def _(spark, d):
-    r = results(spark, d).where("topic <> 'src0'")
-    return r.agg(ev._share((F.col("position") >= 1) & (F.col("position") <= 6)).alias("in_top6"), ev._share(F.col("returned") > 0).alias("returned"))
+    return ev.reachability(reached(spark, d))
 
 
 @query("ag7_macro_over_buckets", f"WITH {RESULTS}, b AS (SELECT query_id % 4 AS bucket, avg(accuracy) AS accuracy, avg(CASE WHEN position = 1 THEN 100.0 ELSE 0.0 END) AS top1, avg(CASE WHEN position = 0 THEN 100.0 ELSE 0.0 END) AS absent FROM results GROUP BY 1) SELECT count(*) AS n_buckets, round(avg(accuracy), 6) AS accuracy, round(avg(top1), 6) AS top1, round(avg(absent), 6) AS absent FROM b")
@@ -357,6 +430,13 @@ def _(spark, d):
     return p.groupBy("topic").agg(F.count("*").alias("n"), F.round(hit("now") - hit("was"), 6).alias("p1_delta"), F.round(F.avg("delta"), 6).alias("mrr_delta"))
 
 
+@query("ev10_levels")
+def _(spark, d):
+    """Micro over queries and macro over topics, with interval, signed ranks and McNemar."""
+    p = pairs(spark, d).join(labels(spark, d).select("query_id", "topic").hint("merge"), "query_id")
+    return ev.compare(p, 500)
+
+
 _EDITIONS = "sx AS (SELECT p_partkey AS id, p_partkey % 2 = 1 AS external, p_brand AS query_id, round(p_retailprice, 2) AS score FROM part)"
 
 
@@ -381,9 +461,9 @@ def _(spark, d):
     return t.join(se.postings(sections(spark, d)), "term").groupBy("query_id", "term").agg(F.count("*").alias("n_sections"))
 
 
-@query("sr18_scopes", "SELECT item_id AS query_id, CASE WHEN item_id % 2 = 0 THEN 'src' || item_id END AS scope, trim(substr(text, 1, 20)) AS query FROM benchmark")
+@query("sr18_scopes", "SELECT item_id AS query_id, CASE WHEN item_id % 2 = 0 THEN 'src' || item_id END AS scope, trim(text) AS query FROM benchmark")
 def _(spark, d):
-    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.substring("text", 1, 20), F.when(F.col("item_id") % 2 == 0, F.concat(F.lit(" pkg:src"), "item_id")).otherwise("")).alias("query"))
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat("text", F.when(F.col("item_id") % 2 == 0, F.concat(F.lit(" pkg:src"), "item_id")).otherwise("")).alias("query"))
     return se.scoped(q).select("query_id", "scope", "query").withColumn("query", F.when(F.col("query") != "", F.col("query")))
 
 
@@ -391,24 +471,51 @@ def _vocab(spark, d):
     return se.postings(sections(spark, d)).select(F.col("term").alias("word")).distinct()
 
 
-@query("sr2_lemmas")
+def _options():
+    """The rules of stem_candidates() as a DuckDB list."""
+    out = []
+    for i, (suffix, by) in enumerate(se.DETACH):
+        stem = f"word[:length(word) - {len(suffix)}] || '{by}'"
+        on = f"ends_with(word, '{suffix}') AND length(word) - {len(suffix)} >= 2"
+        out.append(f"CASE WHEN {on} THEN {{'rule': {2 * i}, 'stem': {stem}}} END")
+        out.append(f"CASE WHEN {on} AND contains('bdfglmnprt', right({stem}, 1)) AND right({stem}, 1) = left(right({stem}, 2), 1) AND length({stem}) >= 2 THEN {{'rule': {2 * i + 1}, 'stem': ({stem})[:-2]}} END")
+    return ", ".join(out)
+
+
+def _lemmas_sql(dictionary: str) -> str:
+    """lem (form, lemma) of the words voc (word)."""
+    return f"""cand AS (SELECT word, c.rule AS rule, c.stem AS stem FROM (SELECT word, unnest([{_options()}]) AS c FROM voc) WHERE c IS NOT NULL),
+lem AS (SELECT word AS form, stem AS lemma FROM (SELECT word, arg_min(stem, rule) AS stem FROM cand WHERE length(word) >= 2 AND stem IN ({dictionary}) GROUP BY word) WHERE stem <> word)"""
+
+
+_WORDS = f"{POSTINGS}, voc AS (SELECT DISTINCT term AS word FROM post)"
+
+
+@query("sr2_lemmas", f"WITH {_WORDS}, {_lemmas_sql('SELECT word FROM voc WHERE length(word) <= 6')} SELECT form, lemma FROM lem")
 def _(spark, d):
     """The vocabulary is its own dictionary: forms whose stem is also a word."""
     v = _vocab(spark, d)
     return se.lemmas(v, v.select(F.col("word").alias("lemma")).where(F.length("lemma") <= 6))
 
 
-@query("sr3_missing_stems")
+@query("sr3_missing_stems", f"WITH {_WORDS}, {_lemmas_sql('SELECT word FROM voc')} SELECT stem, min(word) AS saw_as FROM cand WHERE length(stem) >= 3 AND stem NOT IN (SELECT word FROM voc WHERE length(word) <= 3) AND stem IN (SELECT word FROM voc) AND NOT starts_with(stem, 'a') GROUP BY stem")
 def _(spark, d):
     v = _vocab(spark, d)
     return se.missing_stems(v, v.select(F.col("word").alias("lemma")).where(F.length("lemma") <= 3), v.where("word LIKE 'a%'"))
 
 
-@query("sr11_lemma_hits")
+@query("sr11_lemma_hits", f"""WITH {WEIGHTED}, voc AS (SELECT DISTINCT term AS word FROM post), {QUERIES}, {_lemmas_sql('SELECT word FROM voc')},
+qb AS (SELECT qt.*, coalesce(lemma, term) AS base FROM qt LEFT JOIN lem ON form = term), vb AS (SELECT word AS match, coalesce(lemma, word) AS base FROM voc LEFT JOIN lem ON form = word),
+mt AS (SELECT query_id, term, match, content, max(mw) AS mw FROM (SELECT query_id, term, match, content, CASE WHEN match = term THEN 1.0 ELSE 0.55 END AS mw FROM qb JOIN vb USING (base) UNION ALL SELECT query_id, term, term, content, 1.0 FROM qt) GROUP BY ALL),
+best AS (SELECT query_id, id, mt.term AS term, content, max(w * mw) AS w FROM mt JOIN weighted ON weighted.term = match GROUP BY ALL),
+ls AS (SELECT query_id, id, round(sum(w), 6) AS score, sum(content::INT) AS matched FROM best GROUP BY ALL), qn AS (SELECT query_id, sum(content::INT) AS n_content FROM qt GROUP BY query_id),
+lk AS (SELECT ls.* FROM ls JOIN qn USING (query_id) WHERE n_content < 3 OR matched >= 2), lr AS (SELECT query_id, id, '/doc/' || id || '/' AS url, false AS external, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS position FROM lk)
+SELECT * FROM lr WHERE position <= 10""")
 def _(spark, d):
     sec = sections(spark, d)
     post = se.postings(sec)
     v = post.select(F.col("term").alias("word")).distinct()
     lem = se.lemmas(v, v.select(F.col("word").alias("lemma")))
     terms = se.with_lemmas(se.query_terms(bench_queries(spark, d)), v, lem)
-    return se.rank(se.coverage_floor(se.score(terms, se.weighted_postings(sec, post))), sec).where("position <= 10")
+    weighted = se.weighted_postings(sec, post, only=terms.select(F.col("match").alias("term")))
+    return se.rank(se.coverage_floor(se.score(terms, weighted)), sec).where("position <= 10")

@@ -84,7 +84,47 @@ def test_spelling_and_relaxing(spark):
     empty = spark.createDataFrame([(1, "mesasge queue"), (2, "cache.get"), (3, "qqqqqq")], "query_id long, query string")
     got = {r["query_id"]: (r["query"], r["confident"]) for r in se.relaxed_queries(empty, vocab).collect()}
     assert got == {1: ("message queue", False), 2: ("cache get", True)}
-    assert se._restricted_distance("mesasge", "message") == 1 and se._restricted_distance("abcd", "badc") == 2
+    words = spark.createDataFrame([("mesasge", "message"), ("abcd", "badc"), ("abcd", "abcd"), ("abc", "abcd"), ("abcd", "abxd"), ("a", "a"), ("ab", "ba"), ("", "a")], "a string, b string")
+    assert [r["x"] for r in words.select(se.one_edit(F.col("a"), F.col("b")).alias("x")).collect()] == [True, False, False, True, True, False, True, True]
+
+
+def test_hyphens_do_not_matter(spark):
+    sec = sections(spark, [(1, "Handling back-pressure", "", "", "", 0), (2, "state-of-the-art queue - plain", "", "", "", 0)])
+    terms = {(r["term"], r["id"]) for r in se.postings(sec).collect()}
+    assert {("backpressure", 1), ("back", 1), ("pressure", 1), ("stateoftheart", 2), ("queue", 2)} <= terms and ("queueplain", 2) not in terms
+    q = spark.createDataFrame([(1, "backpressure")], "query_id long, query string")
+    assert [r["id"] for r in se.search(q, sec, se.postings(sec)).collect()] == [1]
+
+
+def test_only_empty_results_are_relaxed(spark):
+    sec = sections(spark, [(1, "message queue", "", "", "", 0), (2, "nest micro", "", "", "", 0), (3, "massage", "", "", "", 0)])
+    rows = [(1, "mesasge"), (2, "queue"), (3, "nest.micro"), (4, "zzzzzzzz"), (5, "micor.mesasge"), (6, "")]
+    q = spark.createDataFrame(rows, "query_id long, query string")
+    got = {(r["query_id"], r["corrected"], r["id"]) for r in se.search_relaxed(q, sec, se.postings(sec)).collect()}
+    assert got == {(1, "message", 1), (2, None, 1), (3, None, 2), (5, "micro message", 1), (5, "micro message", 2)}
+
+
+def test_levels_of_a_comparison(spark):
+    rows = [("a", 2, 1, 50.0)] * 9 + [("b", 1, 1, 0.0)] * 9 + [("c", 1, 2, -50.0)]
+    r = {x["level"]: x for x in ev.compare(spark.createDataFrame(rows, "topic string, was int, now int, delta double"), 200).collect()}
+    assert (r["micro"]["n"], r["micro"]["gained"], r["micro"]["lost"]) == (19, 9, 1) and r["micro"]["significant"] and r["micro"]["first_p"] < 0.05
+    assert (r["macro"]["n"], r["macro"]["mean"], r["macro"]["significant"]) == (3, 0.0, False)
+
+
+def test_pages_that_must_be_reached(spark):
+    labels = spark.createDataFrame([(1, "/a/", [], "/r/#x"), (2, "/b/", [], "/r/"), (3, "/c/", [], None)], "query_id long, target string, also array<string>, must_reach string")
+    ranked = spark.createDataFrame([(1, "/r/#y", 3, 1.0), (1, "/r/", 9, 0.5), (2, "/x/", 1, 1.0)], "query_id long, url string, position int, score double")
+    out = ev.evaluate(labels, ranked)
+    assert {r["query_id"]: r["must_reach_rank"] for r in out.collect()} == {1: 3, 2: None, 3: None}
+    assert tuple(ev.reachability(out).first()) == (2, 50.0, 50.0)
+    assert ev.evaluate(labels, ranked, strict=True).where("must_reach_rank IS NOT NULL").count() == 0
+
+
+def test_counts_before_each_value(spark):
+    xs = [(float(i * 37 % 101),) for i in range(500)]
+    got = {r["v"]: (r["_c"], r["_before"]) for r in ev.ordered_counts(spark.createDataFrame(xs, "v double"), "v").collect()}
+    flat = [x for (x,) in xs]
+    assert got == {x: (flat.count(x), sum(y < x for y in flat)) for x in set(flat)}
 
 
 def test_infixes(spark):
