@@ -22,7 +22,7 @@ def label_rows(labels: DataFrame) -> DataFrame:
 
 def evaluate(labels: DataFrame, ranked: DataFrame, strict: bool = False, deep: int = 50) -> DataFrame:
     """One row for each labelled query: position (first acceptable place, 0 beyond deep), target_position, target_rank (any depth, null: never),
-    accuracy, ndcg (best hit), returned, top_score.
+    must_reach_rank (any depth, null: never; only if labels have must_reach), accuracy, ndcg (best hit), returned, top_score.
 
     ranked (query_id, url, position, score); strict keeps the fragment of a url.
     """
@@ -30,21 +30,32 @@ def evaluate(labels: DataFrame, ranked: DataFrame, strict: bool = False, deep: i
     hits = ranked.select("query_id", key("url").alias("url"), "position", "score")
     lab = label_rows(labels).select("query_id", key("url").alias("url"), "is_target", "gain")
     lab = lab.groupBy("query_id", "url").agg(F.max("is_target").alias("is_target"), F.max("gain").alias("gain"))
-    j = hits.join(lab, ["query_id", "url"])
+    j = hits.hint("merge").join(lab, ["query_id", "url"])
     per = j.groupBy("query_id").agg(
         F.min("position").alias("first"), F.min(F.when(F.col("is_target"), F.col("position"))).alias("target_rank"), F.max(best_hit_gain("position", "gain")).alias("ndcg")
     )
     seen = hits.groupBy("query_id").agg(F.count("*").alias("returned"), F.max("score").alias("top_score"))
-    out = labels.join(per, "query_id", "left").join(seen, "query_id", "left")
+    out = labels.join(per.hint("merge"), "query_id", "left").join(seen.hint("merge"), "query_id", "left")
+    reach = []
+    if "must_reach" in labels.columns:
+        wanted = labels.where("must_reach IS NOT NULL").select("query_id", key("must_reach").alias("url"))
+        ranks = hits.hint("merge").join(wanted, ["query_id", "url"]).groupBy("query_id").agg(F.min("position").alias("must_reach_rank"))
+        out, reach = out.join(ranks.hint("merge"), "query_id", "left"), ["must_reach_rank"]
     shallow = lambda c: F.when(F.col(c) <= deep, F.col(c)).otherwise(0)
     return out.select(
         *labels.columns,
-        F.coalesce(shallow("first"), F.lit(0)).alias("position"), F.coalesce(shallow("target_rank"), F.lit(0)).alias("target_position"), "target_rank",
+        F.coalesce(shallow("first"), F.lit(0)).alias("position"), F.coalesce(shallow("target_rank"), F.lit(0)).alias("target_position"), "target_rank", *reach,
         position_score(F.coalesce("first", F.lit(0))).alias("accuracy"), (100 * F.coalesce("ndcg", F.lit(0.0))).alias("ndcg"),
         F.coalesce("returned", F.lit(0)).alias("returned"), F.coalesce("top_score", F.lit(0.0)).alias("top_score"),
     )
 
 
+def reachability(results: DataFrame) -> DataFrame:
+    """(n, in_top6, returned): of the rows that name a page that must be found, the share that has it in the first six places, and at all."""
+    r = F.col("must_reach_rank")
+    return results.where("must_reach IS NOT NULL").agg(F.count("*").alias("n"), _share(r.between(1, 6)).alias("in_top6"), _share(r.isNotNull()).alias("returned"))
+
+
 def _share(cond):
     return F.round(100 * F.avg(F.when(cond, 1.0).otherwise(0.0)), 6)
 
@@ -102,21 +113,35 @@ def restraint(top_scores: DataFrame, sample: int, seed: int = 7) -> DataFrame:
     return restraint_of(s)
 
 
+def ordered_counts(values: DataFrame, value: str) -> DataFrame:
+    """(value, _c, _before): how often each distinct value occurs and how many rows have a smaller one.
+
+    Ranges of values are summed on their own and only the ranges' totals, at most 128 rows, are ordered in one place.
+    """
+    parts = min(128, int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    g = values.groupBy(value).agg(F.count("*").alias("_c"))
+    cuts = F.broadcast(values.agg(F.percentile_approx(value, [i / parts for i in range(1, parts)] or [0.5], 10_000).alias("_cuts")))  # one row
+    g = g.crossJoin(cuts).withColumn("_part", F.size(F.filter("_cuts", lambda x: x < F.col(value)))).drop("_cuts")
+    totals = g.groupBy("_part").agg(F.sum("_c").alias("_n"))
+    totals = totals.withColumn("_base", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    inside = F.coalesce(F.sum("_c").over(W.partitionBy("_part").orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    g = g.withColumn("_in", inside).join(F.broadcast(totals.select("_part", "_base")), "_part")  # 128 rows at most
+    return g.select(value, "_c", (F.col("_base") + F.col("_in")).alias("_before"))
+
+
 def restraint_of(s: DataFrame) -> DataFrame:
     scored = s.where("top_score > 0")
-    w = W.orderBy("top_score", "query_id")  # at most a sample's rows
-    at = scored.withColumn("i", F.row_number().over(w) - 1).crossJoin(F.broadcast(scored.agg(F.count("*").alias("m"))))
-    p90 = at.where(F.col("i") == F.floor(F.col("m") * 0.9)).agg(F.max("top_score").alias("p90_top_score"))
+    at = ordered_counts(scored.select("top_score"), "top_score").crossJoin(F.broadcast(scored.agg(F.count("*").alias("m"))))
+    place = F.floor(F.col("m") * 0.9)
+    p90 = at.where((F.col("_before") <= place) & (place < F.col("_before") + F.col("_c"))).agg(F.max("top_score").alias("p90_top_score"))
     mid = s.agg(F.count("*").alias("n"), F.round(100 * F.avg((F.col("top_score") == 0).cast("double")), 6).alias("empty"), F.median(F.when(F.col("top_score") > 0, F.col("top_score"))).alias("median_top_score"))
     return mid.crossJoin(F.broadcast(p90))
 
 
 def tied_ranks(deltas: DataFrame, value: str) -> DataFrame:
-    """deltas with rk: the average rank among equal values. Ranks come from counts of distinct values, so only those are ordered in one place."""
-    g = deltas.groupBy(value).agg(F.count("*").alias("_c"))
-    before = F.sum("_c").over(W.orderBy(value).rowsBetween(W.unboundedPreceding, -1))
-    g = g.withColumn("rk", F.coalesce(before, F.lit(0)) + (F.col("_c") + 1) / 2)
-    return deltas.join(g.drop("_c"), value)
+    """deltas with rk: the average rank among equal values, from the counts of distinct values."""
+    g = ordered_counts(deltas.select(value), value)
+    return deltas.hint("merge").join(g.select(value, (F.col("_before") + (F.col("_c") + 1) / 2).alias("rk")), value)
 
 
 def wilcoxon(deltas: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -155,7 +180,9 @@ def bootstrap(values: DataFrame, replicates: int = 2000, seed: int = 0x5EED, lev
     hash, so the draws do not depend on the partitioning and there are replicates times distinct values of them, whatever the number of rows.
     """
     c = values.groupBy("value").agg(F.count("*").alias("c"))
-    draws = c.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    # The replicates are drawn one after the other inside a row and summed by a partial aggregate, so what is shuffled does not grow with the values.
+    b = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
+    draws = c.select("value", "c", b.alias("b"))
     unit = lambda k: (F.shiftrightunsigned(F.xxhash64(F.lit(seed + k), "b", "value"), 11).cast("double") + 0.5) / 2.0**53
     # Inverse of the Poisson distribution up to 60 for small means, a rounded normal above 30.
     step = lambda acc, k: F.struct((acc["p"] * F.col("c") / k).alias("p"), (acc["cdf"] + acc["p"] * F.col("c") / k).alias("cdf"), (acc["n"] + (unit(0) > acc["cdf"]).cast("int")).alias("n"))
@@ -179,6 +206,17 @@ def verdict(deltas: DataFrame, replicates: int = 2000) -> DataFrame:
     return j.withColumn("significant", clear & (F.col("p") < 0.05))
 
 
+def compare(pairs: DataFrame, replicates: int = 2000) -> DataFrame:
+    """pairs (topic, was, now, delta) of two runs -> one row a level: micro over queries and macro over topics' mean deltas, each with the bootstrap interval
+    and the signed-rank test, and the changes at the first place with McNemar's test (micro only)."""
+    first = pairs.select((F.col("was") == 1).alias("was_hit"), (F.col("now") == 1).alias("is_hit"))
+    hits = mcnemar(first).select("lost", "gained", F.col("p").alias("first_p"))
+    topics = pairs.groupBy("topic").agg(F.round(F.avg("delta"), 6).alias("delta"))
+    micro = verdict(pairs.select(F.round("delta", 6).alias("delta")), replicates).withColumn("level", F.lit("micro")).crossJoin(F.broadcast(hits))  # one row each
+    macro = verdict(topics.select("delta"), replicates).withColumn("level", F.lit("macro"))
+    return micro.unionByName(macro, allowMissingColumns=True)
+
+
 def halves(rows: DataFrame, topic: str) -> DataFrame:
     """(topic, n, side): topics by size, each to the side that is smaller so far. The fold is over topics, not rows."""
     sizes = rows.groupBy(F.col(topic).alias("topic")).agg(F.count("*").alias("n"))
@@ -194,9 +232,14 @@ def halves(rows: DataFrame, topic: str) -> DataFrame:
 
 
 def fingerprint(labels: DataFrame) -> DataFrame:
-    """(fingerprint, n): first 12 hex digits of a SHA-256 over the sorted label lines (label sets are small)."""
-    line = F.concat_ws("\t", "query", "target", F.array_join(F.array_sort("also"), ","), "topic", F.coalesce("src", F.lit("")))
-    return labels.agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256), 1, 12).alias("fingerprint"), F.count("*").alias("n"))
+    """(fingerprint, n): first 12 hex digits of a SHA-256 over the digests of 4,096 buckets of label lines, each over its sorted lines' digests.
+
+    A line's bucket is its digest's first three digits, so buckets are even, and no value holds all lines.
+    """
+    line = F.sha2(F.concat_ws("\t", "query", "target", F.array_join(F.array_sort("also"), ","), "topic", F.coalesce("src", F.lit(""))), 256)
+    bucket = labels.select(line.alias("line")).groupBy(F.substring("line", 1, 3).alias("bucket")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("digest"), F.count("*").alias("n"))
+    every = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "digest"))), lambda x: x["digest"]), "\n")  # 4,096 rows at most
+    return bucket.agg(F.substring(F.sha2(every, 256), 1, 12).alias("fingerprint"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
 
 def large_fingerprint(labels: DataFrame) -> DataFrame:
