@@ -74,23 +74,44 @@ def stale_versions(published: DataFrame, documented: DataFrame) -> DataFrame:
     return published.join(documented, "package", "left").withColumn("stale", ~F.col("latest").eqNullSafe(F.col("version")))
 
 
+def _parts_of(key):
+    """All subsets of a sorted topic list but the empty one; items have few topics (a site's tags are capped at four)."""
+    n = F.size(key)
+    masks = F.when(n > 0, F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), n) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(masks, lambda m: F.filter(key, lambda x, i: F.getbit(m, i) == 1))
+
+
+def _newest_of(items: DataFrame, key: str, n: int) -> DataFrame:
+    """(key, top): the n newest items of each key as an array of struct<date, url, ...>; the window's limit is applied before the shuffle, too."""
+    w = W.partitionBy(key).orderBy(F.desc("date"), "url")
+    rows = items.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
+    others = [c for c in items.columns if c != key]
+    return rows.groupBy(key).agg(F.collect_list(F.struct(*others)).alias("top"))
+
+
 def related(items: DataFrame, n: int = 5, backfill: bool = True) -> DataFrame:
     """items (url, date, topics) -> (url, other, overlap, position): others by shared topics, then date, then url; backfill adds others without any.
 
-    Overlap comes from an equi-join on topics. Backfill needs only the n + 1 newest items that share nothing, taken past those that do.
+    Items are asked for by topic set, not one by one. Whoever shares exactly the topics T with an item and is among its n best is among the n + 1 newest that have
+    all of T, so those of every subset of a set are all candidates: the work is linear in the items, however many share a topic.
     """
-    t = items.select("url", F.explode(F.array_distinct("topics")).alias("topic"))
-    pairs = t.join(t.withColumnRenamed("url", "other"), "topic").where("url <> other").groupBy("url", "other").agg(F.count("*").alias("overlap"))
-    dates = items.select(F.col("url").alias("other"), "date")
-    w = W.partitionBy("url").orderBy(F.desc("overlap"), F.desc("date"), "other")
-    best = pairs.join(dates, "other").withColumn("position", F.row_number().over(w)).where(F.col("position") <= n)
-    if not backfill:
-        return best.select("url", "other", "overlap", "position")
-    # At most n of the newest can be the item itself or among its best, so 2 n + 1 of them are enough.
-    newest = F.broadcast(dates.orderBy(F.desc("date"), "other").limit(2 * n + 1))
-    fill = items.select("url").crossJoin(newest).where("url <> other").join(best.select("url", "other"), ["url", "other"], "left_anti").withColumn("overlap", F.lit(0).cast("long"))
-    both = best.select("url", "other", "overlap", "date").unionByName(fill.select("url", "other", "overlap", "date"))
-    return both.withColumn("position", F.row_number().over(w)).where(F.col("position") <= n).select("url", "other", "overlap", "position")
+    keyed = items.select("url", "date", F.array_sort(F.array_distinct(F.coalesce("topics", F.array().cast("array<string>")))).alias("key"))
+    subset = lambda df: df.select("*", F.explode(_parts_of(F.col("key"))).alias("part"))
+    top = _newest_of(subset(keyed).select("part", "date", "url", "key"), "part", n + 1)
+    sets = subset(keyed.select("key").distinct()).hint("merge").join(top, "part").select("key", F.explode("top").alias("o")).distinct()
+    best = sets.groupBy("key").agg(  # at most n + 1 for each subset
+        F.slice(F.array_sort(F.collect_list(F.struct((-F.size(F.array_intersect("key", "o.key"))).alias("o"), (-F.unix_date(F.col("o.date").cast("date"))).alias("d"), F.col("o.url").alias("url")))), 1, n + 1).alias("best")
+    )
+    x = keyed.select("url", "key").hint("merge").join(best, "key", "left")
+    shared = F.transform(F.filter(F.coalesce("best", F.array().cast("array<struct<o:int,d:int,url:string>>")), lambda b: b["url"] != F.col("url")), lambda b: F.struct(b["url"].alias("other"), (-b["o"]).cast("long").alias("overlap")))
+    if backfill:
+        # At most n of the newest can be the item itself or among its best, so 2 n + 1 of them are enough.
+        newest = items.select("date", "url").orderBy(F.desc("date"), "url").limit(2 * n + 1)
+        newest = newest.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.unix_date(F.col("date").cast("date"))).alias("d"), "url"))), lambda x: x["url"]).alias("newest"))
+        x = x.crossJoin(F.broadcast(newest))  # one row
+        rest = F.filter("newest", lambda u: (u != F.col("url")) & ~F.exists(shared, lambda b: b["other"] == u))
+        shared = F.concat(shared, F.transform(rest, lambda u: F.struct(u.alias("other"), F.lit(0).cast("long").alias("overlap"))))
+    return x.select("url", F.posexplode(F.slice(shared, 1, n)).alias("i", "b")).select("url", "b.other", "b.overlap", (F.col("i") + 1).alias("position"))
 
 
 def topic_hubs(items: DataFrame, least: int = 3) -> DataFrame:
@@ -99,12 +120,17 @@ def topic_hubs(items: DataFrame, least: int = 3) -> DataFrame:
 
 
 def guides(items: DataFrame, posts: DataFrame, n: int = 6) -> DataFrame:
-    """(url, post, position): posts by the order of the item's topics, each once, at most n."""
-    t = items.select("url", F.posexplode("topics").alias("at", "topic"))
-    p = posts.select(F.col("url").alias("post"), "date", F.explode(F.array_distinct("topics")).alias("topic"))
-    first = t.join(p, "topic").groupBy("url", "post", "date").agg(F.min("at").alias("at"))
-    w = W.partitionBy("url").orderBy("at", F.desc("date"), "post")
-    return first.withColumn("position", F.row_number().over(w)).where(F.col("position") <= n).select("url", "post", "position")
+    """(url, post, position): posts by the order of the item's topics, each once, at most n.
+
+    The n newest posts of each topic are enough, as none of them comes later for having another topic as well; lists of topics are joined once, however many items have them.
+    """
+    top = _newest_of(posts.select("url", "date", F.explode(F.array_distinct("topics")).alias("topic")), "topic", n)
+    lists = items.select("topics").distinct().select("topics", F.posexplode("topics").alias("at", "topic"))
+    first = lists.hint("merge").join(top, "topic").select("topics", "at", F.explode("top").alias("p")).groupBy("topics", "p").agg(F.min("at").alias("at"))
+    order = F.array_sort(F.collect_list(F.struct("at", (-F.unix_date(F.col("p.date").cast("date"))).alias("d"), F.col("p.url").alias("post"))))  # at most n for each topic
+    best = first.groupBy("topics").agg(F.slice(order, 1, n).alias("best"))
+    out = items.select("url", "topics").hint("merge").join(best, "topics").select("url", F.posexplode("best").alias("i", "b"))
+    return out.select("url", "b.post", (F.col("i") + 1).alias("position"))
 
 
 def chapters(items: DataFrame) -> DataFrame:

@@ -170,16 +170,17 @@ def _(spark, d):
     return c.topic_hubs(posts(spark, d))
 
 
-# Related items are asked for the posts of one chapter each, so the query table is small beside the posts it is joined with.
-@query("w10_related", f"WITH p AS (SELECT * FROM ({POSTS_SQL}) WHERE chapter IS NOT NULL), t AS (SELECT url, unnest(list_distinct(topics)) AS topic FROM p), o AS (SELECT a.url, b.url AS other, count(*) AS overlap FROM t a JOIN t b USING (topic) WHERE a.url <> b.url GROUP BY ALL), r AS (SELECT o.*, row_number() OVER (PARTITION BY o.url ORDER BY overlap DESC, date DESC, other) AS position FROM o JOIN p ON p.url = other) SELECT * FROM r WHERE position <= 4")
+_RELATED = f"p AS ({POSTS_SQL}), t AS (SELECT url, unnest(list_distinct(topics)) AS topic FROM p), o AS (SELECT a.url, b.url AS other, count(*) AS overlap FROM t a JOIN t b USING (topic) WHERE a.url <> b.url GROUP BY ALL)"
+
+
+@query("w10_related", f"WITH {_RELATED}, r AS (SELECT o.*, row_number() OVER (PARTITION BY o.url ORDER BY overlap DESC, date DESC, other) AS position FROM o JOIN p ON p.url = other) SELECT * FROM r WHERE position <= 4")
 def _(spark, d):
-    return c.related(posts(spark, d).where("chapter IS NOT NULL"), 4, backfill=False)
+    return c.related(posts(spark, d), 4, backfill=False)
 
 
-@query("w9_related_backfilled", f"WITH p AS (SELECT url, date, ['u' || (CAST(regexp_extract(url, '(\\d+)', 1) AS INT) % 97)] AS topics FROM ({POSTS_SQL}) WHERE chapter IS NOT NULL), x AS (SELECT a.url, b.url AS other, CAST(a.topics[1] = b.topics[1] AS BIGINT) AS overlap, b.date FROM p a JOIN p b ON a.url <> b.url), r AS (SELECT url, other, overlap, row_number() OVER (PARTITION BY url ORDER BY overlap DESC, date DESC, other) AS position FROM x) SELECT * FROM r WHERE position <= 5")
+@query("w9_related_backfilled", f"WITH {_RELATED}, x AS (SELECT a.url, b.url AS other, coalesce(overlap, 0)::BIGINT AS overlap, b.date FROM p a JOIN p b ON a.url <> b.url LEFT JOIN o ON o.url = a.url AND o.other = b.url), r AS (SELECT url, other, overlap, row_number() OVER (PARTITION BY url ORDER BY overlap DESC, date DESC, other) AS position FROM x) SELECT * FROM r WHERE position <= 9")
 def _(spark, d):
-    p = posts(spark, d).where("chapter IS NOT NULL").select("url", "date", F.array(F.concat(F.lit("u"), F.regexp_extract("url", r"(\d+)", 1).cast("int") % 97)).alias("topics"))
-    return c.related(p, 5)
+    return c.related(posts(spark, d), 9)
 
 
 @query("w18_guides", f"WITH p AS ({POSTS_SQL}), i AS (SELECT DISTINCT lang AS url, ['t1', 't4', 'u' || length(lang)] AS topics FROM documents), t AS (SELECT url, unnest(topics) AS topic, generate_subscripts(topics, 1) AS pos FROM i), q AS (SELECT url AS post, date, unnest(list_distinct(topics)) AS topic FROM p), f AS (SELECT t.url, post, date, min(pos) AS pos FROM t JOIN q USING (topic) GROUP BY ALL), r AS (SELECT url, post, row_number() OVER (PARTITION BY url ORDER BY pos, date DESC, post) AS position FROM f) SELECT * FROM r WHERE position <= 6")
@@ -250,7 +251,7 @@ def _(spark, d):
     return r.select(F.concat_ws("/", "package", "version").alias("page")).distinct().orderBy("page")
 
 
-@query("io11_index_sizes")
+@query("io11_index_sizes", f"""SELECT lang, sum(octet_length(encode('{{"title":' || to_json(title) || ',"url":' || to_json(url) || '}}')))::BIGINT AS n_bytes FROM ({POSTS_SQL}) GROUP BY lang""")
 def _(spark, d):
     """Bytes of JSON text by group, as the sink's budget counts them."""
     p = posts(spark, d).select("lang", "title", "url")
