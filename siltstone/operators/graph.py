@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import anchors, links, resolve_link, url_host
@@ -41,8 +42,8 @@ def reachable(edge: DataFrame, seeds: DataFrame, stop=None, max_depth: int | Non
     front = seen
     for depth in itertools.count(1):
         go = front if stop is None else front.where(~stop)
-        new = go.join(edge, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        front = save(new.join(seen.select("node"), "node", "left_anti").select("node", F.lit(depth).alias("depth")))
+        new = go.hint("merge").join(edge, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+        front = save(new.hint("merge").join(seen.select("node"), "node", "left_anti").select("node", F.lit(depth).alias("depth")))
         if front.isEmpty():
             break
         if max_depth is not None and depth > max_depth:
@@ -65,7 +66,7 @@ def link_status(edge: DataFrame, pages: DataFrame, ids: DataFrame) -> DataFrame:
     """edge (src, dst, frag) with reason: status 404 for a page that is not there, missing anchor for a fragment its page lacks, else null."""
     p = pages.select(F.col("url").alias("dst"), F.lit(True).alias("_page")).distinct()
     i = ids.select(F.col("url").alias("dst"), F.col("id").alias("frag"), F.lit(True).alias("_id")).distinct()
-    j = edge.join(p, "dst", "left").join(i, ["dst", "frag"], "left")
+    j = edge.hint("merge").join(p, "dst", "left").hint("merge").join(i, ["dst", "frag"], "left")
     reason = F.when(F.col("_page").isNull(), "status 404").when((F.col("frag") != "") & F.col("_id").isNull(), "missing anchor")
     return j.withColumn("reason", reason).drop("_page", "_id")
 
@@ -81,11 +82,11 @@ def external_inventory(edge: DataFrame, allowed_hosts: DataFrame, allowed_prefix
     hosts = e.select("host").distinct()
     parts = F.split("host", r"\.")
     suffix = hosts.select("host", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))).alias("entry"))
-    ok = suffix.join(allowed_hosts.select(F.col("host").alias("entry")), "entry").select("host", F.lit(True).alias("_ok")).distinct()
+    ok = suffix.hint("merge").join(allowed_hosts.select(F.col("host").alias("entry")), "entry").select("host", F.lit(True).alias("_ok")).distinct()
     by_prefix = F.lit(False)
     for p in allowed_prefixes:
         by_prefix = by_prefix | F.col("dst").startswith(p)
-    j = e.join(ok, "host", "left").withColumn("allowed", F.coalesce("_ok", F.lit(False)) | by_prefix)
+    j = e.hint("merge").join(ok, "host", "left").withColumn("allowed", F.coalesce("_ok", F.lit(False)) | by_prefix)
     return j.groupBy("dst", "host", "allowed").agg(F.count("*").alias("n_links"))
 
 
@@ -113,15 +114,31 @@ def sitemap_audit(sitemap: DataFrame, pages: DataFrame, origin: str) -> DataFram
     return listed.unionByName(unlisted)
 
 
-def index_audit(records: DataFrame, sections: DataFrame, pages: DataFrame, ids: DataFrame) -> DataFrame:
-    """(url, problem) over an index: stale records, dangling anchors, malformed records, line ranges out of order."""
-    stale = records.join(pages.select("url").distinct(), F.split(records["url"], "#")[0] == pages["url"], "left_anti").select("url", F.lit("stale").alias("problem"))
+def index_audit(records: DataFrame, sections: DataFrame, pages: DataFrame, ids: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+    """(url, problem) over an index: stale records, dangling anchors, malformed records, pages without a record; ranges out of order, and with lines (url, no, line)
+    of the pages' mirrors, ranges that do not begin on a heading of level 2 or 3, cut a code fence in two, or whose page has no mirror.
+
+    Fences are counted once along each page; a range holds the difference of the counts at its two ends.
+    """
+    stale = records.join(pages.select("url").distinct().hint("merge"), F.split(records["url"], "#")[0] == pages["url"], "left_anti").select("url", F.lit("stale").alias("problem"))
     deep = sections.where("anchor <> ''").select("url", F.col("anchor").alias("id"))
-    dangling = deep.join(ids.select("url", "id").distinct(), ["url", "id"], "left_anti").select("url", F.lit("dangling anchor").alias("problem"))
+    dangling = deep.join(ids.select("url", "id").distinct().hint("merge"), ["url", "id"], "left_anti").select("url", F.lit("dangling anchor").alias("problem"))
     malformed = records.where("title IS NULL OR title = '' OR url IS NULL OR NOT url LIKE '/%'").select("url", F.lit("malformed").alias("problem"))
     ranges = sections.where("start < 0 OR end < start").select("url", F.lit("range").alias("problem"))
-    uncovered = pages.select("url").join(records.select(F.split("url", "#")[0].alias("url")).distinct(), "url", "left_anti").select("url", F.lit("not covered").alias("problem"))
-    return stale.unionByName(dangling).unionByName(malformed).unionByName(ranges).unionByName(uncovered).distinct()
+    covered = records.select(F.split("url", "#")[0].alias("url")).distinct()
+    uncovered = pages.select("url").join(covered.hint("merge"), "url", "left_anti").select("url", F.lit("not covered").alias("problem"))
+    out = stale.unionByName(dangling).unionByName(malformed).unionByName(ranges).unionByName(uncovered)
+    if lines is not None:
+        along = W.partitionBy("url").orderBy("no").rowsBetween(W.unboundedPreceding, -1)
+        fence = F.col("line").rlike(r"^\s{0,3}(?:```+|~~~+)").cast("int")
+        at = lines.select("url", "no", F.col("line").rlike(r"^#{2,3}\s+").alias("head"), F.coalesce(F.sum(fence).over(along), F.lit(0)).alias("before"), (F.coalesce(F.sum(fence).over(along), F.lit(0)) + fence).alias("upto"))
+        own = sections.where("anchor <> '' AND end > start").select("url", "start", "end").distinct()
+        one = own.hint("merge").join(at.select("url", F.col("no").alias("start"), "head", "before"), ["url", "start"], "left")
+        both = one.hint("merge").join(at.select("url", (F.col("no") + 1).alias("end"), "upto"), ["url", "end"], "left")
+        mirrored = both.hint("merge").join(lines.select("url", F.lit(True).alias("mirror")).distinct(), "url", "left")
+        problem = F.when(F.col("mirror").isNull(), "no mirror").when(~F.coalesce("head", F.lit(False)), "no heading").when((F.col("upto") - F.col("before")) % 2 != 0, "unbalanced fence")
+        out = out.unionByName(mirrored.select("url", problem.alias("problem")).where("problem IS NOT NULL"))
+    return out.distinct()
 
 
 def twin_differences(files: DataFrame, left: str, right: str) -> DataFrame:
@@ -137,31 +154,45 @@ def json_nodes(blocks: DataFrame) -> DataFrame:
     A block that is no JSON gives one row with parsed false. Node values stay JSON text.
     """
     v = blocks.withColumn("v", F.try_parse_json("block"))
-    bad = v.where("v IS NULL").select("url", *[F.lit(None).cast(t).alias(n) for n, t in (("id", "string"), ("type", "string"))], F.lit(False).alias("ref_only"), F.lit(None).cast("string").alias("canonical"), F.lit(False).alias("parsed"))
+    bad = v.where("v IS NULL").select("url", *[F.lit(None).cast("string").alias(n) for n in ("id", "type")], F.lit(False).alias("ref_only"), F.lit(None).cast("string").alias("canonical"), F.lit(False).alias("parsed"))
     graph = F.coalesce(F.try_variant_get("v", "$.@graph", "array<variant>"), F.try_variant_get("v", "$", "array<variant>"), F.array("v"))
     n = v.where("v IS NOT NULL").select("url", F.explode(graph).alias("node"))
-    get = lambda key: F.try_variant_get("node", f"$.@{key}", "string")
+    get = lambda key: F.try_variant_get("node", f"$.{key}", "string")
     keys = F.json_object_keys(F.to_json("node"))
-    good = n.select("url", get("id").alias("id"), get("type").alias("type"), (F.size(keys) == 1).alias("ref_only"), F.to_json("node").alias("canonical"), F.lit(True).alias("parsed"))
-    return good.unionByName(bad)
+    good = n.select("url", get("@id").alias("id"), get("@type").alias("type"), (F.size(keys) == 1).alias("ref_only"), F.to_json("node").alias("canonical"), get("about.@id").alias("about"), F.lit(True).alias("parsed"))
+    return good.unionByName(bad, allowMissingColumns=True)
 
 
-def json_audit(nodes: DataFrame, forbidden: tuple[str, ...] = ()) -> DataFrame:
-    """(url, id, problem): unparseable blocks, references inside a page without a definition there, ids with contradicting facts, persons without a name, forbidden keys."""
+def json_audit(nodes: DataFrame, forbidden: tuple[str, ...] = (), pages: DataFrame | None = None, subject: tuple[str, str, str] | None = None) -> DataFrame:
+    """(url, id, problem): unparseable blocks, references inside a page without a definition there, ids with contradicting facts, persons without a name, forbidden
+    keys; with pages (url) those that have no block at all; with subject (type, pattern of the url, id with $1 for its group) nodes of that type about anything else."""
     bad = nodes.where("NOT parsed").select("url", "id", F.lit("unparseable").alias("problem"))
     defined = nodes.where("parsed AND NOT ref_only AND id IS NOT NULL")
     refs = nodes.where("parsed").select("url", F.explode(F.regexp_extract_all("canonical", F.lit(r'\{"@id":"([^"]+)"\}'), F.lit(1))).alias("id")).distinct()
-    dangling = refs.join(defined.select("url", "id").distinct(), ["url", "id"], "left_anti").select("url", "id", F.lit("dangling").alias("problem"))
+    dangling = refs.hint("merge").join(defined.select("url", "id").distinct(), ["url", "id"], "left_anti").select("url", "id", F.lit("dangling").alias("problem"))
     many = defined.groupBy("id").agg(F.countDistinct("canonical").alias("n"), F.min("url").alias("url")).where("n > 1").select("url", "id", F.lit("contradicting").alias("problem"))
     anonymous = defined.where("type = 'Person' AND NOT canonical LIKE '%\"name\":%'").select("url", "id", F.lit("anonymous person").alias("problem"))
     out = bad.unionByName(dangling).unionByName(many).unionByName(anonymous)
     for k in forbidden:
         out = out.unionByName(nodes.where(F.col("canonical").contains(f'"{k}":')).select("url", "id", F.lit(f"forbidden {k}").alias("problem")))
+    if pages is not None:
+        none = pages.select("url").join(nodes.select("url").distinct().hint("merge"), "url", "left_anti")
+        out = out.unionByName(none.select("url", F.lit(None).cast("string").alias("id"), F.lit("missing").alias("problem")))
+    if subject is not None:
+        kind, pattern, of = subject
+        own = nodes.where((F.col("type") == kind) & F.col("url").rlike(pattern))
+        wanted = F.regexp_replace(F.regexp_extract("url", f"({pattern})", 1), pattern, of)
+        out = out.unionByName(own.where(~F.col("about").eqNullSafe(wanted)).select("url", "id", F.lit("wrong about").alias("problem")))
     return out.distinct()
 
 
+def node_types(nodes: DataFrame) -> DataFrame:
+    """(type, n) of the nodes that have one."""
+    return nodes.where("type IS NOT NULL").groupBy("type").agg(F.count("*").alias("n"))
+
+
 def answers_in_page(answers: DataFrame, pages: DataFrame) -> DataFrame:
     """answers (url, answer) with found: whether the page's text (pages: url, text) holds the answer, white space and case aside."""
     from ..functions.text import squash
 
-    return answers.join(pages.select("url", squash("text").alias("_t")), "url", "left").withColumn("found", F.coalesce(F.col("_t").contains(squash("answer")), F.lit(False))).drop("_t")
+    return answers.hint("merge").join(pages.select("url", squash("text").alias("_t")), "url", "left").withColumn("found", F.coalesce(F.col("_t").contains(squash("answer")), F.lit(False))).drop("_t")

@@ -84,10 +84,6 @@ BRANDS = (
 )
 
 
-def _family(agent: Column, field: int) -> Column:
-    return first_match(agent, [(f"(?i){a[0]}", a[field]) for a in AGENTS])
-
-
 def under(host: Column, suffixes: tuple[str, ...]) -> Column:
     """Whether host is one of the suffixes or below it."""
     out = F.lit(False)
@@ -102,7 +98,12 @@ def with_agent(df: DataFrame) -> DataFrame:
     kind is null where nothing about the request is worth an event: an ordinary page or file fetched by an unnamed client.
     """
     ua = F.coalesce("user_agent", F.lit(""))
-    df = df.withColumns({"_crawler": F.when(ua == "", "no-user-agent").otherwise(_family(ua, 1)), "_operator": F.when(ua == "", "Unidentified").otherwise(_family(ua, 2)), "_kind": F.when(ua == "", F.lit(None)).otherwise(_family(ua, 3)), "_surface": first_match(F.col("path"), SURFACES)})
+    rule = first_match(ua, [(f"(?i){a[0]}", i) for i, a in enumerate(AGENTS)])
+    # The rule is found once, in a projection of its own; everything else about the family is an array's element.
+    df = df.withColumn("_rule", F.explode(F.array(F.when(ua == "", F.lit(-1)).otherwise(rule))))
+    of = lambda field: F.get(F.array(*[F.lit(a[field]) for a in AGENTS]), F.when(F.col("_rule") >= 0, F.col("_rule")))
+    none = F.col("_rule") == -1
+    df = df.withColumns({"_crawler": F.when(none, "no-user-agent").otherwise(of(1)), "_operator": F.when(none, "Unidentified").otherwise(of(2)), "_kind": of(3), "_surface": first_match(F.col("path"), SURFACES)}).drop("_rule")
     found = F.col("_crawler").isNotNull()
     botish = ua.rlike(SELF_DECLARED_BOT)
     dest = F.coalesce("sec_fetch_dest", F.lit(""))
@@ -127,15 +128,19 @@ def with_referrer(df: DataFrame, own: tuple[str, ...]) -> DataFrame:
     """df (referrer) with referrer_host and ai_source: none, invalid and other, internal, or a brand."""
     ref = F.coalesce("referrer", F.lit(""))
     host = url_host(ref)
-    brand = F.when(under(host, own), "internal")
-    for name, hosts in BRANDS:
-        brand = brand.when(under(host, hosts), name)
+    df = df.withColumn("_host", F.explode(F.array(F.coalesce(host, F.lit("")))))
+    host = F.col("_host")
+    # A host's suffixes meet the brands' hosts in a map, the longest first.
+    parts = F.split(host, r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    table = F.create_map(*[F.lit(x) for name, hosts in BRANDS for h in hosts for x in (h, name)])
+    brand = F.get(F.array_compact(F.transform(suffixes, lambda x: F.try_element_at(table, x))), F.lit(0))
     return df.withColumns(
         {
-            "referrer_host": F.when(ref == "", "none").when(F.coalesce(host, F.lit("")) == "", "invalid").otherwise(host),
-            "ai_source": F.when(ref == "", "none").when(F.coalesce(host, F.lit("")) == "", "other").otherwise(brand.otherwise("other")),
+            "referrer_host": F.when(ref == "", "none").when(host == "", "invalid").otherwise(host),
+            "ai_source": F.when(ref == "", "none").when(host == "", "other").when(under(host, own), "internal").otherwise(F.coalesce(brand, F.lit("other"))),
         }
-    )
+    ).drop("_host")
 
 
 def visits(requests: DataFrame, salt: str | None, own: tuple[str, ...] = ("example.org", "example.com")) -> DataFrame:

@@ -213,7 +213,7 @@ def _(spark, d):
     return p.where("page_id % 2 = 0").select("url").join(p.where("page_id % 5 = 0").select("url"), "url", "left_anti")
 
 
-@query("s7_twins")
+@query("s7_twins", "SELECT CAST(page_id AS VARCHAR) AS key FROM pages WHERE page_id % 7 = 0 OR (page_id % 5 = 0 AND html <> upper(html))")
 def _(spark, d):
     p = table(spark, d, "pages")
     left = p.select(F.concat(F.lit("/a/"), "page_id").alias("path"), F.col("html").alias("content"))
@@ -221,25 +221,44 @@ def _(spark, d):
     return g.twin_differences(left.unionByName(right), "/a/", "/b/").select("key")
 
 
-@query("gr10_structured_data")
-def _(spark, d):
-    """Blocks by fixed arithmetic on pages: some are broken, some refer to nodes that are not there, ids contradict each other."""
+def structured(spark, d):
+    """Blocks by fixed arithmetic on pages: some are broken, some pages have none, some nodes refer to others that are not there, ids contradict each other."""
     i = F.col("page_id")
-    block = F.when(i % 11 == 0, "{broken").when(i % 2 == 0, F.concat(F.lit('{"@graph":[{"@id":"#a","@type":"Person","name":"n'), i % 3, F.lit('"},{"@id":"#b","@type":"Article","author":{"@id":"#'), F.when(i % 3 == 0, "a").otherwise("zz"), F.lit('"}}]}')))
-    blocks = table(spark, d, "pages").select("url", block.otherwise(F.concat(F.lit('{"@id":"#p'), i % 5, F.lit('","@type":"Person"}'))).alias("block"))
-    return g.json_audit(g.json_nodes(blocks), ("email",))
+    graph = F.concat(F.lit('{"@graph":[{"@id":"#a","@type":"Person","name":"n'), i % 3, F.lit('"},{"@id":"#b","@type":"Article","author":{"@id":"#'), F.when(i % 3 == 0, "a").otherwise("zz"), F.lit('"},"about":{"@id":"/of/'), i % 4, F.lit('"}}]}'))
+    block = F.when(i % 11 == 0, "{broken").when(i % 2 == 0, graph).otherwise(F.concat(F.lit('{"@id":"#p'), i % 5, F.lit('","@type":"Person"}')))
+    pages = table(spark, d, "pages").select(F.concat(F.lit("/of/"), i % 3, F.lit("/"), i).alias("url"), i)
+    return pages, g.json_nodes(pages.where("page_id % 13 <> 0").select("url", block.alias("block")))
+
 
+_NODES = """pg AS (SELECT page_id AS i, '/of/' || (page_id % 3) || '/' || page_id AS url FROM pages), bl AS (SELECT * FROM pg WHERE i % 13 <> 0), ok AS (SELECT * FROM bl WHERE i % 11 <> 0), ev AS (SELECT * FROM ok WHERE i % 2 = 0), od AS (SELECT * FROM ok WHERE i % 2 = 1)"""
 
-@query("ag17_node_types", """SELECT type, count(*) AS n FROM (SELECT json_extract_string(props, '$.k')::INT % 5 AS type FROM events) GROUP BY type ORDER BY n DESC, type LIMIT 8""")
+
+@query("gr10_structured_data", f"""WITH {_NODES}, un AS (SELECT url, NULL AS id, 'unparseable' AS problem FROM bl WHERE i % 11 = 0 UNION ALL SELECT url, '#zz', 'dangling' FROM ev WHERE i % 3 <> 0 UNION ALL SELECT url, '/of/' || (i % 4), 'dangling' FROM ev
+UNION ALL SELECT min(url), '#a', 'contradicting' FROM ev HAVING count(DISTINCT i % 3) > 1 UNION ALL SELECT min(url), '#b', 'contradicting' FROM ev HAVING count(DISTINCT (i % 3 = 0, i % 4)) > 1
+UNION ALL SELECT url, '#p' || (i % 5), 'anonymous person' FROM od UNION ALL SELECT url, NULL, 'missing' FROM pg WHERE i % 13 = 0 UNION ALL SELECT url, '#b', 'wrong about' FROM ev WHERE i % 4 <> i % 3) SELECT DISTINCT * FROM un""")
 def _(spark, d):
-    t = table(spark, d, "events").select((F.get_json_object("props", "$.k").cast("int") % 5).alias("type"))
-    return t.groupBy("type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "type").limit(8)
+    pages, nodes = structured(spark, d)
+    return g.json_audit(nodes, ("email",), pages, ("Article", "^(/of/[0-9]+)/.*$", "$1"))
 
 
-@query("gr7_index_audit")
+@query("ag17_node_types", f"WITH {_NODES} SELECT type, sum(n)::BIGINT AS n FROM (SELECT 'Person' AS type, count(*) AS n FROM ok UNION ALL SELECT 'Article', count(*) FROM ev) GROUP BY type HAVING sum(n) > 0 ORDER BY n DESC, type LIMIT 8")
 def _(spark, d):
-    p = table(spark, d, "pages")
-    pages = p.select(F.concat(F.lit("/p/"), "page_id").alias("url"))
-    recs = p.select(F.concat(F.lit("/p/"), F.col("page_id") + F.when(F.col("page_id") % 10 == 0, 100_000).otherwise(0)).alias("url"), F.when(F.col("page_id") % 13 == 0, "").otherwise("t").alias("title"))
-    secs = p.select(F.concat(F.lit("/p/"), "page_id").alias("url"), F.concat(F.lit("s"), F.col("page_id") % 3).alias("anchor"), F.lit(3).alias("start"), (F.col("page_id") % 8).alias("end"))
-    return g.index_audit(recs, secs, pages, pages.select("url", F.lit("s1").alias("id")))
+    """The eight most frequent types; the cut is the feature."""
+    return g.node_types(structured(spark, d)[1]).orderBy(F.desc("n"), "type").limit(8)
+
+
+@query("gr7_index_audit", """WITH p AS (SELECT page_id AS i, '/p/' || page_id AS url FROM pages), r AS (SELECT '/p/' || (i + CASE WHEN i % 10 = 0 THEN 100000 ELSE 0 END) AS url, CASE WHEN i % 13 = 0 THEN '' ELSE 't' END AS title FROM p),
+f AS (SELECT i, url, i % 8 AS e, (i % 3 = 0)::INT AS a, (i % 6 = 0)::INT AS b FROM p),
+un AS (SELECT url, 'stale' AS problem FROM r WHERE url NOT IN (SELECT url FROM p) UNION ALL SELECT url, 'dangling anchor' FROM p WHERE i % 3 <> 1 UNION ALL SELECT url, 'malformed' FROM r WHERE title = '' UNION ALL SELECT url, 'range' FROM p WHERE i % 8 < 3
+UNION ALL SELECT url, 'not covered' FROM p WHERE url NOT IN (SELECT url FROM r) UNION ALL SELECT url, CASE WHEN i % 17 = 0 THEN 'no mirror' WHEN i % 4 = 0 THEN 'no heading' ELSE 'unbalanced fence' END FROM f
+WHERE e > 3 AND (i % 17 = 0 OR i % 4 = 0 OR (CASE WHEN e > 4 THEN a ELSE 0 END + CASE WHEN e > 6 THEN b ELSE 0 END) % 2 = 1)) SELECT DISTINCT * FROM un""")
+def _(spark, d):
+    """Records, ranges and mirrors by fixed arithmetic on pages: mirrors of ten lines with a heading on line 3 and fences on lines 4 and 6, each on some pages only."""
+    p, i, no = table(spark, d, "pages"), F.col("page_id"), F.col("no")
+    url = F.concat(F.lit("/p/"), i).alias("url")
+    pages = p.select(url)
+    recs = p.select(F.concat(F.lit("/p/"), i + F.when(i % 10 == 0, 100_000).otherwise(0)).alias("url"), F.when(i % 13 == 0, "").otherwise("t").alias("title"))
+    secs = p.select(url, F.concat(F.lit("s"), i % 3).alias("anchor"), F.lit(3).alias("start"), (i % 8).cast("int").alias("end"))
+    line = F.when((no == 3) & (i % 4 != 0), "## part").when(((no == 4) & (i % 3 == 0)) | ((no == 6) & (i % 6 == 0)), "```").otherwise("text")
+    lines = p.where("page_id % 17 <> 0").select("page_id", url, F.explode(F.sequence(F.lit(0), F.lit(9))).alias("no")).select("url", "no", line.alias("line"))
+    return g.index_audit(recs, secs, pages, pages.select("url", F.lit("s1").alias("id")), lines)

@@ -126,9 +126,10 @@ def _(spark, d):
     return t.leaks(_visits(spark, d), requests(spark, d).where("user_agent <> ''"), SALT).agg(F.count("*").alias("n"))
 
 
-@query("s8_fetch_parity", VISITS_SQL + "SELECT path, count(DISTINCT status) AS n_status, count(DISTINCT length(path)) AS n_sizes, count(DISTINCT kind) AS n_kinds FROM visits GROUP BY path HAVING count(DISTINCT status) > 1 OR count(DISTINCT length(path)) > 1")
+@query("s8_fetch_parity", VISITS_SQL + "SELECT path, count(DISTINCT status) AS n_status, count(DISTINCT event_id % 3) AS n_sizes, count(DISTINCT kind) AS n_kinds FROM visits GROUP BY path HAVING count(DISTINCT status) > 1 OR count(DISTINCT event_id % 3) > 1")
 def _(spark, d):
-    return t.fetch_parity(_visits(spark, d).withColumn("size", F.length("path")))
+    """Sizes by arithmetic on ids, as the log has none."""
+    return t.fetch_parity(_visits(spark, d).withColumn("size", F.col("event_id") % 3))
 
 
 @query("f10_slugs", f"SELECT DISTINCT p_type, {_SLUG('p_type')} AS slug FROM part")

@@ -166,3 +166,60 @@ def test_sources(spark, tmp_path):
     assert src.write_index(recs, f"{tmp_path}/idx", 1000).count() == 1
     front = spark.createDataFrame([("/a/", "s", "d", "k", False), ("/b/", None, "d", "k", True), ("/c/", None, "d", "k", None)], "url string, summary string, description string, keywords string, generated boolean")
     assert sorted((r["url"], r["description"]) for r in src.curated(front).collect()) == [("/a/", "s"), ("/c/", "d")]
+
+
+def test_sitemap_index_is_followed(spark, tmp_path):
+    page = lambda *locs: "<urlset>" + "".join(f"<url><loc>{x}</loc></url>" for x in locs) + "</urlset>"
+    (tmp_path / "blog.xml").write_text(page("https://a/1/", "https://a/2/"))
+    (tmp_path / "docs.xml").write_text(page("https://a/3/"))
+    (tmp_path / "none.xml").write_text(page())
+    index = lambda *names: "<sitemapindex>" + "".join(f"<sitemap><loc>{n}</loc></sitemap>" for n in names) + "</sitemapindex>"
+    (tmp_path / "s.xml").write_text(index("https://a/blog.xml", "https://a/docs.xml"))
+    got = sorted((r["bucket"], r["loc"]) for r in src.sitemap_tree(spark, f"{tmp_path}/s.xml", str(tmp_path)).collect())
+    assert got == [("blog.xml", "https://a/1/"), ("blog.xml", "https://a/2/"), ("docs.xml", "https://a/3/")]
+    assert [r["bucket"] for r in src.sitemap_tree(spark, f"{tmp_path}/docs.xml", str(tmp_path)).collect()] == ["docs.xml"]
+    for names in (("https://a/blog.xml", "https://b/docs.xml"), ("https://a/none.xml",)):
+        (tmp_path / "bad.xml").write_text(index(*names))
+        with pytest.raises(ValueError):
+            src.sitemap_tree(spark, f"{tmp_path}/bad.xml", str(tmp_path))
+
+
+def test_index_budget_is_of_compressed_text(spark, tmp_path):
+    recs = spark.createDataFrame([(i % 2, f"title {i} " + "x" * 200) for i in range(40)], "grp int, title string")
+    r = {x["grp"]: x for x in src.index_sizes(recs).collect()}
+    assert set(r) == {"0", "1"} and all(x["n_bytes"] > 20 * 200 > 5 * x["gz_bytes"] for x in r.values())
+    assert src.write_index(recs, f"{tmp_path}/idx", 1000).count() == 2
+
+
+def test_related_items_against_all_pairs(spark):
+    import datetime
+    import random
+
+    rng = random.Random(4)
+    rows = [(f"/{i}/", datetime.date(2024, 1, 1) + datetime.timedelta(rng.randrange(9)), rng.choice([["hot"], ["hot", "b"], ["b", "c", "hot"], ["d"], [], None, ["d", "d", "c"]])) for i in range(80)]
+    items = spark.createDataFrame(rows, "url string, date date, topics array<string>")
+    for n, fill in ((3, True), (4, False), (7, True)):
+        want = set()
+        for u, _, t in rows:
+            shared = [(len(set(t or ()) & set(t2 or ())), d2, u2) for u2, d2, t2 in rows if u2 != u]
+            order = sorted((x for x in shared if fill or x[0]), key=lambda x: (-x[0], -x[1].toordinal(), x[2]))[:n]
+            want |= {(u, u2, o, i) for i, (o, _, u2) in enumerate(order, 1)}
+        assert {tuple(r) for r in c.related(items, n, fill).collect()} == want
+    guided = spark.createDataFrame([("/g/", ["d", "hot"]), ("/h/", ["c"]), ("/none/", ["zz"])], "url string, topics array<string>")
+    want = set()
+    for u, t in (("/g/", ["d", "hot"]), ("/h/", ["c"])):
+        hit = [(min(t.index(x) for x in t2 if x in t), -d2.toordinal(), u2) for u2, d2, t2 in rows if t2 and set(t2) & set(t)]
+        want |= {(u, x[2], i) for i, x in enumerate(sorted(hit)[:6], 1)}
+    assert {tuple(r) for r in c.guides(guided, items.where("topics IS NOT NULL")).collect()} == want
+
+
+def test_ranges_on_mirror_lines(spark):
+    lines = ["# T", "## one", "```", "x", "```", "### two", "~~~", "y"]
+    mirror = spark.createDataFrame([("/a/", i, x) for i, x in enumerate(lines)], "url string, no int, line string")
+    secs = [("/a/", "one", 1, 5), ("/a/", "two", 5, 8), ("/a/", "off", 3, 5), ("/b/", "x", 1, 2)]
+    s = spark.createDataFrame(secs, "url string, anchor string, start int, end int")
+    pages = spark.createDataFrame([("/a/",), ("/b/",)], "url string")
+    ids = spark.createDataFrame([(u, a) for u, a, *_ in secs], "url string, id string")
+    recs = spark.createDataFrame([("/a/", "t"), ("/b/", "t")], "url string, title string")
+    got = {(r["url"], r["problem"]) for r in g.index_audit(recs, s, pages, ids, mirror).collect()}
+    assert got == {("/a/", "no heading"), ("/a/", "unbalanced fence"), ("/b/", "no mirror")}
