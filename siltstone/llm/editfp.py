@@ -267,7 +267,7 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
                         yield flush(t)
                     held, size = [], 0
                     continue
-                if held and size > 3_000_000:
+                if held and size > 1_500_000:
                     yield flush(t)
                     held, size = [], 0
                 held.append((k, t))
