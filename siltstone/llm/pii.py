@@ -56,6 +56,8 @@ _ENTRY = {
     "email": "@(.+)$", "ip": r"^([0-9]+\.[0-9]+)\.", "card": "^((?:[0-9][ -]?){6})", "phone": r"^(\+[0-9]{1,3})", "mail2": r"(?:\[at\]|\(at\)) ?(.+)$", "tel2": r"^\(?([0-9]{3})",
     "ssn": "^([0-9]{3})", "iban": "^([A-Z]{2}[0-9]{2} ?[A-Z0-9]{4})", "name": r" (\p{Lu}\p{Ll}+)",
 }
+#: Kinds with a checksum: one that fails is refused whatever speaks for it.
+CHECKED = ("iban",)
 #: Slots of the learned gazetteer for each kind; entries that share one share their vote.
 SLOTS = 8192
 #: Distinct spans that an entry needs to be learned.
@@ -240,7 +242,7 @@ def personal_data(docs: DataFrame, gazetteer: DataFrame | None = None) -> DataFr
     score = train(found)
     df = found.withColumn("base", F.concat(*[of_kind(F.col(k), k) for k in KINDS]))
     free = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    short = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), (score(s) > 0).alias("yes"))
+    short = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), ((score(s) > 0) & ~(s["kind"].isin(*CHECKED) & (s["v_regex"] < 0))).alias("yes"))
     df = df.withColumn("loose", F.transform(F.filter("found", lambda s: s["kind"].isin(*LOOSE) & free(s)), short))
     part = lambda yes: F.transform(F.filter("loose", lambda s: s["yes"] == yes), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
     df = df.withColumns({"added": part(True), "refused": part(False)})

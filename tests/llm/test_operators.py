@@ -111,6 +111,35 @@ def test_personal_data(docs, rows, empty):
     assert pii.personal_data(empty).count() == 0
 
 
+def test_candidates_are_added_or_refused(spark):
+    """Numbers of one shape, in a fitting context or in one of order numbers, and account numbers with a right and a wrong checksum."""
+    rows = [(i, f"please call me by phone 212-555-{1000 + i} today") for i in range(30)]
+    rows += [(100 + i, f"the order 117-104-{2000 + i} was sent, invoice 090-111-{3000 + i}") for i in range(30)]
+    rows += [(200 + i, f"my bank account IBAN {'GB82 WEST 1234 5698 7654 32' if i % 2 else 'GB83 WEST 1234 5698 7654 32'} no {i}") for i in range(20)]
+    rows += [(300, "call 212-555-0100 or +1 (212) 555-0100"), (301, None), (302, "")]
+    got = {r["doc_id"]: r for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows[:30]:
+        at = t.index("212")
+        assert (got[i]["spans"], got[i]["rejected"]) == (f"tel2:{at}:{at + 12}", "")
+    for i, t in rows[30:60]:
+        a, b = t.index("117"), t.index("090")
+        assert (got[i]["spans"], got[i]["rejected"]) == ("", f"tel2:{a}:{a + 12},tel2:{b}:{b + 12}")
+    assert all((got[200 + i]["n_added"] == 1) == bool(i % 2) for i in range(20))
+    assert got[300]["spans"].split(",") == ["phone:21:38", "tel2:5:17"] and got[301]["spans"] == got[302]["spans"] == ""
+
+
+def test_gazetteers_are_passed_in_or_learned(spark):
+    texts = [f"server at 10.7.0.{i}" for i in range(5)] + [f"page 3.14.0.{i}" for i in range(5)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen = pii._candidates(pii._base(rows.withColumnRenamed("text", "_text"))).select("found")
+    bits = lambda words: sum((x & (2**64 - 1)).bit_count() for x in words)
+    speak, against = pii.learned_gazetteer(seen)
+    assert (bits(speak), bits(against)) == (1, 1)
+    given = spark.createDataFrame([("ip", "3.14"), ("name", "Zoe"), ("nothing", "x")], "kind string, entry string")
+    more, _ = pii.learned_gazetteer(seen, given)
+    assert bits(more) == 3
+
+
 def test_expectation_maximisation():
     rng = np.random.default_rng(3)
     truth = rng.random(4000) < 0.3
