@@ -111,7 +111,7 @@ def _(spark, d):
     return g.edges(table(spark, d, "pages"))
 
 
-@query("gr2_reachable", f"""WITH RECURSIVE e AS ({EDGES_SQL}), r AS (SELECT 0::BIGINT AS node, 0 AS depth UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 12) SELECT node, min(depth) AS depth FROM r GROUP BY node""")
+@query("gr2_reachable", f"""WITH RECURSIVE e AS ({EDGES_SQL}), r AS (SELECT 0::BIGINT AS node, 0 AS depth UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 64) SELECT node, min(depth) AS depth FROM r GROUP BY node""")
 def _(spark, d):
     """Checkpoints go to the session's folder, or to a temporary one where none is set."""
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
