@@ -1,8 +1,8 @@
 """Batch retrieval: a table of queries against a table of sections, by BM25F over an inverted index.
 
 Sections carry id, title, heading, body, emphasis, keywords, path, package, grp (0 page, 1 symbol, 2 answer) and external. The index is one row for each
-term and section; scores are a join on the term, a sum by query and section, and a window for the rank. A common term's postings may
-be skewed: AQE splits them, and stop words weigh little, so a cap is not needed.
+term and section; scores are a join on the term, a sum by query and section, and a window for the rank. All hits of a query are as many as its terms'
+postings; index.top_hits() gives the best of them from part of a stored index.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS, closed_up, tokens
+from ..storage import cut
 
 FIELDS = ("keywords", "heading", "emphasis", "title", "path", "body")
 
@@ -90,8 +91,8 @@ def weighted_postings(sections: DataFrame, post: DataFrame, s: Scoring = Scoring
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
-    """queries (query_id, query) -> (query_id, term, content): distinct terms."""
-    t = queries.select("query_id", F.explode(F.array_distinct(tokens("query"))).alias("term"))
+    """queries (query_id, query) -> (query_id, term, content): distinct terms, hyphenated words also closed up."""
+    t = queries.select("query_id", F.explode(F.array_distinct(F.concat(tokens("query"), closed_up("query")))).alias("term"))
     return t.withColumn("content", ~F.col("term").isin(*STOP_WORDS))
 
 
@@ -226,21 +227,27 @@ def search(queries: DataFrame, sections: DataFrame, post: DataFrame, s: Scoring
     return coverage_floor(score(terms, weighted_postings(sections, post, s, fields, only=terms)), s)
 
 
-def search_relaxed(queries: DataFrame, sections: DataFrame, post: DataFrame, s: Scoring = Scoring(), fields: tuple[str, ...] = ("heading", "body")) -> DataFrame:
-    """search(), and for queries without a hit, and only those, the hits of their rewrite: confident ones first, guesses where those find nothing.
+def relaxed_hits(queries: DataFrame, weighted: DataFrame, vocabulary: DataFrame, s: Scoring = Scoring()) -> DataFrame:
+    """Scored hits over weighted (term, id, w), and for queries without a hit, and only those, the hits of their rewrite: confident ones first, guesses where
+    those find nothing. vocabulary: (word, df). weighted and vocabulary are read from where they are stored: give no plans that are dear to run.
 
-    corrected holds the rewrite, null where the query stands as it is.
+    corrected holds the rewrite, null where the query stands as it is. Each step is written before the next asks what it left empty.
     """
-    vocabulary = document_frequency(post).withColumnRenamed("term", "word")
+    find = lambda some: coverage_floor(score(query_terms(some), weighted), s)
     without = lambda some, found: some.join(found.select("query_id").distinct().hint("merge"), "query_id", "left_anti")
-    answered = lambda some: search(some, sections, post, s, fields).join(some.select("query_id", F.col("query").alias("corrected")).hint("merge"), "query_id")
-    hits = search(queries, sections, post, s, fields)
-    new = relaxed_queries(without(queries.select("query_id", "query"), hits), vocabulary)
+    answered = lambda some: cut(find(some).join(some.select("query_id", F.col("query").alias("corrected")).hint("merge"), "query_id"), "relaxed-hits")
+    hits = cut(find(queries).withColumn("corrected", F.lit(None).cast("string")), "hits")
+    new = cut(relaxed_queries(without(queries.select("query_id", "query"), hits), vocabulary), "rewrites")
     sure = new.where("confident").select("query_id", "query")
     found = answered(sure)
     # A split that finds nothing is spelt afresh.
-    guesses = new.where("NOT confident").unionByName(relaxed_queries(without(sure, found), vocabulary)).select("query_id", "query")
-    return hits.withColumn("corrected", F.lit(None).cast("string")).unionByName(found).unionByName(answered(guesses))
+    guesses = cut(new.where("NOT confident").unionByName(relaxed_queries(without(sure, found), vocabulary)).select("query_id", "query"), "guesses")
+    return hits.unionByName(found).unionByName(answered(guesses))
+
+
+def search_relaxed(queries: DataFrame, sections: DataFrame, post: DataFrame, s: Scoring = Scoring(), fields: tuple[str, ...] = ("heading", "body")) -> DataFrame:
+    """relaxed_hits() over postings that are not stored yet."""
+    return relaxed_hits(queries, cut(weighted_postings(sections, post, s, fields), "weights"), cut(document_frequency(post).withColumnRenamed("term", "word"), "vocabulary"), s)
 
 
 # Suffix rules of English inflection, in order.
@@ -278,4 +285,4 @@ def missing_stems(words: DataFrame, dictionary: DataFrame, ignored: DataFrame) -
     """(stem, saw_as): stems that the dictionary lacks but the corpus uses as words."""
     c = stem_candidates(words.select("word").distinct()).where(F.length("stem") >= 3)
     c = c.hint("merge").join(dictionary.select(F.col("lemma").alias("stem")), "stem", "left_anti").hint("merge").join(words.select(F.col("word").alias("stem")).distinct(), "stem", "left_semi")
-    return c.join(ignored.select(F.col("word").alias("stem")), "stem", "left_anti").groupBy("stem").agg(F.min("word").alias("saw_as"))
+    return c.hint("merge").join(ignored.select(F.col("word").alias("stem")), "stem", "left_anti").groupBy("stem").agg(F.min("word").alias("saw_as"))

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import HYPHENATED, closed_up
 from ..operators import evaluate as ev
+from ..operators import index as ix
 from ..operators import search as se
+from ..storage import held, stored
 from .base import query, table
 
 _TOK = "unnest(string_split_regex(lower({}), '[^a-z0-9]+'))"
@@ -22,7 +24,7 @@ wt AS (SELECT term, id, 3.0 * tf_heading / (1 - 0.75 + 0.75 * lh / ah) + 1.0 * t
 weighted AS (SELECT term, id, (CASE WHEN term IN {_STOP} THEN 0.2 ELSE 1.0 END) * pow(ln(1 + (n - df + 0.5) / (df + 0.5)), 0.6) * tf * 2.2 / (tf + 1.2) AS w FROM wt)"""
 QUERIES = f"""qp AS (SELECT item_id, unnest(string_split_regex(text, '[.!?\\n]+\\s*')) AS p, generate_subscripts(string_split_regex(text, '[.!?\\n]+\\s*'), 1) AS i FROM benchmark),
 q AS (SELECT item_id AS query_id, arg_min(trim(p), (-length(trim(p)), i)) AS query FROM qp GROUP BY item_id),
-qt AS (SELECT DISTINCT query_id, term, term NOT IN {_STOP} AS content FROM (SELECT query_id, {_TOK.format('query')} AS term FROM q) WHERE term <> '')"""
+qt AS (SELECT DISTINCT query_id, term, term NOT IN {_STOP} AS content FROM (SELECT query_id, {_EVERY.format('query')} AS term FROM q) WHERE term <> '')"""
 LABELS = """dp AS (SELECT doc_id, source, trim(unnest(string_split_regex(text, '[.!?\\n]+\\s*'))) AS p FROM documents),
 hit AS (SELECT DISTINCT query_id, doc_id FROM q JOIN dp ON query = p),
 lab AS (SELECT query_id, min(doc_id) AS t, list_sort(list(doc_id)) AS ids FROM hit GROUP BY query_id),
@@ -56,52 +58,74 @@ def bench_queries(spark, d):
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), se.longest_sentence("text").alias("query"))
 
 
+def _source(d, *names):
+    return tuple(f"{d}/{n}.parquet" for n in names)
+
+
+def index(spark, d) -> ix.Index:
+    """The stored index of the documents, written once a session for each version of the table."""
+    return held(spark, "index", _source(d, "documents"), lambda: ix.build_index(sections(spark, d)), lambda x: x.path)
+
+
+def vocabulary(spark, d):
+    """(word, df) of the stored index."""
+    return index(spark, d).terms(spark).select(F.col("term").alias("word"), "df")
+
+
 def labels(spark, d):
-    """Documents that hold a query's sentence: the first is the target, the others are acceptable too."""
-    docs = table(spark, d, "documents")
-    parts = docs.select("doc_id", F.explode(F.transform(F.split("text", r"[.!?\n]+\s*"), F.trim)).alias("query")).distinct()
-    hit = bench_queries(spark, d).hint("merge").join(parts, "query").select("query_id", "doc_id").distinct()
-    lab = hit.groupBy("query_id").agg(F.min("doc_id").alias("t"), F.array_sort(F.collect_list("doc_id")).alias("ids"))
-    url = lambda x: F.concat(F.lit("/doc/"), x, F.lit("/"))
-    lab = lab.select("query_id", "t", url(F.col("t")).alias("target"), F.transform(F.filter("ids", lambda x: x != F.col("t")), url).alias("also"))
-    return lab.join(docs.select(F.col("doc_id").alias("t"), F.col("source").alias("topic")), "t").drop("t")
+    """Documents that hold a query's sentence: the first is the target, the others are acceptable too. Stored."""
+
+    def build():
+        docs = table(spark, d, "documents")
+        parts = docs.select("doc_id", F.explode(F.transform(F.split("text", r"[.!?\n]+\s*"), F.trim)).alias("query"))
+        hit = bench_queries(spark, d).hint("merge").join(parts.distinct(), "query").select("query_id", "doc_id").distinct()
+        lab = hit.groupBy("query_id").agg(F.min("doc_id").alias("t"), F.array_sort(F.collect_list("doc_id")).alias("ids"))
+        url = lambda x: F.concat(F.lit("/doc/"), x, F.lit("/"))
+        lab = lab.select("query_id", "t", url(F.col("t")).alias("target"), F.transform(F.filter("ids", lambda x: x != F.col("t")), url).alias("also"))
+        return lab.hint("merge").join(docs.select(F.col("doc_id").alias("t"), F.col("source").alias("topic")), "t").drop("t")
+
+    return stored(spark, "labels", _source(d, "documents", "benchmark"), build)
+
+
+def hits(spark, d, s: se.Scoring = se.Scoring()):
+    """All scored hits of the benchmark's queries. Stored, one table for each setting of the model."""
+    return stored(spark, f"hits {s}", _source(d, "documents", "benchmark"), lambda: ix.search_index(bench_queries(spark, d), index(spark, d), s))
 
 
 def ranked(spark, d, s: se.Scoring = se.Scoring()):
-    sec = sections(spark, d)
-    return se.rank(se.search(bench_queries(spark, d), sec, se.postings(sec), s), sec)
+    """The hits in order. Stored."""
+    return stored(spark, f"ranked {s}", _source(d, "documents", "benchmark"), lambda: se.rank(hits(spark, d, s), sections(spark, d)))
 
 
 def results(spark, d, s: se.Scoring = se.Scoring()):
-    return ev.evaluate(labels(spark, d), ranked(spark, d, s))
+    """The evaluated run of one setting. Stored."""
+    return stored(spark, f"results {s}", _source(d, "documents", "benchmark"), lambda: ev.evaluate(labels(spark, d), ranked(spark, d, s)))
 
 
 @query("ag1_document_frequency", f"WITH {POSTINGS} SELECT term, count(*) AS df FROM post GROUP BY term")
 def _(spark, d):
-    return se.document_frequency(se.postings(sections(spark, d)))
+    return index(spark, d).terms(spark).select("term", "df")
 
 
 @query("ag2_vocabulary", f"WITH {POSTINGS} SELECT DISTINCT term AS word FROM post")
 def _(spark, d):
-    return se.postings(sections(spark, d)).select(F.col("term").alias("word")).distinct()
+    return vocabulary(spark, d).select("word")
 
 
 @query("sr4_inverted_index", f"WITH {POSTINGS} SELECT * FROM post")
 def _(spark, d):
-    return se.postings(sections(spark, d))
+    return index(spark, d).postings(spark).select("term", "id", "tf_heading", "tf_body")
 
 
 @query("sr5_idf", f"WITH {POSTINGS}, nn AS (SELECT count(DISTINCT id) AS n FROM post), dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term) SELECT term, round(pow(ln(1 + (n - df + 0.5) / (df + 0.5)), 0.6), 6) AS idf FROM dfs, nn")
 def _(spark, d):
-    post = se.postings(sections(spark, d))
-    n = F.broadcast(post.agg(F.countDistinct("id").alias("n")))
-    return se.document_frequency(post).crossJoin(n).select("term", F.round(se.idf(F.col("n"), F.col("df")), 6).alias("idf"))
+    held_index = index(spark, d)
+    return held_index.terms(spark).select("term", F.round(se.idf(F.lit(held_index.n), F.col("df")), 6).alias("idf"))
 
 
 @query("sr6_bm25f", f"WITH {WEIGHTED} SELECT term, id, round(w, 6) AS w FROM weighted")
 def _(spark, d):
-    sec = sections(spark, d)
-    return se.weighted_postings(sec, se.postings(sec)).select("term", "id", F.round("w", 6).alias("w"))
+    return index(spark, d).weighted(spark).select("term", "id", F.round("w", 6).alias("w"))
 
 
 @query("sr13_ranked_hits", f"WITH {RANKED} SELECT query_id, id, score, position FROM ranked WHERE position <= 10")
@@ -109,9 +133,15 @@ def _(spark, d):
     return ranked(spark, d).where("position <= 10").select("query_id", "id", "score", "position")
 
 
+@query("sr13_best_hits", f"WITH {RANKED} SELECT query_id, id, score, position FROM ranked WHERE position <= 10")
+def _(spark, d):
+    """The same ten best hits, from the blocks of the index that can hold one."""
+    return ix.top_hits(bench_queries(spark, d), index(spark, d))[0].select("query_id", "id", "score", "position")
+
+
 @query("sr20_topic_terms", f"WITH {POSTINGS}, {QUERIES}, dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term) SELECT query_id, arg_min(term, (coalesce(df, 0), term)) AS topic_term FROM qt LEFT JOIN dfs USING (term) WHERE content GROUP BY query_id")
 def _(spark, d):
-    return se.rarest_term(se.query_terms(bench_queries(spark, d)), se.document_frequency(se.postings(sections(spark, d))))
+    return se.rarest_term(se.query_terms(bench_queries(spark, d)), index(spark, d).terms(spark).select("term", "df"))
 
 
 @query("sr17_closed_up", f"WITH {SECTIONS}, c AS (SELECT id, unnest(list_transform(regexp_extract_all(lower(heading || ' ' || body), '{HYPHENATED}'), lambda h: replace(h, '-', ''))) AS term FROM sec) SELECT term, count(DISTINCT id) AS n_sections, count(*) AS n FROM c GROUP BY term")
@@ -135,9 +165,8 @@ placed AS (SELECT query_id, id, '/doc/' || id || '/' AS url, false AS external,
 @query("sr8_adjusted_hits", f"WITH {_ADJUSTED} SELECT * FROM placed WHERE position <= 10")
 def _(spark, d):
     """All bonuses and penalties on the base hits; the ten best of each query."""
-    sec = sections(spark, d)
-    post, q = se.postings(sec), bench_queries(spark, d)
-    return se.rank(se.adjust(se.search(q, sec, post), q, sec, post), sec).where("position <= 10")
+    sec, q, post = sections(spark, d), bench_queries(spark, d), index(spark, d).postings(spark)
+    return se.rank(se.adjust(hits(spark, d), q, sec, post), sec).where("position <= 10")
 
 
 _VOC = f"{POSTINGS}, voc AS (SELECT term AS word, count(*) AS df FROM post GROUP BY term)"
@@ -157,19 +186,22 @@ def garbled(spark, d):
 SELECT query_id, arg_min(word, (-df, word)) AS query, false AS confident FROM gb JOIN near ON term = query GROUP BY query_id""")
 def _(spark, d):
     """Rewrites of garbled queries, for those that find nothing."""
-    post = se.postings(sections(spark, d))
-    q, vocab = garbled(spark, d), se.document_frequency(post).withColumnRenamed("term", "word")
+    q, vocab = garbled(spark, d), vocabulary(spark, d)
     empty = q.join(vocab.select(F.col("word").alias("query")).hint("shuffle_hash"), "query", "left_anti").select("query_id", "query")
     return se.relaxed_queries(empty, vocab)
 
 
-@query("sr21_search")
+@query("sr21_search", f"""WITH {WEIGHTED}, voc AS (SELECT term AS word, count(*) AS df FROM post GROUP BY term), {_GARBLED},
+empty AS (SELECT * FROM gb WHERE query NOT IN (SELECT word FROM voc)), lost AS (SELECT DISTINCT query AS term FROM empty WHERE length(query) >= 4), {_FIX},
+fixed AS (SELECT query_id, arg_min(word, (-df, word)) AS corrected FROM empty JOIN near ON term = query GROUP BY query_id),
+asked AS (SELECT query_id, query AS term, NULL AS corrected FROM gb WHERE query IN (SELECT word FROM voc) UNION ALL SELECT query_id, corrected, corrected FROM fixed),
+sc AS (SELECT query_id, corrected, id, round(w, 6) AS score FROM asked JOIN weighted USING (term))
+SELECT query_id, corrected, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS position FROM sc QUALIFY position <= 10""")
 def _(spark, d):
     """Hits of garbled queries: as they are where they find something, else of their rewrite; the ten best of each."""
-    sec = sections(spark, d)
-    hits = se.search_relaxed(garbled(spark, d), sec, se.postings(sec))
-    best = se.rank(hits, sec).where("position <= 10")
-    return best.join(hits.select("query_id", "corrected").distinct().hint("merge"), "query_id").select("query_id", "corrected", "id", "score", "position")
+    found = se.relaxed_hits(garbled(spark, d), index(spark, d).weighted(spark), vocabulary(spark, d))
+    best = se.rank(found, sections(spark, d)).where("position <= 10")
+    return best.join(found.select("query_id", "corrected").distinct().hint("merge"), "query_id").select("query_id", "corrected", "id", "score", "position")
 
 
 _WIDE = ("keywords", "heading", "path", "body")
@@ -187,15 +219,14 @@ def _(spark, d):
 
 @query("sr12_infix_terms", f"WITH {POSTINGS}, {QUERIES}, voc AS (SELECT DISTINCT term AS word FROM post) SELECT query_id, term, term AS match, 1.0::DOUBLE AS match_weight, content FROM qt UNION ALL SELECT query_id, term, word, CASE WHEN starts_with(word, term) THEN 1.0 ELSE 0.75 END::DOUBLE, content FROM qt JOIN voc ON length(word) > length(term) AND contains(word, term) WHERE length(term) >= 5")
 def _(spark, d):
-    vocab = se.postings(sections(spark, d)).select(F.col("term").alias("word")).distinct()
+    vocab = vocabulary(spark, d).select("word")
     return se.with_infixes(se.query_terms(bench_queries(spark, d)), vocab)
 
 
 @query("sr21_spelling", f"WITH {_VOC}, lost AS (SELECT DISTINCT term FROM (SELECT {_TOK.format('text')} AS term FROM benchmark) WHERE length(term) >= 4 AND term NOT IN (SELECT word FROM voc)), {_FIX} SELECT term, word, df FROM near")
 def _(spark, d):
     """Query terms that only benchmark text has, against the documents' vocabulary."""
-    vocab = se.document_frequency(se.postings(sections(spark, d))).withColumnRenamed("term", "word")
-    return se.spelling(table(spark, d, "benchmark").select(F.explode(se.tokens("text")).alias("term")), vocab)
+    return se.spelling(table(spark, d, "benchmark").select(F.explode(se.tokens("text")).alias("term")), vocabulary(spark, d))
 
 
 @query("j3_labels", f"WITH {QUERIES}, {LABELS} SELECT query_id, target, array_to_string(also, ',') AS also, topic FROM labels")
@@ -252,7 +283,7 @@ pos AS (SELECT s, row_number() OVER (ORDER BY s, query_id) - 1 AS i, count(*) OV
 SELECT (SELECT count(*) FROM neg) AS n, (SELECT round(100 * avg((s = 0)::INT), 6) FROM neg) AS empty, (SELECT round(median(s), 5) FROM neg WHERE s > 0) AS median_top_score, (SELECT max(s) FROM pos WHERE i = floor(m * 0.9)) AS p90_top_score""")
 def _(spark, d):
     top = ranked(spark, d).groupBy("query_id").agg(F.max("score").alias("top_score"))
-    neg = bench_queries(spark, d).join(labels(spark, d), "query_id", "left_anti").join(top, "query_id", "left").select("query_id", F.coalesce("top_score", F.lit(0.0)).alias("top_score"))
+    neg = bench_queries(spark, d).join(labels(spark, d), "query_id", "left_anti").join(top.hint("merge"), "query_id", "left").select("query_id", F.coalesce("top_score", F.lit(0.0)).alias("top_score"))
     r = ev.restraint_of(neg)
     return r.select("n", "empty", F.round("median_top_score", 5).alias("median_top_score"), "p90_top_score")
 
@@ -282,8 +313,8 @@ pairs AS (SELECT query_id, was, now, (CASE WHEN now >= 1 THEN 100.0 / now ELSE 0
 
 
 def pairs(spark, d):
-    """Two settings of the model over the same labels."""
-    return ev.two_run_pairs(results(spark, d), results(spark, d, _ALT))
+    """Two settings of the model over the same labels. Stored."""
+    return stored(spark, "pairs", _source(d, "documents", "benchmark"), lambda: ev.two_run_pairs(results(spark, d), results(spark, d, _ALT)))
 
 
 @query("j4_two_runs", f"WITH {_PAIRS} SELECT query_id, was, now, round(delta, 6) AS delta FROM pairs")
@@ -361,11 +392,11 @@ def _(spark, d):
 def _(spark, d):
     """The sweep's gains are columns of one aggregation, so hits are joined with labels once."""
     lab = labels(spark, d)
-    j = ranked(spark, d).join(ev.label_rows(lab), ["query_id", "url"])
+    j = ranked(spark, d).hint("merge").join(ev.label_rows(lab), ["query_id", "url"])
     sweep = (2.0, 3.0, 5.0, 10.0)
     place = F.when(F.col("position") <= 10, 1 / F.log2(F.col("position") + F.lit(1))).otherwise(0.0)
     per = j.groupBy("query_id").agg(*[F.max(F.when(F.col("is_target"), 1.0).otherwise(1.0 / g) * place).alias(f"g{i}") for i, g in enumerate(sweep)])
-    mean = lab.join(per, "query_id", "left").agg(*[F.round(100 * F.avg(F.coalesce(f"g{i}", F.lit(0.0))), 6).alias(f"g{i}") for i in range(len(sweep))])
+    mean = lab.join(per.hint("merge"), "query_id", "left").agg(*[F.round(100 * F.avg(F.coalesce(f"g{i}", F.lit(0.0))), 6).alias(f"g{i}") for i in range(len(sweep))])
     return mean.select(F.explode(F.array(*[F.struct(F.lit(g).alias("top"), F.col(f"g{i}").alias("ndcg")) for i, g in enumerate(sweep)])).alias("x")).select("x.*")
 
 
@@ -426,7 +457,7 @@ def _(spark, d):
 @query("ev10_comparison", f"WITH {_PAIRS}, {QUERIES}, {LABELS} SELECT topic, count(*) AS n, round(avg(CASE WHEN now = 1 THEN 100.0 ELSE 0 END) - avg(CASE WHEN was = 1 THEN 100.0 ELSE 0 END), 6) AS p1_delta, round(avg(delta), 6) AS mrr_delta FROM pairs JOIN labels USING (query_id) GROUP BY topic")
 def _(spark, d):
     hit = lambda c: F.avg(F.when(F.col(c) == 1, 100.0).otherwise(0.0))
-    p = pairs(spark, d).join(labels(spark, d).select("query_id", "topic"), "query_id")
+    p = pairs(spark, d).join(labels(spark, d).select("query_id", "topic").hint("merge"), "query_id")
     return p.groupBy("topic").agg(F.count("*").alias("n"), F.round(hit("now") - hit("was"), 6).alias("p1_delta"), F.round(F.avg("delta"), 6).alias("mrr_delta"))
 
 
@@ -458,7 +489,7 @@ def _(spark, d):
 @query("j14_term_postings", f"WITH {POSTINGS}, {QUERIES} SELECT query_id, term, count(*) AS n_sections FROM qt JOIN post USING (term) GROUP BY ALL")
 def _(spark, d):
     t = se.query_terms(bench_queries(spark, d)).select("query_id", "term")
-    return t.join(se.postings(sections(spark, d)), "term").groupBy("query_id", "term").agg(F.count("*").alias("n_sections"))
+    return t.hint("merge").join(index(spark, d).postings(spark), "term").groupBy("query_id", "term").agg(F.count("*").alias("n_sections"))
 
 
 @query("sr18_scopes", "SELECT item_id AS query_id, CASE WHEN item_id % 2 = 0 THEN 'src' || item_id END AS scope, trim(text) AS query FROM benchmark")
@@ -468,7 +499,7 @@ def _(spark, d):
 
 
 def _vocab(spark, d):
-    return se.postings(sections(spark, d)).select(F.col("term").alias("word")).distinct()
+    return vocabulary(spark, d).select("word")
 
 
 def _options():
@@ -512,10 +543,7 @@ ls AS (SELECT query_id, id, round(sum(w), 6) AS score, sum(content::INT) AS matc
 lk AS (SELECT ls.* FROM ls JOIN qn USING (query_id) WHERE n_content < 3 OR matched >= 2), lr AS (SELECT query_id, id, '/doc/' || id || '/' AS url, false AS external, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS position FROM lk)
 SELECT * FROM lr WHERE position <= 10""")
 def _(spark, d):
-    sec = sections(spark, d)
-    post = se.postings(sec)
-    v = post.select(F.col("term").alias("word")).distinct()
-    lem = se.lemmas(v, v.select(F.col("word").alias("lemma")))
+    v = _vocab(spark, d)
+    lem = stored(spark, "lemmas", _source(d, "documents"), lambda: se.lemmas(v, v.select(F.col("word").alias("lemma"))))
     terms = se.with_lemmas(se.query_terms(bench_queries(spark, d)), v, lem)
-    weighted = se.weighted_postings(sec, post, only=terms.select(F.col("match").alias("term")))
-    return se.rank(se.coverage_floor(se.score(terms, weighted)), sec).where("position <= 10")
+    return se.rank(se.coverage_floor(se.score(terms, index(spark, d).weighted(spark))), sections(spark, d)).where("position <= 10")
