@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -113,20 +117,21 @@ def restraint(top_scores: DataFrame, sample: int, seed: int = 7) -> DataFrame:
     return restraint_of(s)
 
 
-def ordered_counts(values: DataFrame, value: str) -> DataFrame:
-    """(value, _c, _before): how often each distinct value occurs and how many rows have a smaller one.
+def ordered_counts(values: DataFrame, value: str, *more) -> DataFrame:
+    """(value, _c, _before, more...): how often each distinct value occurs and how many rows have a smaller one; more: other aggregates of a value's rows.
 
     Ranges of values are summed on their own and only the ranges' totals, at most 128 rows, are ordered in one place.
     """
     parts = min(128, int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    g = values.groupBy(value).agg(F.count("*").alias("_c"))
+    g = values.groupBy(value).agg(F.count("*").alias("_c"), *more)
+    rest = [c for c in g.columns if c not in (value, "_c")]
     cuts = F.broadcast(values.agg(F.percentile_approx(value, [i / parts for i in range(1, parts)] or [0.5], 10_000).alias("_cuts")))  # one row
     g = g.crossJoin(cuts).withColumn("_part", F.size(F.filter("_cuts", lambda x: x < F.col(value)))).drop("_cuts")
     totals = g.groupBy("_part").agg(F.sum("_c").alias("_n"))
     totals = totals.withColumn("_base", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     inside = F.coalesce(F.sum("_c").over(W.partitionBy("_part").orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     g = g.withColumn("_in", inside).join(F.broadcast(totals.select("_part", "_base")), "_part")  # 128 rows at most
-    return g.select(value, "_c", (F.col("_base") + F.col("_in")).alias("_before"))
+    return g.select(value, "_c", (F.col("_base") + F.col("_in")).alias("_before"), *rest)
 
 
 def restraint_of(s: DataFrame) -> DataFrame:
@@ -146,10 +151,11 @@ def tied_ranks(deltas: DataFrame, value: str) -> DataFrame:
 
 def wilcoxon(deltas: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Signed-rank test of deltas (delta): n, better, worse, w, z, p. Zeros go, ties share ranks, a continuity correction applies; n under 6 gives p 1."""
-    d = deltas.where("delta <> 0").withColumn("mag", F.abs("delta"))
-    r = tied_ranks(d, "mag")
-    ties = d.groupBy("mag").agg(F.count("*").alias("c")).agg(F.coalesce(F.sum(F.col("c") * F.col("c") * F.col("c") - F.col("c")), F.lit(0)).alias("ties"))
-    a = r.agg(F.count("*").alias("n"), F.coalesce(F.sum((F.col("delta") > 0).cast("long")), F.lit(0)).alias("better"), F.coalesce(F.sum(F.when(F.col("delta") > 0, F.col("rk"))), F.lit(0.0)).alias("w")).crossJoin(F.broadcast(ties))
+    d = deltas.where("delta <> 0").select("delta", F.abs("delta").alias("mag"))
+    # All sums are over distinct magnitudes, which have one rank each.
+    g = ordered_counts(d, "mag", F.sum((F.col("delta") > 0).cast("long")).alias("pos"))
+    c, rank = F.col("_c"), F.col("_before") + (F.col("_c") + 1) / 2
+    a = g.agg(*[F.coalesce(F.sum(x), F.lit(zero)).alias(name) for name, x, zero in (("n", c, 0), ("better", F.col("pos"), 0), ("w", F.col("pos") * rank, 0.0), ("ties", c * c * c - c, 0))])
     n, w = F.col("n").cast("double"), F.col("w")
     var = n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48
     diff = w - n * (n + 1) / 4
@@ -173,47 +179,104 @@ def mcnemar(pairs: DataFrame) -> DataFrame:
     return c.select("*", F.round(chi2, 6).alias("chi2"), F.round(p, 6).alias("p"), (d < 25).alias("exact"))
 
 
-def bootstrap(values: DataFrame, replicates: int = 2000, seed: int = 0x5EED, level: float = 0.95) -> DataFrame:
-    """values (value) -> mean, lo, hi of the mean under resampling with replacement.
+#: Thresholds of a 32-bit draw: as many of them as it reaches is its Poisson count with mean one.
+POISSON = tuple(t for t in (math.ceil(2**32 * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(16)) if t < 2**32)
+#: Multipliers of a 32-bit mix, and the step between replicates.
+MIX, REPLICATE_STEP = (2246822507, 3266489909), 2654435769
+
+
+def poisson_counts(h1: np.ndarray, h2: np.ndarray, replicates: np.ndarray) -> np.ndarray:
+    """Counts (rows, replicates) of rows with the 32-bit hashes h1 and h2: how often a replicate draws a row, Poisson with mean one."""
+
+    def mix(x):
+        x ^= x >> np.uint32(16)
+        x *= np.uint32(MIX[0])
+        x ^= x >> np.uint32(13)
+        x *= np.uint32(MIX[1])
+        x ^= x >> np.uint32(16)
+        return x
+
+    x = mix(h1.astype(np.uint32)[:, None] + (replicates.astype(np.uint64) * REPLICATE_STEP).astype(np.uint32)[None, :])
+    x = mix(x ^ h2.astype(np.uint32)[:, None])
+    out = np.zeros(x.shape, dtype=np.uint8)
+    for t in POISSON:
+        out += x >= np.uint32(t)
+    return out
+
+
+def _replicated(replicates: int, seed: int):
+    """Rows (h1, h2, value) -> one row a task: for each replicate its draws and their sum."""
+    numbers = np.arange(seed, seed + replicates)
+
+    def run(batches):
+        n, total = np.zeros(replicates), np.zeros(replicates)
+        for b in batches:
+            h1, h2, value = (b[c].to_numpy(zero_copy_only=False) for c in ("h1", "h2", "value"))
+            for at in range(0, len(value), 1024):  # 1,024 rows by all replicates at a time
+                counts = poisson_counts(h1[at : at + 1024], h2[at : at + 1024], numbers)
+                n += counts.sum(0)
+                total += value[at : at + 1024] @ counts
+        yield pa.RecordBatch.from_arrays([pa.array([n.tolist()]), pa.array([total.tolist()])], names=["n", "s"])
+
+    return run
 
-    Rows are first counted by value. Each replicate draws, for every distinct value, a Poisson count with that mean from a keyed
-    hash, so the draws do not depend on the partitioning and there are replicates times distinct values of them, whatever the number of rows.
+
+def _merged(replicates: int):
+    """Replicate vectors -> their sum, element by element."""
+
+    def run(batches):
+        n, total, some = np.zeros(replicates), np.zeros(replicates), False
+        for b in batches:
+            some = some or b.num_rows > 0
+            n += np.sum(b["n"].to_pylist(), axis=0)
+            total += np.sum(b["s"].to_pylist(), axis=0)
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array([n.tolist()]), pa.array([total.tolist()])], names=["n", "s"])
+
+    return run
+
+
+def replicate_sums(values: DataFrame, replicates: int = 2000, seed: int = 0x5EED) -> DataFrame:
+    """values (key, value) -> one row (n, s): for each replicate how many rows it drew, and the sum of their values.
+
+    A row's draws come from the MD5 of its key and the replicate's number alone, so they do not depend on the partitioning. Each task reduces its rows to
+    one vector; vectors are summed over a few tasks, then in one, and rows are neither exploded nor shuffled. Null values are left out.
     """
-    c = values.groupBy("value").agg(F.count("*").alias("c"))
-    # The replicates are drawn one after the other inside a row and summed by a partial aggregate, so what is shuffled does not grow with the values.
-    b = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
-    draws = c.select("value", "c", b.alias("b"))
-    unit = lambda k: (F.shiftrightunsigned(F.xxhash64(F.lit(seed + k), "b", "value"), 11).cast("double") + 0.5) / 2.0**53
-    # Inverse of the Poisson distribution up to 60 for small means, a rounded normal above 30.
-    step = lambda acc, k: F.struct((acc["p"] * F.col("c") / k).alias("p"), (acc["cdf"] + acc["p"] * F.col("c") / k).alias("cdf"), (acc["n"] + (unit(0) > acc["cdf"]).cast("int")).alias("n"))
-    p0 = F.exp(-F.col("c").cast("double"))
-    small = F.aggregate(F.transform(F.sequence(F.lit(1), F.lit(60)), lambda k: k.cast("double")), F.struct(p0.alias("p"), p0.alias("cdf"), F.lit(0).alias("n")), step)["n"]
-    normal = F.sqrt(-2 * F.ln(unit(0))) * F.cos(2 * 3.141592653589793 * unit(1))
-    large = F.greatest(F.lit(0.0), F.round(F.col("c") + F.sqrt(F.col("c").cast("double")) * normal))
-    w = draws.withColumn("k", F.when(F.col("c") <= 30, small.cast("double")).otherwise(large))
-    means = w.groupBy("b").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("value")).alias("s")).where("n > 0").select((F.col("s") / F.col("n")).alias("m"))
+    digest = F.md5(F.col("key").cast("string"))
+    part = lambda at: F.conv(F.substring(digest, at, 8), 16, 10).cast("long")
+    rows = values.where("value IS NOT NULL").select(part(1).alias("h1"), part(9).alias("h2"), F.col("value").cast("double").alias("value"))
+    kind = "n array<double>, s array<double>"
+    some = max(1, int(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")) ** 0.5))
+    vectors = rows.mapInArrow(_replicated(replicates, seed), kind).repartition(some).mapInArrow(_merged(replicates), kind)
+    return vectors.coalesce(1).mapInArrow(_merged(replicates), kind)
+
+
+def bootstrap(values: DataFrame, replicates: int = 2000, seed: int = 0x5EED, level: float = 0.95) -> DataFrame:
+    """values (key, value) -> mean, n, lo, hi of the mean under resampling with replacement, from replicate_sums(); each key is drawn on its own."""
+    means = F.array_sort(F.filter(F.zip_with("n", "s", lambda n, s: F.when(n > 0, s / n)), lambda m: m.isNotNull()))
     tail = (1 - level) / 2
-    ordered = means.withColumn("i", F.row_number().over(W.orderBy("m")) - 1)  # replicates rows
-    ends = ordered.agg(F.max(F.when(F.col("i") == int(tail * replicates), F.col("m"))).alias("lo"), F.max(F.when(F.col("i") == min(replicates - 1, -int(-(1 - tail) * replicates // 1) - 1), F.col("m"))).alias("hi"))
-    return values.agg(F.avg("value").alias("mean"), F.count("*").alias("n")).crossJoin(F.broadcast(ends))
+    lo, hi = int(tail * replicates), min(replicates - 1, math.ceil(round((1 - tail) * replicates, 9)) - 1)
+    ends = replicate_sums(values, replicates, seed).select(means.alias("m")).select(F.round(F.get("m", F.lit(lo)), 6).alias("lo"), F.round(F.get("m", F.lit(hi)), 6).alias("hi"))
+    whole = values.agg(F.round(F.avg("value"), 6).alias("mean"), F.count("value").alias("n"))
+    return whole.crossJoin(F.broadcast(ends))  # one row each
 
 
 def verdict(deltas: DataFrame, replicates: int = 2000) -> DataFrame:
-    """deltas (delta): the bootstrap interval, the signed-rank test, and significant: the interval clears zero and p is under 0.05."""
-    b = bootstrap(deltas.select(F.col("delta").alias("value")), replicates)
+    """deltas (key, delta): the bootstrap interval, the signed-rank test, and significant: the interval clears zero and p is under 0.05."""
+    b = bootstrap(deltas.select("key", F.col("delta").alias("value")), replicates)
     j = b.crossJoin(F.broadcast(wilcoxon(deltas).select("better", "worse", "w", "z", "p")))
     clear = ((F.col("lo") > 0) & (F.col("hi") > 0)) | ((F.col("lo") < 0) & (F.col("hi") < 0))
     return j.withColumn("significant", clear & (F.col("p") < 0.05))
 
 
 def compare(pairs: DataFrame, replicates: int = 2000) -> DataFrame:
-    """pairs (topic, was, now, delta) of two runs -> one row a level: micro over queries and macro over topics' mean deltas, each with the bootstrap interval
+    """pairs (query_id, topic, was, now, delta) of two runs -> one row a level: micro over queries and macro over topics' mean deltas, each with the bootstrap interval
     and the signed-rank test, and the changes at the first place with McNemar's test (micro only)."""
     first = pairs.select((F.col("was") == 1).alias("was_hit"), (F.col("now") == 1).alias("is_hit"))
     hits = mcnemar(first).select("lost", "gained", F.col("p").alias("first_p"))
     topics = pairs.groupBy("topic").agg(F.round(F.avg("delta"), 6).alias("delta"))
-    micro = verdict(pairs.select(F.round("delta", 6).alias("delta")), replicates).withColumn("level", F.lit("micro")).crossJoin(F.broadcast(hits))  # one row each
-    macro = verdict(topics.select("delta"), replicates).withColumn("level", F.lit("macro"))
+    micro = verdict(pairs.select(F.col("query_id").alias("key"), F.round("delta", 6).alias("delta")), replicates).withColumn("level", F.lit("micro")).crossJoin(F.broadcast(hits))  # one row each
+    macro = verdict(topics.select(F.col("topic").alias("key"), "delta"), replicates).withColumn("level", F.lit("macro"))
     return micro.unionByName(macro, allowMissingColumns=True)
 
 

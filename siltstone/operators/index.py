@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS, closed_up, tokens
 from ..storage import cut, fresh
-from .search import Scoring, coverage_floor, idf, query_terms, score
+from .search import Scoring, coverage_floor, covered, idf, query_terms, score
 
 #: Postings of a block at most, about; ratio of the weights of two levels, and their number.
 BLOCK, STEP, LEVELS = 8_192, 1.25, 12
@@ -115,8 +115,8 @@ def search_index(queries: DataFrame, index: Index, s: Scoring | None = None) ->
 
 
 def _in_blocks(asked: DataFrame, index: Index) -> DataFrame:
-    """asked (query_id, term, level, part, content) with the postings of those blocks: (query_id, id, w, content)."""
-    return asked.hint("merge").join(index.postings(asked.sparkSession).select(*_BLOCK_KEY, "id", "w"), list(_BLOCK_KEY)).select("query_id", "id", "w", "content")
+    """asked (query_id, term, level, part, counts) with the postings of those blocks: (query_id, id, w, content)."""
+    return asked.hint("merge").join(index.postings(asked.sparkSession).select(*_BLOCK_KEY, "id", "w"), list(_BLOCK_KEY)).select("query_id", "id", "w", "counts")
 
 
 def top_hits(queries: DataFrame, index: Index, k: int = 10) -> tuple[DataFrame, DataFrame]:
@@ -129,14 +129,14 @@ def top_hits(queries: DataFrame, index: Index, k: int = 10) -> tuple[DataFrame,
     blocks only. A query with fewer than k seeds has no threshold, and all its postings are read.
     """
     spark, s = queries.sparkSession, index.scoring
-    terms = cut(query_terms(queries).hint("merge").join(index.terms(spark), "term", "left"), "top-terms")
+    terms = cut(query_terms(queries).hint("merge").join(index.terms(spark), "term", "left").withColumn("counts", covered()), "top-terms")
     size = terms.groupBy("query_id").agg(F.sum(F.col("content").cast("long")).alias("n_content"))
     seen = terms.where("df IS NOT NULL")
     blocks = index.blocks(spark)
     rare = W.partitionBy("query_id").orderBy("df", "term")
-    seeds = seen.where("content").withColumn("_r", F.row_number().over(rare)).where(F.col("_r") <= SEEDS).select("query_id", "term", "content")
+    seeds = seen.where("content").withColumn("_r", F.row_number().over(rare)).where(F.col("_r") <= SEEDS).select("query_id", "term", "counts")
     seed_blocks = seeds.hint("merge").join(blocks, "term")
-    first = _in_blocks(seed_blocks, index).groupBy("query_id", "id").agg(F.sum("w").alias("score"), F.sum(F.col("content").cast("long")).alias("matched"))
+    first = _in_blocks(seed_blocks, index).groupBy("query_id", "id").agg(F.sum("w").alias("score"), F.sum("counts").alias("matched"))
     valid = coverage_floor(first.join(size.hint("merge"), "query_id"), s)
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
     at = valid.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).where(F.col("_r") == k).select("query_id", (F.col("score") - _EPS).alias("threshold"))
@@ -146,13 +146,13 @@ def top_hits(queries: DataFrame, index: Index, k: int = 10) -> tuple[DataFrame,
     plan = plan.withColumn("weak", F.coalesce(F.sum(F.when(~F.col("essential"), F.col("max_w"))).over(whole), F.lit(0.0)))
     plan = cut(plan.withColumn("need", F.col("threshold") - (F.sum("max_w").over(whole) - F.col("max_w"))), "top-plan")
     reach = F.col("need").isNull() | (F.col("block_w") >= F.col("need"))
-    kept = cut(plan.where("essential").hint("merge").join(blocks, "term").where(reach).select("query_id", *_BLOCK_KEY, "content", "n"), "top-blocks")
-    some = _in_blocks(kept, index).groupBy("query_id", "id").agg(F.sum("w").alias("sure"), F.sum(F.col("content").cast("long")).alias("matched"))
+    kept = cut(plan.where("essential").hint("merge").join(blocks, "term").where(reach).select("query_id", *_BLOCK_KEY, "counts", "n"), "top-blocks")
+    some = _in_blocks(kept, index).groupBy("query_id", "id").agg(F.sum("w").alias("sure"), F.sum("counts").alias("matched"))
     bound = plan.groupBy("query_id").agg(F.first("threshold").alias("threshold"), F.first("weak").alias("weak"))
     near = cut(some.join(bound.hint("merge"), "query_id").where(F.col("threshold").isNull() | (F.col("sure") + F.col("weak") >= F.col("threshold"))).select("query_id", "id", "sure", "matched"), "top-near")
-    asked = near.select("query_id", "id").hint("merge").join(plan.where("NOT essential").select("query_id", "term", "content"), "query_id")
+    asked = near.select("query_id", "id").hint("merge").join(plan.where("NOT essential").select("query_id", "term", "counts"), "query_id")
     added = asked.hint("merge").join(index.postings(spark).select("term", "id", "w"), ["term", "id"])
-    added = added.groupBy("query_id", "id").agg(F.sum("w").alias("more"), F.sum(F.col("content").cast("long")).alias("also"))
+    added = added.groupBy("query_id", "id").agg(F.sum("w").alias("more"), F.sum("counts").alias("also"))
     total = near.join(added.hint("merge"), ["query_id", "id"], "left").select(
         "query_id", "id", F.round(F.col("sure") + F.coalesce("more", F.lit(0.0)), 6).alias("score"), (F.col("matched") + F.coalesce("also", F.lit(0))).alias("matched")
     )

@@ -91,9 +91,16 @@ def weighted_postings(sections: DataFrame, post: DataFrame, s: Scoring = Scoring
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
-    """queries (query_id, query) -> (query_id, term, content): distinct terms, hyphenated words also closed up."""
-    t = queries.select("query_id", F.explode(F.array_distinct(F.concat(tokens("query"), closed_up("query")))).alias("term"))
-    return t.withColumn("content", ~F.col("term").isin(*STOP_WORDS))
+    """queries (query_id, query) -> (query_id, term, content, closed): distinct terms, and hyphenated words closed up, which are no content terms."""
+    own, joined = F.array_distinct(tokens("query")), F.array_except(closed_up("query"), tokens("query"))
+    both = F.concat(F.transform(own, lambda t: F.struct(t.alias("term"), F.lit(False).alias("closed"))), F.transform(joined, lambda t: F.struct(t.alias("term"), F.lit(True).alias("closed"))))
+    t = queries.select("query_id", F.explode(both).alias("t")).select("query_id", "t.term", "t.closed")
+    return t.select("query_id", "term", (~F.col("closed") & ~F.col("term").isin(*STOP_WORDS)).alias("content"), "closed")
+
+
+def covered():
+    """What a hit of a term counts towards coverage: one for a content term, two for a closed-up word, which stands for its parts."""
+    return F.when(F.col("closed"), 2).otherwise(F.col("content").cast("long"))
 
 
 def with_lemmas(terms: DataFrame, vocabulary: DataFrame, lemmas: DataFrame, s: Scoring = Scoring()) -> DataFrame:
@@ -122,11 +129,12 @@ def with_infixes(terms: DataFrame, vocabulary: DataFrame, s: Scoring = Scoring()
 
 
 def score(terms: DataFrame, weighted: DataFrame) -> DataFrame:
-    """(query_id, id, score, matched, n_content): sums over terms of the best match of each; matched counts content terms."""
-    t = terms if "match" in terms.columns else terms.select("query_id", "term", F.col("term").alias("match"), F.lit(1.0).alias("match_weight"), "content")
+    """(query_id, id, score, matched, n_content): sums over terms of the best match of each; matched counts content terms, and closed-up words twice."""
+    t = terms if "match" in terms.columns else terms.select("query_id", "term", F.col("term").alias("match"), F.lit(1.0).alias("match_weight"), "content", *(["closed"] if "closed" in terms.columns else []))
+    t = t if "closed" in t.columns else t.withColumn("closed", F.lit(False))
     hits = t.hint("merge").join(weighted.withColumnRenamed("term", "match"), "match")
-    best = hits.groupBy("query_id", "id", "term", "content").agg(F.max(F.col("w") * F.col("match_weight")).alias("w"))
-    sums = best.groupBy("query_id", "id").agg(F.round(F.sum("w"), 6).alias("score"), F.sum(F.col("content").cast("long")).alias("matched"))
+    best = hits.groupBy("query_id", "id", "term", "content", "closed").agg(F.max(F.col("w") * F.col("match_weight")).alias("w"))
+    sums = best.groupBy("query_id", "id").agg(F.round(F.sum("w"), 6).alias("score"), F.sum(covered()).alias("matched"))
     size = t.select("query_id", "term", "content").distinct().groupBy("query_id").agg(F.sum(F.col("content").cast("long")).alias("n_content"))
     return sums.join(size.hint("merge"), "query_id")
 

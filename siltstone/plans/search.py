@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions.text import HYPHENATED, closed_up
@@ -24,13 +26,14 @@ wt AS (SELECT term, id, 3.0 * tf_heading / (1 - 0.75 + 0.75 * lh / ah) + 1.0 * t
 weighted AS (SELECT term, id, (CASE WHEN term IN {_STOP} THEN 0.2 ELSE 1.0 END) * pow(ln(1 + (n - df + 0.5) / (df + 0.5)), 0.6) * tf * 2.2 / (tf + 1.2) AS w FROM wt)"""
 QUERIES = f"""qp AS (SELECT item_id, unnest(string_split_regex(text, '[.!?\\n]+\\s*')) AS p, generate_subscripts(string_split_regex(text, '[.!?\\n]+\\s*'), 1) AS i FROM benchmark),
 q AS (SELECT item_id AS query_id, arg_min(trim(p), (-length(trim(p)), i)) AS query FROM qp GROUP BY item_id),
-qt AS (SELECT DISTINCT query_id, term, term NOT IN {_STOP} AS content FROM (SELECT query_id, {_EVERY.format('query')} AS term FROM q) WHERE term <> '')"""
+qt AS (SELECT query_id, term, bool_or(own) AND term NOT IN {_STOP} AS content, NOT bool_or(own) AS closed FROM (SELECT query_id, {_TOK.format('query')} AS term, true AS own FROM q
+  UNION ALL SELECT query_id, unnest(list_transform(regexp_extract_all(lower(query), '{HYPHENATED}'), lambda h: replace(h, '-', ''))), false FROM q) WHERE term <> '' GROUP BY ALL)"""
 LABELS = """dp AS (SELECT doc_id, source, trim(unnest(string_split_regex(text, '[.!?\\n]+\\s*'))) AS p FROM documents),
 hit AS (SELECT DISTINCT query_id, doc_id FROM q JOIN dp ON query = p),
 lab AS (SELECT query_id, min(doc_id) AS t, list_sort(list(doc_id)) AS ids FROM hit GROUP BY query_id),
 labels AS (SELECT query_id, '/doc/' || t || '/' AS target, list_transform(list_filter(ids, lambda x: x <> t), lambda x: '/doc/' || x || '/') AS also, source AS topic FROM lab JOIN documents ON doc_id = t)"""
 RANKED = f"""{WEIGHTED}, {QUERIES},
-sc AS (SELECT query_id, id, round(sum(w), 6) AS score, sum(content::INT) AS matched FROM qt JOIN weighted USING (term) GROUP BY ALL),
+sc AS (SELECT query_id, id, round(sum(w), 6) AS score, sum(CASE WHEN closed THEN 2 ELSE content::INT END) AS matched FROM qt JOIN weighted USING (term) GROUP BY ALL),
 qn AS (SELECT query_id, sum(content::INT) AS n_content FROM qt GROUP BY query_id),
 kept AS (SELECT sc.*, n_content FROM sc JOIN qn USING (query_id) WHERE n_content < 3 OR matched >= 2),
 ranked AS (SELECT query_id, id, '/doc/' || id || '/' AS url, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS position FROM kept)"""
@@ -152,7 +155,7 @@ def _(spark, d):
 
 
 _ADJUSTED = f"""{RANKED}, dfs2 AS (SELECT term, count(*) AS df FROM post GROUP BY term), topics AS (SELECT query_id, arg_min(term, (coalesce(df, 0), term)) AS topic_term FROM qt LEFT JOIN dfs2 USING (term) WHERE content GROUP BY query_id),
-tl AS (SELECT query_id, list(term) AS q_terms FROM qt GROUP BY query_id),
+tl AS (SELECT query_id, list(term) AS q_terms FROM qt WHERE NOT closed GROUP BY query_id),
 adj AS (SELECT k.query_id, k.id, round(k.score
   * CASE WHEN len(list_intersect(coalesce(q_terms, []), list_filter(string_split_regex(lower(heading), '[^a-z0-9]+'), lambda x: x <> ''))) = len(coalesce(q_terms, [])) THEN 1.5 ELSE 1.0 END
   * CASE WHEN contains(lower(heading), lower(query)) THEN 1.2 ELSE 1.0 END
@@ -327,16 +330,19 @@ def _(spark, d):
     return pairs(spark, d).withColumn("delta", F.round("delta", 6)).orderBy("delta", "query_id").limit(10).select("query_id", "delta")
 
 
-_WILCOXON = """nz AS (SELECT round(delta, 6) AS delta, abs(round(delta, 6)) AS mag FROM {src} WHERE round(delta, 6) <> 0), rk AS (SELECT delta, rank() OVER (ORDER BY mag) + (count(*) OVER (PARTITION BY mag) - 1) / 2.0 AS rk FROM nz),
-tie AS (SELECT coalesce(sum(c * c * c - c), 0) AS ties FROM (SELECT count(*) AS c FROM nz GROUP BY mag)),
-st AS (SELECT count(*) AS n, coalesce(sum((delta > 0)::INT), 0) AS better, coalesce(sum(rk) FILTER (delta > 0), 0.0) AS w FROM rk),
-zz AS (SELECT n, better, n - better AS worse, w, n * (n + 1.0) * (2 * n + 1) / 24 - ties / 48.0 AS var, w - n * (n + 1.0) / 4 AS diff FROM st, tie),
-z2 AS (SELECT *, CASE WHEN n < 6 OR var <= 0 THEN 0.0 ELSE (diff - sign(diff) * 0.5) / sqrt(var) END AS z FROM zz),
-er AS (SELECT *, abs(z) / sqrt(2.0) AS x, 1 / (1 + 0.3275911 * abs(z) / sqrt(2.0)) AS t FROM z2)
-SELECT n, better, worse, round(w, 6) AS w, round(z, 6) AS z, CASE WHEN n < 6 OR var <= 0 THEN 1.0 ELSE round(greatest(0, least(1, t * exp(-x * x) * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))))), 6) END AS p FROM er"""
+def wilcoxon_sql(src: str, tag: str = "") -> str:
+    """CTE wc{tag} (n, better, worse, w, z, p) of src (delta)."""
+    return f"""nz{tag} AS (SELECT round(delta, 6) AS delta, abs(round(delta, 6)) AS mag FROM {src} WHERE round(delta, 6) <> 0),
+rk{tag} AS (SELECT delta, rank() OVER (ORDER BY mag) + (count(*) OVER (PARTITION BY mag) - 1) / 2.0 AS rk FROM nz{tag}),
+tie{tag} AS (SELECT coalesce(sum(c * c * c - c), 0) AS ties FROM (SELECT count(*) AS c FROM nz{tag} GROUP BY mag)),
+st{tag} AS (SELECT count(*) AS n, coalesce(sum((delta > 0)::INT), 0) AS better, coalesce(sum(rk) FILTER (delta > 0), 0.0) AS w FROM rk{tag}),
+zz{tag} AS (SELECT n, better, n - better AS worse, w, n * (n + 1.0) * (2 * n + 1) / 24 - ties / 48.0 AS var, w - n * (n + 1.0) / 4 AS diff FROM st{tag}, tie{tag}),
+z2{tag} AS (SELECT *, CASE WHEN n < 6 OR var <= 0 THEN 0.0 ELSE (diff - sign(diff) * 0.5) / sqrt(var) END AS z FROM zz{tag}),
+er{tag} AS (SELECT *, abs(z) / sqrt(2.0) AS x, 1 / (1 + 0.3275911 * abs(z) / sqrt(2.0)) AS t FROM z2{tag}),
+wc{tag} AS (SELECT n, better, worse, round(w, 6) AS w, round(z, 6) AS z, CASE WHEN n < 6 OR var <= 0 THEN 1.0 ELSE round(greatest(0, least(1, t * exp(-x * x) * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))))), 6) END AS p FROM er{tag})"""
 
 
-@query("ev7_wilcoxon_runs", f"WITH {_PAIRS}, " + _WILCOXON.format(src="pairs"))
+@query("ev7_wilcoxon_runs", f"WITH {_PAIRS}, {wilcoxon_sql('pairs')} SELECT * FROM wc")
 def _(spark, d):
     return ev.wilcoxon(pairs(spark, d).select(F.round("delta", 6).alias("delta")))
 
@@ -344,7 +350,7 @@ def _(spark, d):
 _ORDERS = "od AS (SELECT o_orderkey, round(o_totalprice - lag_p, 6) AS delta FROM (SELECT o_orderkey, o_totalprice, 150000.0 + (o_orderkey % 7) * 1000 AS lag_p FROM orders))"
 
 
-@query("ev7_wilcoxon_orders", f"WITH {_ORDERS}, " + _WILCOXON.format(src="od"))
+@query("ev7_wilcoxon_orders", f"WITH {_ORDERS}, {wilcoxon_sql('od')} SELECT * FROM wc")
 def _(spark, d):
     o = table(spark, d, "orders")
     return ev.wilcoxon(o.select(F.round(F.col("o_totalprice") - (150000.0 + (F.col("o_orderkey") % 7) * 1000), 6).alias("delta")))
@@ -363,14 +369,42 @@ def _(spark, d):
     return ev.mcnemar(table(spark, d, "lineitem").select((F.col("l_discount") >= 0.05).alias("was_hit"), (F.col("l_tax") >= 0.04).alias("is_hit")))
 
 
-@query("ev9_verdict")
+def bootstrap_sql(src: str, replicates: int, seed: int = 0x5EED, level: float = 0.95, tag: str = "") -> str:
+    """CTE bt{tag} (mean, n, lo, hi) of src (k, value), with the draws of ev.poisson_counts()."""
+
+    def mix(a, b):
+        """The 32-bit mix of column x of table a as table b, one step a table."""
+        m = "& 4294967295"
+        steps = ("xor(x, x >> 16)", f"(x * {ev.MIX[0]}) {m}", "xor(x, x >> 13)", f"(x * {ev.MIX[1]}) {m}", "xor(x, x >> 16)")
+        names = [a, *(f"{b}_{i}" for i in range(len(steps) - 1)), b]
+        return ", ".join(f"{y} AS (SELECT b, value, h2, {e} AS x FROM {x})" for x, y, e in zip(names, names[1:], steps))
+
+    counts = " + ".join(f"(x >= {t})::INT" for t in ev.POISSON)
+    tail = (1 - level) / 2
+    lo, hi = int(tail * replicates), min(replicates - 1, -int(-round((1 - tail) * replicates, 9) // 1) - 1)
+    t = tag
+    return f"""bh{t} AS (SELECT value, ('0x' || substr(md5(k::VARCHAR), 1, 8))::UBIGINT AS h1, ('0x' || substr(md5(k::VARCHAR), 9, 8))::UBIGINT AS h2 FROM {src}),
+ba{t} AS (SELECT r.b, value, h2, ((h1 + (r.b + {seed})::UBIGINT * {ev.REPLICATE_STEP}) & 4294967295)::UBIGINT AS x FROM bh{t}, range({replicates}) r(b)),
+{mix(f"ba{t}", f"bb{t}")}, bc{t} AS (SELECT b, value, h2, xor(x, h2) AS x FROM bb{t}), {mix(f"bc{t}", f"bd{t}")},
+bm{t} AS (SELECT b, sum(c) AS n, sum(c * value) / nullif(sum(c), 0) AS m FROM (SELECT b, value, {counts} AS c FROM bd{t}) GROUP BY b),
+bo{t} AS (SELECT m, row_number() OVER (ORDER BY m) - 1 AS i FROM bm{t} WHERE n > 0),
+bt{t} AS (SELECT round((SELECT avg(value) FROM {src}), 6) AS mean, (SELECT count(value) FROM {src}) AS n, round(max(m) FILTER (i = {lo}), 6) AS lo, round(max(m) FILTER (i = {hi}), 6) AS hi FROM bo{t})"""
+
+
+def verdict_sql(tag: str = "") -> str:
+    return f"SELECT mean, b.n AS n, lo, hi, better, worse, w, z, p, coalesce(((lo > 0 AND hi > 0) OR (lo < 0 AND hi < 0)) AND p < 0.05, false) AS significant FROM bt{tag} b, wc{tag}"
+
+
+@query("ev9_verdict", f"WITH {_PAIRS}, kv AS (SELECT query_id AS k, round(delta, 6) AS value, round(delta, 6) AS delta FROM pairs), {bootstrap_sql('kv', 500)}, {wilcoxon_sql('kv')} {verdict_sql()}")
 def _(spark, d):
-    return ev.verdict(pairs(spark, d).select(F.round("delta", 6).alias("delta")), 500)
+    return ev.verdict(pairs(spark, d).select(F.col("query_id").alias("key"), F.round("delta", 6).alias("delta")), 500)
 
 
-@query("ev5_bootstrap")
+@query("ev5_bootstrap", f"WITH kv AS (SELECT l_orderkey || '-' || l_linenumber AS k, l_extendedprice * (1 - l_discount) - 25000 AS value FROM lineitem), {bootstrap_sql('kv', 200)} SELECT * FROM bt")
 def _(spark, d):
-    return ev.bootstrap(table(spark, d, "lineitem").select(F.col("l_quantity").alias("value")), 500)
+    """The mean of a continuous value, each line an observation of its own."""
+    li = table(spark, d, "lineitem")
+    return ev.bootstrap(li.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("key"), (F.col("l_extendedprice") * (1 - F.col("l_discount")) - 25000).alias("value")), 200)
 
 
 @query("ev11_halves", """WITH RECURSIVE s AS (SELECT source AS topic, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, source) AS i FROM documents GROUP BY source),
@@ -448,10 +482,10 @@ def _(spark, d):
     return ev.evaluate(labels(spark, d), r, strict=True).select("query_id", "position")
 
 
-@query("ev6_cluster_bootstrap")
+@query("ev6_cluster_bootstrap", f"WITH {_POOL}, kv AS (SELECT grp AS k, p1 AS value FROM grps), {bootstrap_sql('kv', 500, 0x901D)} SELECT * FROM bt")
 def _(spark, d):
     g = ev.summarise(ev.pooled_topics(results(spark, d), "topic", 2), "grp")
-    return ev.bootstrap(g.select(F.col("p1").alias("value")), 500, 0x901D)
+    return ev.bootstrap(g.select(F.col("grp").alias("key"), F.col("p1").alias("value")), 500, 0x901D)
 
 
 @query("ev10_comparison", f"WITH {_PAIRS}, {QUERIES}, {LABELS} SELECT topic, count(*) AS n, round(avg(CASE WHEN now = 1 THEN 100.0 ELSE 0 END) - avg(CASE WHEN was = 1 THEN 100.0 ELSE 0 END), 6) AS p1_delta, round(avg(delta), 6) AS mrr_delta FROM pairs JOIN labels USING (query_id) GROUP BY topic")
@@ -461,7 +495,17 @@ def _(spark, d):
     return p.groupBy("topic").agg(F.count("*").alias("n"), F.round(hit("now") - hit("was"), 6).alias("p1_delta"), F.round(F.avg("delta"), 6).alias("mrr_delta"))
 
 
-@query("ev10_levels")
+#: McNemar's test of first places, exact under 25 discordant pairs, as CTE mc.
+_FIRST = """fc AS (SELECT coalesce(sum((was = 1 AND now <> 1)::INT), 0) AS lost, coalesce(sum((was <> 1 AND now = 1)::INT), 0) AS gained FROM {src}),
+fx AS (SELECT *, lost + gained AS d, sqrt(CASE WHEN lost + gained >= 25 THEN (abs(lost - gained) - 1) ** 2 / (lost + gained) ELSE 0 END) AS y FROM fc),
+fp AS (SELECT *, 1 / (1 + 0.3275911 * y / sqrt(2.0)) AS t, least(1.0, 2 * list_sum(list_transform(range(least(lost, gained)::BIGINT + 1), lambda k: exp(lgamma(d + 1) - lgamma(k + 1) - lgamma(d - k + 1) - d * ln(2.0))))) AS exact FROM fx),
+mc AS (SELECT lost, gained, CASE WHEN d = 0 THEN 1.0 WHEN d < 25 THEN round(exact, 6) ELSE round(greatest(0, least(1, t * exp(-y * y / 2) * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))))), 6) END AS first_p FROM fp)"""
+
+
+@query("ev10_levels", f"""WITH {_PAIRS}, {QUERIES}, {LABELS}, pt AS (SELECT query_id, topic, was, now, delta FROM pairs JOIN labels USING (query_id)),
+ka AS (SELECT query_id AS k, round(delta, 6) AS value, round(delta, 6) AS delta FROM pt), kb AS (SELECT topic AS k, round(avg(delta), 6) AS value, round(avg(delta), 6) AS delta FROM pt GROUP BY topic),
+{_FIRST.format(src='pt')}, {bootstrap_sql('ka', 500, tag='_a')}, {wilcoxon_sql('ka', '_a')}, {bootstrap_sql('kb', 500, tag='_b')}, {wilcoxon_sql('kb', '_b')}
+SELECT a.*, 'micro' AS level, lost, gained, first_p FROM ({verdict_sql('_a')}) a, mc UNION ALL SELECT b.*, 'macro', NULL, NULL, NULL FROM ({verdict_sql('_b')}) b""")
 def _(spark, d):
     """Micro over queries and macro over topics, with interval, signed ranks and McNemar."""
     p = pairs(spark, d).join(labels(spark, d).select("query_id", "topic").hint("merge"), "query_id")

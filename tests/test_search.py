@@ -106,7 +106,8 @@ def test_only_empty_results_are_relaxed(spark):
 
 def test_levels_of_a_comparison(spark):
     rows = [("a", 2, 1, 50.0)] * 9 + [("b", 1, 1, 0.0)] * 9 + [("c", 1, 2, -50.0)]
-    r = {x["level"]: x for x in ev.compare(spark.createDataFrame(rows, "topic string, was int, now int, delta double"), 200).collect()}
+    rows = [(i, *x) for i, x in enumerate(rows)]
+    r = {x["level"]: x for x in ev.compare(spark.createDataFrame(rows, "query_id long, topic string, was int, now int, delta double"), 200).collect()}
     assert (r["micro"]["n"], r["micro"]["gained"], r["micro"]["lost"]) == (19, 9, 1) and r["micro"]["significant"] and r["micro"]["first_p"] < 0.05
     assert (r["macro"]["n"], r["macro"]["mean"], r["macro"]["significant"]) == (3, 0.0, False)
 
@@ -170,7 +171,7 @@ def test_paired_tests(spark):
 
 def test_bootstrap(spark):
     xs = [(float(i % 10),) for i in range(400)]
-    v = spark.createDataFrame(xs, "value double")
+    v = spark.createDataFrame([(i, *x) for i, x in enumerate(xs)], "key long, value double")
     a = ev.bootstrap(v, 400).first()
     b = ev.bootstrap(v.repartition(7), 400).first()
     assert a == b and a["lo"] < a["mean"] < a["hi"]
