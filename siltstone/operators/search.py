@@ -128,6 +128,35 @@ def with_infixes(terms: DataFrame, vocabulary: DataFrame, s: Scoring = Scoring()
     return terms.select("query_id", "term", F.col("term").alias("match"), F.lit(1.0).alias("match_weight"), "content").unionByName(near)
 
 
+#: Letters of a gram; grams of a term that are looked up, the rarest first.
+GRAM, PICKED = 3, 2
+
+
+def _grams(word):
+    return F.transform(F.sequence(F.lit(1), F.length(word) - GRAM + 1), lambda i: F.substring(word, i, F.lit(GRAM)))
+
+
+def gram_index(vocabulary: DataFrame) -> DataFrame:
+    """vocabulary (word) -> (gram, word, at): where each gram begins in each word, a row for each letter but GRAM - 1 of them. For storage."""
+    return vocabulary.where(F.length("word") >= GRAM).select("word", F.posexplode(_grams(F.col("word"))).alias("at", "gram")).select("gram", "word", "at")
+
+
+def with_infixes_by_grams(terms: DataFrame, grams: DataFrame, s: Scoring = Scoring(), min_len: int = 5) -> DataFrame:
+    """with_infixes() from a stored gram_index(): the lists of a term's PICKED rarest grams are met at the places that the term gives them, and the words
+    that are in all of these lists are verified."""
+    long = terms.where(F.length("term") >= max(min_len, GRAM))
+    of = long.select("term").distinct().select("term", F.posexplode(_grams(F.col("term"))).alias("off", "gram"))
+    often = grams.groupBy("gram").agg(F.count("*").alias("n"))
+    rare = of.hint("merge").join(often, "gram", "left").withColumn("_r", F.row_number().over(W.partitionBy("term").orderBy(F.coalesce("n", F.lit(0)), "off")))
+    picked = rare.where(F.col("_r") <= PICKED).select("term", "gram", "off")
+    size = F.least(F.lit(PICKED), F.length("term") - GRAM + 1)
+    met = picked.hint("merge").join(grams, "gram").groupBy("term", "word", (F.col("at") - F.col("off")).alias("start")).agg(F.count("*").alias("n")).where(F.col("n") == size)
+    held = met.where((F.substring("word", F.col("start") + 1, F.length("term")) == F.col("term")) & (F.col("word") != F.col("term")))
+    found = held.groupBy("term", F.col("word").alias("match")).agg(F.min("start").alias("start"))
+    near = long.hint("merge").join(found, "term").select("query_id", "term", "match", F.when(F.col("start") == 0, 1.0).otherwise(s.infix_weight).alias("match_weight"), "content")
+    return terms.select("query_id", "term", F.col("term").alias("match"), F.lit(1.0).alias("match_weight"), "content").unionByName(near)
+
+
 def score(terms: DataFrame, weighted: DataFrame) -> DataFrame:
     """(query_id, id, score, matched, n_content): sums over terms of the best match of each; matched counts content terms, and closed-up words twice."""
     t = terms if "match" in terms.columns else terms.select("query_id", "term", F.col("term").alias("match"), F.lit(1.0).alias("match_weight"), "content", *(["closed"] if "closed" in terms.columns else []))

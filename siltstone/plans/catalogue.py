@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import sitemap_bucket, title_parts
 from ..operators import catalogue as c
+from ..operators.snapshots import Snapshots
+from ..storage import fresh
 from . import base
 from .base import COMMITS_SQL, POSTS_SQL, RELEASES_SQL, SYMBOLS_SQL, commits, posts, query, releases, symbols, table
 
@@ -45,11 +47,21 @@ def _snapshots(spark, d):
     return c.page_dates(k.where(F.year("ts") < 1998)), c.page_dates(k)
 
 
-@query("gr13_date_drift", f"WITH {_SNAP} SELECT coalesce(old.path, now.path) AS path, CASE WHEN old.path IS NULL THEN 'missing' WHEN now.path IS NULL THEN 'orphaned' WHEN old.published IS DISTINCT FROM now.published THEN 'published drifted' ELSE 'stale modified' END AS drift FROM old FULL JOIN now ON old.path = now.path WHERE old.path IS NULL OR now.path IS NULL OR old.published IS DISTINCT FROM now.published OR old.modified < now.modified")
+_GR13 = f"WITH {_SNAP} SELECT coalesce(old.path, now.path) AS path, CASE WHEN old.path IS NULL THEN 'missing' WHEN now.path IS NULL THEN 'orphaned' WHEN old.published IS DISTINCT FROM now.published THEN 'published drifted' ELSE 'stale modified' END AS drift FROM old FULL JOIN now ON old.path = now.path WHERE old.path IS NULL OR now.path IS NULL OR old.published IS DISTINCT FROM now.published OR old.modified < now.modified"
+
+
+@query("gr13_date_drift", _GR13)
 def _(spark, d):
     return c.date_drift(*_snapshots(spark, d))
 
 
+@query("gr13_digest_drift", _GR13)
+def _(spark, d):
+    """The same from two versions of the date table, by the digests of their buckets."""
+    store = Snapshots(spark, fresh(spark, "dates"), ("path",), 64)
+    return c.date_drift(*store.differing(*[store.write(x) for x in _snapshots(spark, d)]))
+
+
 @query("gr14_merge_modified", f"WITH {_SNAP} SELECT old.path, old.published, greatest(old.modified, now.modified) AS modified FROM old LEFT JOIN now ON old.path = now.path")
 def _(spark, d):
     return c.merge_modified(*_snapshots(spark, d))
@@ -220,13 +232,28 @@ def _(spark, d):
     return u.groupBy("grp").agg(F.count("*").alias("n"), F.count("title").alias("titled"))
 
 
-@query("s9_upsert", "WITH o AS (SELECT o_custkey AS k, max(o_totalprice) AS v FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1), n AS (SELECT o_custkey AS k, max(o_totalprice) AS v FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) SELECT k, v FROM (SELECT * FROM n UNION ALL SELECT * FROM o WHERE k NOT IN (SELECT k FROM n)) WHERE k IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+_S9 = "WITH o AS (SELECT o_custkey AS k, max(o_totalprice) AS v FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1), n AS (SELECT o_custkey AS k, max(o_totalprice) AS v FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) SELECT k, v FROM (SELECT * FROM n UNION ALL SELECT * FROM o WHERE k NOT IN (SELECT k FROM n)) WHERE k IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)"
+
+
+@query("s9_upsert", _S9)
 def _(spark, d):
     o = table(spark, d, "orders")
     part = lambda on: o.where(on).groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_totalprice").alias("v"))
     return c.upsert(part("o_orderstatus <> 'F'"), part("o_orderstatus = 'F'"), table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("k")), "k")
 
 
+@query("s9_versioned_upsert", _S9)
+def _(spark, d):
+    """The same as a second version of a stored table: touched buckets are written, the others taken over."""
+    o = table(spark, d, "orders")
+    part = lambda on: o.where(on).groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_totalprice").alias("v"))
+    live = table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("k"))
+    store = Snapshots(spark, fresh(spark, "prices"), ("k",), 64)
+    store.write(part("o_orderstatus <> 'F'"))
+    gone = o.select(F.col("o_custkey").alias("k")).distinct().join(live.hint("merge"), "k", "left_anti")
+    return store.read(store.upsert(part("o_orderstatus = 'F'"), gone))
+
+
 @query("io14_symbol_feed", f"SELECT symbol AS name, 'package' AS kind, package, url, summary, deprecated FROM ({SYMBOLS_SQL}) WHERE regexp_matches(url, '^/api/[^/]+/latest/')")
 def _(spark, d):
     name, kind = title_parts("symbol")

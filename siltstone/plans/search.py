@@ -10,7 +10,8 @@ from ..functions.text import HYPHENATED, closed_up
 from ..operators import evaluate as ev
 from ..operators import index as ix
 from ..operators import search as se
-from ..storage import held, stored
+from ..operators.snapshots import Snapshots
+from ..storage import fresh, held, stored
 from .base import query, table
 
 _TOK = "unnest(string_split_regex(lower({}), '[^a-z0-9]+'))"
@@ -27,7 +28,7 @@ weighted AS (SELECT term, id, (CASE WHEN term IN {_STOP} THEN 0.2 ELSE 1.0 END)
 QUERIES = f"""qp AS (SELECT item_id, unnest(string_split_regex(text, '[.!?\\n]+\\s*')) AS p, generate_subscripts(string_split_regex(text, '[.!?\\n]+\\s*'), 1) AS i FROM benchmark),
 q AS (SELECT item_id AS query_id, arg_min(trim(p), (-length(trim(p)), i)) AS query FROM qp GROUP BY item_id),
 qt AS (SELECT query_id, term, bool_or(own) AND term NOT IN {_STOP} AS content, NOT bool_or(own) AS closed FROM (SELECT query_id, {_TOK.format('query')} AS term, true AS own FROM q
-  UNION ALL SELECT query_id, unnest(list_transform(regexp_extract_all(lower(query), '{HYPHENATED}'), lambda h: replace(h, '-', ''))), false FROM q) WHERE term <> '' GROUP BY ALL)"""
+  UNION ALL SELECT query_id, unnest(list_transform(regexp_extract_all(lower(query), '{HYPHENATED}'), lambda h: replace(h, '-', ''))), false FROM q) WHERE term <> '' GROUP BY query_id, term)"""
 LABELS = """dp AS (SELECT doc_id, source, trim(unnest(string_split_regex(text, '[.!?\\n]+\\s*'))) AS p FROM documents),
 hit AS (SELECT DISTINCT query_id, doc_id FROM q JOIN dp ON query = p),
 lab AS (SELECT query_id, min(doc_id) AS t, list_sort(list(doc_id)) AS ids FROM hit GROUP BY query_id),
@@ -220,12 +221,22 @@ def _(spark, d):
     return se.postings(sections(spark, d).join(own.hint("merge"), "id"), _WIDE)
 
 
-@query("sr12_infix_terms", f"WITH {POSTINGS}, {QUERIES}, voc AS (SELECT DISTINCT term AS word FROM post) SELECT query_id, term, term AS match, 1.0::DOUBLE AS match_weight, content FROM qt UNION ALL SELECT query_id, term, word, CASE WHEN starts_with(word, term) THEN 1.0 ELSE 0.75 END::DOUBLE, content FROM qt JOIN voc ON length(word) > length(term) AND contains(word, term) WHERE length(term) >= 5")
+_INFIX = f"WITH {POSTINGS}, {QUERIES}, voc AS (SELECT DISTINCT term AS word FROM post) SELECT query_id, term, term AS match, 1.0::DOUBLE AS match_weight, content FROM qt UNION ALL SELECT query_id, term, word, CASE WHEN starts_with(word, term) THEN 1.0 ELSE 0.75 END::DOUBLE, content FROM qt JOIN voc ON length(word) > length(term) AND contains(word, term) WHERE length(term) >= 5"
+
+
+@query("sr12_infix_terms", _INFIX)
 def _(spark, d):
     vocab = vocabulary(spark, d).select("word")
     return se.with_infixes(se.query_terms(bench_queries(spark, d)), vocab)
 
 
+@query("sr12_infix_grams", _INFIX)
+def _(spark, d):
+    """The same from the stored grams of the vocabulary."""
+    grams = stored(spark, "grams", _source(d, "documents"), lambda: se.gram_index(vocabulary(spark, d).select("word")))
+    return se.with_infixes_by_grams(se.query_terms(bench_queries(spark, d)), grams)
+
+
 @query("sr21_spelling", f"WITH {_VOC}, lost AS (SELECT DISTINCT term FROM (SELECT {_TOK.format('text')} AS term FROM benchmark) WHERE length(term) >= 4 AND term NOT IN (SELECT word FROM voc)), {_FIX} SELECT term, word, df FROM near")
 def _(spark, d):
     """Query terms that only benchmark text has, against the documents' vocabulary."""
@@ -415,11 +426,25 @@ def _(spark, d):
     return ev.halves(table(spark, d, "documents"), "source")
 
 
-@query("j5_label_drift", f"WITH {QUERIES}, {LABELS}, nw AS (SELECT query_id + CASE WHEN query_id % 5 = 0 THEN 1000 ELSE 0 END AS query_id, CASE WHEN query_id % 3 = 0 THEN '/other/' ELSE target END AS target FROM labels) SELECT coalesce(a.query_id, b.query_id) AS query_id, CASE WHEN a.query_id IS NULL THEN 'added' WHEN b.query_id IS NULL THEN 'removed' ELSE 'retargeted' END AS change FROM labels a FULL JOIN nw b ON a.query_id = b.query_id WHERE a.target IS DISTINCT FROM b.target")
-def _(spark, d):
+_DRIFT = f"WITH {QUERIES}, {LABELS}, nw AS (SELECT query_id + CASE WHEN query_id % 5 = 0 THEN 1000 ELSE 0 END AS query_id, CASE WHEN query_id % 3 = 0 THEN '/other/' ELSE target END AS target FROM labels) SELECT coalesce(a.query_id, b.query_id) AS query_id, CASE WHEN a.query_id IS NULL THEN 'added' WHEN b.query_id IS NULL THEN 'removed' ELSE 'retargeted' END AS change FROM labels a FULL JOIN nw b ON a.query_id = b.query_id WHERE a.target IS DISTINCT FROM b.target"
+
+
+def _label_sets(spark, d):
     was = labels(spark, d)
     now = was.select((F.col("query_id") + F.when(F.col("query_id") % 5 == 0, 1000).otherwise(0)).alias("query_id"), F.when(F.col("query_id") % 3 == 0, "/other/").otherwise(F.col("target")).alias("target"))
-    return ev.label_drift(was, now)
+    return was.select("query_id", "target"), now
+
+
+@query("j5_label_drift", _DRIFT)
+def _(spark, d):
+    return ev.label_drift(*_label_sets(spark, d))
+
+
+@query("j5_digest_drift", _DRIFT)
+def _(spark, d):
+    """The same from two versions of a label table: only buckets whose digests differ are compared."""
+    store = Snapshots(spark, fresh(spark, "label-sets"), ("query_id",), 64)
+    return ev.label_drift(*store.differing(*[store.write(x) for x in _label_sets(spark, d)]))
 
 
 @query("ev4_gain_sweep", f"WITH {RESULTS}, gains AS (SELECT unnest([2.0, 3.0, 5.0, 10.0]) AS top), gg AS (SELECT top, l.query_id, max(CASE WHEN position <= 10 THEN (CASE WHEN is_target THEN top ELSE 1.0 END) / top / log2(position + 1) ELSE 0 END) AS g FROM labels l CROSS JOIN gains LEFT JOIN lr ON lr.query_id = l.query_id LEFT JOIN ranked r ON r.query_id = lr.query_id AND r.url = lr.url GROUP BY ALL) SELECT CAST(top AS DOUBLE) AS top, round(100 * avg(coalesce(g, 0)), 6) AS ndcg FROM gg GROUP BY top")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import half_hour, has_mirror, slug, url_host, visitor_digest
 from ..operators import traffic as t
+from ..storage import stored
 from .base import REQUESTS_SQL, query, requests
 
 SALT = "pepper"
@@ -112,6 +113,27 @@ def _(spark, d):
     return _visits(spark, d).cube("kind", "edition").agg(F.count("*").alias("n_events"), F.countDistinct("visit_id").alias("n_sessions"))
 
 
+def _sketches(spark, d):
+    """Half-hour sketches of the visits. Stored."""
+    return stored(spark, "visit-sketches", (f"{d}/events.parquet",), lambda: t.half_hour_sketches(_visits(spark, d), "kind", "edition"))
+
+
+@query("ag24_sketched_cube")
+def _(spark, d):
+    """The cube from stored half hours."""
+    return t.sketched_cube(_sketches(spark, d), "kind", "edition")
+
+
+@query("ag24_sketch_error", VISITS_SQL + "SELECT kind, edition, count(*) AS n_events, count(DISTINCT visit_id) AS n_sessions, true AS within FROM visits GROUP BY CUBE (kind, edition)")
+def _(spark, d):
+    """The exact cube beside the sketched one, and whether each estimate is within the stated error."""
+    exact = _visits(spark, d).cube("kind", "edition").agg(F.count("*").alias("n_events"), F.countDistinct("visit_id").alias("n_sessions"))
+    about = t.sketched_cube(_sketches(spark, d), "kind", "edition").select(F.col("kind").alias("_k"), F.col("edition").alias("_e"), F.col("n_events").alias("_n"), F.col("n_sessions").alias("_s"))
+    on = F.col("kind").eqNullSafe(F.col("_k")) & F.col("edition").eqNullSafe(F.col("_e"))
+    near = (F.col("_n") == F.col("n_events")) & (F.abs(F.col("_s") - F.col("n_sessions")) <= t.SKETCH_ERROR * F.col("n_sessions"))
+    return exact.hint("merge").join(about, on, "left").select("kind", "edition", "n_events", "n_sessions", F.coalesce(near, F.lit(False)).alias("within"))
+
+
 @query("tr11_inactivity_sessions", VISITS_SQL + """,
 g AS (SELECT client_id, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM visits WINDOW w AS (PARTITION BY client_id ORDER BY ts)),
 s AS (SELECT client_id, ts, sum(fresh) OVER (PARTITION BY client_id ORDER BY ts) AS k FROM g)
