@@ -18,11 +18,12 @@ _STRIP = lambda c: _R(f"coalesce({c}, '')", (tx.UNSEEN, " "), (tx.LINK, r"\1"))
 _READ = lambda c: f"array_to_string(list_transform(list_filter(string_split({_STRIP(c)}, chr(10)), lambda x: NOT regexp_matches(x, '{tx.WORDLESS}')), lambda x: regexp_replace(x, '{tx.BLOCK}', '')), ' ')"
 _LINE = lambda c, *steps: "trim(" + _R(c, *steps, (r"\s+", " ")) + ")"
 _PLAIN = lambda c: _LINE(_READ(c), (tx.MARKS, " "))
-_HEADING = lambda c: _LINE(f"coalesce({c}, '')", (tx.LINK, r"\1"), (tx.HEADING_UNSEEN, " "), (tx.HEADING_MARKS, ""))
+_HEADING = lambda c: _LINE(f"coalesce({c}, '')", (tx.ATTRIBUTES, " "), (tx.UNSEEN, " "), (tx.LINK, r"\1"), (tx.MARKS, ""))
 _PARAGRAPHS = lambda c: f"regexp_split_to_array({c}, '\\n\\s*\\n')"
 _CLIP = lambda c: f"CASE WHEN length({c}) <= 200 THEN {c} ELSE trim(CASE WHEN contains(substr({c}, 1, 200), ' ') THEN regexp_replace(substr({c}, 1, 200), ' [^ ]*$', '') ELSE substr({c}, 1, 199) END) || '…' END"
 _SUMMARY = lambda c: f"coalesce(list_filter(list_transform({_PARAGRAPHS(c)}, lambda p: {_PLAIN('p')}), lambda p: p <> '')[1], '')"
-_EMPHASIS = lambda c: f"list_concat({', '.join(f'regexp_extract_all({c}, {chr(39)}{p}{chr(39)}, 1)' for p in tx.STRESSED)}, list_transform(list_filter(string_split({c}, chr(10)), lambda x: regexp_matches(x, '{tx.QUOTED}')), lambda x: regexp_extract(x, '{tx.QUOTED}', 1)))"
+_PIECES = lambda c: f"string_split({_R(f'regexp_replace({c}, {chr(39)}{tx.BLOCK}{chr(39)}, {chr(39)}{chr(39)})', (tx.BORDERS[0], r'\1*'), (tx.BORDERS[1], r'*\1'), (r'\*{2}', '*'))}, '*')"
+_EMPHASIS = lambda c: f"list_concat(flatten(list_transform(string_split({c}, chr(10)), lambda y: list_transform(range(2, len({_PIECES('y')}), 2), lambda i: {_PIECES('y')}[i]))), list_transform(list_filter(string_split({c}, chr(10)), lambda x: regexp_matches(x, '{tx.QUOTED}')), lambda x: regexp_extract(x, '{tx.QUOTED}', 1)))"
 _DEC = lambda c: f"replace(replace(replace(replace(replace(replace({c}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&')"
 _VISIBLE = "trim(" + _R(_DEC(_R("html", (r"(?is)<script\b.*?</script>", " "), (r"(?is)<style\b.*?</style>", " "), (r"<[^>]+>", " "))), (r"\s+", " ")) + ")"
 _HASH = "count(*) AS n, sum(length({0})) AS chars"
@@ -55,8 +56,9 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", tx.clamp_sentences(tx.plain_text("text")).alias("description"))
 
 
-@query("pf9_prose_paragraph", f"""WITH p AS (SELECT doc_id, list_transform({_PARAGRAPHS("regexp_replace(text, '(?s)^---' || chr(10) || '.*?' || chr(10) || '---' || chr(10), '')")}, lambda p: regexp_replace(p, '^\\s+|\\s+$', '', 'g')) AS every FROM documents)
-SELECT doc_id, coalesce(list_filter(list_transform(list_filter(every, lambda p: regexp_matches(p, '{tx.PROSE}') AND NOT regexp_matches(p, '{tx.NAVIGATION}')), lambda p: {_PLAIN('p')}), lambda p: length(p) > 3)[1], '') AS prose FROM p""")
+@query("pf9_prose_paragraph", f"""WITH p AS (SELECT doc_id, list_transform({_PARAGRAPHS("text")}, lambda p: regexp_replace(p, '^\\s+|\\s+$', '', 'g')) AS every FROM documents),
+f AS (SELECT doc_id, list_filter(every, lambda p: NOT regexp_matches(p, '{tx.NO_PROSE}') AND regexp_matches(regexp_replace(p, '{tx.LABELS}', '', 'g'), '{tx.A_WORD}'))[1] AS first FROM p)
+SELECT doc_id, CASE WHEN first IS NULL THEN '' ELSE {_PLAIN('first')} END AS prose FROM f""")
 def _(spark, d):
     return table(spark, d, "documents").select("doc_id", tx.prose_paragraph("text").alias("prose"))
 

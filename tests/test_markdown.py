@@ -88,7 +88,9 @@ def test_text_functions(spark):
     assert one(spark, tx.clamp_sentences(lit("word " * 60))).endswith("…")
     assert one(spark, tx.clip_words(lit("a" * 300), 200)) == "a" * 199 + "…"
     assert one(spark, tx.prose_paragraph(lit("# H\n\n| t |\n\n<div>\n\nReal **prose** here.\n\nx"))) == "Real prose here."
-    assert one(spark, tx.emphasis(lit("a **b** _c_ and *d*\n> quoted"))) == "b d c quoted"
+    assert one(spark, tx.prose_paragraph(lit("---\ntitle: x\n---\n\n[Home](/) / [Docs](/d/)\n\n**Signature** `f(x)`\n\n- item\n\n```\ncode\n```\n\n[Link](/l/) with words"))) == "Link with words"
+    assert one(spark, tx.emphasis(lit("a **b** _c_ and *d*\n> quoted\n* item **e** snake_case_name __f__ *open"))) == "b c d e f quoted"
+    assert one(spark, tx.heading_text(lit("Use `f`s {#use .x} <br> **now** [there](/x/)"))) == "Use fs now there"
     assert one(spark, tx.url_host(lit("https://WWW.Example.org/x"))) == "example.org"
     assert one(spark, tx.resolve_link(lit("https://a.example/d/e?x#y"), lit("f/g"))) == "https://a.example/d/f/g"
     assert one(spark, tx.title_parts(lit("Cache.get() method"))[0]) == "Cache.get" and one(spark, tx.title_parts(lit("Cache.get() method"))[1]) == "method"
