@@ -74,9 +74,13 @@ def stale_versions(published: DataFrame, documented: DataFrame) -> DataFrame:
     return published.join(documented, "package", "left").withColumn("stale", ~F.col("latest").eqNullSafe(F.col("version")))
 
 
+#: Topics that an item may have: the work for it is that of all their subsets.
+MAX_TOPICS = 12
+
+
 def _parts_of(key):
-    """All subsets of a sorted topic list but the empty one; items have few topics (a site's tags are capped at four)."""
-    n = F.size(key)
+    """All subsets of a sorted topic list but the empty one; an item with more than MAX_TOPICS is an error."""
+    n = F.when(F.size(key) > MAX_TOPICS, F.raise_error(F.lit(f"an item has more than {MAX_TOPICS} topics"))).otherwise(F.size(key)).cast("int")
     masks = F.when(n > 0, F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), n) - 1)).otherwise(F.array().cast("array<int>"))
     return F.transform(masks, lambda m: F.filter(key, lambda x, i: F.getbit(m, i) == 1))
 

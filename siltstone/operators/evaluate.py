@@ -98,12 +98,12 @@ def two_run_pairs(was: DataFrame, now: DataFrame) -> DataFrame:
     """(query_id, was, now, delta): target positions of both runs and the change of the reciprocal rank in percent."""
     rr = lambda c: F.when(F.col(c) >= 1, 100.0 / F.col(c)).otherwise(0.0)
     a, b = was.select("query_id", F.col("target_position").alias("was")), now.select("query_id", F.col("target_position").alias("now"))
-    return a.join(b, "query_id").withColumn("delta", rr("now") - rr("was"))
+    return a.hint("merge").join(b, "query_id").withColumn("delta", rr("now") - rr("was"))
 
 
 def label_drift(was: DataFrame, now: DataFrame) -> DataFrame:
     """(query_id, change): added, removed or retargeted between two label sets (query_id, target)."""
-    j = was.select("query_id", F.col("target").alias("t0")).join(now.select("query_id", F.col("target").alias("t1")), "query_id", "full")
+    j = was.select("query_id", F.col("target").alias("t0")).hint("merge").join(now.select("query_id", F.col("target").alias("t1")), "query_id", "full")
     change = F.when(F.col("t0").isNull(), "added").when(F.col("t1").isNull(), "removed").when(F.col("t0") != F.col("t1"), "retargeted")
     return j.select("query_id", change.alias("change")).where("change IS NOT NULL")
 

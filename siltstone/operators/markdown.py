@@ -87,7 +87,7 @@ def split_sections(pages: DataFrame, *keys: str) -> DataFrame:
 def verified_anchors(sections: DataFrame, ids: DataFrame) -> DataFrame:
     """sections (url, anchor...) with anchors that the page (ids: url, id) does not have blanked, and unanchored telling so."""
     known = ids.select(F.col("url").alias("_u"), F.col("id").alias("_i")).distinct()
-    j = sections.join(known, (F.col("url") == F.col("_u")) & (F.col("anchor") == F.col("_i")), "left")
+    j = sections.join(known.hint("merge"), (F.col("url") == F.col("_u")) & (F.col("anchor") == F.col("_i")), "left")
     lost = (F.col("anchor") != "") & F.col("_i").isNull()
     return j.withColumn("unanchored", lost).withColumn("anchor", F.when(lost, "").otherwise(F.col("anchor"))).drop("_u", "_i")
 
@@ -142,10 +142,10 @@ def records(pages: DataFrame, sections: DataFrame, curated: DataFrame, symbols:
     pages (url, title, body, is_page); curated (url, summary, description, keywords) gives better summaries where there is one.
     """
     c = curated.select("url", F.coalesce("summary", "description").alias("curated"), "keywords")
-    p = pages.where("is_page").join(c, "url", "left").select(
+    p = pages.where("is_page").join(c.hint("merge"), "url", "left").select(
         F.lit(0).alias("grp"), "title", "url", F.coalesce("curated", summary("body")).alias("summary"), group_label("url").alias("kind"), "keywords"
     )
-    a = answers(sections.join(pages.select("url", "title"), "url")).withColumn("grp", F.lit(2))
+    a = answers(sections.hint("merge").join(pages.select("url", "title"), "url")).withColumn("grp", F.lit(2))
     out = p.unionByName(a, allowMissingColumns=True)
     return out if symbols is None else out.unionByName(symbols.withColumn("grp", F.lit(1)), allowMissingColumns=True)
 
@@ -239,8 +239,8 @@ def rewrite_links(pages: DataFrame, targets: DataFrame) -> DataFrame:
     x = pages.select("name", "body", F.split("body", link, -1).alias("gaps"), F.regexp_extract_all("body", F.lit(link), F.lit(1)).alias("to"), F.regexp_extract_all("body", F.lit(link), F.lit(2)).alias("frag"))
     e = x.select("name", F.posexplode("to").alias("i", "target"))
     known = targets.select(F.col("name").alias("target"), "url")
-    got = e.join(known, "target", "left").groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce("url", "target").alias("url")))), lambda s: s["url"]).alias("urls"))
-    out = x.join(got, "name", "left")
+    got = e.hint("merge").join(known, "target", "left").groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce("url", "target").alias("url")))), lambda s: s["url"]).alias("urls"))
+    out = x.join(got.hint("merge"), "name", "left")
     piece = F.transform("gaps", lambda g, i: F.when(i == 0, g).otherwise(F.concat(F.lit("]("), F.get("urls", i - 1), F.coalesce(F.get("frag", i - 1), F.lit("")), F.lit(")"), g)))
     return out.select("name", F.when(F.size("to") > 0, F.array_join(piece, "")).otherwise(F.col("body")).alias("body"))
 

@@ -97,7 +97,7 @@ def apply_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     keys = F.concat(F.transform(prefixes, lambda p: F.struct(p.alias("key"), F.lit(True).alias("splat"))), F.array(F.struct(F.col("path").alias("key"), F.lit(False).alias("splat"))))
     k = u.select("path", F.explode(keys).alias("x")).select("path", "x.key", "x.splat").distinct()
     r = rules.select("rule_idx", "target", "status", F.col("source").endswith("/*").alias("splat"), F.when(F.col("source").endswith("/*"), F.expr("left(source, length(source) - 1)")).otherwise(F.col("source")).alias("key"))
-    hit = k.join(r, ["key", "splat"])
+    hit = k.hint("merge").join(r, ["key", "splat"])
     to = F.when(F.col("splat"), F.expr("replace(target, ':splat', substring(path, length(key) + 1))")).otherwise(F.col("target"))
     first = hit.groupBy("path").agg(F.min_by(F.struct(to.alias("location"), "status"), "rule_idx").alias("f"))
-    return urls.join(first.select("path", "f.location", "f.status"), "path", "left")
+    return urls.join(first.select("path", "f.location", "f.status").hint("merge"), "path", "left")

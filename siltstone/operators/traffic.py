@@ -222,7 +222,7 @@ def leaks(events: DataFrame, requests: DataFrame, salt: str) -> DataFrame:
     """Rows of events that hold an address, an agent text or the salt in any column; it should be empty."""
     raw = F.concat_ws("\x00", *[F.col(c).cast("string") for c in events.columns if c not in ("event_id", "ts")])
     own = requests.select("event_id", "ip", "user_agent")
-    return events.withColumn("_all", raw).join(own, "event_id").where(F.col("_all").contains(F.col("ip")) | F.col("_all").contains(F.col("user_agent")) | F.col("_all").contains(salt)).select(*events.columns)
+    return events.withColumn("_all", raw).join(own.hint("merge"), "event_id").where(F.col("_all").contains(F.col("ip")) | F.col("_all").contains(F.col("user_agent")) | F.col("_all").contains(salt)).select(*events.columns)
 
 
 def fetch_parity(log: DataFrame) -> DataFrame:

@@ -223,16 +223,23 @@ def _(spark, d):
     return set_diff(q.where("turn = 0"), q.where("turn > 0"), "query")
 
 
-@query("s2_decided_once", f"WITH {_Q} SELECT query, count(*) AS n FROM hq GROUP BY query HAVING count(*) <> 1")
+#: Each word of a conversation's opening and of its later turns, once a conversation: the two lists that should not decide a word twice.
+_LISTS = r"""hw AS (SELECT DISTINCT conv_id, coalesce(turn > 0, false) AS later, unnest(string_split_regex(lower(text), '\s+')) AS query FROM conversations)"""
+
+
+def _lists(spark, d):
+    w = table(spark, d, "conversations").select("conv_id", F.coalesce(F.col("turn") > 0, F.lit(False)).alias("later"), F.explode(F.split(F.lower("text"), r"\s+", -1)).alias("query")).distinct()
+    return w.where("NOT later"), w.where("later")
+
+
+@query("s2_decided_once", f"WITH {_LISTS} SELECT query, count(*) AS n FROM hw GROUP BY query HAVING count(*) <> 1")
 def _(spark, d):
-    q = table(spark, d, "conversations").withColumn("query", F.trim(F.regexp_replace(F.lower("text"), r"\s+", " ")))
-    return lb.not_decided_once(q.where("turn = 0"), q.where("turn > 0"))
+    return lb.not_decided_once(*_lists(spark, d))
 
 
-@query("s3_overlap", f"WITH {_Q} SELECT query FROM hq WHERE turn = 0 INTERSECT SELECT query FROM hq WHERE turn > 0")
+@query("s3_overlap", f"WITH {_LISTS} SELECT query FROM hw WHERE NOT later INTERSECT SELECT query FROM hw WHERE later")
 def _(spark, d):
-    q = table(spark, d, "conversations").withColumn("query", F.trim(F.regexp_replace(F.lower("text"), r"\s+", " ")))
-    return lb.overlap(q.where("turn = 0"), q.where("turn > 0"))
+    return lb.overlap(*_lists(spark, d))
 
 
 _JUDGED = "SELECT 'q' || doc_id AS query, CASE WHEN toxic = 1 THEN 'wrong' WHEN quality = 0 THEN 'missing' WHEN doc_id % 50 = 7 THEN 'odd' ELSE 'good' END AS verdict FROM labels"

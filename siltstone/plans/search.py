@@ -317,7 +317,7 @@ def _(spark, d):
 def _(spark, d):
     """Labelled pages missing from an index of the even documents."""
     even = table(spark, d, "documents").where("doc_id % 2 = 0").select(F.concat(F.lit("/doc/"), "doc_id", F.lit("/")).alias("target"))
-    return labels(spark, d).join(even, "target", "left_anti").select("query_id", "target")
+    return labels(spark, d).join(even.hint("merge"), "target", "left_anti").select("query_id", "target")
 
 
 _ALT = se.Scoring(weights={"heading": 6.0, "body": 1.0}, b=0.4)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import url_path
 from ..operators import graph as g
 from ..operators import redirects as rd
+from ..storage import work_dir
 from .base import EDGES_SQL, page_edges, query, table
 
 PLAN = (("core", "3.4.2", ("2.0.26", "1.15.0")), ("rpc", "3.7.2", ("2.1.0", "1.17.1")), ("cache", "5.1.2", ()), ("net", "1.0.3", ()))
@@ -113,11 +115,9 @@ def _(spark, d):
 
 @query("gr2_reachable", f"""WITH RECURSIVE e AS ({EDGES_SQL}), r AS (SELECT 0::BIGINT AS node, 0 AS depth UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 64) SELECT node, min(depth) AS depth FROM r GROUP BY node""")
 def _(spark, d):
-    """Checkpoints go to the session's folder, or to a temporary one where none is set."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="siltstone-cp-"))
+    """Checkpoints go to the session's folder."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(f"{work_dir(spark)}/checkpoints")
     return g.reachable(page_edges(spark, d), spark.createDataFrame([(0,)], "node long"))
 
 
@@ -159,21 +159,29 @@ def _(spark, d):
 def _(spark, d):
     e, _, ids = _typed_edges(spark, d)
     p = table(spark, d, "pages").select(F.col("page_id").alias("dst"))
-    deep = e.where("frag <> ''").join(p, "dst", "left_semi").select("dst", "frag").distinct()
-    return deep.join(ids.toDF("dst", "frag"), ["dst", "frag"], "left_anti")
+    deep = e.where("frag <> ''").hint("merge").join(p, "dst", "left_semi").select("dst", "frag").distinct()
+    return deep.hint("merge").join(ids.toDF("dst", "frag"), ["dst", "frag"], "left_anti")
+
+
+_NEXT = """linked AS (SELECT p.url, p.html || '<a href="' || n.url || '">next</a>' AS html FROM pages p JOIN pages n ON n.page_id = p.page_id + 1)"""
 
 
-@query("gr5_external", f"WITH {_E}, x AS (SELECT dst, dh AS host FROM e4 WHERE dh <> sh) SELECT dst, host, host = 'example.com' OR ends_with(host, '.example.com') AS allowed, count(*) AS n_links FROM x GROUP BY ALL")
+@query("gr5_external", f"WITH {_NEXT}, {_E.replace('FROM pages', 'FROM linked')}, x AS (SELECT dst, dh AS host FROM e4 WHERE dh <> sh) SELECT dst, host, host = 'example.com' OR ends_with(host, '.example.com') AS allowed, count(*) AS n_links FROM x GROUP BY ALL")
 def _(spark, d):
-    return g.external_inventory(g.edges(table(spark, d, "pages")), spark.createDataFrame([("example.com",)], "host string"))
+    """Every page links the next one, which is on another host as a rule."""
+    p = table(spark, d, "pages").select("page_id", "url", "html")
+    nxt = p.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("to"))
+    linked = p.join(nxt.hint("merge"), "page_id").select("url", F.concat("html", F.lit('<a href="'), "to", F.lit('">next</a>')).alias("html"))
+    return g.external_inventory(g.edges(linked), spark.createDataFrame([("example.com",)], "host string"))
 
 
 _BARE = "regexp_replace(url, '[?#].*$', '')"
 
 
-@query("ag14_duplicate_urls", f"SELECT {_BARE} AS url, count(*) AS n FROM pages GROUP BY 1 HAVING count(*) > 1")
+@query("ag14_duplicate_urls", "SELECT regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*(/[^?#]*)', 1) AS url, count(*) AS n FROM pages GROUP BY 1 HAVING count(*) > 1")
 def _(spark, d):
-    return g.duplicates(table(spark, d, "pages").select(F.regexp_replace("url", "[?#].*$", "").alias("url")), "url")
+    """Paths that pages of several hosts claim."""
+    return g.duplicates(table(spark, d, "pages").select(url_path("url").alias("url")), "url")
 
 
 _MAP = f"sm AS (SELECT {_BARE} || CASE WHEN page_id % 3 = 0 THEN '/' ELSE '' END AS loc FROM pages WHERE page_id % 4 <> 1), pg AS (SELECT DISTINCT {_BARE} || '/' AS url, bool_or(page_id % 9 = 0) OVER (PARTITION BY {_BARE}) AS noindex FROM pages)"
