@@ -269,9 +269,10 @@ def hard_negatives(vectors: DataFrame) -> DataFrame:
     dims = max(1, dims)
     stats = rows.select("x").mapInArrow(_energies(dims), "energy array<double>, most double")
     energy = [0.0] * dims
-    for r in stats.select(F.posexplode("energy").alias("d", "e")).groupBy("d").agg(F.sum("e").alias("e")).collect():  # one row a dimension
-        energy[r["d"]] = r["e"]
-    most = stats.agg(F.max("most")).first()[0] ** 0.5
+    sums = stats.select("most", F.posexplode("energy").alias("d", "e")).groupBy("d").agg(F.sum("e").alias("e"), F.max("most").alias("most"))
+    most = 0.0
+    for r in sums.collect():  # one row a dimension
+        energy[r["d"]], most = r["e"], r["most"] ** 0.5
     order = np.argsort(-np.array(energy), kind="stable")
     index = cut(rows.mapInArrow(_packed(dims, order), "ids binary, labels binary, q binary"), "index")
     passes = -(-n_anchors * dims * 8 // BATCH_BYTES)
