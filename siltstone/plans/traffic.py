@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import half_hour, has_mirror, slug, url_host, visitor_digest
 from ..operators import traffic as t
-from ..storage import stored
+from ..storage import fresh, stored
 from .base import REQUESTS_SQL, query, requests
 
 SALT = "pepper"
@@ -98,11 +98,31 @@ def _(spark, d):
     return _visits(spark, d).withColumn("ts_ms", F.unix_millis("ts")).drop("ts")
 
 
-@query("tr10_half_hour_rollup", VISITS_SQL + "SELECT (epoch_us(time_bucket(INTERVAL 30 MINUTE, ts)) // 1000) AS window_ms, kind, surface, count(*) AS n_events FROM visits GROUP BY ALL")
+_TR10 = VISITS_SQL + "SELECT (epoch_us(time_bucket(INTERVAL 30 MINUTE, ts)) // 1000) AS window_ms, kind, surface, count(*) AS n_events FROM visits GROUP BY ALL"
+
+
+@query("tr10_half_hour_rollup", _TR10)
 def _(spark, d):
     return t.tumbling(_visits(spark, d), "kind", "surface").select(F.unix_millis("window_start").alias("window_ms"), "kind", "surface", "n_events")
 
 
+@query("tr10_stream_accounts", _TR10)
+def _(spark, d):
+    """The visits as a stream of files in an order that brings most of them late: closed, open and late rows add up to the batch's counts."""
+    from ..streaming import traffic as st
+
+    path = fresh(spark, "visit-stream")
+    for part in range(2):
+        _visits(spark, d).where(F.col("event_id") % 2 == part).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    visits = _visits(spark, d)
+    source = spark.readStream.schema(visits.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    st.split_late(source, f"{path}/split", f"{path}/cp-split").awaitTermination()
+    counts = st.window_counts(st.on_time_stream(spark, f"{path}/split", visits.schema), "kind", "surface")
+    st.write(counts, f"{path}/counts", f"{path}/cp-counts").awaitTermination()
+    all_ = st.accounted(spark, f"{path}/split", f"{path}/counts", f"{path}/cp-counts", "kind", "surface")
+    return all_.select(F.unix_millis("window_start").alias("window_ms"), "kind", "surface", (F.col("n_closed") + F.col("n_open") + F.col("n_late")).alias("n_events"))
+
+
 @query("ag24_traffic_rollup", VISITS_SQL + "SELECT kind, crawler, operator, surface, status, edition, ai_source, count(*) AS n_events, count(DISTINCT visit_id) AS n_sessions FROM visits GROUP BY ALL")
 def _(spark, d):
     return t.rollup(_visits(spark, d), *t.DIMENSIONS)
