@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import best_hit_gain, normal_two_sided, position_score
+from ..storage import cut
 
 
 def page_of(url):
@@ -134,6 +136,55 @@ def ordered_counts(values: DataFrame, value: str, *more) -> DataFrame:
     return g.select(value, "_c", (F.col("_base") + F.col("_in")).alias("_before"), *rest)
 
 
+#: Ranges that a range of values is cut into a round; targets that are broadcast at most (more are joined by their group).
+RANGES, FEW_TARGETS = 1024, 100_000
+
+
+def exact_quantiles(df: DataFrame, value: str, quantiles: tuple[float, ...], *by: str) -> DataFrame:
+    """(by..., q, value): interpolated quantiles of each group, exactly, whatever the number of its rows or distinct values.
+
+    The ranks a quantile lies between start with the range of their group's values. A round counts the rows in RANGES parts of each range, in partial
+    aggregates, and goes on with the least and greatest value of the part that holds the rank, until these are one value. No group's rows or values meet in a
+    task, and a hot group is counted where its rows are. Null and NaN values are left out; a group without others has no row.
+    """
+    rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*[F.col(b).alias(f"_g{i}") for i, b in enumerate(by)], F.col(value).cast("double").alias("_v"))
+    keys = [f"_g{i}" for i in range(len(by))]
+    wanted = F.array(*[F.struct(F.lit(float(q)).alias("q"), F.lit(up).alias("up")) for q in quantiles for up in (False, True)])
+    place = F.col("x.q") * (F.col("_n") - 1)
+    first = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")).where("_n > 0")
+    open_ = cut(
+        first.select("*", F.explode(wanted).alias("x"))
+        .select(*keys, "x.q", "x.up", (place - F.floor(place)).alias("_part"), F.when(F.col("x.up"), F.ceil(place)).otherwise(F.floor(place)).cast("long").alias("_rank"), "_lo", "_hi"),
+        "quantile-targets",
+    )
+    names, done = open_.columns, []
+    for _ in range(80):  # the least and the greatest value of a range never share a part of it
+        done.append(open_.where("_lo = _hi"))
+        open_ = open_.where("_lo < _hi")
+        n = open_.count()
+        if not n:
+            break
+        targets = F.broadcast(open_) if n <= FEW_TARGETS else open_.hint("merge")
+        on = (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
+        same = [F.col(f"r.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys]
+        met = rows.alias("r").join(targets.alias("t"), [*same, on] if same else on)
+        # Halves keep the difference of two finite values finite.
+        share = (F.col("_v") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)
+        part = F.least(F.lit(RANGES - 1), F.floor(share * (RANGES - 1))).cast("int")
+        target = [F.col(f"t.{c}").alias(c) for c in names if c not in ("_lo", "_hi")]
+        kept = [c for c in names if c not in ("_lo", "_hi")]
+        counts = met.select(*target, "_v", F.when(F.col("_v") == F.col("_hi"), RANGES - 1).otherwise(part).alias("_b")).groupBy(*kept, "_b").agg(F.count("*").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        upto = F.sum("_c").over(W.partitionBy(*keys, "q", "up").orderBy("_b").rowsBetween(W.unboundedPreceding, 0))
+        here = counts.withColumn("_to", upto).where((F.col("_to") > F.col("_rank")) & (F.col("_to") - F.col("_c") <= F.col("_rank")))
+        open_ = cut(here.withColumn("_rank", F.col("_rank") - (F.col("_to") - F.col("_c"))).select(*names), "quantile-targets")
+    else:
+        raise RuntimeError("quantiles did not settle")
+    ends = reduce(DataFrame.unionByName, done)
+    low, high = F.max(F.when(~F.col("up"), F.col("_lo"))), F.max(F.when(F.col("up"), F.col("_lo")))
+    out = ends.groupBy(*keys, "q").agg(low.alias("_a"), high.alias("_z"), F.max("_part").alias("_part"))
+    return out.select(*[F.col(k).alias(b) for k, b in zip(keys, by)], "q", (F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("_part")).alias("value"))
+
+
 def restraint_of(s: DataFrame) -> DataFrame:
     scored = s.where("top_score > 0")
     at = ordered_counts(scored.select("top_score"), "top_score").crossJoin(F.broadcast(scored.agg(F.count("*").alias("m"))))

@@ -373,6 +373,14 @@ def _(spark, d):
     return ev.tied_ranks(o, "v").groupBy("o_orderpriority").agg(F.round(F.avg("rk"), 4).alias("mean_rank"))
 
 
+@query("ag4_quantiles_by_flag", """WITH v AS (SELECT l_returnflag AS grp, l_extendedprice AS v FROM lineitem UNION ALL SELECT 'all', l_extendedprice FROM lineitem)
+SELECT grp, 0.25::DOUBLE AS q, round(quantile_cont(v, 0.25), 4) AS value FROM v GROUP BY grp UNION ALL SELECT grp, 0.5, round(quantile_cont(v, 0.5), 4) FROM v GROUP BY grp UNION ALL SELECT grp, 0.9, round(quantile_cont(v, 0.9), 4) FROM v GROUP BY grp""")
+def _(spark, d):
+    """By return flag and, as one more group, over all lines."""
+    li = table(spark, d, "lineitem").select(F.explode(F.array("l_returnflag", F.lit("all"))).alias("grp"), F.col("l_extendedprice").cast("double").alias("v"))
+    return ev.exact_quantiles(li, "v", (0.25, 0.5, 0.9), "grp").select("grp", "q", F.round("value", 4).alias("value"))
+
+
 @query("ev8_mcnemar", """WITH p AS (SELECT l_discount >= 0.05 AS was_hit, l_tax >= 0.04 AS is_hit FROM lineitem), c AS (SELECT coalesce(sum((was_hit AND NOT is_hit)::INT), 0) AS lost, coalesce(sum((NOT was_hit AND is_hit)::INT), 0) AS gained, coalesce(sum((was_hit AND is_hit)::INT), 0) AS "both", coalesce(sum((NOT was_hit AND NOT is_hit)::INT), 0) AS neither FROM p),
 x AS (SELECT *, (abs(lost - gained) - 1) * (abs(lost - gained) - 1) / (lost + gained) AS chi2 FROM c), e AS (SELECT *, sqrt(chi2) / sqrt(2.0) AS y, 1 / (1 + 0.3275911 * sqrt(chi2) / sqrt(2.0)) AS t FROM x)
 SELECT lost, gained, "both", neither, round(chi2, 6) AS chi2, round(greatest(0, least(1, t * exp(-y * y) * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))))), 6) AS p, false AS exact FROM e""")
