@@ -216,9 +216,45 @@ tk AS (SELECT id, 0 AS f, {_EVERY.format('keywords')} AS term FROM f UNION ALL S
 SELECT term, id, count(*) FILTER (f = 0) AS tf_keywords, count(*) FILTER (f = 1) AS tf_heading, count(*) FILTER (f = 2) AS tf_path, count(*) FILTER (f = 3) AS tf_body FROM tk WHERE term <> '' GROUP BY ALL""")
 def _(spark, d):
     """The index with declared keywords and the words of the path as fields of their own."""
+    return se.postings(_wide_sections(spark, d), _WIDE)
+
+
+def _wide_sections(spark, d):
+    """Sections with declared keywords and the words of the path."""
     docs = table(spark, d, "documents")
     own = docs.select(F.col("doc_id").alias("id"), F.concat_ws(",", "lang", "source").alias("keywords"), F.concat(F.lit("/"), "lang", F.lit("/"), "source", F.lit("/"), "doc_id", F.lit("/")).alias("path"))
-    return se.postings(sections(spark, d).join(own.hint("merge"), "id"), _WIDE)
+    return sections(spark, d).join(own.hint("merge"), "id")
+
+
+#: The weights of a wide index as _WEIGHTED of a narrow one: each field's counts over its length by the field's mean.
+_WIDE_WEIGHTED = (lambda fs: f"""{SECTIONS}, fd AS (SELECT id, lang || ',' || source AS keywords, '/' || lang || '/' || source || '/' || doc_id || '/' AS path, heading, body FROM sec JOIN documents ON id = doc_id),
+tk AS ({" UNION ALL ".join(f"SELECT id, '{f}' AS f, {_EVERY.format(f)} AS term FROM fd" for f, _ in fs)}),
+post AS (SELECT term, id, {", ".join(f"count(*) FILTER (f = '{f}') AS tf_{f}" for f, _ in fs)} FROM tk WHERE term <> '' GROUP BY term, id),
+len AS (SELECT id, {", ".join(f"sum(tf_{f}) AS l_{f}" for f, _ in fs)} FROM post GROUP BY id),
+mean AS (SELECT count(*) AS n, {", ".join(f"greatest(avg(l_{f}) FILTER (l_{f} > 0), 1e-9) AS a_{f}" for f, _ in fs)} FROM len), dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+wt AS (SELECT term, id, {" + ".join(f"{w} * tf_{f} / (1 - 0.75 + 0.75 * l_{f} / a_{f})" for f, w in fs)} AS tf, df, n FROM post JOIN len USING (id) JOIN dfs USING (term), mean),
+weighted AS (SELECT term, id, (CASE WHEN term IN {_STOP} THEN 0.2 ELSE 1.0 END) * pow(ln(1 + (n - df + 0.5) / (df + 0.5)), 0.6) * tf * 2.2 / (tf + 1.2) AS w FROM wt)""")([(f, se.Scoring().weights[f]) for f in _WIDE])
+_FIELD_QUERIES = "q AS (SELECT doc_id AS query_id, source || ' ' || lang || ' ' || doc_id || ' ' || quality AS query FROM labels JOIN documents USING (doc_id))"
+
+
+@query("sr15_scored_fields", f"WITH {_WIDE_WEIGHTED}, {_FIELD_QUERIES}, qt AS (SELECT DISTINCT query_id, term, term NOT IN {_STOP} AS content FROM (SELECT query_id, {_TOK.format('query')} AS term FROM q) WHERE term <> ''), sc AS (SELECT query_id, id, round(sum(w), 6) AS score, sum(content::INT) AS matched FROM qt JOIN weighted USING (term) GROUP BY ALL), qn AS (SELECT query_id, sum(content::INT) AS n_content FROM qt GROUP BY query_id), kept AS (SELECT sc.* FROM sc JOIN qn USING (query_id) WHERE n_content < 3 OR matched >= 2) SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS position FROM kept QUALIFY position <= 10")
+def _(spark, d):
+    """Queries of a source, a language and a number, over an index in which keywords and paths are scored fields; the ten best by thresholds."""
+    wide = held(spark, "wide-index", _source(d, "documents"), lambda: ix.build_index(_wide_sections(spark, d), _WIDE), lambda x: x.path)
+    docs = table(spark, d, "documents").join(table(spark, d, "labels").hint("merge"), "doc_id")
+    q = docs.select(F.col("doc_id").alias("query_id"), F.concat_ws(" ", "source", "lang", "doc_id", "quality").alias("query"))
+    return ix.top_hits(q, wide)[0].select("query_id", "id", "score", "position")
+
+
+_ASKED = _ADJUSTED.replace("AS query FROM qp GROUP BY item_id)", "AS plain FROM qp GROUP BY item_id), q AS (SELECT query_id, 'how ' || plain AS query FROM q0)").replace("q AS (SELECT item_id AS query_id", "q0 AS (SELECT item_id AS query_id", 1)
+
+
+@query("sr19_answer_hits", f"WITH {_ASKED.replace('ELSE 1.0 END, 6) AS score', 'ELSE 1.0 END * CASE WHEN s.id % 3 = 0 THEN 1.55 ELSE 1.0 END, 6) AS score')} SELECT * FROM placed WHERE position <= 10")
+def _(spark, d):
+    """Questions, with every third document an answer: answers are lifted."""
+    sec = sections(spark, d).withColumn("grp", F.when(F.col("id") % 3 == 0, 2).otherwise(0))
+    q = bench_queries(spark, d).withColumn("query", F.concat(F.lit("how "), "query"))
+    return se.rank(se.adjust(ix.search_index(q, index(spark, d)), q, sec, index(spark, d).postings(spark)), sec).where("position <= 10")
 
 
 _INFIX = f"WITH {POSTINGS}, {QUERIES}, voc AS (SELECT DISTINCT term AS word FROM post) SELECT query_id, term, term AS match, 1.0::DOUBLE AS match_weight, content FROM qt UNION ALL SELECT query_id, term, word, CASE WHEN starts_with(word, term) THEN 1.0 ELSE 0.75 END::DOUBLE, content FROM qt JOIN voc ON length(word) > length(term) AND contains(word, term) WHERE length(term) >= 5"
