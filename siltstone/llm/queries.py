@@ -52,10 +52,9 @@ def op6_pii(spark, sf_dir):
 
 
 def op7_warc(spark, sf_dir):
-    from .warc import read_archives, write_archives
+    from .warc import archive_report, write_archives
 
-    files, _ = write_archives(_table(spark, sf_dir, "pages"))
-    return read_archives(files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return archive_report(*write_archives(_table(spark, sf_dir, "pages")))
 
 
 def op8_sentencepiece(spark, sf_dir):

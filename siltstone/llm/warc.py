@@ -61,7 +61,7 @@ def plan(pages: DataFrame) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, uri: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(files, headers): one row (file, records) for each archive, and (k, file, offset, length, head) for each record.
+    """(files, headers): one row (file, records) for each archive, and (k, file, i, offset, length, head) for each record, i its number in the file.
 
     A null html is an empty payload, a null page_id or url an empty field. Rows that share a page_id give one record each, of which
     any may be the response that is referred to by the id. An empty table gives no archive.
@@ -73,7 +73,7 @@ def write_archives(pages: DataFrame, uri: str | None = None) -> tuple[DataFrame,
     def run(batches):
         fs, top = pafs.FileSystem.from_uri(uri)
         fs.create_dir(top, recursive=True)
-        name, at, press = f"{uuid.uuid4().hex}.warc.zst", 0, zstandard.ZstdCompressor(level=1)
+        name, at, n_records, press = f"{uuid.uuid4().hex}.warc.zst", 0, 0, zstandard.ZstdCompressor(level=1)
         with fs.open_output_stream(f"{top}/{name}") as f:
             for b in batches:
                 rows = []
@@ -82,20 +82,20 @@ def write_archives(pages: DataFrame, uri: str | None = None) -> tuple[DataFrame,
                     head = record_head(None if k == null else k, url, kind, sha1, n, None if keeper == null else keeper)
                     frame = press.compress(head + (body if keeper is None else b"") + b"\r\n\r\n")
                     f.write(frame)
-                    rows.append((k, f"{uri}/{name}", at, len(frame), head))
-                    at += len(frame)
-                cols = list(zip(*rows)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary()))], names=["k", "file", "offset", "length", "head"])
+                    rows.append((k, f"{uri}/{name}", n_records, at, len(frame), head))
+                    at, n_records = at + len(frame), n_records + 1
+                cols = list(zip(*rows)) or [()] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["k", "file", "i", "offset", "length", "head"])
         if not at:
             fs.delete_file(f"{top}/{name}")
 
     rows = plan(pages).select("k", "url", "body", "n", "sha1", "keeper")
-    headers = cut(rows.mapInArrow(run, "k long, file string, offset long, length long, head binary"), "warc-headers")
+    headers = cut(rows.mapInArrow(run, "k long, file string, i long, offset long, length long, head binary"), "warc-headers")
     return headers.groupBy("file").agg(F.count("*").alias("records")), headers
 
 
 def read_archives(files: DataFrame, payload: bool = False) -> DataFrame:
-    """One row for each record of the archives: page_id, url, record_type, payload_digest, payload_bytes, refers_to[, payload].
+    """One row for each record of the archives: page_id, url, record_type, payload_digest, payload_bytes, refers_to[, payload, file, i].
 
     A response's digest and length are taken anew from the bytes read; a stored digest that differs is an error.
     """
@@ -118,36 +118,46 @@ def read_archives(files: DataFrame, payload: bool = False) -> DataFrame:
         for b in batches:
             for file in b.column(0).to_pylist():
                 out = []
-                for f, body in rows_of(file):
+                for i, (f, body) in enumerate(rows_of(file)):
                     stored = f["WARC-Payload-Digest"].removeprefix("sha1:")
                     hit = f["WARC-Type"] == "revisit"
                     if not hit and hashlib.sha1(body).hexdigest() != stored:
                         raise ValueError(f"{file}: payload of {f['WARC-Record-ID']} does not match its digest")
                     page = f["WARC-Page-ID"]
                     row = (int(page) if page else None, f["WARC-Target-URI"], f["WARC-Type"], stored, int(f["WARC-Original-Length"]) if hit else len(body), int(f["WARC-Refers-To-Page"]) if hit and f["WARC-Refers-To-Page"] != "None" else None)
-                    out.append(row + (None if hit else body,) * payload)
+                    out.append(row + (None if hit else body, file, i) * payload)
                     if len(out) >= 2000:
                         yield batch_of(out)
                         out = []
                 yield batch_of(out)
 
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()] + [pa.binary()] * payload
-    names = ["page_id", "url", "record_type", "payload_digest", "payload_bytes", "refers_to"] + ["payload"] * payload
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()] + [pa.binary(), pa.string(), pa.int64()] * payload
+    names = ["page_id", "url", "record_type", "payload_digest", "payload_bytes", "refers_to"] + ["payload", "file", "i"] * payload
 
     def batch_of(out):
         cols = list(zip(*out)) or [()] * len(kinds)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
 
-    schema = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long" + ", payload binary" * payload
+    schema = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long" + ", payload binary, file string, i long" * payload
     n = max(1, files.count())
     return files.select("file").repartition(n).mapInArrow(run, schema)
 
 
 def reconstruct(files: DataFrame) -> DataFrame:
-    """(page_id, url, record_type, payload): every original record, a revisit's payload joined from its response."""
+    """(page_id, url, record_type, payload, file, i): every original record, a revisit's payload joined from its response. An empty table gives none."""
     r = read_archives(files, payload=True)
     stored = r.where("record_type = 'response'").select(row_key("page_id").alias("rk"), F.col("payload_digest").alias("rd"), F.col("payload").alias("body")).dropDuplicates(["rk", "rd"])
     back = r.where("record_type = 'revisit'").withColumn("rk", row_key("refers_to"))
     back = back.join(stored.hint("merge"), (back["rk"] == stored["rk"]) & (back["payload_digest"] == stored["rd"]))
-    same = r.where("record_type = 'response'").select("page_id", "url", "record_type", "payload")
-    return same.unionByName(back.select("page_id", "url", "record_type", F.col("body").alias("payload")))
+    same = r.where("record_type = 'response'").select("page_id", "url", "record_type", "payload", "file", "i")
+    return same.unionByName(back.select("page_id", "url", "record_type", F.col("body").alias("payload"), "file", "i"))
+
+
+def archive_report(files: DataFrame, headers: DataFrame) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record: what its header says, as the headers' table holds it, joined by file
+    and number with the length and SHA-1 of its reconstructed payload, a revisit's as well."""
+    field = lambda name: F.nullif(F.regexp_extract(F.decode("head", "UTF-8"), rf"(?m)^{name}: (\S*)\r\n", 1), F.lit(""))
+    number = lambda name: field(name).try_cast("long")
+    body = reconstruct(files).select("file", "i", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
+    said = headers.select("file", "i", number("WARC-Page-ID").alias("page_id"), field("WARC-Type").alias("record_type"), number("WARC-Refers-To-Page").alias("refers_to"))
+    return said.join(body.hint("merge"), ["file", "i"]).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -9,7 +9,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from siltstone.llm import chat, negatives, trie
+from siltstone.llm import chat, negatives, trie, warc
 
 CONV = "conv_id long, turn long, role string, text string"
 WORDS = re.compile("[^\x20\x09-\x0d]+")
@@ -294,3 +294,24 @@ def test_templates_that_rewrite_history_are_found(n):
     assert chat.located(forgets, turns)[2] == list(range(2, n, 2))
     # Of the template that forgets, only what stands before the first altered turn keeps its place.
     assert [s[1] is not None for s in chat.located(forgets, turns)[1]][:2] == [True, n < 3]
+
+
+# Archive
+
+
+def test_archive_report_from_reconstructed_payloads(spark):
+    """Copies, a repeated page_id with other payloads, urls that look like header lines, nulls, and empty tables."""
+    big, other = "x" * 1500, "é" * 700
+    rows = [(1, "http://a/", big), (2, "http://b/ WARC-Type: response", big), (3, "u\nWARC-Type: revisit", "small"), (4, None, None), (None, "http://n/", big), (5, "http://c/", other), (5, "http://d/", big), (6, "http://e/", "small"), (7, "http://f/", other)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS k", "2 AS i", "'z' AS file", "'h' AS head").repartition(3)
+    files, headers = warc.write_archives(df)
+    got = sorted((tuple(r) for r in warc.archive_report(files, headers).collect()), key=repr)
+    want = []
+    for p, _, h in rows:
+        body = (h or "").encode()
+        keeper = max(q for q, _, g in rows if q is not None and (g or "") == (h or "")) if len(body) >= 1000 else p
+        revisit = len(body) >= 1000 and p != keeper
+        want.append((p, len(body), hashlib.sha1(body).hexdigest(), "revisit" if revisit else "response", keeper if revisit else None))
+    assert got == sorted(want, key=repr)
+    files, headers = warc.write_archives(df.limit(0))
+    assert warc.archive_report(files, headers).count() == 0 and warc.reconstruct(files).count() == 0
