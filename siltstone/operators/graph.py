@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import itertools
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import anchors, links, resolve_link, url_host
+from ..storage import append_bucketed, cut, fresh
 
 
 def edges(pages: DataFrame) -> DataFrame:
@@ -31,25 +33,53 @@ def anchor_table(pages: DataFrame) -> DataFrame:
     return pages.select("url", F.explode(anchors("html")).alias("id")).distinct()
 
 
-def reachable(edge: DataFrame, seeds: DataFrame, stop=None, max_depth: int | None = None, checkpoint=None) -> DataFrame:
+#: Links of one page that stay together; those of a page with more are dealt to several buckets.
+HEAVY = 100_000
+#: Levels that may stand beside the compacted visited set.
+FRESH_LEVELS = 16
+
+
+def reachable(edge: DataFrame, seeds: DataFrame, stop=None, max_depth: int | None = None, heavy: int = HEAVY) -> DataFrame:
     """(node, depth): pages reached from seeds (node) over edge (src, dst), breadth first. Pages for which stop holds are reached but not followed.
+    A null is no page. A crawl that would go past max_depth, where it is given, raises an error.
 
-    Each level joins the frontier with the edges and leaves out what is known, until no page is new. A crawl that would go past max_depth,
-    where it is given, raises an error. checkpoint (a function of a DataFrame) ends the lineage of each level.
+    Links are written once in buckets by source, with those of a heavy page in several. The visited set is in buckets, too, and grows by one
+    appended level at a time, so a level shuffles its own pages and links only, and a lost executor repeats one level at most. From FRESH_LEVELS
+    levels on they are compacted as soon as they hold as many pages as what was compacted before: at most three rows are written a page.
     """
-    save = checkpoint or (lambda d: d.checkpoint())
-    seen = save(seeds.select("node", F.lit(0).alias("depth")).distinct())
-    front = seen
-    for depth in itertools.count(1):
-        go = front if stop is None else front.where(~stop)
-        new = go.hint("merge").join(edge, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        front = save(new.hint("merge").join(seen.select("node"), "node", "left_anti").select("node", F.lit(depth).alias("depth")))
-        if front.isEmpty():
+    spark = edge.sparkSession
+    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    path, name = fresh(spark, "crawl"), f"silt_{uuid.uuid4().hex}"
+    links = edge.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst")
+    parts = cut(links.groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") > heavy).select("src", F.ceil(F.col("n") / heavy).cast("int").alias("parts")), "crawl-heavy")
+    salt = F.coalesce(F.pmod(F.hash("dst"), F.col("parts")), F.lit(0)).alias("salt")
+    links = append_bucketed(links.join(parts, "src", "left").select("src", salt, "dst"), f"{name}_links", f"{path}/links", buckets, "src", "salt")
+
+    old, n_old = None, 0
+    level = seeds.where("node IS NOT NULL").select("node").distinct()
+    first, generation, n_new = 0, 0, 0
+    for depth in itertools.count():
+        seen = append_bucketed(level.withColumn("depth", F.lit(depth)), f"{name}_seen_{generation}", f"{path}/seen-{generation}", buckets, "node", partition="depth")
+        front = seen.where(F.col("depth") == depth).select("node")
+        n = front.count()
+        if n == 0:
             break
         if max_depth is not None and depth > max_depth:
             raise RuntimeError(f"pages lie deeper than max_depth = {max_depth}")
-        seen = save(seen.unionByName(front))
-    return seen
+        n_new += n
+        if depth - first >= FRESH_LEVELS and n_new >= n_old:
+            merged = seen if old is None else seen.unionByName(old)
+            old = append_bucketed(merged.select("node", "depth"), f"{name}_old_{generation}", f"{path}/old-{generation}", buckets, "node")
+            first, generation, n_old, n_new = depth + 1, generation + 1, n_old + n_new, 0
+            seen = None
+        go = front if stop is None else front.where(~stop)
+        go = go.join(parts, go["node"] == parts["src"], "left").select("node", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("at"))
+        level = links.join(go.hint("merge"), (F.col("src") == F.col("node")) & (F.col("salt") == F.col("at"))).select(F.col("dst").alias("node")).distinct()
+        for known in (seen, old):
+            if known is not None:
+                level = level.join(known.select("node").hint("merge"), "node", "left_anti")
+    seen = seen.select("node", "depth")
+    return seen if old is None else seen.unionByName(old)
 
 
 def follow(urls: DataFrame, hops: DataFrame, limit: int = 6) -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions.text import url_path
 from ..operators import graph as g
 from ..operators import redirects as rd
-from ..storage import work_dir
 from .base import EDGES_SQL, page_edges, query, table
 
 PLAN = (("core", "3.4.2", ("2.0.26", "1.15.0")), ("rpc", "3.7.2", ("2.1.0", "1.17.1")), ("cache", "5.1.2", ()), ("net", "1.0.3", ()))
@@ -115,9 +114,6 @@ def _(spark, d):
 
 @query("gr2_reachable", f"""WITH RECURSIVE e AS ({EDGES_SQL}), r AS (SELECT 0::BIGINT AS node, 0 AS depth UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 64) SELECT node, min(depth) AS depth FROM r GROUP BY node""")
 def _(spark, d):
-    """Checkpoints go to the session's folder."""
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(f"{work_dir(spark)}/checkpoints")
     return g.reachable(page_edges(spark, d), spark.createDataFrame([(0,)], "node long"))
 
 

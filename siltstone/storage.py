@@ -43,6 +43,16 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def append_bucketed(df: DataFrame, name: str, path: str, buckets: int, *by: str, partition: str | None = None) -> DataFrame:
+    """The table name at path with the rows of df added, in one file a bucket of the columns by (and value of the column partition). Joins on by that use as
+    many partitions do not shuffle it, however often rows were added."""
+    out = df.repartition(buckets, *by).sortWithinPartitions(*([partition] if partition else []), *by).write.mode("append").format("parquet")
+    if partition:
+        out = out.partitionBy(partition)
+    out.option("compression", "zstd").option("path", path).bucketBy(buckets, *by).sortBy(*by).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def _files(spark: SparkSession, path: str):
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
