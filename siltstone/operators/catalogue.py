@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import major, version_key
+from ..storage import cut
 
 
 def release_facts(releases: DataFrame) -> DataFrame:
@@ -31,6 +32,17 @@ def page_dates(commits: DataFrame) -> DataFrame:
     return commits.groupBy("path").agg(F.min(F.when(F.col("change") == "A", F.col("ts"))).alias("published"), F.max("ts").alias("modified"))
 
 
+def renamed(commits: DataFrame, limit: int = 6) -> DataFrame:
+    """commits (path, ts, change, source) with the path that each page has today: a rename takes the old path's history along, by its last rename. Paths that
+    come back or move more than limit times keep their own name."""
+    from .graph import follow
+
+    last = cut(commits.where("change = 'R' AND source <> path").groupBy("source").agg(F.max_by("path", F.struct("ts", "path")).alias("target")), "renames")
+    moved = last.select(F.col("source").alias("url"))
+    to = cut(follow(moved, last, limit).where("problem IS NULL").select(F.col("url").alias("path"), "final"), "renamed")
+    return commits.join(to.hint("merge"), "path", "left").select(F.coalesce("final", "path").alias("path"), "ts", "change")
+
+
 def date_drift(snapshot: DataFrame, now: DataFrame) -> DataFrame:
     """(path, drift) between two tables (path, published, modified): missing, orphaned, published drifted, stale modified."""
     a, b = snapshot.toDF("path", "p0", "m0"), now.toDF("path", "p1", "m1")

@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 from ..functions.text import sitemap_bucket, title_parts
 from ..operators import catalogue as c
 from ..operators.snapshots import Snapshots
+from ..sources import readers
 from ..storage import fresh
 from . import base
 from .base import COMMITS_SQL, POSTS_SQL, RELEASES_SQL, SYMBOLS_SQL, commits, posts, query, releases, symbols, table
 
+#: Compressed bytes that a group of the index sink may have.
+BUDGET = 1 << 34
 _KEY = "list_transform(string_split(version, '.'), lambda x: CAST(x AS INT))"
 
 
@@ -280,9 +283,9 @@ def _(spark, d):
 
 @query("io11_index_sizes", f"""SELECT lang, sum(octet_length(encode('{{"title":' || to_json(title) || ',"url":' || to_json(url) || '}}')))::BIGINT AS n_bytes FROM ({POSTS_SQL}) GROUP BY lang""")
 def _(spark, d):
-    """Bytes of JSON text by group, as the sink's budget counts them."""
-    p = posts(spark, d).select("lang", "title", "url")
-    return p.groupBy("lang").agg(F.sum(F.octet_length(F.to_json(F.struct("title", "url")))).alias("n_bytes"))
+    """Bytes of JSON text by group, as the sink writes them within its compressed budget."""
+    p = posts(spark, d).select(F.col("lang").alias("grp"), "title", "url")
+    return readers.write_index(p, fresh(spark, "index-files"), BUDGET).select(F.col("grp").alias("lang"), "n_bytes")
 
 
 @query("f14_iso_dates", "SELECT DISTINCT strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS iso FROM orders")

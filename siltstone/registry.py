@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import catalogue, documents, search, sites, traffic  # noqa: F401  each registers its queries
+from .plans import catalogue, documents, search, sites, sources, traffic  # noqa: F401  each registers its queries
 from .plans.base import ORACLE_SQL, QUERIES  # noqa: F401
 
 FLAGSHIP = "ev_quality_report"

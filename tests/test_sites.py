@@ -167,6 +167,73 @@ def test_sources(spark, tmp_path):
     assert sorted((r["url"], r["description"]) for r in src.curated(front).collect()) == [("/a/", "s"), ("/c/", "d")]
 
 
+def test_release_records(spark, tmp_path):
+    docs = [
+        {"name": "a", "time": {"created": "2020-01-01T00:00:00Z", "1.0.0": "2020-01-02T00:00:00.000Z"}, "versions": {"1.0.0": {"license": "MIT"}, "1.1.0": {"deprecated": "old"}, "2.0.0-rc.1": {}}},
+        {"name": "a", "time": {}, "versions": {"1.0.1": {"license": "X", "other": [1]}}}, {"name": "b", "time": {}, "versions": {}}, {"versions": {"1.0.0": {}}}, {"name": "c"},
+    ]
+    (tmp_path / "r.json").write_text("\n".join(map(json.dumps, docs)) + "\n{bad\n")
+    got = {(r["package"], r["version"], r["license"], r["deprecated"]): r["published"] for r in src.release_records(spark, f"{tmp_path}/r.json").collect()}
+    assert set(got) == {("a", "1.0.0", "MIT", False), ("a", "1.1.0", None, True), ("a", "1.0.1", "X", False)}
+    assert got[("a", "1.0.0", "MIT", False)] is not None and got[("a", "1.1.0", None, True)] is None
+
+
+def test_commit_records_and_renames(spark, tmp_path):
+    log = """commit 2024-01-01T12:00:00+00:00
+
+A\t/a/ commit x
+A\t/p
+
+commit 2024-02-01T12:00:00Z
+
+R100\t/p\t/q
+M\t/a/ commit x
+odd line
+commit never
+A\t/z
+commit 2024-03-01T12:00:00+02:00
+R090\t/q\t/r
+R100\t/s\t/t
+R100\t/t\t/s
+D\t/gone"""
+    (tmp_path / "log").write_text(log)
+    rows = src.commit_records(spark, f"{tmp_path}/log")
+    assert sorted((r["path"], r["change"], r["source"]) for r in rows.collect()) == sorted([
+        ("/a/ commit x", "A", None), ("/p", "A", None), ("/q", "R", "/p"), ("/a/ commit x", "M", None), ("/r", "R", "/q"), ("/t", "R", "/s"), ("/s", "R", "/t"), ("/gone", "D", None),
+    ])
+    day = lambda x: x and x.strftime("%m")
+    got = {r["path"]: (day(r["published"]), day(r["modified"])) for r in c.page_dates(c.renamed(rows)).collect()}
+    assert got == {"/a/ commit x": ("01", "02"), "/r": ("01", "03"), "/s": (None, "03"), "/t": (None, "03"), "/gone": (None, "03")}
+
+
+def test_trees_and_maps_are_written(spark, tmp_path):
+    files = spark.createDataFrame([("a/index.md", "x\n\u00e9"), ("/b/c/index.md", None), (None, "y"), ("a/other.md", "z")], "path string, value string")
+    assert src.write_tree(files, f"file://{tmp_path}/t") == 3 and src.write_tree(files.where("path = 'none'"), f"file://{tmp_path}/t") == 0
+    assert sorted((p.relative_to(tmp_path).as_posix(), p.read_text()) for p in (tmp_path / "t").rglob("*.md")) == [("t/a/index.md", "x\n\u00e9"), ("t/a/other.md", "z"), ("t/b/c/index.md", "")]
+    e = spark.range(100).selectExpr("if(id < 90, 'hot', null) AS bucket", "concat('https://a/?x=<', id, '>&y') AS loc", "if(id = 3, date'2024-01-02', null) AS lastmod")
+    e = e.unionByName(e).unionByName(spark.createDataFrame([("hot", None, None)], "bucket string, loc string, lastmod date"))
+    n = src.write_sitemaps(e, f"file://{tmp_path}/m", "https://a", per_file=40)
+    got = src.sitemap_tree(spark, f"{tmp_path}/m/sitemap.xml", f"{tmp_path}/m").collect()
+    assert sorted(r["loc"] for r in got) == sorted(f"https://a/?x=<{i}>&y" for i in range(100)) and n == len({r["bucket"] for r in got}) >= 3
+    assert [r["lastmod"] for r in got if "<3>" in r["loc"]] == ["2024-01-02"]
+
+
+def test_feeds_of_several_files(spark, tmp_path):
+    rows = [(f"/p{i}/", f"t{i}", f"a{j}", None if j else "h", "x" * i, "e") for i in range(30) for j in range(i % 3)]
+    s = spark.createDataFrame([*rows, (None, "t", "a", "h", "x", "e")], "url string, title string, anchor string, heading string, text string, emphasis string")
+    assert src.write_positional(s, f"file://{tmp_path}/f", per_file=5) > 1
+    assert sorted(map(repr, (tuple(r) for r in src.positional_sections(spark, f"{tmp_path}/f").select(*s.columns).collect()))) == sorted(map(repr, rows))
+    (tmp_path / "odd.json").write_text(json.dumps({"pages": [["/a/", "A"]], "sections": [[5, "s"], ["x", "s"], [0, "s"]]}))
+    assert [(r["url"], r["anchor"], r["heading"]) for r in src.positional_sections(spark, f"{tmp_path}/odd.json").collect()] == [("/a/", "s", None)]
+
+
+def test_rules_of_several_files_keep_their_order(spark, tmp_path):
+    for name, text in (("a.txt", "# c\n/1 /x\n\n/2 /y 302"), ("b.txt", ""), ("c.txt", "/3 /z\n/bad\n/4 /w gone\n")):
+        (tmp_path / name).write_text(text)
+    got = sorted(tuple(r) for r in src.redirect_rules(spark, str(tmp_path)).collect())
+    assert [r[1:] for r in got] == [("/1", "/x", 301), ("/2", "/y", 302), ("/3", "/z", 301), ("/4", "/w", 301)]
+
+
 def test_sitemap_index_is_followed(spark, tmp_path):
     page = lambda *locs: "<urlset>" + "".join(f"<url><loc>{x}</loc></url>" for x in locs) + "</urlset>"
     (tmp_path / "blog.xml").write_text(page("https://a/1/", "https://a/2/"))
