@@ -252,19 +252,22 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     lines; a null doc_id sorts first. Rows that share a doc_id hold the same positions: an equal line at an equal position
     stays in each of them. A document may be left empty but is kept.
     """
-    drops = dropped_lines(docs).distinct().groupBy("k", "th").agg(F.collect_list("no").alias("_no"))
-    drops = cut(drops.withColumnsRenamed({"k": "_lk", "th": "_lth"}), "drops")
-    d = docs.withColumn("_line_k", row_key()).withColumn("_line_th", F.xxhash64(F.coalesce("text", F.lit(""))))
-    d = d.join(drops.hint("merge"), (F.col("_line_k") == F.col("_lk")) & (F.col("_line_th") == F.col("_lth")), "left")
-    lines = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_no", i)), "\n")
-    return d.withColumns(
-        {
-            "_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"),
-            "_dropped": F.coalesce(F.size("_no"), F.lit(0)).cast("long"),
-            "text": F.when(F.size("_no") > 0, kept).otherwise(F.col("text")),
-        }
-    ).drop("_line_k", "_line_th", "_lk", "_lth", "_no")
+    drops = dropped_lines(docs).distinct().groupBy("k", "th").agg(F.collect_list("no").alias("gone"))
+    drops = cut(drops.withColumnsRenamed({"k": "gk", "th": "gth"}), "drops")
+    # The other columns travel in a struct, so no name of theirs can clash.
+    others = [c for c in docs.columns if c not in ("text", "_lines", "_dropped")]
+    own = F.struct(*[docs[f"`{c}`"].alias(c) for c in others]) if others else F.struct()
+    d = docs.select(own.alias("own"), docs["text"].alias("text"), row_key().alias("k"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
+    d = d.join(drops.hint("merge"), (F.col("k") == F.col("gk")) & (F.col("th") == F.col("gth")), "left").withColumn("lines", F.split("text", "\n", -1))
+    # Numbers of the lines that stay, by a hash set; texts that lose none are not put together again.
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone").cast("array<int>"))
+    kept = F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n")
+    new = F.when(F.size("gone") > 0, kept).otherwise(F.col("text")).alias("text")
+    return d.select(
+        *[new if c == "text" else F.col("own").getField(c).alias(c) for c in docs.columns if c not in ("_lines", "_dropped")],
+        F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("_lines"),
+        F.greatest(F.coalesce(F.size("gone"), F.lit(0)), F.lit(0)).cast("long").alias("_dropped"),
+    )
 
 
 def line_report(docs: DataFrame) -> DataFrame:

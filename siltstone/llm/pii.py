@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import cut
-from .spans import joined, luhn, n_digits, of_kind, raw_spans
+from .spans import joined, luhn, n_digits, of_kind, overlap_free, raw_spans
 
 KINDS = ("email", "ip", "card", "phone")
 # The base patterns. Look-behinds and possessive repeats only spare attempts that must fail.
@@ -241,9 +241,9 @@ def personal_data(docs: DataFrame, gazetteer: DataFrame | None = None) -> DataFr
     found = _with_gazetteer(seen, learned_gazetteer(seen, gazetteer))
     score = train(found)
     df = found.withColumn("base", F.concat(*[of_kind(F.col(k), k) for k in KINDS]))
-    free = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    df = overlap_free(df.withColumn("loose", F.filter("found", lambda s: s["kind"].isin(*LOOSE))), "loose", F.col("base"), "free")
     short = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), ((score(s) > 0) & ~(s["kind"].isin(*CHECKED) & (s["v_regex"] < 0))).alias("yes"))
-    df = df.withColumn("loose", F.transform(F.filter("found", lambda s: s["kind"].isin(*LOOSE) & free(s)), short))
+    df = df.withColumn("loose", F.transform("free", short))
     part = lambda yes: F.transform(F.filter("loose", lambda s: s["yes"] == yes), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
     df = df.withColumns({"added": part(True), "refused": part(False)})
     return df.select(

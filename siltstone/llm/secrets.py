@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import cut, row_key
-from .spans import joined, of_kind, raw_spans
+from .spans import joined, of_kind, overlap_free, raw_spans
 
 SCOPE = 400
 KINDS = ("assign", "access", "hex")
@@ -51,9 +51,8 @@ def linked(found: DataFrame) -> DataFrame:
     """(k, th, kind, start, end, access, endpoint): each secret with an access identifier or an endpoint in scope, and the nearest of each (of equally
     near ones the first; null if there is none). Weak candidates (kind weak) that touch a base span are left out."""
     spans = found.where((F.size("assign") + F.size("hex") + F.size("weak") > 0) & (F.size("access") + F.size("endpoint") > 0))
-    base = F.concat(*KINDS)
-    free = F.filter("weak", lambda w: ~F.exists(base, lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    every = F.concat(of_kind(F.col("assign"), "assign"), of_kind(F.col("hex"), "hex"), of_kind(free, "weak"))
+    spans = overlap_free(spans, "weak", F.concat(*KINDS), "free")
+    every = F.concat(of_kind(F.col("assign"), "assign"), of_kind(F.col("hex"), "hex"), of_kind(F.col("free"), "weak"))
     own = spans.select("k", "th", F.explode(every).alias("s")).select("k", "th", "s.kind", "s.start", "s.end").distinct()
     own = own.withColumn("bin", F.explode(F.array(*[F.floor(F.col("start") / SCOPE) + i for i in (-1, 0, 1)])))
     part = F.concat(of_kind(F.col("access"), "access"), of_kind(F.col("endpoint"), "endpoint"))

@@ -45,6 +45,25 @@ def raw_spans(df, text: str, out: str, pattern: str, guard: Column | None = None
     return df.withColumn(out, F.transform(hits, one)).drop(hits, gaps, ends)
 
 
+def overlap_free(df, spans: str, base: Column, out: str):
+    """df with out: those of spans (structs with start, end) that overlap none of base.
+
+    base is sorted by start and cut into blocks that know their extent, and a span looks only into blocks it meets. Columns that a lambda reads are
+    referred to twice, so that Catalyst computes them once a row and not once an element.
+    """
+    by, blocks = f"_{out}_by", f"_{out}_blocks"
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    thin = F.transform(base, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end")))
+    df = df.withColumn(by, F.when(F.size(spans) > 0, F.array_sort(thin)).otherwise(none))
+    part = lambda c: F.slice(F.col(by), c * _BLOCK + 1, _BLOCK)
+    block = lambda c: F.struct(part(c).alias("spans"), F.get(by, c * _BLOCK)["start"].alias("start"), F.array_max(F.transform(part(c), lambda b: b["end"])).alias("end"))
+    numbers = F.sequence(F.lit(0), F.floor((F.size(by) - 1) / _BLOCK).cast("int"))
+    df = df.withColumn(blocks, F.when(F.size(by) > 0, F.transform(numbers, block)))
+    meet = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
+    free = F.filter(spans, lambda s: ~F.exists(blocks, lambda c: meet(c, s) & F.exists(c["spans"], lambda b: meet(b, s))))
+    return df.withColumn(out, F.when(F.col(blocks).isNull(), F.col(spans)).otherwise(free)).drop(by, blocks)
+
+
 def joined(spans: Column) -> Column:
     """kind:start:end of each span, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")

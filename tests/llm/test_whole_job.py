@@ -1,9 +1,11 @@
 """Cases in which an operator once did less than the whole job."""
 
+import time
+
 import numpy as np
 import pytest
 
-from siltstone.llm import decontaminate, linededup, secrets
+from siltstone.llm import decontaminate, linededup, pii, secrets
 
 
 @pytest.fixture(scope="module")
@@ -71,3 +73,57 @@ def test_lines_around_the_halves_limit(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in linededup.line_report(d).collect()}
     assert got == {i: "" if i % 2 else t for i, t in rows}
+
+
+def test_names_of_other_columns_do_not_clash(spark):
+    rows = [(1, "x", "one two three four\nfive six seven eight", 7, "n"), (2, "y", "one two three four", 8, "m"), (3, "z", None, 9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, `gone` string, text string, `a.b` int, k string").selectExpr("*", "1 AS th", "2 AS gk", "3 AS lines", "4 AS own", "5 AS _lines", "6 AS no")
+    got = {r["doc_id"]: r.asDict() for r in linededup.dedup_lines(docs).collect()}
+    assert {i: r["text"] for i, r in got.items()} == {1: rows[0][2], 2: "", 3: None}
+    assert [(got[i]["gone"], got[i]["a.b"], got[i]["k"], got[i]["own"], got[i]["_lines"], got[i]["_dropped"]) for i in (1, 2, 3)] == [("x", 7, "n", 4, 2, 0), ("y", 8, "m", 4, 1, 1), ("z", 9, None, 4, 0, 0)]
+
+
+def test_a_text_of_very_many_lines(spark, monkeypatch):
+    """200,000 lines, the second half of which goes."""
+    from pyspark.sql import functions as F
+
+    lines = [f"line number {i % 100_000} of the text" for i in range(200_000)]
+    docs = spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")
+    keys = lambda d: d.select(linededup.row_key().alias("k"), F.xxhash64("text").alias("th"))
+    monkeypatch.setattr(linededup, "dropped_lines", lambda d: keys(d).select("k", "th", F.explode(F.sequence(F.lit(100_000), F.lit(199_999))).alias("no")))
+    start = time.monotonic()
+    got = linededup.dedup_lines(docs).first()
+    assert got["text"].split("\n") == lines[:100_000] and got["_dropped"] == 100_000
+    assert time.monotonic() - start < 30
+
+
+def test_a_text_of_very_many_spans(spark):
+    """Assignments and weak tokens in turn: some tokens lie in base spans, the others are linked."""
+    token = "aB3dE6gH9jK2mN5pQ8sT"
+    text = " ".join(f"token={token}{i:06d} https://h{i}.example/ {token}{i:06d}" for i in range(4_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    start = time.monotonic()
+    r = secrets.secrets(docs).first()
+    assert (r["n_assign"], r["n_linked"]) == (4_000, 4_000)
+    mail = " ".join(f"a{i}@b.example and c{i} (at) d (dot) example" for i in range(4_000))
+    r = pii.personal_data(spark.createDataFrame([(1, mail)], "doc_id long, text string")).first()
+    assert r["n_email"] == 4_000
+    assert time.monotonic() - start < 60
+
+
+def test_free_spans_against_all_pairs(spark):
+    from pyspark.sql import functions as F
+
+    from siltstone.llm.spans import overlap_free
+
+    rng = np.random.default_rng(5)
+
+    def spans(n, width):
+        return sorted((int(s), int(s) + int(rng.integers(1, width))) for s in rng.integers(0, 30_000, n))
+
+    rows = [(i, spans(a, w), spans(b, w)) for i, (a, b, w) in enumerate([(0, 0, 5), (50, 0, 5), (0, 50, 5), (1, 256, 9), (300, 257, 30), (900, 1500, 12), (40, 3000, 4)])]
+    kind = "array<struct<start:bigint,end:bigint>>"
+    d = spark.createDataFrame(rows, f"i int, s {kind}, b {kind}")
+    for r in overlap_free(d, "s", F.col("b"), "free").collect():
+        _, s, b = rows[r["i"]]
+        assert [tuple(x) for x in r["free"]] == [x for x in s if not any(x[0] < y[1] and y[0] < x[1] for y in b)]
