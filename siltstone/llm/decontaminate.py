@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import row_key
+from .shared import own_columns, row_key, with_key
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Characters of benchmark text that one pass over the documents broadcasts, besides its last item; a larger benchmark takes more passes.
@@ -190,8 +190,6 @@ def contaminated(docs: DataFrame, bench: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    """The documents that copy no benchmark item; columns are those of docs. Rows that share a doc_id go together."""
-    bad = contaminated(docs, bench).select(F.coalesce("doc_id", F.lit(-(2**63)).cast("long")).alias("_bench_k")).distinct()
-    return (
-        docs.withColumn("_bench_key", row_key()).join(bad.hint("merge"), F.col("_bench_key") == F.col("_bench_k"), "left_anti").drop("_bench_key")
-    )
+    """The documents that copy no benchmark item; columns are those of docs, whatever their names. Rows that share a doc_id go together."""
+    bad = contaminated(docs, bench).select(row_key().alias("bad")).distinct()
+    return own_columns(with_key(docs, "k").join(bad.hint("merge"), F.col("k") == F.col("bad"), "left_anti"), docs)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, row_key
+from .shared import cut, row_key, trim
 
 MIN_WORDS = 1  # blank lines are never dropped
 MIN_NEAR = 4  # shorter lines are dropped only as exact repeats
@@ -54,12 +54,19 @@ def _powers(n: int):
     """Powers of the base and of its inverse, at least n."""
     global _pow, _inv
     if len(_pow) < n:
-        size = max(n, 2 * len(_pow), 1024)
+        size = max(n, CHUNK + 2)
         _pow = np.concatenate([[np.uint64(1)], np.cumprod(np.full(size, _BASE, np.uint64))])
         _inv = np.concatenate([[np.uint64(1)], np.cumprod(np.full(size, _INV, np.uint64))])
     return _pow, _inv
 
 
+def _forget() -> None:
+    """Let go of the powers that a long text took: a worker that later stages use again would hold them for good."""
+    global _pow, _inv
+    _pow = _inv = np.ones(1, np.uint64)
+    trim()
+
+
 class _Lines:
     """Polynomial hashes of all words and lines of some texts, without a loop over words.
 
@@ -156,6 +163,7 @@ def _occurrences(src: DataFrame) -> DataFrame:
                 row = start + x.doc[at]
                 cols = [pa.array(k[row]), pa.array(th[row]), pa.array(x.no[at].astype(np.int32)), pa.array(x.h[at].view(np.int64)), keys]
                 yield pa.RecordBatch.from_arrays(cols, names=["k", "th", "no", "h", "keys"])
+        _forget()
 
     return src.mapInArrow(run, "k long, th long, no int, h long, keys array<long>")
 
@@ -179,6 +187,7 @@ def _neighbourhood(src: DataFrame, bitmap) -> DataFrame:
                     keys = _lists(*x.variants(at))
                 cols = [pa.array(k[start + x.doc[at]]), pa.array(x.no[at].astype(np.int32)), pa.array(x.h[at].view(np.int64)), pa.array([x.text(i) for i in at.tolist()], pa.string()), keys]
                 yield pa.RecordBatch.from_arrays(cols, names=["k", "no", "h", "line", "keys"])
+        _forget()
 
     return src.mapInArrow(run, "k long, no int, h long, line string, keys array<long>")
 
@@ -262,12 +271,15 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     # Numbers of the lines that stay, by a hash set; texts that lose none are not put together again.
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone").cast("array<int>"))
     kept = F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n")
-    new = F.when(F.size("gone") > 0, kept).otherwise(F.col("text")).alias("text")
-    return d.select(
-        *[new if c == "text" else F.col("own").getField(c).alias(c) for c in docs.columns if c not in ("_lines", "_dropped")],
+    # In a step of its own, before columns of docs get their names back.
+    d = d.select(
+        "own",
+        F.when(F.size("gone") > 0, kept).otherwise(F.col("text")).alias("text"),
         F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("_lines"),
         F.greatest(F.coalesce(F.size("gone"), F.lit(0)), F.lit(0)).cast("long").alias("_dropped"),
     )
+    back = [F.col("text") if c == "text" else F.col("own").getField(c).alias(c) for c in docs.columns if c not in ("_lines", "_dropped")]
+    return d.select(*back, "_lines", "_dropped")
 
 
 def line_report(docs: DataFrame) -> DataFrame:

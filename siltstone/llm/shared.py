@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +47,25 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def trim() -> None:
+    """Hand freed memory back, as an idle worker keeps what it once had beside the JVM's heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
+def with_key(docs: DataFrame, name: str) -> DataFrame:
+    """(own, name): the columns of docs in a struct, so that none of their names can clash, and the row key."""
+    return docs.select(F.struct(*[docs[f"`{c}`"].alias(c) for c in docs.columns]).alias("own"), row_key().alias(name))
+
+
+def own_columns(packed: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs out of the struct of with_key."""
+    return packed.select(*[F.col("own").getField(c).alias(c) for c in docs.columns])
+
+
 def row_key(doc_id: str = "doc_id"):
     """doc_id as a key that is never null: null sorts before every other id."""
     return F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63)).cast("long"))

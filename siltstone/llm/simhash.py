@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, cross_pairs, cut, row_key, tree
+from .shared import connected_components, cross_pairs, cut, own_columns, row_key, tree, trim, with_key
 
 FP_RADIUS = 3  # of the 3-word fingerprints that op10 links
 WORD_RADIUS = 7  # of the word fingerprints that propose near copies; they are verified exactly
@@ -337,6 +337,7 @@ def copy_marks(docs: DataFrame) -> DataFrame:
             fp = pa.array(map(word_fingerprint, texts), pa.int64())
             keys = pa.array([_shared_keys(_shingles(t)) for t in texts], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fp, keys], names=["k", "th", "fp", "keys"])
+        trim()
 
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(row_key().alias("k"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, "k long, th long, fp long, keys array<long>")
@@ -353,6 +354,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= SIMILARITY * (len(x) + len(y) - both) - 1e-9)
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        trim()
 
     one = sets.select(F.col("id").alias("a"), F.col("set").alias("sa"))
     two = sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
@@ -379,6 +381,7 @@ def near_copy_groups(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_shingle_set(t) for t in b.column(1).to_pylist()], pa.binary())], names=["id", "set"])
+        trim()
 
     wanted = act.select("id").unionByName(flat.select("id")).distinct()
     named = classes.join(wanted.hint("merge"), "id", "left_semi").select("id", "th")
@@ -414,10 +417,9 @@ def near_copy_groups(docs: DataFrame) -> DataFrame:
 def near_dedup(docs: DataFrame) -> DataFrame:
     """The documents without near copies: of each group the row with the smallest doc_id stays.
 
-    Columns are those of docs. Rows that share a doc_id stay or go together: decisions are by id. A null
+    Columns are those of docs, whatever their names. Rows that share a doc_id stay or go together: decisions are by id. A null
     doc_id counts as the smallest. An empty table stays empty.
     """
     groups = near_copy_groups(docs)
-    keep = cut(groups.where("k = component_id").select(F.col("k").alias("_near_k")).distinct(), "kept")
-    out = docs.withColumn("_near_key", row_key()).join(keep.hint("merge"), F.col("_near_key") == F.col("_near_k"), "left_semi").drop("_near_key")
-    return out
+    keep = cut(groups.where("k = component_id").select(F.col("k").alias("kept")).distinct(), "kept")
+    return own_columns(with_key(docs, "k").join(keep.hint("merge"), F.col("k") == F.col("kept"), "left_semi"), docs)

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import cut, trim
+
 #: Rows of labels that a fit uses at most, those with the smallest hash of their id.
 MAX_TRAIN = 20_000
 #: Stems that a fit keeps at most, those with the most contexts.
@@ -225,8 +227,6 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learn stems and weights. Without labels of both kinds the model has no stems, and its score is the share of toxic labels (0.05 without any)."""
-    from .shared import cut
-
     train = cut(training_rows(docs, labels).groupBy("text").agg(F.max("toxic").alias("toxic")), "toxic-train")
     sizes = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
@@ -321,13 +321,16 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents with a score under THRESHOLD; columns are those of docs."""
+    """The documents with a score under THRESHOLD; columns are those of docs, whatever their names."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     def run(batches):
         m = shared.value
         for b in batches:
-            keep = [m.score(t) < THRESHOLD for t in b.column("text").to_pylist()]
+            keep = [m.score(t) < THRESHOLD for t in b.column(at).to_pylist()]
             yield b.filter(pa.array(keep, pa.bool_()))
+        trim()
 
-    return docs.mapInArrow(run, docs.schema)
+    # Numbered columns, as a name with a dot is taken for a field.
+    at, numbered = docs.columns.index("text"), docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return numbered.mapInArrow(run, numbered.schema).toDF(*docs.columns)
