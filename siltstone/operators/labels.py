@@ -42,8 +42,11 @@ def harvested(raw: DataFrame, column: str) -> DataFrame:
 
 def _subset(terms, size: int, seed: int):
     """size terms in the order of a keyed hash of each: the same whatever the partitioning."""
-    keyed = F.array_sort(F.transform(terms, lambda t: F.struct(F.xxhash64(t, F.lit(seed)).alias("h"), t.alias("t"))))
-    return F.array_join(F.transform(F.slice(keyed, 1, size), lambda x: x["t"]), " ")
+    hashes = F.transform(terms, lambda t: F.xxhash64(t, F.lit(seed)))
+    # Only terms up to the last hash that counts are sorted; a list of one holds that hash, which is found once.
+    last = F.array(F.try_element_at(F.slice(F.sort_array(hashes), 1, size), F.lit(-1)))
+    few = F.transform(last, lambda m: F.filter(F.transform(terms, lambda t: F.struct(F.xxhash64(t, F.lit(seed)).alias("h"), t.alias("t"))), lambda x: x["h"] <= m))[0]
+    return F.array_join(F.transform(F.slice(F.array_sort(few), 1, size), lambda x: x["t"]), " ")
 
 
 TEMPLATES = ("how to %s", "what is %s", "%s example", "%s tutorial", "how do i %s", "%s not working", "best way to %s", "%s vs")
@@ -74,8 +77,11 @@ def generate(pages: DataFrame, sections: DataFrame, answers: DataFrame, symbols:
     pages (url, title, summary, keywords), sections (url, heading, body), answers (url, title), symbols (url, title, keywords). Each table is read
     once: its queries are an array that is exploded.
     """
-    title, head = content_words("title"), content_words("heading")
-    blurb = F.filter(content_words("summary"), lambda t: F.length(t) > 4)
+    # Words are listed once a row, in a projection of their own, and all subsets draw on the list.
+    title, head, blurb = F.col("title_words"), F.col("heading_words"), F.col("blurb")
+    pages = pages.withColumn("title_words", content_words("title")).withColumn("blurb", F.filter(content_words("summary"), lambda t: F.length(t) > 4))
+    answers = answers.withColumn("title_words", content_words("title"))
+    headed = sections.where("heading <> ''").withColumn("heading_words", content_words("heading"))
     one = lambda bucket, q, on=None: F.struct(F.lit(bucket).alias("bucket"), (q if on is None else F.when(on, q)).alias("query"))
     phrases = F.transform(F.split("keywords", ","), lambda k: F.struct(F.lit("keywords").alias("bucket"), k.alias("query")))
 
@@ -92,7 +98,7 @@ def generate(pages: DataFrame, sections: DataFrame, answers: DataFrame, symbols:
     rare = salient(sections, df)
     out = said(pages, one("title", F.col("title")), *subsets("title-subset", title, 0, lambda i: 2 + i % 3, 8), *subsets("summary", blurb, 20, lambda i: 2 + i % 2, 4), *filled, more=phrases)
     for part in (
-        said(sections.where("heading <> ''"), one("heading", F.col("heading")), *subsets("heading-subset", head, 30, lambda i: 2 + i % 2, 3)),
+        said(headed, one("heading", F.col("heading")), *subsets("heading-subset", head, 30, lambda i: 2 + i % 2, 3)),
         said(answers, one("question", F.col("title")), one("question-keywords", F.array_join(F.slice(title, 1, 4), " "), F.size(title) > 2)),
         said(symbols, one("symbol", F.col("title")), one("member", F.element_at(F.split(last, r"\."), -1), last.contains(".")), one("path", F.regexp_replace(last, r"\.", " "), last.contains(".")), more=phrases),
         said(rare, *[one("body-salient", F.array_join(F.slice("terms", start + 1, size), " "), F.size("terms") >= start + size) for start, size in ((0, 2), (0, 3), (1, 2), (2, 2), (0, 4), (1, 3))]),
