@@ -9,6 +9,7 @@ from itertools import combinations
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -38,6 +39,15 @@ def test_token_files(docs, rows, empty):
     assert tokenfile.read_tokens(tokenfile.write_tokens(empty, path)).count() == 0
 
 
+def test_codes_of_a_row_come_from_columns():
+    """Null and empty rows, a part without ids, and a batch that starts within a larger one."""
+    rows = [[("x", b"1")], None, [], [("a", b"12"), ("b", b"")], [("c", b"3")]]
+    column = pa.array([r and [{"word": w, "code": c} for w, c in r] if r else r for r in rows], pa.list_(pa.struct([("word", pa.string()), ("code", pa.binary())])))
+    for s in range(len(rows)):
+        assert list(pieces._own_codes(column[s:])) == [dict(r or ()) for r in rows[s:]]
+    assert list(pieces._own_codes(column[:0])) == []
+
+
 def test_sentencepiece(docs, rows, empty):
     import sentencepiece
 
