@@ -23,6 +23,7 @@ from .shared import connected_components, cross_pairs, cut, own_columns, row_key
 
 FP_RADIUS = 3  # of the 3-word fingerprints that op10 links
 WORD_RADIUS = 7  # of the word fingerprints that propose near copies; they are verified exactly
+WORD_GROUPS = 5  # of 12 or 13 bits; with the size classes a row is probed as often in a large table as in a small one
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, BAND_MINIMA = 8, 3  # keys of least shingle hashes
 FAR_RADIUS = 20  # bits beyond which a shared key's pair is not looked at; of pairs at the similarity 99 in 100 lie within 14
@@ -143,12 +144,32 @@ def _group_count(n: int, radius: int) -> int:
     return min(range(2, radius + 2), key=cost)
 
 
+def _least_size(size: np.ndarray) -> np.ndarray:
+    """The size of the smallest set that can have a similarity of SIMILARITY to one of this size."""
+    return np.ceil(size * SIMILARITY - 1e-6).astype(np.int64)
+
+
+def _most_size(size: np.ndarray) -> np.ndarray:
+    """The size of the largest such set."""
+    return np.floor(size / SIMILARITY + 1e-6).astype(np.int64)
+
+
+def _size_class(size: np.ndarray) -> np.ndarray:
+    """Sizes from one power of two to the next; 0 is with 1."""
+    return np.frexp(np.maximum(size, 1).astype(np.float64))[1].astype(np.int64) - 1
+
+
 class Pigeonhole:
-    """Index and probe rows over fps (id long, fp long, and any columns named in carry)."""
+    """Index and probe rows over fps (id long, fp long, and any columns named in carry).
+
+    With sized, fps has a column size too, of the sets that are to be verified: rows whose sizes rule the similarity out do not meet. Classes of sizes
+    are part of the keys; a row is probed in the one or two classes that such sizes fall into.
+    """
 
-    def __init__(self, fps: DataFrame, radius: int):
-        self.radius, self.n = radius, fps.count()
-        self.m = _group_count(max(self.n, 1), radius)
+    def __init__(self, fps: DataFrame, radius: int, groups: int | None = None, sized: bool = False):
+        self.radius, self.n, self.sized = radius, fps.count(), sized
+        self.m = groups or _group_count(max(self.n, 1), radius)
+        self.carry = ("size",) if sized else ()
         widths = [64 // self.m + (i < 64 % self.m) for i in range(self.m)]
         self.groups = _grouped_bits(fps, widths) if self.n else [[*range(sum(widths[:i]), sum(widths[: i + 1]))] for i in range(self.m)]
         self.hist = self._histograms(fps)
@@ -193,11 +214,24 @@ class Pigeonhole:
             for x in bit[1:]:
                 value = value.bitwiseOR(x)
             keys.append(value + F.lit(i * 2**40))
-        return fps.select(F.explode(F.array(*keys)).alias("key"), "id", "fp", *carry)
+        rows = fps.select(F.explode(F.array(*keys)).alias("key"), "id", "fp", *self.carry, *carry)
+        if not self.sized:
+            return rows
+        # The binary digits of a size, less one, are its class.
+        return rows.withColumn("key", F.col("key") + (F.length(F.bin(F.greatest("size", F.lit(1)))) - 1) * F.lit(2**44))
+
+    def _fits(self, one: str, two: str):
+        """The fingerprints of two sides (f and the letter) lie within the radius, and the sizes (s and the letter) allow the similarity."""
+        near = F.bit_count(F.col(f"f{one}").bitwiseXOR(F.col(f"f{two}"))) <= self.radius
+        if not self.sized:
+            return near
+        least, most = F.least(f"s{one}", f"s{two}"), F.greatest(f"s{one}", f"s{two}")
+        return near & (least >= most * F.lit(SIMILARITY) - 1e-6)
 
     def probe(self, fps: DataFrame, *carry: str) -> DataFrame:
         spark = fps.sparkSession
         tables, groups, total, m = spark.sparkContext.broadcast(self._estimates()), self.groups, self.radius - self.m + 1, self.m
+        sized = self.sized
 
         def run(batches):
             tabs = tables.value
@@ -206,6 +240,11 @@ class Pigeonhole:
                     continue
                 fp = batch.column(1).to_numpy()
                 values = [_gather(fp, g) for g in groups]
+                classes = [(np.zeros(len(fp), np.int64), np.ones(len(fp), bool))]
+                if sized:
+                    size = batch.column(2).to_numpy()
+                    low, high = _size_class(_least_size(size)), _size_class(_most_size(size))
+                    classes = [(low, np.ones(len(fp), bool)), (high, high > low)]
                 # dp[s]: the least cost of the groups so far with thresholds that sum to s - i (each is at least -1)
                 span = total + m
                 dp, back = np.full((len(fp), span + 1), np.inf), []
@@ -232,36 +271,41 @@ class Pigeonhole:
                         for s in range(0, len(own), step):
                             o = own[s : s + step]
                             key = (values[i][o][:, None] ^ ball[None, :]).ravel() + i * 2**40
-                            part = batch.take(pa.array(np.repeat(o, len(ball))))
-                            yield pa.RecordBatch.from_arrays([pa.array(key), *part.columns], names=["key", *names])
+                            o = np.repeat(o, len(ball))
+                            for cls, own_class in classes:
+                                has = own_class[o]
+                                part = batch.take(pa.array(o[has]))
+                                yield pa.RecordBatch.from_arrays([pa.array(key[has] + cls[o[has]] * 2**44), *part.columns], names=["key", *names])
                     at = at - t
 
-        names = ["id", "fp", *carry]
+        names = ["id", "fp", *self.carry, *carry]
         kinds = dict(fps.dtypes)
         return fps.select(*names).mapInArrow(run, "key long, " + ", ".join(f"{c} {kinds[c]}" for c in names))
 
+    def _named(self, rows: DataFrame, side: str, *carry: str) -> DataFrame:
+        """rows of the index, probe or leaders under the names of one side of a join: key, id as a, fp as fa, size as sa."""
+        return rows.toDF("key", side, f"f{side}", *[f"s{side}"] * self.sized, *carry)
+
     def links(self, fps: DataFrame) -> DataFrame:
         """(a, b): ids of all fingerprints within the radius whose comp differs (fps: id, fp, comp)."""
-        p = self.probe(fps, "comp").toDF("key", "a", "fa", "ca")
-        x = self.index(fps, "comp").toDF("key", "b", "fb", "cb")
-        near = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= self.radius
-        on = (p["key"] == x["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near
+        p = self._named(self.probe(fps, "comp"), "a", "ca")
+        x = self._named(self.index(fps, "comp"), "b", "cb")
+        on = (p["key"] == x["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & self._fits("a", "b")
         return p.hint("merge").join(x, on).select("a", "b").distinct()
 
     def active(self, fps: DataFrame) -> DataFrame:
         """The rows of fps (id, fp) that have another one within the radius."""
-        p = self.probe(fps).toDF("key", "id", "fp")
-        x = self.index(fps).toDF("key", "b", "fb")
-        near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fb"))) <= self.radius
-        return p.hint("merge").join(x, (p["key"] == x["key"]) & (F.col("id") != F.col("b")) & near, "left_semi").select("id", "fp").distinct()
+        p, x = self._named(self.probe(fps), "a"), self._named(self.index(fps), "b")
+        found = p.hint("merge").join(x, (p["key"] == x["key"]) & (F.col("a") != F.col("b")) & self._fits("a", "b"), "left_semi")
+        return found.select(F.col("a").alias("id"), F.col("fa").alias("fp"), *[F.col("sa").alias(c) for c in self.carry]).distinct()
 
     def stars(self, fps: DataFrame, seed: int) -> DataFrame:
         """(a, b): each id with one leader of each of its index buckets, if within the radius; a bucket of g rows gives g pairs."""
         x = self.index(fps)
-        lead = x.groupBy("key").agg(F.min_by(F.struct("id", "fp"), F.struct(F.xxhash64("id", F.lit(seed)), "id")).alias("l"), F.count("*").alias("c"))
-        lead = lead.where("c > 1").select("key", F.col("l.id").alias("b"), F.col("l.fp").alias("fb"))
-        near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fb"))) <= self.radius
-        return x.join(lead.hint("merge"), "key").where((F.col("id") != F.col("b")) & near).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
+        lead = x.groupBy("key").agg(F.min_by(F.struct("id", "fp", *self.carry), F.struct(F.xxhash64("id", F.lit(seed)), "id")).alias("l"), F.count("*").alias("c"))
+        lead = self._named(lead.where("c > 1").select("key", "l.*"), "b")
+        met = self._named(x, "a").join(lead.hint("merge"), "key").where((F.col("a") != F.col("b")) & self._fits("a", "b"))
+        return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def fingerprint_components(fps: DataFrame, radius: int = FP_RADIUS) -> DataFrame:
@@ -329,18 +373,19 @@ def _shared_keys(shingles: np.ndarray) -> list[int]:
 
 
 def copy_marks(docs: DataFrame) -> DataFrame:
-    """(k, th, fp, keys): row key, hash of the text, word fingerprint, and the keys that likely copies share."""
+    """(k, th, fp, size, keys): row key, hash of the text, word fingerprint, number of distinct shingles, and the keys that likely copies share."""
 
     def run(batches):
         for b in batches:
             texts = b.column(2).to_pylist()
             fp = pa.array(map(word_fingerprint, texts), pa.int64())
-            keys = pa.array([_shared_keys(_shingles(t)) for t in texts], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fp, keys], names=["k", "th", "fp", "keys"])
+            sets = [_shingles(t) for t in texts]
+            size, keys = pa.array(map(len, sets), pa.int64()), pa.array(map(_shared_keys, sets), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fp, size, keys], names=["k", "th", "fp", "size", "keys"])
         trim()
 
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(row_key().alias("k"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, "k long, th long, fp long, keys array<long>")
+    return docs.select(row_key().alias("k"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, "k long, th long, fp long, size long, keys array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -370,9 +415,9 @@ def near_copy_groups(docs: DataFrame) -> DataFrame:
     neighbour or a shared key send their shingles.
     """
     rows = cut(copy_marks(docs), "copy-marks")
-    classes = cut(rows.groupBy("th", "fp").agg(F.min("k").alias("id"), F.first("keys").alias("keys")), "word-classes")
-    gph = Pigeonhole(classes.select("id", "fp"), WORD_RADIUS)
-    act = cut(gph.active(classes.select("id", "fp")), "active")
+    classes = cut(rows.groupBy("th", "fp").agg(F.min("k").alias("id"), F.first("size").alias("size"), F.first("keys").alias("keys")), "word-classes")
+    gph = Pigeonhole(classes.select("id", "fp", "size"), WORD_RADIUS, WORD_GROUPS, sized=True)
+    act = cut(gph.active(classes.select("id", "fp", "size")), "active")
     flat = classes.select("id", "fp", F.explode("keys").alias("key"))
     many = flat.groupBy("key").agg(F.count("*").alias("c"), *[F.min_by(F.struct("id", "fp"), F.xxhash64("id", F.lit(s))).alias(f"l{s}") for s in range(LEADERS)]).where("c > 1")
     many = cut(many.select("key", F.array_distinct(F.array(*[f"l{s}" for s in range(LEADERS)])).alias("leads")), "key-leads")
@@ -391,7 +436,7 @@ def near_copy_groups(docs: DataFrame) -> DataFrame:
 
     edges = cut(_verified(gph.stars(act, 0).unionByName(gph.stars(act, 1)).unionByName(gph.stars(act, 2)).distinct(), sets), "edges")
     comps = cut(connected_components(edges), "comps")
-    known = cut(act.join(comps.hint("merge"), "id", "left").select("id", "fp", F.coalesce("component_id", "id").alias("comp")), "known")
+    known = cut(act.join(comps.hint("merge"), "id", "left").select("id", "fp", "size", F.coalesce("component_id", "id").alias("comp")), "known")
     edges = cut(tree(comps).unionByName(_verified(cut(gph.links(known), "pairs"), sets)), "edges")
 
     comps = cut(connected_components(edges), "comps")
