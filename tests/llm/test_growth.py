@@ -1,9 +1,10 @@
 """Work that must grow with the input and no faster."""
 
 import numpy as np
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from siltstone.llm import simhash
+from siltstone.llm import pieces, simhash
 
 
 def test_probes_grow_with_the_fingerprints(spark):
@@ -37,3 +38,29 @@ def test_size_classes_lose_no_pair(spark):
     index = simhash.Pigeonhole(fps.select("id", "fp", "size"), simhash.WORD_RADIUS, simhash.WORD_GROUPS, sized=True)
     assert {(r["a"], r["b"]) for r in index.links(fps).collect()} == want and len(want) > 300
     assert {r["id"] for r in index.active(fps.select("id", "fp", "size")).collect()} == {i for x in want for i in x}
+
+
+def test_texts_are_cut_once_for_their_rare_parts(spark, docs, monkeypatch):
+    """The lattice and the join with its codes share a shuffle; parts are counted in some documents only; every row is right."""
+    import sentencepiece
+
+    plans, counted, cut, vocabulary = {}, [], pieces.cut, pieces.vocabulary
+
+    def watched(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return cut(df, name)
+
+    def noted(frame, path):
+        counted.append(frame.count())
+        return vocabulary(frame, path)
+
+    monkeypatch.setattr(pieces, "cut", watched)
+    monkeypatch.setattr(pieces, "vocabulary", noted)
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    got = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["n_pieces"], list(r["ids"])) for r in pieces.encode(docs, model).collect())
+    lib = sentencepiece.SentencePieceProcessor(model_file=model)
+    want = sorted((r["doc_id"] is not None, r["doc_id"] or 0, len(ids := lib.encode(r["text"] or "")), ids) for r in docs.collect())
+    assert got == want
+    assert len(counted) == 1 and 0 < counted[0] < docs.count() / 2
+    filters = {x.split("Filter ")[1].replace(" ", "") for x in plans["encoded"].splitlines() if "Filter (isnotnull(word#" in x}
+    assert len({"".join(c for c in x if not c.isdigit()) for x in filters}) == 1
