@@ -34,6 +34,8 @@ _REPORT = frozenset("said says wrote writes called quoted quote quotes reported
 _DIRECT = frozenset("you your you're youre u ur du dein deine ihr tu te ton toi vous votre usted tú ustedes".split())
 _OPEN, _CLOSE = "\"“«„‘", "\"”»“’"
 _WINDOW = 80
+#: Rows whose texts a task holds as Python strings at once, prefixes it counts before they are handed on, words whose hits a matcher remembers.
+SLICE, HELD, KNOWN = 256, 50_000, 50_000
 
 
 class Matcher:
@@ -118,7 +120,7 @@ class Matcher:
         try:
             return self.cache[word]
         except KeyError:
-            if len(self.cache) > 400_000:
+            if len(self.cache) >= KNOWN:
                 self.cache.clear()
             self.cache[word] = found = self.find(word) if len(word) >= MIN_STEM - 1 else None
             return found
@@ -193,15 +195,20 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> list[float]:
     return w.tolist()
 
 
+def _support(n_toxic: int) -> float:
+    """The contexts in toxic rows that a stem has at least."""
+    return max(3, MIN_SUPPORT * n_toxic)
+
+
+def _apart(pos: int, neg: int, n_toxic: int, n_clean: int) -> bool:
+    """Whether pos toxic and neg clean rows set a stem's toxic rows apart."""
+    return math.log(((pos + 0.5) / (n_toxic + 1)) / ((neg + 0.5) / (n_clean + 1))) >= 2.5 and pos >= 1.5 * neg
+
+
 def _stems(rows: list[tuple[str, int, int, int]], n_toxic: int, n_clean: int) -> tuple[list[str], set[str]]:
     """From (prefix, contexts in toxic rows, toxic rows, clean rows): stems, each the longest prefix that keeps a good one's support,
     and those of them that clean rows hold more often than one in CLEAR times."""
-    least = max(3, MIN_SUPPORT * n_toxic)
-    good = {}
-    for p, contexts, pos, neg in rows:
-        odds = math.log(((pos + 0.5) / (n_toxic + 1)) / ((neg + 0.5) / (n_clean + 1)))
-        if contexts >= least and odds >= 2.5 and pos >= 1.5 * neg:
-            good[p] = contexts
+    good = {p: contexts for p, contexts, pos, neg in rows if contexts >= _support(n_toxic) and _apart(pos, neg, n_toxic, n_clean)}
     weak = {p for p, _, pos, neg in rows if pos < CLEAR * neg}
     by_parent: dict[str, list[str]] = {}
     for p in good:
@@ -225,6 +232,72 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(y), "doc_id").select("text", "toxic")
 
 
+def _lists(batches):
+    """The columns as lists, SLICE rows at a time: a task never holds a whole batch of texts as Python strings."""
+    for b in batches:
+        for s in range(0, b.num_rows, SLICE):
+            yield [c.to_pylist() for c in b.slice(s, SLICE).columns]
+
+
+def _prefixes(words: list[str], among: frozenset | None = None) -> dict[str, int]:
+    """The prefixes of a text's words, each with the place of the first word that begins with it. among: only these; it holds the shorter prefixes of each."""
+    out: dict[str, int] = {}
+    for i, w in enumerate(words):
+        if len(w) >= MIN_STEM and w[:MAX_STEM] not in out:
+            for n in range(MIN_STEM, min(len(w), MAX_STEM) + 1):
+                if among is not None and w[:n] not in among:
+                    break
+                out.setdefault(w[:n], i)
+    return out
+
+
+def _count_prefixes(rows: DataFrame, among: frozenset | None = None) -> DataFrame:
+    """(p, n): the rows with a word that begins with p, for all prefixes or those of among. Counts leave a task when they are over HELD."""
+    given = rows.sparkSession.sparkContext.broadcast(among)
+
+    def out(n):
+        return pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["p", "n"])
+
+    def run(batches):
+        n = Counter()
+        for (texts,) in _lists(batches):
+            for text in texts:
+                n.update(_prefixes(_TOKEN.findall(text.lower()), given.value).keys())
+                if len(n) > HELD:
+                    yield out(n)
+                    n = Counter()
+        yield out(n)
+        n.clear()
+        trim()
+
+    return rows.select("text").mapInArrow(run, "p string, n long").groupBy("p").agg(F.sum("n").alias("n"))
+
+
+def _evidence(train: DataFrame, n_toxic: int, n_clean: int) -> list[tuple[str, int, int, int]]:
+    """(prefix, contexts in toxic rows, toxic rows, clean rows) of all prefixes that _stems can take.
+
+    A toxic row adds one context of a prefix at most. So toxic rows tell which prefixes have support enough, clean rows are counted for these
+    only, and contexts are gathered for what hardly occurs in clean rows: no task holds the prefixes or contexts of all its rows.
+    """
+    least = _support(n_toxic)
+    toxic, clean = train.where("toxic = 1"), train.where("toxic = 0")
+    pos = {r["p"]: r["n"] for r in _count_prefixes(toxic).where(F.col("n") >= least).collect()}
+    neg = {r["p"]: r["n"] for r in _count_prefixes(clean, frozenset(pos)).collect()}
+    rare = train.sparkSession.sparkContext.broadcast(frozenset(p for p, n in pos.items() if _apart(n, neg.get(p, 0), n_toxic, n_clean)))
+
+    def run(batches):
+        for (texts,) in _lists(batches):
+            got = set()
+            for text in texts:
+                words = _TOKEN.findall(text.lower())
+                got.update((p, " ".join(words[max(0, i - 1) : i] + words[i + 1 : i + 2])) for p, i in _prefixes(words).items() if p in rare.value)
+            yield pa.RecordBatch.from_arrays([pa.array([x[at] for x in got], pa.string()) for at in (0, 1)], names=["p", "ctx"])
+        trim()
+
+    contexts = toxic.select("text").mapInArrow(run, "p string, ctx string").distinct().groupBy("p").count().where(F.col("count") >= least)
+    return [(r["p"], r["count"], pos[r["p"]], neg.get(r["p"], 0)) for r in contexts.collect()]
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learn stems and weights. Without labels of both kinds the model has no stems, and its score is the share of toxic labels (0.05 without any)."""
     train = cut(training_rows(docs, labels).groupBy("text").agg(F.max("toxic").alias("toxic")), "toxic-train")
@@ -234,44 +307,20 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         share = min(0.999, max(0.001, n_toxic / (n_toxic + n_clean))) if n_toxic + n_clean else 0.05
         return Model(Matcher([]), [math.log(share / (1 - share)), *[0.0] * N_FEATURES])
 
-    def count(batches):
-        contexts, pos, neg = {}, Counter(), Counter()
-        for b in batches:
-            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                words = _TOKEN.findall(text.lower())
-                seen: dict[str, int] = {}
-                for i, w in enumerate(words):
-                    if w not in seen and len(w) >= MIN_STEM:
-                        seen[w] = i
-                prefixes: dict[str, int] = {}
-                for w, i in seen.items():
-                    for n in range(MIN_STEM, min(len(w), MAX_STEM) + 1):
-                        prefixes.setdefault(w[:n], i)
-                (pos if toxic else neg).update(prefixes.keys())
-                if toxic:
-                    for p, i in prefixes.items():
-                        contexts.setdefault(p, set()).add(" ".join(words[max(0, i - 1) : i] + words[i + 1 : i + 2]))
-        rows = [(p, list(contexts.get(p, ())), pos[p], neg[p]) for p in {*pos, *neg}]
-        for s in range(0, len(rows), 20_000):
-            cols = list(zip(*rows[s : s + 20_000]))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1], pa.list_(pa.string())), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], names=["p", "ctx", "pos", "neg"])
-
-    counts = train.mapInArrow(count, "p string, ctx array<string>, pos long, neg long")
-    counts = counts.groupBy("p").agg(F.array_distinct(F.flatten(F.collect_list("ctx"))).alias("ctx"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    counts = counts.where(F.size("ctx") >= 3).where("pos >= 1.5 * neg").select("p", F.size("ctx"), "pos", "neg")
-    stems, weak = _stems([tuple(r) for r in counts.collect()], n_toxic, n_clean)
+    stems, weak = _stems(_evidence(train, n_toxic, n_clean), n_toxic, n_clean)
 
     # Stems whose misspellings are common in clean rows lose the right to an edit.
     loose = train.sparkSession.sparkContext.broadcast(Matcher(stems))
 
     def near(batches):
         m = loose.value
-        for b in batches:
-            got = Counter()
-            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+        got = Counter()
+        for texts, toxics in _lists(batches):
+            for text, toxic in zip(texts, toxics):
                 hits = {m[w] for w in set(_TOKEN.findall(text.lower()))} - {None}
                 got.update(stem for stem, exact in hits if not exact and not toxic)
-            yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int64()), pa.array(list(got.values()), pa.int64())], names=["stem", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int64()), pa.array(list(got.values()), pa.int64())], names=["stem", "n"])
+        trim()
 
     clean_hits = {r["stem"]: r["n"] for r in train.mapInArrow(near, "stem long, n long").groupBy("stem").agg(F.sum("n").alias("n")).collect()}
     ordered = loose.value.stems
@@ -281,9 +330,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     names = [f"x{i}" for i in range(N_FEATURES)]
 
     def table(batches):
-        for b in batches:
-            xs = [features(t, shared.value) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(pa.array([x[i] for x in xs], pa.float64()) for i in range(N_FEATURES)), b.column(1)], names=[*names, "y"])
+        for texts, toxics in _lists(batches):
+            xs = [features(t, shared.value) for t in texts]
+            yield pa.RecordBatch.from_arrays([*(pa.array([x[i] for x in xs], pa.float64()) for i in range(N_FEATURES)), pa.array(toxics, pa.int32())], names=[*names, "y"])
+        trim()
 
     xs = train.mapInArrow(table, ", ".join(f"{n} double" for n in names) + ", y int").groupBy(*names, "y").count().collect()  # MAX_TRAIN rows at most
     flat = np.array([[*r[: N_FEATURES + 1]] for r in xs for _ in range(r["count"])], float)
@@ -307,8 +357,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         m = shared.value
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m.score(t) for t in b.column(1).to_pylist()], pa.float64())], names=["doc_id", "score"])
+        for ids, texts in _lists(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([m.score(t) for t in texts], pa.float64())], names=["doc_id", "score"])
+        trim()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
 
@@ -327,8 +378,9 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches):
         m = shared.value
         for b in batches:
-            keep = [m.score(t) < THRESHOLD for t in b.column(at).to_pylist()]
-            yield b.filter(pa.array(keep, pa.bool_()))
+            for s in range(0, b.num_rows, SLICE):
+                part = b.slice(s, SLICE)
+                yield part.filter(pa.array([m.score(t) < THRESHOLD for t in part.column(at).to_pylist()], pa.bool_()))
         trim()
 
     # Numbered columns, as a name with a dot is taken for a field.

@@ -64,3 +64,57 @@ def test_texts_are_cut_once_for_their_rare_parts(spark, docs, monkeypatch):
     assert len(counted) == 1 and 0 < counted[0] < docs.count() / 2
     filters = {x.split("Filter ")[1].replace(" ", "") for x in plans["encoded"].splitlines() if "Filter (isnotnull(word#" in x}
     assert len({"".join(c for c in x if not c.isdigit()) for x in filters}) == 1
+
+
+def test_a_fit_holds_few_prefixes(spark, tmp_path, monkeypatch):
+    """A task once held all prefixes of its rows and their contexts; the stems are those of counting everything."""
+    import random
+    import tracemalloc
+    import uuid
+    from collections import defaultdict
+
+    from siltstone.llm import toxicity
+
+    frame = type(spark.range(0))
+    rng, folder, plain = random.Random(5), str(tmp_path), frame.mapInArrow
+    word = lambda: "".join(rng.choices("abcdefghijklmnoprstuvwxyz", k=12))
+    rows = []
+    for i in range(600):
+        words, toxic = [word() for _ in range(200)], int(i % 4 == 0)
+        for at in rng.sample(range(200), 6):
+            words[at] = rng.choice(["vermin", "verminous", "imbecile", "imbecilic", "common", "commons"] if toxic else ["common", "commons", "commune", "imbibed"])
+        rows.append((i, " ".join(words), toxic))
+
+    def watched(rows, func, schema):
+        def run(batches):
+            tracemalloc.start()
+            yield from func(batches)
+            peak = tracemalloc.get_traced_memory()[1]
+            tracemalloc.stop()
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+                f.write(str(peak))
+
+        return plain(rows, run, schema)
+
+    monkeypatch.setattr(frame, "mapInArrow", watched)
+    d = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    train = d.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
+    model = toxicity.fit(d.select("doc_id", "text"), train.select("doc_id", "toxic"))
+    peaks = [int(p.read_text()) for p in tmp_path.iterdir()]
+    assert len(peaks) >= 3 and max(peaks) < 40e6, sorted(peaks)[-3:]
+
+    contexts, seen = defaultdict(set), (defaultdict(int), defaultdict(int))
+    sizes = [0, 0]
+    for r in train.collect():
+        words, first = r["text"].split(), {}
+        for at, w in enumerate(words):
+            for n in range(toxicity.MIN_STEM, min(len(w), toxicity.MAX_STEM) + 1):
+                first.setdefault(w[:n], at)
+        sizes[r["toxic"]] += 1
+        for p, at in first.items():
+            seen[r["toxic"]][p] += 1
+            if r["toxic"]:
+                contexts[p].add(" ".join(words[max(0, at - 1) : at] + words[at + 1 : at + 2]))
+    stems, weak = toxicity._stems([(p, len(c), seen[1][p], seen[0].get(p, 0)) for p, c in contexts.items()], sizes[1], sizes[0])
+    assert model.matcher.stems == sorted(stems) and {"vermin", "imbecil"} <= set(stems) and "comm" not in stems
+    assert {model.matcher.stems[i] for i in model.matcher.weak} == weak
