@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from siltstone import registry
 from siltstone.operators import evaluate as ev
 from siltstone.operators import search as se
 
@@ -71,6 +72,12 @@ def test_lemmas(spark):
     assert [(r["stem"], r["saw_as"]) for r in miss] == [("frob", "frobs")]
 
 
+def test_every_word_of_the_vocabulary_is_in_the_dictionary(spark, tmp_path):
+    d = str(tmp_path)
+    spark.createDataFrame([(1, "documentations", "en", "s"), (2, "documentation x", "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{d}/documents.parquet")
+    assert [tuple(r) for r in registry.QUERIES["sr2_lemmas"](spark, d).collect()] == [("documentations", "documentation")]
+
+
 def test_lemma_matches_weigh_less(spark):
     terms = spark.createDataFrame([(1, "queues", True)], "query_id long, term string, content boolean")
     vocab = spark.createDataFrame([("queue",), ("queues",)], "word string")
