@@ -8,6 +8,7 @@ from ..functions import text as tx
 from ..operators import evaluate as ev
 from ..operators import labels as lb
 from ..operators import markdown as md
+from ..storage import cut, spread
 from .base import SYMBOLS_SQL, query, table
 
 _R = lambda x, *steps: x if not steps else _R(f"regexp_replace({x}, '{steps[0][0]}', '{steps[0][1]}', 'g')", *steps[1:])
@@ -287,12 +288,13 @@ def _(spark, d):
 
 
 def _generated(spark, d):
-    s = _sections(spark, d)
-    pages = table(spark, d, "documents").select(F.concat(F.lit("/doc/"), "doc_id", F.lit("/")).alias("url"), F.substring_index("text", "\n", 1).alias("title"), tx.summary("text").alias("summary"), F.concat_ws(",", "lang", "source").alias("keywords"))
+    """The generated queries. Words of sections and their frequencies are written once."""
+    s = cut(lb.worded(spread(_sections(spark, d).select("url", "heading", "body"))), "section-words")
+    pages = spread(table(spark, d, "documents").select("doc_id", "text", "lang", "source")).select(F.concat(F.lit("/doc/"), "doc_id", F.lit("/")).alias("url"), F.substring_index("text", "\n", 1).alias("title"), tx.summary("text").alias("summary"), F.concat_ws(",", "lang", "source").alias("keywords"))
     answers = table(spark, d, "conversations").where("role = 'user'").select(F.concat(F.lit("/conv/"), "conv_id", F.lit("#"), "turn").alias("url"), F.col("text").alias("title"))
     from .base import symbols
 
-    return lb.generate(pages, s, answers, symbols(spark, d).select("url", F.col("symbol").alias("title"), F.lit("").alias("keywords")), lb.section_df(s))
+    return lb.generate(pages, s, answers, symbols(spark, d).select("url", F.col("symbol").alias("title"), F.lit("").alias("keywords")), cut(lb.section_df(s), "section-df"))
 
 
 @query("gq1_generated")

@@ -103,6 +103,17 @@ def test_text_functions(spark):
     assert one(spark, tx.iso_utc(lit("2024-01-01T02:00:00+02:00"))) == "2024-01-01T00:00:00Z" and one(spark, tx.iso_utc(lit("nope"))) is None
 
 
+def test_words_are_found_as_they_would_be_cut(spark):
+    rows = ["It’s a ‘Test’ of -a.b@c/d+e  é İ\tz\n", "", "…", None, " x", "y ", "a\u00a0b", "Ωmega ﬁ K9", "''", "“q”“r”"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, x string")
+    cut = F.trim(tx.chain(F.lower("x"), (tx.QUOTES, ""), (tx.UNCLEAN, " ")))
+    for r in df.select(tx.clean_query("x").alias("q"), cut.alias("cut"), tx.words("x").alias("w"), F.filter(F.split(cut, " "), lambda w: w != "").alias("cut_w")).collect():
+        assert r["q"] == r["cut"] and r["w"] == r["cut_w"]
+    lines = df.select(tx._one_line(F.col("x")).alias("a"), F.trim(tx.chain("x", (r"\s+", " "))).alias("b")).collect()
+    assert [r["a"] for r in lines] == [r["b"] for r in lines]
+    assert "\\s{2,}" in df.select(tx._one_line(F.col("x")))._jdf.queryExecution().analyzed().toString()
+
+
 def test_typos_of_long_queries(spark):
     """One place of any query, found in time linear in its length: 180,000 letters ended the session when every version was made."""
     rows = [(q,) for q in ("stream the response", "aé", "éa", "s𝄞a𝄞e", "ba" * 90_000)]

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from siltstone import storage
 from siltstone.operators import catalogue as c
 from siltstone.operators import graph as g
 from siltstone.operators import labels as lb
@@ -139,6 +140,29 @@ def test_generated_queries(spark):
     assert [r["bucket"] for r in rr.collect()] == ["a", "b", "a", "a"]
 
 
+def test_common_terms_go_to_the_queries(spark):
+    """Nearly all queries have several words, so a shuffle by the only one puts them into one task."""
+    pages = spark.createDataFrame([("/a/", "Delayed job queue retries", "", "queue,retry")], "url string, title string, summary string, keywords string")
+    sec = spark.createDataFrame([(f"/{i}/", "queue", f"word{i} Queue’s") for i in range(20)], "url string, heading string, body string")
+    sym = spark.createDataFrame([("/api/x/queue.push/", "Queue.push", "")], "url string, title string, keywords string")
+    q = lb.generate(pages, sec, pages.select("url", "title"), sym, lb.section_df(sec))
+    anti = [line for line in q._jdf.queryExecution().executedPlan().toString().splitlines() if "LeftAnti" in line]
+    assert anti and all("BroadcastHashJoin" in line for line in anti)
+    got = {(r["bucket"], r["query"]) for r in q.collect()}
+    assert ("keywords", "retry") in got and ("symbol", "queue.push") in got and not {x for x in got if x[1] == "queue"}
+    kept = lb.worded(sec)
+    assert sorted(map(str, lb.section_df(kept).collect())) == sorted(map(str, lb.section_df(sec).collect()))
+    assert sorted(map(str, lb.salient(kept, lb.section_df(sec), 1).collect())) == sorted(map(str, lb.salient(sec, lb.section_df(sec), 1).collect()))
+
+
+def test_uneven_partitions_are_dealt_anew(spark):
+    one = spark.range(1000).coalesce(1)
+    assert storage.spread(one).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert sorted(r["id"] for r in storage.spread(one).collect()) == list(range(1000))
+    even = spark.range(0, 1000, 1, 5)
+    assert storage.spread(even) is even and storage.spread(spark.range(0)).count() == 0
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "site/x").mkdir(parents=True)
     (tmp_path / "site/x/index.md").write_text("# A\n")
