@@ -149,9 +149,9 @@ def merge(queries: DataFrame, max_claims: int = 4) -> DataFrame:
 
 
 def round_robin(queries: DataFrame, n: int, seed: int = 3) -> DataFrame:
-    """n queries, one of each bucket in turn, in the order of a keyed hash."""
+    """n queries, one of each bucket in turn, in the order of a keyed hash. No bucket gives more than n, so a task hands on its first n of each."""
     w = W.partitionBy("bucket").orderBy(F.xxhash64("query", F.lit(seed)), "query")
-    return queries.withColumn("turn", F.row_number().over(w)).orderBy("turn", "bucket", "query").limit(n)
+    return queries.withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= n).orderBy("turn", "bucket", "query").limit(n)
 
 
 def typos(queries: DataFrame, share: float = 0.05, seed: int = 5) -> DataFrame:

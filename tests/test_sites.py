@@ -163,6 +163,13 @@ def test_uneven_partitions_are_dealt_anew(spark):
     assert storage.spread(even) is even and storage.spread(spark.range(0)).count() == 0
 
 
+def test_a_round_robin_takes_the_first_of_each_bucket_where_they_are(spark):
+    rows = spark.range(3000).selectExpr("concat('q', id) AS query", "concat('b', id % 3) AS bucket").repartition(4)
+    got = lb.round_robin(rows, 7)
+    assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
+    assert [(r["turn"], r["bucket"]) for r in got.collect()] == [(1, "b0"), (1, "b1"), (1, "b2"), (2, "b0"), (2, "b1"), (2, "b2"), (3, "b0")]
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "site/x").mkdir(parents=True)
     (tmp_path / "site/x/index.md").write_text("# A\n")
